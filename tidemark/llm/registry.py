@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, langid, quality, simhash, substring
+from tidemark.llm import bpe, langid, quality, simhash, substring, suffix
 from tidemark.llm.shared import use_checkpoints
 
 #: The public vocabulary file of the BPE query; it has to be there on every executor.
@@ -24,6 +24,10 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -45,7 +49,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op5_quality_rules": op5_quality_rules, "op7_substring_dedup": op7_substring_dedup, "op8_simhash": op8_simhash, "op10_language_id": op10_language_id}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_bpe": op2_bpe, "op5_quality_rules": op5_quality_rules, "op7_substring_dedup": op7_substring_dedup, "op8_simhash": op8_simhash, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
