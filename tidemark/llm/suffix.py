@@ -34,7 +34,7 @@ LENGTH = 100
 GRAM = 32
 #: Windows in a stretch at most.
 STRETCH = 1024
-#: Bytes of documents that are hashed at once.
+#: Bytes of documents that are hashed at once, and of stretches that are sorted at once (or those of one anchor, if more).
 CHUNK = 1 << 20
 
 
@@ -94,7 +94,7 @@ class Stretches:
             first, windows = np.repeat(first, parts) + nth * STRETCH, np.repeat(windows, parts) - nth * STRETCH
             windows = np.minimum(windows, STRETCH)
         owner = np.searchsorted(ends, first, side="right")
-        return least[first], owner, first - (ends - lengths)[owner], windows
+        return rounds.mix(least[first], rounds.SEEDS[1]), owner, first - (ends - lengths)[owner], windows
 
 
 class Candidates:
@@ -132,19 +132,13 @@ def smaller_neighbours(position: np.ndarray, group: np.ndarray) -> tuple[np.ndar
     found = []
     for backward in (True, False):
         p, g = (position, group) if backward else (position[::-1], group[::-1])
-        n = len(p)
-        to = np.arange(n) - 1
-        while True:
-            live = to >= 0
-            same = np.zeros(n, bool)
-            same[live] = g[to[live]] == g[live]
-            to[live & ~same] = -1
-            larger = np.flatnonzero(to >= 0)
-            larger = larger[p[to[larger]] >= p[larger]]
-            if not len(larger):
-                break
-            to[larger] = to[to[larger]]  # what lies between is larger still
-        found.append(to if backward else np.where(to >= 0, n - 1 - to, -1)[::-1])
+        to = np.arange(len(p)) - 1
+        to[np.flatnonzero(g[1:] != g[:-1]) + 1] = -1
+        open_ = np.flatnonzero(to >= 0)
+        while len(open_ := open_[p[to[open_]] >= p[open_]]):
+            to[open_] = to[to[open_]]  # what lies between is larger still
+            open_ = open_[to[open_] >= 0]
+        found.append(to if backward else np.where(to >= 0, len(p) - 1 - to, -1)[::-1])
     return found[0], found[1]
 
 
@@ -186,9 +180,10 @@ def later_copies(stretches: list[bytes], positions: np.ndarray, length: int) ->
     order = np.lexsort((position, rank[at]))
     prefix = half[at[order]] * (len(raw) + 1) + half[at[order] + length - within]
     group = np.cumsum(np.append(True, prefix[1:] != prefix[:-1]))  # common prefix of the neighbours reaches length
-    before, after = smaller_neighbours(position[order], group)
+    several = np.flatnonzero((np.bincount(group) > 1)[group])
+    before, after = smaller_neighbours(position[order][several], group[several])
     copied = np.zeros(len(at), bool)
-    copied[order] = (before >= 0) | (after >= 0)
+    copied[order[several]] = (before >= 0) | (after >= 0)
     return np.split(copied, np.cumsum(windows)[:-1])
 
 
@@ -228,7 +223,19 @@ def resolver(length: int, gram: int):
         a = anchor[order]
         edges = np.append(np.flatnonzero(np.append(True, a[1:] != a[:-1])), len(a)).tolist()
         picked: list[int] = []
+        size = 0
         ties: dict[int, list[int]] = {}
+
+        def sort_picked() -> None:
+            by = np.lexsort((start[picked], ids[picked]))
+            chosen = np.array(picked)[by]
+            document = np.cumsum(np.append(False, ids[chosen][1:] != ids[chosen][:-1]))
+            span = int(start[chosen].max()) + max(len(content[i]) for i in picked)
+            flags = later_copies([content[i] for i in chosen], document * span + start[chosen], length)
+            for i, f in zip(chosen.tolist(), flags, strict=True):
+                for j in (i, *ties.get(i, ())):
+                    found[row[j]] += [(int(nth[j]), p, q) for p, q in runs(f)]
+
         order = order.tolist()
         for x, y in zip(edges[:-1], edges[1:], strict=True):
             first: dict[bytes, int] = {}
@@ -241,17 +248,12 @@ def resolver(length: int, gram: int):
                     ties.setdefault(f, []).append(i)
             if len(first) > 1 or repeats_itself(c, 0, len(c), length, gram):
                 picked += first.values()
+                size += sum(map(len, first))
+                if size > CHUNK:
+                    sort_picked()
+                    picked, size = [], 0
         if picked:
-            by = np.lexsort((start[picked], ids[picked]))
-            chosen = np.array(picked)[by]
-            sizes = np.array([len(content[i]) for i in chosen], np.int64)
-            same_doc = np.append(False, (ids[chosen][1:] == ids[chosen][:-1]))
-            group = np.cumsum(~same_doc)
-            span = int(start[chosen].max() + sizes.max()) + 1
-            flags = later_copies([content[i] for i in chosen], group * span + start[chosen], length)
-            for i, f in zip(chosen.tolist(), flags, strict=True):
-                for j in (i, *ties.get(i, ())):
-                    found[row[j]] += [(int(nth[j]), p, q) for p, q in runs(f)]
+            sort_picked()
         answers = []
         for ranges in found:
             answers.append(rounds.pack(*(np.array([r[k] for r in sorted(ranges)], np.int32) for k in range(3))))
@@ -263,7 +265,7 @@ def resolver(length: int, gram: int):
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Per document its id, n_bytes, n_removed, n_spans and ``kept``, the remaining bytes joined."""
     blocks, total = rounds.in_blocks(docs, id_col, text_col)
-    shards = rounds.shards_for(total // 12)
+    shards = rounds.shards_for(total // 6)
 
     def keys_of(block: Block) -> np.ndarray:
         s = Stretches(block, length, gram)
