@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from tidemark.llm.arrow import column_of, slices, text_buffers, texts_of
 
 #: Chunks that a worker remembers before it starts anew.
-CACHE_CHUNKS = 120_000
+CACHE_CHUNKS = 300_000
 
 #: str.split() takes these for white space, the vocabulary's pattern doesn't.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -71,9 +71,10 @@ class WordBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), np.array(made, np.int64)
         self.chunks: dict[str, tuple[str, str]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[str, str]] = {}
+        self.decimals = [str(i) for i in range(len(self.strings))]
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
+    def merge(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word (not empty), by rounds over one flat array of all their symbols."""
         lengths = np.array([len(w) for w in words], np.int64)
         ends = np.cumsum(lengths)
@@ -112,23 +113,33 @@ class WordBpe:
             keep[where + 1] = False
             symbols, owner = symbols[keep], owner[keep]
         flat, who = np.concatenate(done_symbols), np.concatenate(done_owner)
-        order = np.argsort(who, kind="stable")
-        return np.split(flat[order], np.cumsum(np.bincount(who, minlength=len(words)))[:-1])
+        flat = flat[np.argsort(who, kind="stable")].tolist()
+        ends = np.cumsum(np.bincount(who, minlength=len(words))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def learn(self, chunks: set[str]) -> None:
-        """Put the tokens of chunks into the cache."""
-        split = {}
+        """Put the tokens of chunks into the cache: their ids as decimals joined by one space, and decoded."""
+        words, known, several = self.words, self.chunks, {}
+        single = {}
         for chunk in chunks:
-            text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-            split[chunk] = self.pieces(text)
-        new = list({w for words in split.values() for w in words if w not in self.words})
+            text = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+            if text.isalpha():
+                single[chunk] = text
+            elif len(pieces := self.pieces(text)) == 1:
+                single[chunk] = pieces[0]
+            else:
+                several[chunk] = pieces
+        new = list({*single.values(), *(w for pieces in several.values() for w in pieces)} - words.keys())
         if new:
+            decimals = self.decimals
             for word, ids in zip(new, self.merge([w.encode() for w in new]), strict=True):
-                self.words[word] = ids.tolist()
-        for chunk, words in split.items():
-            ids = [i for w in words for i in self.words[w]]
-            self.chunks[chunk] = (" ".join(map(str, ids)), self.decode(ids))
-        if len(self.words) > CACHE_CHUNKS:
+                words[word] = (" ".join([decimals[i] for i in ids]), self.decode(ids))
+        for chunk, word in single.items():
+            known[chunk] = words[word]
+        for chunk, pieces in several.items():
+            ids, decoded = zip(*[words[w] for w in pieces], strict=True)
+            known[chunk] = (" ".join(ids), " ".join(decoded))
+        if len(words) > CACHE_CHUNKS:
             self.words = {}
 
     def decode(self, ids) -> str:
@@ -162,8 +173,8 @@ class WordBpe:
             self.learn(missing)
         lookup = self.chunks.__getitem__
         for chunks in split:
-            found = [x for x in map(lookup, chunks) if x[0]]
-            yield " ".join([x[0] for x in found]), " ".join([x[1] for x in found])
+            ids, decoded = zip(*map(lookup, chunks), strict=True) if chunks else ((), ())
+            yield " ".join(ids), " ".join(decoded)
 
 
 @lru_cache(maxsize=2)
