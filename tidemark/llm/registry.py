@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, html, langid, mixing, quality, simhash, substring, suffix
+from tidemark.llm import bpe, html, langid, mixing, quality, simhash, substring, suffix, topk
 from tidemark.llm.shared import use_checkpoints
 
 #: The public vocabulary file of the BPE query; it has to be there on every executor.
@@ -44,6 +44,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(spark, sf_dir, "documents"))
 
@@ -57,8 +61,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_bpe": op2_bpe, "op3_html": op3_html, "op4_mixing": op4_mixing, "op5_quality_rules": op5_quality_rules, "op7_substring_dedup": op7_substring_dedup, "op8_simhash": op8_simhash, "op10_language_id": op10_language_id}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_bpe": op2_bpe, "op3_html": op3_html, "op4_mixing": op4_mixing, "op5_quality_rules": op5_quality_rules, "op6_topk": op6_topk, "op7_substring_dedup": op7_substring_dedup, "op8_simhash": op8_simhash, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_topk": topk.SQL}
