@@ -177,6 +177,13 @@ class WordBpe:
             yield " ".join(ids), " ".join(decoded)
 
 
+def id_lists(texts: list[str]) -> pa.Array:
+    """Lists of ids from their decimals joined by one space."""
+    parts = [np.array(t.split(), np.int32) if t else np.zeros(0, np.int32) for t in texts]
+    offsets = np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
     return WordBpe(path)
@@ -201,7 +208,7 @@ def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col:
             for a, b in slices(offsets):
                 part = [t.decode("utf-8", "replace") for t in texts_of(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])]
                 ids, decoded = zip(*model.encode(part), strict=True)
-                ids = pa.array(ids, pa.string()) if as_text else pa.array([[int(i) for i in x.split()] for x in ids], pa.list_(pa.int32()))
+                ids = pa.array(ids, pa.string()) if as_text else id_lists(ids)
                 columns = [column_of(batch, c).slice(a, b - a) for c in kept] + [ids]
                 if decoded_col:
                     columns.append(pa.array(decoded, pa.string()))

@@ -6,24 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tidemark.llm import bpe, html, langid, licenses, mixing, quality, simhash, substring, suffix, topk
-from tidemark.llm.shared import use_checkpoints
-
-#: The public vocabulary file of the BPE query; it has to be there on every executor.
-WORD_BPE = "word_bpe_49k.json"
-
+from tidemark.llm.shared import tokenizer_path, use_checkpoints
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     use_checkpoints(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path(name: str = WORD_BPE) -> str:
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
-
-
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(table(spark, sf_dir, "documents"))
 
@@ -65,7 +56,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_bpe": op2_bpe, "op3_html": op3_html, "op4_mixing": op4_mixing, "op5_quality_rules": op5_quality_rules, "op6_topk": op6_topk, "op7_substring_dedup": op7_substring_dedup, "op8_simhash": op8_simhash, "op9_licenses": op9_licenses, "op10_language_id": op10_language_id}
+    return {"pipeline": corpus_pipeline.run, "op1_suffix_dedup": op1_suffix_dedup, "op2_bpe": op2_bpe, "op3_html": op3_html, "op4_mixing": op4_mixing, "op5_quality_rules": op5_quality_rules, "op6_topk": op6_topk, "op7_substring_dedup": op7_substring_dedup, "op8_simhash": op8_simhash, "op9_licenses": op9_licenses, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -100,13 +100,16 @@ def unpack(data: bytes, *types) -> list[np.ndarray]:
     return out
 
 
-def in_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
-    """``block``, ``id`` and ``text`` of each document (null ids as the greatest, null texts as empty), and all texts' bytes."""
+def in_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """``block``, ``id`` and ``text`` of each document (null ids as the greatest, null texts as empty), and all texts' bytes.
+
+    Columns in ``carried`` go with their documents as ``carried_0``, ``carried_1`` and so on.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), text.alias("text"))
+    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), text.alias("text"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carried)))
     total = plain.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    return plain.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block"), "id", "text"), total
+    return plain.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block"), *plain.columns), total
 
 
 def shards_for(keys: int) -> int:
@@ -122,9 +125,14 @@ class Block:
         raw = data.tobytes()
         texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+        self.table, self.order = table, order
         self.ids = ids[order].astype(np.int64)
         self.texts = [texts[i] for i in order]
 
+    def carried(self, number: int) -> list[pa.Array]:
+        """The carried columns in the order of the documents."""
+        return [column_of(self.table, f"carried_{i}").take(pa.array(self.order, pa.int64())) for i in range(number)]
+
 
 def counters(keys: np.ndarray, row: int, shards: int) -> np.ndarray:
     """The key's shard and its counter there, in one number."""

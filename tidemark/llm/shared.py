@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -13,3 +14,17 @@ def use_checkpoints(spark: SparkSession) -> None:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for a table that is written and read again."""
+    use_checkpoints(spark)
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A public vocabulary file; it has to be there on every executor."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import column_of, slices, text_buffers, texts_of
@@ -230,5 +230,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the one with the least id (all rows without an id stay)."""
     first = components(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    with_id = docs.where(F.col(id_col).isNotNull()).join(first, id_col, "left_semi").dropDuplicates([id_col])
-    return with_id.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    of_id = Window.partitionBy(id_col).orderBy(F.lit(0))
+    with_id = docs.where(F.col(id_col).isNotNull()).join(first, id_col, "left_semi")
+    one = with_id.withColumn("simhash_place", F.row_number().over(of_id)).where("simhash_place = 1").select(*docs.columns)
+    return one.unionByName(docs.where(F.col(id_col).isNull()))

@@ -26,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import rounds
 from tidemark.llm.rounds import Block, U
@@ -35,7 +36,7 @@ GRAM = 32
 #: Windows in a stretch at most.
 STRETCH = 1024
 #: Bytes of documents that are hashed at once, and of stretches that are sorted at once (or those of one anchor, if more).
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -142,48 +143,42 @@ def smaller_neighbours(position: np.ndarray, group: np.ndarray) -> tuple[np.ndar
     return found[0], found[1]
 
 
-def suffix_ranks(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Ranks of all suffixes by their first ``length`` bytes or more, and the ranks by the last doubling within it, and its bytes."""
-    span = 8
-    while span > length:
-        span //= 2
-    padded = np.concatenate((raw, np.zeros(span, np.uint8))).astype(np.uint64)
-    key = np.zeros(len(raw), np.uint64)
-    for i in range(span):
-        key = key << U(8) | padded[i : i + len(raw)]
-    rank = np.unique(key, return_inverse=True)[1] + 1
-    half, within = rank, span
-    while span < length:
-        following = np.zeros(len(rank), np.int64)
-        following[: max(0, len(rank) - span)] = rank[span:]
-        rank = np.unique(rank * (len(rank) + 1) + following, return_inverse=True)[1] + 1
-        span *= 2
-        if span <= length:
-            half, within = rank, span
-    return rank, half, within
-
-
 def later_copies(stretches: list[bytes], positions: np.ndarray, length: int) -> list[np.ndarray]:
     """For stretches with distinct first positions: which of their windows have an earlier copy in any of them.
 
-    Windows are sorted as suffixes of the joined stretches; of windows with the same ``length`` bytes, which are next to each
-    other in suffix order, all but the one at the least position have a longest previous factor of ``length`` or more.
+    Windows are sorted as suffixes of the joined stretches, eight bytes at a time; a suffix that shares its bytes so far with no other
+    has no factor of ``length`` and leaves the sort. Of those that agree in ``length`` bytes, which are next to each other in
+    suffix order, all but the one at the least position have a longest previous factor of ``length`` or more.
     """
     sizes = np.array([len(s) for s in stretches], np.int64)
-    raw = np.frombuffer(b"".join(stretches), np.uint8)
-    rank, half, within = suffix_ranks(raw, length)
+    raw = np.frombuffer(b"".join(stretches) + bytes(8), np.uint8)
+    word = np.zeros(len(raw) - 8, np.uint64)
+    for i in range(min(8, length)):
+        word <<= U(8)
+        word |= raw[i : len(raw) - 8 + i]
     windows = sizes - length + 1
-    base = np.cumsum(sizes) - sizes
     nth = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-    at = np.repeat(base, windows) + nth
-    position = np.repeat(positions, windows) + nth
-    order = np.lexsort((position, rank[at]))
-    prefix = half[at[order]] * (len(raw) + 1) + half[at[order] + length - within]
-    group = np.cumsum(np.append(True, prefix[1:] != prefix[:-1]))  # common prefix of the neighbours reaches length
-    several = np.flatnonzero((np.bincount(group) > 1)[group])
-    before, after = smaller_neighbours(position[order][several], group[several])
+    at = np.repeat(np.cumsum(sizes) - sizes, windows) + nth
+    live, group = np.arange(len(at)), None
+    for offset in [*range(0, length - 8, 8), max(0, length - 8)]:
+        key = word[at[live] + offset]
+        order = np.argsort(key) if group is None else np.lexsort((key, group))
+        key = key[order]
+        new = np.append(True, key[1:] != key[:-1])
+        if group is not None:
+            group = group[order]
+            new[1:] |= group[1:] != group[:-1]
+        group = np.cumsum(new)
+        several = (np.bincount(group) > 1)[group]
+        live, group = live[order][several], group[several]
+        if not len(live):
+            break
     copied = np.zeros(len(at), bool)
-    copied[order[several]] = (before >= 0) | (after >= 0)
+    if len(live):
+        position = (np.repeat(positions, windows) + nth)[live]
+        order = np.lexsort((position, group))
+        before, after = smaller_neighbours(position[order], group[order])
+        copied[live[order]] = (before >= 0) | (after >= 0)
     return np.split(copied, np.cumsum(windows)[:-1])
 
 
@@ -262,9 +257,9 @@ def resolver(length: int, gram: int):
     return resolve
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Per document its id, n_bytes, n_removed, n_spans and ``kept``, the remaining bytes joined."""
-    blocks, total = rounds.in_blocks(docs, id_col, text_col)
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Per document its id, n_bytes, n_removed, n_spans, ``kept``, the remaining bytes joined, and its columns in ``carried``."""
+    blocks, total = rounds.in_blocks(docs, id_col, text_col, carried)
     shards = rounds.shards_for(total // 6)
 
     def keys_of(block: Block) -> np.ndarray:
@@ -324,9 +319,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
         count = lambda x: pa.array(x, pa.int64())
         ids = pa.array(block.ids, mask=block.ids == rounds.LAST)
-        return pa.table({"id": ids, "n_bytes": count([len(t) for t in block.texts]), "n_removed": count(removed), "n_spans": count(spans), "kept": pa.array(kept, pa.binary())})
+        extra = dict(zip(carried, block.carried(len(carried)), strict=True))
+        return pa.table({"id": ids, "n_bytes": count([len(t) for t in block.texts]), "n_removed": count(removed), "n_spans": count(spans), "kept": pa.array(kept, pa.binary()), **extra})
 
-    found = rounds.run(blocks, keys_of, candidates, resolver(length, gram), finish, "id long, n_bytes long, n_removed long, n_spans long, kept binary", shards)
+    schema = T.StructType([T.StructField("id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType()), *(docs.schema[c] for c in carried)])
+    found = rounds.run(blocks, keys_of, candidates, resolver(length, gram), finish, schema, shards)
     return found.withColumnRenamed("id", id_col)
 
 
