@@ -56,20 +56,27 @@ def dominance(active: Column, other: Column) -> Column:
     return F.coalesce(F.try_divide(F.abs(active), F.abs(active) + F.abs(other)), F.lit(0.0))
 
 
-def flow_label(long_change: Column, short_change: Column, long_z: Column, short_z: Column) -> Column:
-    """Which side of the large speculators moves, as ``direction:label``."""
-    strong_long, strong_short = F.abs(long_z) >= 1, F.abs(short_z) >= 1
+def flow_direction(long_change: Column, short_change: Column, long_z: Column, short_z: Column) -> Column:
+    """Where the large speculators' flows point; if both sides grow or both shrink, the more unusual one decides."""
+    long_leads = F.coalesce(F.abs(long_z), F.lit(0.0)) >= F.coalesce(F.abs(short_z), F.lit(0.0))
+    short_leads = F.coalesce(F.abs(short_z), F.lit(0.0)) >= F.coalesce(F.abs(long_z), F.lit(0.0))
     return (
-        F.when((long_change > 0) & (short_change < 0), "bullish:long_build_and_short_cover")
-        .when((long_change < 0) & (short_change > 0), "bearish:long_cut_and_short_build")
-        .when((short_change < 0) & strong_short & ((long_change <= 0) | ~strong_long), "bullish:short_cover")
-        .when((long_change < 0) & strong_long & ((short_change <= 0) | ~strong_short), "bearish:long_cut")
-        .when((long_change > 0) & strong_long, "bullish:long_build")
-        .when((short_change > 0) & strong_short, "bearish:short_build")
-        .otherwise("neutral:unclear")
+        F.when((long_change > 0) & (short_change <= 0), "bullish")
+        .when((long_change <= 0) & (short_change > 0), "bearish")
+        .when((long_change > 0) & (short_change > 0), F.when(long_leads, "bullish").otherwise("bearish"))
+        .when((long_change < 0) & (short_change < 0), F.when(short_leads, "bullish").otherwise("bearish"))
+        .otherwise("neutral")
     )
 
 
+def flow_label(long_change: Column, short_change: Column, long_z: Column, short_z: Column) -> Column:
+    """What the flows are, with ``strong_`` before it if one of them is unusual."""
+    strong = F.greatest(F.coalesce(F.abs(long_z), F.lit(0.0)), F.coalesce(F.abs(short_z), F.lit(0.0))) >= 1.5
+    toward = flow_direction(long_change, short_change, long_z, short_z)
+    both = F.when((long_change > 0) & (short_change > 0), "_both_growing").when((long_change < 0) & (short_change < 0), "_both_shrinking").otherwise("")
+    return F.when(toward == "neutral", "unclear").otherwise(F.concat(F.when(strong, "strong_").otherwise(""), toward, F.lit("_flow"), both))
+
+
 def score_label(score: Column) -> Column:
     return (
         F.when(score >= 50, "strongly_bullish").when(score >= 20, "slightly_bullish").when(score <= -50, "strongly_bearish").when(score <= -20, "slightly_bearish").otherwise("mixed")

@@ -64,7 +64,7 @@ def with_place(df: DataFrame, *keys: str, order: str = "date") -> DataFrame:
 def interpolated(value: Column, place: Column, w: WindowSpec) -> Column:
     """Straight lines between known values along ``place``; the nearest known value beyond the first and last.
 
-    ``w`` orders by ``place``; the values after are found by a descending window, which stays linear.
+    ``w`` orders by ``place``. The frame to the end is computed anew for each row, so keep partitions short (a year's weeks).
     """
     known = F.when(value.isNotNull(), F.struct(place.alias("p"), value.alias("v")))
     before = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
