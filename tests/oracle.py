@@ -17,7 +17,7 @@ def table(frame: pd.DataFrame) -> list[tuple]:
     columns = sorted(frame.columns)
     rows = []
     for row in frame[columns].itertuples(index=False):
-        rows.append(tuple(None if x is None or x is pd.NaT or (isinstance(x, float) and x != x) else str(pd.Timestamp(x).date()) if hasattr(x, "year") else x for x in row))
+        rows.append(tuple(None if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x) else str(pd.Timestamp(x).date()) if hasattr(x, "year") else x for x in row))
     return [tuple(columns), *sorted(rows, key=repr)]
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import positioning
+from tidemark.plans import positioning, signals
 
-MODULES = [positioning]
+MODULES = [positioning, signals]
 
 
 def entries() -> dict[str, tuple]:
