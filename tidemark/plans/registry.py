@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import positioning, signals
+from tidemark.plans import positioning, regimes, signals
 
-MODULES = [positioning, signals]
+MODULES = [positioning, signals, regimes]
 
 
 def entries() -> dict[str, tuple]:
