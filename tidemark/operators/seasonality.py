@@ -106,21 +106,28 @@ def forecast(paths: DataFrame, phases: DataFrame, horizons: tuple[int, ...] = (4
     return outcomes.forecast(moved, ["market", "weeks"], "return")
 
 
-def z_array(x: Column) -> Column:
-    """A sequence in population deviations from its mean; only centred if it hardly varies."""
-    n = F.size(x)
-    mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
-    var = F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / n
-    sd = F.sqrt(var)
-    return F.transform(x, lambda v: F.when(sd < 1e-12, v - mean).otherwise((v - mean) / sd))
+def z_arrays(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns ``z_<column>``: sequences in population deviations from their means; only centred if they hardly vary.
+
+    Means and deviations are columns of their own, so each is computed once a row.
+    """
+    total = lambda x, f: F.aggregate(x, F.lit(0.0), lambda s, v: s + f(v))
+    out = df.withColumns({f"m_{c}": total(F.col(c), lambda v: v) / F.size(c) for c in columns})
+    square = lambda c: lambda v: (v - F.col(f"m_{c}")) * (v - F.col(f"m_{c}"))
+    out = out.withColumns({f"s_{c}": F.sqrt(total(F.col(c), square(c)) / F.size(c)) for c in columns})
+    scale = {c: F.when(F.col(f"s_{c}") < 1e-12, 1.0).otherwise(F.col(f"s_{c}")) for c in columns}
+    out = out.withColumns({f"d_{c}": scale[c] for c in columns})
+    standard = lambda c: lambda v: (v - F.col(f"m_{c}")) / F.col(f"d_{c}")
+    out = out.withColumns({f"z_{c}": F.transform(c, standard(c)) for c in columns})
+    return out.drop(*(f"{k}_{c}" for k in "msd" for c in columns))
 
 
-def warped_similarity(a: Column, b: Column) -> Column:
-    """Similarity of two short sequences from 0 to 1 by dynamic time warping of their z-scores; 0 if one has fewer than two values.
+def warped_similarity(df: DataFrame, a: str, b: str) -> DataFrame:
+    """``df`` with ``similarity`` of two short sequences from 0 to 1 by dynamic time warping of their z-scores; 0 if one has fewer than two values.
 
-    The table of partial distances is folded row by row, inside the JVM.
+    The table of partial distances is folded row by row, inside the JVM. Rounded to 12 places, so that ties are ties.
     """
-    x, y = z_array(a), z_array(b)
+    x, y = F.col(f"z_{a}"), F.col(f"z_{b}")
     infinite = F.lit(float("inf"))
     top = F.concat(F.array(F.lit(0.0)), F.transform(y, lambda v: infinite))
 
@@ -132,7 +139,8 @@ def warped_similarity(a: Column, b: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(1), F.size(y)), F.array(infinite), cell)
 
     total = F.element_at(F.aggregate(x, top, row), -1)
-    return F.when((F.size(a) < 2) | (F.size(b) < 2), 0.0).otherwise(F.exp(-total / (F.size(a) + F.size(b))))
+    similarity = F.when((F.size(a) < 2) | (F.size(b) < 2), 0.0).otherwise(F.exp(-total / (F.size(a) + F.size(b))))
+    return z_arrays(df, [a, b]).withColumn("similarity", F.round(similarity, 12)).drop(f"z_{a}", f"z_{b}")
 
 
 def daily_returns(prices: DataFrame, days: int, as_of: str | None = None) -> DataFrame:
@@ -173,7 +181,7 @@ def best_shift(candidates: DataFrame, name: str) -> DataFrame:
 def daily_shift(prices: DataFrame, days: int, most: int = 8, window: int | None = 15, as_of: str | None = None) -> DataFrame:
     pattern = daily_patterns(prices, days, range(-most, most + 1), window, as_of)
     both = pattern.join(daily_returns(prices, days, as_of), "market")
-    return best_shift(both.withColumn("similarity", F.round(warped_similarity(F.col("own"), F.col("pattern")), 12)), f"{days}d")
+    return best_shift(warped_similarity(both, "own", "pattern"), f"{days}d")
 
 
 def weekly_shift(current: DataFrame, medians: DataFrame, weeks: int, most: int = 8) -> DataFrame:
@@ -183,8 +191,8 @@ def weekly_shift(current: DataFrame, medians: DataFrame, weeks: int, most: int =
     levels = pairs.groupBy("market", "shift").agg(F.array_sort(F.collect_list(F.struct("week", "move", "median"))).alias("l")).where(F.size("l") >= weeks + 1)
     tail = F.slice("l", -(weeks + 1), weeks + 1)
     steps = lambda c: F.zip_with(F.slice(F.col("t"), 2, weeks), F.slice(F.col("t"), 1, weeks), lambda b, a: b[c] - a[c])
-    rows = levels.withColumn("t", tail).withColumn("similarity", F.round(warped_similarity(steps("move"), steps("median")), 12))
-    return best_shift(rows, f"{weeks}w")
+    rows = levels.withColumn("t", tail).withColumns({"own": steps("move"), "season": steps("median")})
+    return best_shift(warped_similarity(rows, "own", "season"), f"{weeks}w")
 
 
 def shifts(prices: DataFrame, window: int | None = 15, most: int = 8, as_of: str | None = None) -> DataFrame:

@@ -159,11 +159,11 @@ def calibration(part: int, spec: str):
 
 def warping(spark, sf_dir):
     """Similarity of each market's last two runs of five quantities."""
-    rows = proxies.positions(spark, sf_dir).select("market", F.to_json(F.struct("date")).alias("k"), "date", "oi")
+    rows = proxies.positions(spark, sf_dir).select("market", "date", "oi")
     last = rows.withColumn("i", F.expr("row_number() OVER (PARTITION BY market ORDER BY date DESC)")).where("i <= 10")
     pick = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("i", "oi")))), lambda s: s["oi"])
     both = last.groupBy("market").agg(pick(F.col("i") <= 5).alias("a"), pick(F.col("i") > 5).alias("b"))
-    return shaped(both.withColumn("similarity", seasonality.warped_similarity(F.col("a"), F.col("b"))), "market:s similarity")
+    return shaped(seasonality.warped_similarity(both, "a", "b"), "market:s similarity")
 
 
 SQL_WARP = """w0 AS (SELECT market, oi, row_number() OVER (PARTITION BY market ORDER BY date DESC) AS i FROM positions),
