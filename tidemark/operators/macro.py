@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import expr, windows
 from tidemark.operators.asof import asof
 from tidemark.operators.knn import greedy
+from tidemark.session import materialized
 
 #: Rows in a year, by frequency.
 PER_YEAR = {"daily": 252, "weekly": 52, "monthly": 12, "quarterly": 4}
@@ -137,8 +138,8 @@ def regime(macro: DataFrame, specs: DataFrame, weights: DataFrame, prices: DataF
     """One row per market: current score and label, the analogs' outcome, confidence, or the reason why there is no result."""
     from tidemark.operators import outcomes
 
-    snaps = snapshots(transformed(macro, specs))
-    scored = scores(snaps, weights)
+    snaps = materialized(snapshots(transformed(macro, specs)))
+    scored = materialized(scores(snaps, weights))
     now = current(usable(scored))
     result = outcomes.dominant(analogs(snaps, weights, scored, prices, weeks, n), ["market"], f"return_{weeks}w")
     found = macro.select("series_key").distinct().join(F.broadcast(weights), "series_key").groupBy("market").agg(F.count("*").alias("n_found"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import expr, windows
 from tidemark.operators import clusters, confluence, flows, index_pattern, knn, outcomes, paths
 from tidemark.operators.observations import HORIZONS, observations
+from tidemark.session import materialized
 from tidemark.sources.tables import market_quality
 
 LEAST_ROWS = 60
@@ -22,8 +23,8 @@ def titled(direction: Column) -> Column:
 
 def pure_net_columns(valid: DataFrame, prices: DataFrame, reports: DataFrame, weeks: int, n: int) -> DataFrame:
     """Outcome and timing of one horizon's pure-net analogs, prefixed by the horizon."""
-    matches = knn.pure_net(valid, weeks, n)
-    result = outcomes.levels(matches, ["market"], f"return_{weeks}w")
+    matches = materialized(knn.pure_net(valid, weeks, n))
+    result = materialized(outcomes.levels(matches, ["market"], f"return_{weeks}w"))
     timing = paths.cluster_timing(matches, prices, result.select("market", F.col("direction").alias("bias")), reports, weeks)
     figures = ("n", "up", "down", "direction", "hit_rate", "median", "range_low", "range_high")
     both = result.select("market", *figures).join(timing.select("market", "window_start", "window_end"), "market", "left")
@@ -36,21 +37,25 @@ def timing_bias(median: Column, bias: Column) -> Column:
 
 
 def scan(positions: DataFrame, prices: DataFrame, markets: DataFrame, today: Column, n: int = 30, threshold: float = 0.01, with_clusters: bool = True) -> DataFrame:
-    """One row per row of ``markets`` (market, category). The observations are used by all analyzers, so they are persisted."""
-    quality = market_quality(positions, prices, markets, today)
-    obs = observations(positions, prices, HORIZONS, scales=False).persist()
+    """One row per row of ``markets`` (market, category).
+
+    Prices, observations and matches are used by several analyzers, so they are materialized.
+    """
+    positions, prices = materialized(positions), materialized(prices)
+    quality = materialized(market_quality(positions, prices, markets, today))
+    obs = observations(positions, prices, HORIZONS, scales=False)
     full = obs.na.drop(subset=knn.NETS + knn.SHARES).withColumn("n_valid", F.count("*").over(windows.whole()))
-    valid = full.where(F.col("n_valid") >= LEAST_ROWS).join(F.broadcast(quality.where("usable").select("market")), "market").drop("n_valid")
+    valid = materialized(full.where(F.col("n_valid") >= LEAST_ROWS).join(quality.where("usable").select("market"), "market").drop("n_valid"))
     reports = valid.groupBy("market").agg(F.max("date").alias("report_date"))
 
-    matches = knn.net_similar(valid, n)
+    matches = materialized(knn.net_similar(valid, n))
     main = paths.timing(matches, prices, 8, threshold).select("market", "n", "up", "down", "bias")
     near = paths.timing(knn.share_context(matches, valid), prices, 8, threshold).select("market", F.col("n").alias("share_n"), F.col("bias").alias("share_bias"))
     hit = F.when(F.col("bias") == "bullish", F.col("up")).otherwise(F.col("down")) / F.col("n")
     confirmed = F.coalesce((F.col("share_n") >= 8) & (F.col("share_bias") == F.col("bias")) & (F.col("bias") != "neutral"), F.lit(False))
     base = main.join(near, "market", "left").select("market", F.col("n").alias("cases"), "bias", hit.alias("hit_rate"), confirmed.alias("share_confirmed"))
 
-    each = flows.horizons(valid)
+    each = materialized(flows.horizons(valid))
     split = flows.divergence(each).select("market", F.col("signal").alias("flow_signal"), F.col("strength").alias("flow_strength"), F.lit(True).alias("flow_available"))
     by_weeks = each.groupBy("market").agg(*(F.max(F.when(F.col("weeks") == k, F.col("signal"))).alias(f"flow_signal_{k}w") for k in flows.FLOW_HORIZONS))
     zones = flows.extremes(valid).select(
@@ -59,7 +64,7 @@ def scan(positions: DataFrame, prices: DataFrame, markets: DataFrame, today: Col
     )
     turning = flows.transition(valid).select("market", *(F.col(c).alias(f"transition_{c}") for c in ("phase", "score", "direction", "convergence", "sustained", "price_confirmed")))
 
-    index = index_pattern.analyze(valid, n=n)
+    index = materialized(index_pattern.analyze(valid, n=n))
     rates = F.greatest("up", "down") / F.col("n")
     ranges = [outcomes.by_direction(outcomes.majority(), q) for q in (25, 75)]
     _, regime = index_pattern.candidates(index_pattern.with_indices(valid))
@@ -74,7 +79,8 @@ def scan(positions: DataFrame, prices: DataFrame, markets: DataFrame, today: Col
 
     joined = [base, split, by_weeks, flows.strongest(each), zones, turning, index_columns, *(pure_net_columns(valid, prices, reports, h, n) for h in HORIZONS)]
     if with_clusters:
-        result, events = clusters.analyze(clusters.fitted(valid).persist())
+        result, events = clusters.analyze(materialized(clusters.fitted(valid)))
+        result = materialized(result)
         good = result.where("available")
         timing = paths.cluster_timing(events, prices, good.select("market", timing_bias(F.col("median"), F.col("direction")).alias("bias")), reports)
         figures = {"bias": "direction", "hit_rate": "hit_rate", "lower_limit": "wilson_low", "cases": "n", "up": "up", "down": "down", "median": "median", "q25": "q25", "q75": "q75", "range_low": "range_low", "range_high": "range_high", "quality": "quality", "silhouette": "silhouette"}

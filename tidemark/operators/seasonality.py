@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import expr, windows
 from tidemark.operators import outcomes
+from tidemark.session import materialized
 
 #: Trading days of each horizon in weeks.
 TRADING_DAYS = {4: 20, 8: 40, 12: 60}
@@ -143,15 +144,38 @@ def warped_similarity(df: DataFrame, a: str, b: str) -> DataFrame:
     return z_arrays(df, [a, b]).withColumn("similarity", F.round(similarity, 12)).drop(f"z_{a}", f"z_{b}")
 
 
+def warped_groups(rows: DataFrame, keys: list[str], order: str, a: str, b: str, least: int = 2) -> DataFrame:
+    """``warped_similarity`` of two columns of equally many rows per key, in ``order``: ``keys`` and ``similarity``.
+
+    The z-scores come from windows over the rows, so the arrays only hold what the fold needs.
+    """
+    w = windows.whole(*keys)
+    z = lambda c: (F.col(c) - F.avg(c).over(w)) / F.when(F.stddev_pop(c).over(w) < 1e-12, 1.0).otherwise(F.stddev_pop(c).over(w))
+    items = rows.select(*keys, F.col(order).alias("k"), z(a).alias("x"), z(b).alias("y")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("s"))
+    infinite = F.lit(float("inf"))
+    n = F.size("s")
+
+    def row(before: Column, item: Column) -> Column:
+        def cell(done: Column, j: Column) -> Column:
+            cost = F.abs(item["x"] - F.element_at("s", j)["y"])
+            return F.array_append(done, cost + F.least(F.element_at(before, j + 1), F.element_at(done, j), F.element_at(before, j)))
+
+        return F.aggregate(F.sequence(F.lit(1), n), F.array(infinite), cell)
+
+    total = F.element_at(F.aggregate("s", F.concat(F.array(F.lit(0.0)), F.array_repeat(infinite, n)), row), -1)
+    return items.where(n >= least).select(*keys, F.round(F.exp(-total / (2 * n)), 12).alias("similarity"))
+
+
 def daily_returns(prices: DataFrame, days: int, as_of: str | None = None) -> DataFrame:
-    """The last ``days`` daily returns up to the cutoff, oldest first, as an array."""
-    rows = dated(prices, as_of).where("date <= cutoff").withColumn("r", windows.row_return(F.col("close"), windows.series(), 1))
-    last = rows.withColumn("k", F.row_number().over(Window.partitionBy("market").orderBy(F.col("date").desc()))).where(F.col("k") <= days)
-    return last.groupBy("market").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("date").alias("d"), F.col("r").alias("r")))), lambda s: s["r"]).alias("own"), F.count("r").alias("n")).where(F.col("n") == days).drop("n")
+    """The last ``days`` daily returns up to the cutoff as rows: ``k`` from 1 (the oldest) and ``own``."""
+    rows = dated(prices, as_of).where("date <= cutoff").withColumn("own", windows.row_return(F.col("close"), windows.series(), 1))
+    last = rows.withColumn("back", F.row_number().over(Window.partitionBy("market").orderBy(F.col("date").desc()))).where(F.col("back") <= days)
+    full = last.where("own IS NOT NULL").withColumn("n", F.count("*").over(windows.whole())).where(F.col("n") == days)
+    return full.select("market", (days + 1 - F.col("back")).alias("k"), "own")
 
 
 def daily_patterns(prices: DataFrame, days: int, shifts: range, window: int | None = 15, as_of: str | None = None) -> DataFrame:
-    """Per shift in weeks, the median over earlier years of the daily returns before the same calendar day; ``market, shift, pattern``."""
+    """Per shift in weeks, the median over earlier years of the daily returns before the same calendar day; ``market, shift, k, pattern``."""
     rows = dated(prices, as_of)
     w = windows.series()
     numbered = rows.withColumns({"place": F.row_number().over(w), "r": windows.row_return(F.col("close"), w, 1)})
@@ -168,8 +192,8 @@ def daily_patterns(prices: DataFrame, days: int, shifts: range, window: int | No
 
     found = asof(grid, numbered, ["market"], "anchor", "date", {"place": "at", "date": "on"}).where((F.col("at") > days) & (F.year("on") == F.col("year")))
     each = found.select("market", "shift", "year", "at", F.explode(F.sequence(F.lit(1), F.lit(days))).alias("k")).withColumn("place", F.col("at") - days + F.col("k"))
-    by_place = each.join(numbered.select("market", "place", "r"), ["market", "place"]).groupBy("market", "shift", "k").agg(F.percentile("r", 0.5).alias("r"))
-    return by_place.groupBy("market", "shift").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "r"))), lambda s: s["r"]).alias("pattern"))
+    by_place = each.join(numbered.select("market", "place", "r"), ["market", "place"])
+    return by_place.groupBy("market", "shift", "k").agg(F.percentile("r", 0.5).alias("pattern"))
 
 
 def best_shift(candidates: DataFrame, name: str) -> DataFrame:
@@ -180,25 +204,23 @@ def best_shift(candidates: DataFrame, name: str) -> DataFrame:
 
 def daily_shift(prices: DataFrame, days: int, most: int = 8, window: int | None = 15, as_of: str | None = None) -> DataFrame:
     pattern = daily_patterns(prices, days, range(-most, most + 1), window, as_of)
-    both = pattern.join(daily_returns(prices, days, as_of), "market")
-    return best_shift(warped_similarity(both, "own", "pattern"), f"{days}d")
+    both = pattern.join(daily_returns(prices, days, as_of), ["market", "k"])
+    return best_shift(warped_groups(both, ["market", "shift"], "k", "own", "pattern"), f"{days}d")
 
 
 def weekly_shift(current: DataFrame, medians: DataFrame, weeks: int, most: int = 8) -> DataFrame:
     """The shift at which the last ``weeks`` weekly changes of this year resemble those of the median curve most."""
     shifted = current.select("market", "week", "move", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("shift")).withColumn("phase", F.col("week") + F.col("shift"))
     pairs = shifted.join(medians.select("market", F.col("week").alias("phase"), "median"), ["market", "phase"])
-    levels = pairs.groupBy("market", "shift").agg(F.array_sort(F.collect_list(F.struct("week", "move", "median"))).alias("l")).where(F.size("l") >= weeks + 1)
-    tail = F.slice("l", -(weeks + 1), weeks + 1)
-    steps = lambda c: F.zip_with(F.slice(F.col("t"), 2, weeks), F.slice(F.col("t"), 1, weeks), lambda b, a: b[c] - a[c])
-    rows = levels.withColumn("t", tail).withColumns({"own": steps("move"), "season": steps("median")})
-    return best_shift(warped_similarity(rows, "own", "season"), f"{weeks}w")
+    w = Window.partitionBy("market", "shift").orderBy("week")
+    steps = pairs.withColumns({"own": windows.row_change(F.col("move"), w, 1), "season": windows.row_change(F.col("median"), w, 1), "back": F.row_number().over(Window.partitionBy("market", "shift").orderBy(F.col("week").desc()))})
+    tail = steps.where((F.col("back") <= weeks) & F.col("own").isNotNull() & F.col("season").isNotNull())
+    whole = tail.withColumn("n", F.count("*").over(windows.whole("market", "shift"))).where(F.col("n") == weeks)
+    return best_shift(warped_groups(whole, ["market", "shift"], "week", "own", "season"), f"{weeks}w")
 
 
-def shifts(prices: DataFrame, window: int | None = 15, most: int = 8, as_of: str | None = None) -> DataFrame:
-    """``market, window, shift, similarity`` of five windows, each calibrated on its own."""
-    medians = curves(in_windows(year_paths(prices, as_of), current_years(prices, as_of), (window,)))
-    current = current_curve(prices, as_of)
+def shifts(prices: DataFrame, medians: DataFrame, current: DataFrame, window: int | None = 15, most: int = 8, as_of: str | None = None) -> DataFrame:
+    """``market, window, shift, similarity`` of five windows, each calibrated on its own, from prices, the median curve and this year's."""
     parts = [daily_shift(prices, d, most, window, as_of) for d in (3, 10)] + [weekly_shift(current, medians, k, most) for k in (2, 4, 8)]
     return reduce(DataFrame.unionByName, parts)
 
@@ -206,13 +228,15 @@ def shifts(prices: DataFrame, window: int | None = 15, most: int = 8, as_of: str
 def calibrate(prices: DataFrame, window: int | None = 15, most: int = 8, as_of: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per market the consensus shift of the five windows with what it says about this year; the chart by week; and the forecast.
 
-    Markets with fewer than nine weeks this year, or without any shift, are left out.
+    Markets with fewer than nine weeks this year, or without any shift, are left out. Prices, paths and curves are used several times and
+    are small beside what they come from, so they are materialized.
     """
+    prices = materialized(clean(prices))
     years_now = current_years(prices, as_of)
-    paths = year_paths(prices, as_of)
+    paths = materialized(year_paths(prices, as_of))
     windowed = in_windows(paths, years_now, (window,))
-    curve, current = curves(windowed), current_curve(prices, as_of)
-    found = shifts(prices, window, most, as_of)
+    curve, current = materialized(curves(windowed)), materialized(current_curve(prices, as_of))
+    found = materialized(shifts(prices, curve, current, window, most, as_of))
     consensus = found.groupBy("market").agg(
         F.rint(F.percentile("shift", 0.5)).cast("int").alias("shift"), F.percentile("similarity", 0.5).alias("similarity"), F.map_from_entries(F.collect_list(F.struct("window", "shift"))).alias("shifts")
     )
@@ -230,6 +254,7 @@ def calibrate(prices: DataFrame, window: int | None = 15, most: int = 8, as_of:
     status = F.when(F.col("shift") >= 2, "season_ahead").when(F.col("shift") <= -2, "season_behind").otherwise("in_step")
     steady = stability(in_windows(paths, years_now))
     result = joined.withColumns({"gap": F.col("move_2w") - F.col("season_2w"), "progress": progress}).withColumns({"progress_status": state, "status": status}).join(steady, "market", "left").drop("moves", "level")
+    result = materialized(result)
     shifted = curve.join(result.select("market", "shift"), "market")
     moved_week = F.greatest(F.lit(1), F.least(F.lit(WEEKS), F.col("week") + F.col("shift")))
     own = shifted.withColumn("moved_week", moved_week)

@@ -9,6 +9,7 @@ from tidemark.operators import clusters, confluence, flows, knn, outcomes, scan
 from tidemark.plans import regimes, signals
 from tidemark.plans.positioning import NETS, R8, observed
 from tidemark.plans.shape import shaped, sql, sql_greedy, sql_levels, sql_nearest, sql_wilson
+from tidemark.session import materialized
 from tidemark.sources import proxies
 
 TODAY = "2001-08-05"
@@ -120,7 +121,7 @@ def overview_query(spark, sf_dir):
     prices = proxies.prices(spark, sf_dir)
     fundamental = macro.regime(proxies.macro(spark, sf_dir), regimes.specs(spark), regimes.weights(spark, True), prices)
     _, _, ahead = seasonality.calibrate(prices, 15)
-    return shaped(scan.overview(scanned(spark, sf_dir, False), fundamental, ahead), OVERVIEW)
+    return shaped(scan.overview(materialized(scanned(spark, sf_dir, False)), fundamental, materialized(ahead)), OVERVIEW)
 
 
 def entries() -> dict[str, tuple]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import macro, seasonality
 from tidemark.plans.shape import shaped, sql, sql_counted, sql_greedy
+from tidemark.session import materialized
 from tidemark.sources import proxies
 
 #: How the test series are read: a monthly series for each order priority, released some days after its month.
@@ -157,6 +158,12 @@ def calibration(part: int, spec: str):
     return lambda spark, sf_dir: shaped(seasonality.calibrate(seasonal(spark, sf_dir), 15, 8, AS_OF)[part], spec)
 
 
+def shifts_query(spark, sf_dir):
+    prices = materialized(seasonality.clean(seasonal(spark, sf_dir)))
+    paths = seasonality.in_windows(seasonality.year_paths(prices, AS_OF), seasonality.current_years(prices, AS_OF), (15,))
+    return shaped(seasonality.shifts(prices, materialized(seasonality.curves(paths)), materialized(seasonality.current_curve(prices, AS_OF)), 15, 8, AS_OF), SHIFTS)
+
+
 def warping(spark, sf_dir):
     """Similarity of each market's last two runs of five quantities."""
     rows = proxies.positions(spark, sf_dir).select("market", "date", "oi")
@@ -237,7 +244,7 @@ result AS (SELECT *, CASE WHEN up > down THEN 'bullish' WHEN down > up THEN 'bea
             ),
         ),
         "warped_similarity": (warping, sql(SQL_WARP, "market:s similarity", "tables")),
-        "season_shifts": (lambda spark, sf_dir: shaped(seasonality.shifts(seasonal(spark, sf_dir), 15, 8, AS_OF), SHIFTS), None),
+        "season_shifts": (shifts_query, None),
         "season_calibration": (calibration(0, CALIBRATED), None),
         "season_chart": (calibration(1, CHART), None),
         "season_forecast_calibrated": (calibration(2, FORECAST), None),

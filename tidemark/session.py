@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **extra: str) -> SparkSession:
@@ -20,3 +22,16 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **extra: st
     for key, value in extra.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def use_checkpoints(spark: SparkSession) -> None:
+    """Use the folder that the cluster names in ``spark.checkpoint.dir``; only where none is named (as in tests), a new one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """``df``, computed once into the shared checkpoint folder; what builds on it has a short plan and survives lost executors."""
+    use_checkpoints(df.sparkSession)
+    return df.checkpoint()
