@@ -12,13 +12,14 @@ encoded whole; the strings of special tokens in a text become those tokens; othe
 from __future__ import annotations
 
 import json
+import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +30,24 @@ from tidemark.llm.arrow import column_of, slices, text_buffers, texts_of
 CACHE_CHUNKS = 300_000
 
 #: str.split() takes these for white space, the vocabulary's pattern doesn't.
-ODD_SPACE = regex.compile("[\x1c-\x1f]")
-WHITE = regex.compile(r"\p{White_Space}+")
+ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Unicode white space.
+SPACES = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = re.compile(f"[{SPACES}]+")
+
+
+@lru_cache(maxsize=2)
+def category(letter: str) -> str:
+    """Ranges, for a character class, of the code points whose Unicode category starts with a letter."""
+    out, start = [], None
+    for i in range(sys.maxunicode + 2):
+        inside = i <= sys.maxunicode and unicodedata.category(chr(i))[0] == letter
+        if inside and start is None:
+            start = i
+        elif not inside and start is not None:
+            out.append(f"\\U{start:08x}-\\U{i - 1:08x}")
+            start = None
+    return "".join(out)
 
 
 def byte_symbols() -> list[str]:
@@ -46,7 +63,8 @@ def byte_symbols() -> list[str]:
 class WordBpe:
     """The vocabulary file's model: normalising, splitting, merging and decoding."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, decoding: bool = True, remembered: int = CACHE_CHUNKS):
+        self.decoding, self.remembered = decoding, remembered
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -55,9 +73,10 @@ class WordBpe:
         self.strings = [""] * (1 + max([*vocab.values(), *self.special.values()]))
         for token, i in [*vocab.items(), *self.special.items()]:
             self.strings[i] = token
-        self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")).findall
+        pattern = split["pattern"]["Regex"].replace(r"\p{L}", category("L")).replace(r"\p{N}", category("N")).replace(r"\s", SPACES)
+        self.pieces = re.compile(pattern.replace("[[", "[").replace("]]", "]")).findall
         symbols = byte_symbols()
         self.inner = np.array([vocab[s] for s in symbols], np.int64)
         self.final = np.array([vocab[s + suffix] for s in symbols], np.int64)
@@ -133,13 +152,13 @@ class WordBpe:
         if new:
             decimals = self.decimals
             for word, ids in zip(new, self.merge([w.encode() for w in new]), strict=True):
-                words[word] = (" ".join([decimals[i] for i in ids]), self.decode(ids))
+                words[word] = (" ".join([decimals[i] for i in ids]), self.decode(ids) if self.decoding else "")
         for chunk, word in single.items():
             known[chunk] = words[word]
         for chunk, pieces in several.items():
             ids, decoded = zip(*[words[w] for w in pieces], strict=True)
-            known[chunk] = (" ".join(ids), " ".join(decoded))
-        if len(words) > CACHE_CHUNKS:
+            known[chunk] = (" ".join(ids), " ".join(decoded) if self.decoding else "")
+        if len(words) > self.remembered:
             self.words = {}
 
     def decode(self, ids) -> str:
@@ -147,6 +166,10 @@ class WordBpe:
         strings = self.strings
         return " ".join([strings[i] for i in ids])
 
+    def forget(self) -> None:
+        """Empty the caches; workers outlive their tasks."""
+        self.chunks, self.words = {}, {}
+
     def split(self, text: str) -> list[str]:
         """Chunks between white space, special tokens apart."""
         if "<|" in text and self.special_pattern is not None:
@@ -163,7 +186,7 @@ class WordBpe:
         """Ids of each text as decimals joined by one space, and the decoded text."""
         split = [self.split(t) for t in texts]
         needed = set().union(*split)
-        if len(self.chunks) + len(needed) > CACHE_CHUNKS:
+        if len(self.chunks) + len(needed) > self.remembered:
             self.chunks = {}
         if missing := needed - self.chunks.keys():
             for token, i in self.special.items():
@@ -185,16 +208,16 @@ def id_lists(texts: list[str]) -> pa.Array:
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> WordBpe:
-    return WordBpe(path)
+def load(path: str, decoding: bool = True, remembered: int = CACHE_CHUNKS) -> WordBpe:
+    return WordBpe(path, decoding, remembered)
 
 
-def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "token_ids", as_text: bool = False, decoded_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
+def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "token_ids", as_text: bool = False, decoded_col: str | None = None, keep: list[str] | None = None, remembered: int = CACHE_CHUNKS) -> DataFrame:
     """``df`` with the token ids of ``text_col``.
 
     ``ids_col`` is an array of ints, or with ``as_text`` their decimals joined by one space. ``decoded_col`` adds
     the decoded text of those ids; ``keep`` names the columns to pass through (all by default). The tokenizer file has to be at ``tokenizer_path`` on every executor.
-    An existing column of the same name is replaced.
+    Each worker remembers ``remembered`` chunks while its task runs. An existing column of the same name is replaced.
     """
     added = [c for c in (ids_col, decoded_col) if c]
     kept = [c for c in (df.columns if keep is None else keep) if c not in added]
@@ -202,10 +225,10 @@ def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col:
     fields += [T.StructField(decoded_col, T.StringType())] if decoded_col else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(tokenizer_path)
+        model = load(tokenizer_path, bool(decoded_col), remembered)
         for batch in batches:
             offsets, data = text_buffers(column_of(batch, text_col))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, 1 << 20):
                 part = [t.decode("utf-8", "replace") for t in texts_of(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])]
                 ids, decoded = zip(*model.encode(part), strict=True)
                 ids = pa.array(ids, pa.string()) if as_text else id_lists(ids)
@@ -213,6 +236,7 @@ def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col:
                 if decoded_col:
                     columns.append(pa.array(decoded, pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+        model.forget()
 
     return df.select(*(df[c] for c in df.columns if c in kept or c == text_col)).mapInArrow(run, T.StructType(fields))
 

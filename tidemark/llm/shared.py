@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from tidemark import session
+
+
+#: Rows of whole texts that Spark hands to a Python worker at once; thousands of long texts would fill its memory.
+TEXTS_AT_ONCE = 2000
+
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in ``spark.checkpoint.dir``; only where none is named (as in tests), a new one."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    """Use the shared checkpoint folder, and batches of texts that fit small executors."""
+    session.use_checkpoints(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS_AT_ONCE))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

@@ -29,7 +29,7 @@ WINDOW = 13
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of documents whose windows are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 class Windows:

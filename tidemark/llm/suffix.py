@@ -36,7 +36,7 @@ GRAM = 32
 #: Windows in a stretch at most.
 STRETCH = 1024
 #: Bytes of documents that are hashed at once, and of stretches that are sorted at once (or those of one anchor, if more).
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
