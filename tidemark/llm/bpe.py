@@ -7,6 +7,8 @@ tokens, so each worker keeps a bounded cache from chunks to their tokens.
 
 Edge cases: a null or empty text has no tokens and decodes to the empty string; a text of any length is
 encoded whole; the strings of special tokens in a text become those tokens; other columns pass through.
+Categories, cases and compositions of characters are those of Python's Unicode tables, so characters that are newer than
+these are split as unassigned ones.
 """
 
 from __future__ import annotations

@@ -179,7 +179,7 @@ def best_container(found: list[tuple[list[Node], str, int]]) -> Node | None:
         for far, node in enumerate(around):
             key = id(node)
             nodes[key] = node
-            scores[key] = scores.get(key, 0.0) + worth * (1.2 if node.tag in ("article", "main") else 1.0) * 0.95**far
+            scores[key] = scores.get(key, 0.0) + worth * (1.2 if node.tag in ("article", "main") else 1.0) * 0.9**far
     return nodes[max(scores, key=scores.__getitem__)] if scores else None
 
 
