@@ -70,6 +70,15 @@ def test_suffix_dedup(docs, block_bytes):
     assert sum(r.n_removed for r in got) > 0
 
 
+def test_suffix_dedup_with_hot_anchors(docs, monkeypatch):
+    monkeypatch.setattr(rounds, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(rounds, "SHARD_KEYS", 50)
+    for blocks in (2, 4):
+        monkeypatch.setattr(rounds, "HOT_BLOCKS", blocks)
+        got = suffix.digests(docs).collect()
+        assert Counter((key(r), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_suffix(docs.collect(), 100)
+
+
 def test_substring_dedup(docs, block_bytes):
     got = substring.digests(docs).collect()
     assert Counter((key(r), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_words(docs.collect())

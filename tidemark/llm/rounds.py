@@ -30,6 +30,8 @@ BLOCK_BYTES = 3 << 20
 SHARD_KEYS = 2 << 20
 COUNTER_BITS = 24
 ROWS = 2
+#: A key that this many blocks have is hot: operators whose keys gather unlike items deal these out by something finer.
+HOT_BLOCKS = 64
 #: Size of the table in which a block looks up which of its counters are repeated.
 LOOKUP_BITS = 22
 LAST = np.iinfo(np.int64).max
@@ -177,36 +179,52 @@ def sketch(block: int, keys: np.ndarray, shards: int) -> list[tuple[int, int, in
 
 
 def merge_sketches(rows: pd.DataFrame) -> pd.DataFrame:
-    """Merge a shard's part of the sketch; the answers say which of a block's counters reached two."""
-    seen, repeated = np.zeros(1 << COUNTER_BITS, bool), np.zeros(1 << COUNTER_BITS, bool)
+    """Merge a shard's part of the sketch; the answers say which of a block's counters reached two, and which are in many blocks."""
+    blocks, repeated = np.zeros(1 << COUNTER_BITS, np.uint16), np.zeros(1 << COUNTER_BITS, bool)
     sent = []
     for payload in rows["payload"]:
         steps, twice = unpack(payload, np.uint32, np.uint8)
         at = np.cumsum(steps, dtype=np.uint32)
-        repeated[at[seen[at] | np.unpackbits(twice, count=len(at)).astype(bool)]] = True
-        seen[at] = True
+        before = blocks[at]
+        repeated[at[(before > 0) | np.unpackbits(twice, count=len(at)).astype(bool)]] = True
+        blocks[at] = before + (before < 65535)
         sent.append(at)
-    answers = [pack(np.packbits(repeated[at])) for at in sent]
+    answers = [pack(np.packbits(repeated[at]), np.packbits(blocks[at] >= HOT_BLOCKS)) for at in sent]
     return pd.DataFrame({"block": rows["block"], "kind": rows["kind"], "shard": rows["shard"], "payload": answers})
 
 
+def answered(keys: np.ndarray, answers: list[tuple[int, int, bytes]], shards: int, row: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys' counters in a row, and those counters of which the answers (kind, shard, payload) to this block say so."""
+    codes = counters(keys, row, shards)
+    known, _ = distinct(codes)
+    bits = np.zeros(len(known), bool)
+    found = {shard: payload for kind, shard, payload in answers if kind == row}
+    for shard, a, b in by_shard(known, COUNTER_BITS):
+        bits[a:b] = np.unpackbits(unpack(found[shard], np.uint8, np.uint8)[which], count=b - a)
+    return codes, known[bits]
+
+
 def estimated_repeated(keys: np.ndarray, answers: list[tuple[int, int, bytes]], shards: int) -> np.ndarray:
-    """Which keys the merged sketch estimates at two or more, from the answers (kind, shard, payload) to this block."""
+    """Which keys the merged sketch estimates at two or more."""
     flags = np.ones(len(keys), bool)
+    fold = lambda c: (c ^ c >> U(LOOKUP_BITS)) & U((1 << LOOKUP_BITS) - 1)
     for row in range(ROWS):
-        codes = counters(keys, row, shards)
-        known, _ = distinct(codes)
-        bits = np.zeros(len(known), bool)
-        found = {shard: payload for kind, shard, payload in answers if kind == row}
-        for shard, a, b in by_shard(known, COUNTER_BITS):
-            bits[a:b] = np.unpackbits(unpack(found[shard], np.uint8)[0], count=b - a)
+        codes, repeated = answered(keys, answers, shards, row, 0)
         lookup = np.zeros(1 << LOOKUP_BITS, bool)
-        fold = lambda c: (c ^ c >> U(LOOKUP_BITS)) & U((1 << LOOKUP_BITS) - 1)
-        lookup[fold(known[bits])] = True
+        lookup[fold(repeated)] = True
         flags &= lookup[fold(codes)]
     return flags
 
 
+def hot(keys: np.ndarray, answers: list[tuple[int, int, bytes]], shards: int) -> np.ndarray:
+    """Which keys' counters are in many blocks in every row; the same for a key in whatever block it is."""
+    flags = np.ones(len(keys), bool)
+    for row in range(ROWS):
+        codes, found = answered(keys, answers, shards, row, 1)
+        flags &= np.isin(codes, found) if len(found) else False
+    return flags
+
+
 def answers_in(table: pa.Table) -> list[tuple[int, int, bytes]]:
     kinds, shards, payloads = (column_of(table, c).to_pylist() for c in ("kind", "shard", "payload"))
     return list(zip(kinds, shards, payloads, strict=True))

@@ -11,6 +11,10 @@ the same as earlier ones (all their windows are later copies), sorts the suffixe
 several, and takes previous and next smaller positions in suffix order: a window is a later copy if its
 longest previous factor, the longer of the two common prefixes, reaches ``LENGTH``.
 
+Stretches of an anchor that very many blocks have, such as the ends of a passage that goes on differently each time, would all meet in
+one task. They are taken apart: each of their windows goes to a shard by its own 128-bit hash, where the least position
+of each is the earlier copy.
+
 A block sends equal stretches once, the earliest, so copies that a third of all documents share are as many rows
 as there are blocks with them. Long stretches (of periodic text) are cut.
 
@@ -102,7 +106,9 @@ class Candidates:
     """The stretches of a block whose anchors are estimated repeated; equal ones point to the first of them."""
 
     def __init__(self, block: Block, stretches: Stretches, answers: list, shards: int, length: int):
-        at = np.flatnonzero(rounds.estimated_repeated(stretches.anchor, answers, shards))
+        repeated = np.flatnonzero(rounds.estimated_repeated(stretches.anchor, answers, shards))
+        is_hot = rounds.hot(stretches.anchor[repeated], answers, shards) if len(repeated) else np.zeros(0, bool)
+        at, self.hot = repeated[~is_hot], repeated[is_hot]
         shard = (((stretches.anchor[at] >> U(32)) * U(shards)) >> U(32)).astype(np.int64)
         order = np.lexsort((stretches.start[at], block.ids[stretches.owner[at]], shard))
         self.at, shard = at[order], shard[order]
@@ -128,6 +134,50 @@ class Candidates:
         self.ranges = [(int(shard[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
+class Apart:
+    """The windows of hot stretches of a block, by their hashes; of equal ones the earliest comes first."""
+
+    def __init__(self, block: Block, stretches: Stretches, hot: np.ndarray, shards: int, length: int):
+        hashes, checks, owner, start = [], [], [], []
+        for o in np.unique(stretches.owner[hot]).tolist():
+            mine = hot[stretches.owner[hot] == o]
+            n = stretches.windows[mine]
+            at = np.repeat(stretches.start[mine] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            raw = np.frombuffer(block.texts[o], np.uint8)
+            h, c = (rounds.mix(rounds.range_hashes(rounds.byte_values(k)[raw], at, at + length, k), rounds.SEEDS[k + 1]) for k in (0, 1))
+            hashes.append(h)
+            checks.append(c)
+            owner.append(np.full(len(at), o))
+            start.append(at)
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        hashes, checks, owner, start = join(hashes, np.uint64), join(checks, np.uint64), join(owner, np.int64), join(start, np.int64)
+        ids = block.ids[owner]
+        order = np.lexsort((start, ids, checks, hashes))
+        self.hash, self.check, self.owner, self.start, self.ids = (x[order] for x in (hashes, checks, owner, start, ids))
+        self.group, self.first, self.later = later_of_equal(self.hash, self.check, self.ids, self.start)
+        shard = ((self.hash[self.first] >> U(32)) * U(shards)) >> U(32)
+        edges = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard)) if len(shard) else np.zeros(0, int)
+        self.ranges = [(int(shard[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def later_of_equal(hashes: np.ndarray, checks: np.ndarray, ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted windows: their groups of equal ones, the groups' first places, and which are at a later position than the first."""
+    new = np.append(True, (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])) if len(hashes) else np.zeros(0, bool)
+    group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    at = first[group] if len(first) else first
+    return group, first, (ids != ids[at]) | (start != start[at])
+
+
+def resolve_apart(payloads: list[bytes]) -> list[bytes]:
+    """Which windows of each message have an earlier copy in another block."""
+    parts = [rounds.unpack(p, np.uint64, np.uint64, np.int64, np.int64) for p in payloads]
+    hashes, checks, ids, start = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    order = np.lexsort((start, ids, checks, hashes))
+    later = np.zeros(len(ids), bool)
+    later[order] = later_of_equal(hashes[order], checks[order], ids[order], start[order])[2]
+    return [rounds.pack(np.packbits(x)) for x in np.split(later, np.cumsum([len(p[0]) for p in parts])[:-1])]
+
+
 def smaller_neighbours(position: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Previous and next place in suffix order with a smaller position within the same group, or -1."""
     found = []
@@ -201,7 +251,12 @@ def repeats_itself(text: bytes, start: int, end: int, length: int, gram: int) ->
 
 def resolver(length: int, gram: int):
     def resolve(rows: pd.DataFrame) -> pd.DataFrame:
-        """For each message, the ranges of windows with an earlier copy: stretch, first window, end."""
+        """For each message, the ranges of windows with an earlier copy: stretch, first window, end; for windows apart, a bit each."""
+        apart = (rows["kind"] == rounds.ROWS + 1).to_numpy()
+        if apart.any():
+            taken, rest = rows[apart], rows[~apart]
+            done = taken.assign(payload=resolve_apart(taken["payload"].tolist()))
+            return pd.concat([done, resolve(rest)]) if len(rest) else done
         anchor, ids, start, row, nth, content = [], [], [], [], [], []
         for i, payload in enumerate(rows["payload"]):
             a, d, s, n, b = rounds.unpack(payload, np.uint64, np.int64, np.int64, np.int32, np.uint8)
@@ -278,6 +333,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             content = np.frombuffer(b"".join(found.bytes[a:b]), np.uint8)
             payload = rounds.pack(stretches.anchor[at[a:b]], block.ids[stretches.owner[at[a:b]]], stretches.start[at[a:b]], sizes[a:b], content)
             out.append((number, rounds.ROWS, shard, payload))
+        if len(found.hot):
+            w = Apart(block, stretches, found.hot, shards, length)
+            for shard, a, b in w.ranges:
+                f = w.first[a:b]
+                out.append((number, rounds.ROWS + 1, shard, rounds.pack(w.hash[f], w.check[f], w.ids[f], w.start[f])))
         return out
 
     def finish(block: Block, answers: list) -> pa.Table:
@@ -306,6 +366,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             c, s = covered[owner[i]], start[i]
             c[s + p] += 1
             c[s + q - 1 + length] -= 1
+        if len(found.hot):
+            w = Apart(block, stretches, found.hot, shards, length)
+            elsewhere = np.zeros(len(w.first), bool)
+            replies = {shard: payload for kind, shard, payload in answers if kind == rounds.ROWS + 1}
+            for shard, a, b in w.ranges:
+                elsewhere[a:b] = np.unpackbits(rounds.unpack(replies[shard], np.uint8)[0], count=b - a)
+            gone = elsewhere[w.group] | w.later
+            for o in np.unique(w.owner[gone]).tolist():
+                at = w.start[gone & (w.owner == o)]
+                np.add.at(covered[o], at, 1)
+                np.add.at(covered[o], at + length, -1)
         removed, spans, kept = [], [], []
         for text, c in zip(block.texts, covered, strict=True):
             gone = np.cumsum(c[:-1]) > 0 if c.any() else None
