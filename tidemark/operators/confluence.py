@@ -59,7 +59,7 @@ def ranked(rows: DataFrame) -> DataFrame:
 
 def common_years(starts: list[Column], ends: list[Column]) -> Column:
     """Years that all periods share; NULL if they share none. Missing dates are left out."""
-    first = reduce(lambda a, b: F.greatest(a, b), [F.greatest(s, s) for s in starts]) if len(starts) == 1 else F.greatest(*starts)
-    last = ends[0] if len(ends) == 1 else F.least(*ends)
+    first = F.greatest(*starts) if len(starts) > 1 else starts[0]
+    last = F.least(*ends) if len(ends) > 1 else ends[0]
     days = F.datediff(last, first)
     return F.when(days > 0, days / 365.25)
