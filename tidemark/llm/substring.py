@@ -84,10 +84,9 @@ class Candidates:
         hashes, check = windows.hash[self.at], windows.check[self.at]
         self.order = np.argsort(hashes, kind="stable")  # of equal windows the least document comes first
         h, c = hashes[self.order], check[self.order]
-        if (changed := (h[1:] == h[:-1]) & (c[1:] != c[:-1])).any():
+        if ((h[1:] == h[:-1]) & (c[1:] != c[:-1])).any():  # unlike windows with the same first hash
             self.order = np.lexsort((np.arange(len(h)), check, hashes))
             h, c = hashes[self.order], check[self.order]
-        del changed
         new = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])) if len(h) else np.zeros(0, bool)
         self.group = np.cumsum(new) - 1
         self.first = np.flatnonzero(new)
@@ -136,9 +135,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         return Windows(block, False).hash
 
     def candidates(number: int, block: Block, answers: list) -> list:
-        found = Candidates(w := Windows(block, True), answers, shards)
+        found = Candidates(Windows(block, True), answers, shards)
         ids = block.ids[found.owner[found.first]] if len(found.first) else np.zeros(0, np.int64)
-        del w
         return [(number, rounds.ROWS, shard, rounds.pack(found.hash[a:b], found.check[a:b], ids[a:b])) for shard, a, b in found.ranges]
 
     def finish(block: Block, answers: list) -> pa.Table:
