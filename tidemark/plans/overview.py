@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import clusters, confluence, flows, knn, outcomes, scan
-from tidemark.plans import regimes, signals
+from tidemark.plans import display, regimes, signals
 from tidemark.plans.positioning import NETS, R8, observed
 from tidemark.plans.shape import shaped, sql, sql_greedy, sql_levels, sql_nearest, sql_wilson
 from tidemark.session import materialized
@@ -124,6 +124,22 @@ def overview_query(spark, sf_dir):
     return shaped(scan.overview(materialized(scanned(spark, sf_dir, False)), fundamental, materialized(ahead)), OVERVIEW)
 
 
+VIEW = "market:s period:s price:s longs:s shorts:s flow:s dominance:s reading:s"
+
+
+def sql_labels(code: str, labels: dict[str, str]) -> str:
+    return f"CASE {code} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.items()) + f" ELSE {code} END"
+
+
+def sql_signed(x: str) -> str:
+    return f"CASE WHEN {x} < 0 THEN '-' ELSE '+' END || format('{{:,}}', CAST(abs({x}) AS BIGINT))"
+
+
+SQL_VIEW = f"""result AS (SELECT market, weeks || ' Woche(n)' AS period, printf('%+.1f%%', price_change * 100) AS price, {sql_signed('long_change')} AS longs, {sql_signed('short_change')} AS shorts,
+  {sql_labels('dominant_flow', display.FLOWS)} AS flow, printf('%.1f%%', dominance * 100) AS dominance, {sql_labels('state', display.STATES)} AS reading FROM fl)"""
+PARTS = "confirmed:l conflicting:l insufficient:l"
+
+
 def entries() -> dict[str, tuple]:
     return {
         "reference_zones_fixed": (fixed_zones, sql(SQL_ZONES, ZONES)),
@@ -139,6 +155,11 @@ def entries() -> dict[str, tuple]:
             ),
         ),
         "top_extremes": (top_extremes_query, sql(signals.sql_extremes(90) + ", result AS (SELECT market, strength AS extreme_strength, confirmed AS extreme_confirmed FROM xx ORDER BY strength DESC, confirmed DESC, market LIMIT 3)", TOP_EXTREME)),
+        "flow_matrix_view": (lambda spark, sf_dir: shaped(display.flow_view(flows.horizons(observed(spark, sf_dir))), VIEW), sql(signals.sql_flows(0.02, 1.0, 0.7) + "," + SQL_VIEW, VIEW)),
+        "overview_parts": (
+            lambda spark, sf_dir: shaped(display.overview_parts(confluence.combine(evidence_rows(spark, sf_dir))), PARTS),
+            sql(sql_evidence() + "," + SQL_COMBINE.replace("result AS", "combined AS") + ", result AS (SELECT count(*) FILTER (status IN ('confirmed', 'partly_confirmed')) AS confirmed, count(*) FILTER (status = 'conflicting') AS conflicting, count(*) FILTER (status = 'insufficient') AS insufficient FROM combined)", PARTS),
+        ),
         "market_clusters": (cluster_query, None),
         "reference_zones": (zones_query, None),
         "market_scan": (lambda spark, sf_dir: shaped(scanned(spark, sf_dir), SCAN), None),
