@@ -56,3 +56,8 @@ def int_column(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
 
 def binary_rows(column: pa.Array) -> Iterable[bytes]:
     return column.to_pylist()
+
+
+def release() -> None:
+    """Give freed Arrow memory back to the system; Python workers outlive their tasks and share an executor's memory with its JVM."""
+    pa.default_memory_pool().release_unused()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.arrow import column_of, slices, text_buffers, texts_of
+from tidemark.llm.arrow import column_of, release, slices, text_buffers, texts_of
 
 #: Chunks that a worker remembers before it starts anew.
 CACHE_CHUNKS = 300_000
@@ -239,6 +239,7 @@ def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col:
                     columns.append(pa.array(decoded, pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
         model.forget()
+        release()
 
     return df.select(*(df[c] for c in df.columns if c in kept or c == text_col)).mapInArrow(run, T.StructType(fields))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrow import column_of, slices, text_buffers
+from tidemark.llm.arrow import column_of, release, slices, text_buffers
 
 #: n-grams in a language's profile, and in a document's.
 PROFILE = 400
@@ -125,6 +125,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
             if sum(len(k) for parts in held.values() for k, _ in parts) > GATHERED:
                 yield from send()
         yield from send()
+        release()
 
     rows = labelled.select(text_col, lang_col).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     totals = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -150,6 +151,7 @@ def predict(df: DataFrame, profiles: Profiles, text_col: str = "text", keep: lis
                 langs, scores = zip(*(found.nearest(data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")) for i in range(a, b)), strict=True)
                 columns = [column_of(batch, c).slice(a, b - a) for c in kept]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
+        release()
 
     source = df.select(*(df[c] for c in df.columns if c in kept or c == text_col))
     schema = df.select(*kept).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.arrow import column_of
+from tidemark.llm.arrow import column_of, release
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
@@ -235,6 +235,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             columns = [column_of(batch, c) for c in names]
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        release()
 
     out = joined.mapInArrow(run, T.StructType([docs.schema[c] for c in names]))
     return out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col in names else out

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrow import column_of, text_buffers
+from tidemark.llm.arrow import column_of, release, text_buffers
 
 #: Bytes of text in a block; the keys that a shard is meant for; counters of a row of the sketch in a shard.
 BLOCK_BYTES = 3 << 20
@@ -252,6 +252,7 @@ def run(
         return messages(candidates(key[0].as_py(), Block(table), answers_in(answers)) if table.num_rows else [])
 
     def third(key, table, answers):
+        release()  # of the block before
         return finish(Block(table), answers_in(answers))
 
     sketched = blocks.groupBy("block").applyInArrow(first, MESSAGE)

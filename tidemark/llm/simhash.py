@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrow import column_of, slices, text_buffers, texts_of
+from tidemark.llm.arrow import column_of, release, slices, text_buffers, texts_of
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -68,6 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 found = [fingerprint(t, shingle) for t in texts_of(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])]
                 bits = pa.array(np.array(found, np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays([column_of(batch, "id").slice(a, b - a), bits], names=["id", "bits"])
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, bits long")
 
