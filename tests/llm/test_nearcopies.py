@@ -1,0 +1,63 @@
+"""Near copies against brute force over shingle sets."""
+
+import random
+
+import corpus_pipeline
+from tidemark.llm import nearcopies
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_kept(texts):
+    """Ids of the first text of each component."""
+    sets, parent = [shingle_set(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return sorted({find(i) for i in range(len(texts))})
+
+
+def make_texts():
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    texts = []
+    for _ in range(25):
+        base = [word() for _ in range(rng.choice([6, 40, 150, 400]))]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 4, 6, 12):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+            base = rng.choice([base, copy])
+    return texts + [texts[0], texts[0].upper(), "", "a b", "a  B"]
+
+
+def test_near_stage_drops_copies_beyond_three_bits(spark):
+    texts = make_texts()
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    wanted = brute_kept(texts)
+    assert 25 < len(wanted) < len(texts) - 40
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == wanted
+
+
+def test_rows_without_ids(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    near = text + " end"
+    rows = [(None, text), (None, near), (7, near), (None, "only once in here"), (None, "only once in here"), (3, "some other text"), (3, "and yet another one")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = sorted(((r.doc_id or 0, r.text) for r in nearcopies.keep_first(docs).collect()))
+    assert got == [(0, "only once in here"), (3, "and yet another one"), (3, "some other text"), (7, near)]

@@ -1,0 +1,159 @@
+"""Near copies by Jaccard similarity of word shingles, with MinHash bands and an exact check.
+
+Two texts are linked if the sets of their shingles of five words have a Jaccard similarity of 0.8 or more; a component is all that
+links reach, and one row of each stays.
+
+Texts with equal sets are one from the start. Each set has ``BANDS`` band keys of ``ROWS`` MinHash values; sets that share a key are
+candidates, and every link is checked on the sets themselves, so no text goes for less similarity. A pair at 0.8 shares no key with
+probability (1 - 0.8 ** 5) ** 40 = 1.3e-7, and a more similar one with less. Candidates aren't paired all with all at first: in ``STARS``
+rounds every set of a key meets one of its sets, which merges large groups by as many pairs as they have sets. At last every pair
+that shares a key and still lies in different components is checked.
+
+Edge cases: a null or empty text has the empty set, like one of white space alone; texts of up to five words are one shingle; the row with
+the least id stays, one without an id only if no row of its component has one; repeated rows count as copies; texts of any length count whole.
+"""
+
+from __future__ import annotations
+
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.llm.arrow import column_of, release, slices, text_buffers, texts_of
+from tidemark.llm.simhash import connected
+
+SHINGLE = 5
+#: The least similarity of a link, in ninths of both sizes: i / (a + b - i) >= 4 / 5 means 9 * i >= 4 * (a + b).
+BANDS, ROWS = 40, 5
+STARS = 2
+#: Shingles that meet all MinHash functions at once.
+AT_ONCE = 2048
+U = np.uint64
+_rng = np.random.default_rng(42)
+MIX = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
+ODD = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | U(1)
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """Different hashes of a text's shingles, in order."""
+    words = text.lower().split()  # of bytes: A-Z and ASCII white space only
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.append(0, ends[:-1] + 1)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(words) - SHINGLE + 1].tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)], np.uint64))
+
+
+def key_of(found: np.ndarray) -> bytes:
+    """A set's name."""
+    return xxhash.xxh3_128_digest(found.tobytes())
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    least = np.full(BANDS * ROWS, U(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(found), AT_ONCE):
+        np.minimum(least, ((found[at : at + AT_ONCE, None] ^ MIX) * ODD).min(axis=0), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh3_64_intdigest(rows[b].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
+
+
+def sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``key`` of the set, its ``size`` and its ``bands`` for every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = text_buffers(column_of(batch, "text"))
+            for a, b in slices(offsets):
+                found = [shingles(t) for t in texts_of(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])]
+                bands = pa.array([band_keys(f) for f in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([column_of(batch, "id").slice(a, b - a), pa.array(map(key_of, found), pa.binary()), pa.array(map(len, found), pa.int64()), bands], names=["id", "key", "size", "bands"])
+        release()
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, key binary, size long, bands array<long>")
+
+
+def keyed(rows: DataFrame, text_col: str) -> DataFrame:
+    """``rows`` with ``set_key``, the name of each text's set."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("set_key", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = text_buffers(column_of(batch, text_col))
+            keys = [key_of(shingles(t)) for a, b in slices(offsets) for t in texts_of(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=schema.names)
+        release()
+
+    return rows.mapInArrow(run, schema)
+
+
+def checked(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The pairs of keys ``a`` and ``b`` whose sets are similar enough."""
+    asked = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
+    texts = keyed(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("set_text")), "set_text").join(asked, "set_key", "left_semi").dropDuplicates(["set_key"]).checkpoint()
+    side = lambda name: texts.select(F.col("set_key").alias(name), F.col("set_text").alias(f"text_{name}"))
+    met = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered = functools.lru_cache(16)(lambda text: shingles(text.encode()))
+        for batch in batches:
+            hit = [similar(remembered(a.as_py()), remembered(b.as_py())) for a, b in zip(column_of(batch, "text_a"), column_of(batch, "text_b"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+        release()
+
+    return met.mapInArrow(run, "a binary, b binary").checkpoint()
+
+
+def links(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """``node`` and ``label``: the component of every set that is linked with another."""
+    one = found.groupBy("key").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
+    of_band = Window.partitionBy("band")
+    shared = one.select("key", "size", F.explode("bands").alias("band")).withColumn("n", F.count(F.lit(1)).over(of_band)).where("n > 1").drop("n").checkpoint()
+    near = lambda x, y: (5 * F.least(x, y) >= 4 * F.greatest(x, y))
+    linked = docs.sparkSession.createDataFrame([], "a binary, b binary")
+    tried = linked
+    labels = docs.sparkSession.createDataFrame([], "node binary, label binary")
+    for round_ in range(STARS + 1):
+        now = shared.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        if round_ < STARS:
+            head = F.min(F.struct(F.xxhash64("key", F.lit(round_)).alias("h"), "key", "size", "label")).over(of_band)
+            stars = now.withColumn("head", head).where((F.col("head.label") != F.col("label")) & near(F.col("head.size"), F.col("size")))
+            pairs = stars.select(F.least("key", "head.key").alias("a"), F.greatest("key", "head.key").alias("b"))
+        else:
+            mixed = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("band")
+            left = now.join(mixed, "band", "left_semi")
+            right = left.select("band", F.col("key").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
+            pairs = left.join(right, "band").where((F.col("key") < F.col("b")) & (F.col("label") != F.col("label_b")) & near(F.col("size"), F.col("size_b"))).select(F.col("key").alias("a"), "b")
+        pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti").checkpoint()
+        if pairs.isEmpty():
+            continue
+        tried = tried.unionByName(pairs)
+        linked = linked.unionByName(checked(pairs, docs, text_col))
+        labels = connected(linked)
+    return labels
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the one with the least id."""
+    found = sets(docs, id_col, text_col).checkpoint()
+    labels = links(found, docs, text_col)
+    best = found.groupBy("key").agg(F.min("id").alias("id"))
+    named = best.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    first = named.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "key")).alias("first"))
+    chosen = first.select(F.col("first.key").alias("set_key"), F.col("first.missing").alias("set_missing"), F.coalesce("first.id", F.lit(0)).alias("set_id"))
+    by = ["set_key", "set_missing", "set_id"]
+    rows = keyed(docs, text_col).withColumn("set_missing", F.col(id_col).cast("long").isNull()).withColumn("set_id", F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
+    return rows.join(chosen, by, "left_semi").dropDuplicates(by).select(*docs.columns)
