@@ -3,9 +3,9 @@
 Every page's containers are scored: a container earns the letters of the blocks in it that aren't links, less for link
 text, and the best one's path votes for its host. A path is the chain of tags from the root with their classes and
 ids, generalised: digits in names are dropped, and so is what lies above the body. Spark adds up the votes by host; the path with the most votes
-(of equal ones, the first by code points) wins, and each page is extracted again from the first container on its host's winning
-path, or from its own best container if it has none on that path. In a container, navigation, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments are left out, by their tags, roles, classes and ids (a main element is always looked into).
+(of equal ones, the first by code points) wins, and each page is extracted again from all containers on its host's winning
+path (or the one next around them, if that is the page's own best), or from its own best container if it has none on that path. In a container, navigation, headers, footers, sidebars, notices, adverts,
+forms, scripts, styles and reader comments are left out, by their tags, roles, and whole classes and ids that name such a part (a main element is always looked into, and so is a wrapper of the page's text).
 
 Votes are summed in the tasks that read pages before they are shuffled, and winners are at most one row a host: they are broadcast if
 their measured size is under ``SMALL_WINNERS`` rows, or else joined by host, where Spark splits a host with many pages.
@@ -43,10 +43,13 @@ BLOCK = frozenset(
 )
 CONTAINER = frozenset("article body div main section td blockquote details".split())
 SKIPPED = frozenset("nav header footer aside form button select menu dialog script style textarea title noscript template iframe svg math xmp noembed noframes head object canvas audio video".split())
-#: Words of classes and ids that mark what isn't main text.
-BOILER = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert(?:s|isement|ising)?|banner|breadcrumbs?|comments?(?:list|section|area)?|cookies?|consent|disqus|disclaimer|footer|header|masthead|menu|modal|nav(?:bar|igation)?|newsletter|notices?|pagination|pager|popup|promo(?:tion)?|recommended|related|replies|reply|respond|share|sharing|sidebar|signup|skip|social|sponsor(?:ed|s)?|subscribe|subscription|tags|toolbar|widgets?)(?:$|[-_\s\d])",
-    re.I,
+#: Words of classes and ids that mark what isn't main text, and words that may stand beside them in the name of such a part; a name
+#: with any other word (has-sidebar, header-fixed, related-work, market-share) doesn't name the part itself.
+BOILER = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist commentsection commentarea cookie cookies consent disqus disclaimer footer header masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription tags toolbar widget widgets".split()
+)
+BESIDE = frozenset(
+    "area articles bar block blocks bottom box btn button buttons container entry footer form global google group holder icons inner item items left link links list main message outer overlay page panel policy post posts primary right row secondary section site slot stories thread top unit wrap wrapper".split()
 )
 CLOSED_BY = {"p": BLOCK - {"option", "select", "html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 #: An unclosed <li>, <td> and so on ends at these, which hold its kind.
@@ -57,18 +60,31 @@ ATTRIBUTE = re.compile(r"(?:^|[\s/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*
 SPACE = re.compile(r"\s+")
 LETTERS = re.compile(r"[^\W\d_]")
 DIGITS = re.compile(r"\d+")
+NAME_WORD = re.compile(r"[^-_\d]+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "skipped", "up")
+    __slots__ = ("tag", "path", "skipped", "marked", "up")
+
+    def __init__(self, tag: str, path: str, skipped: bool, marked: bool, up: Node | None):
+        self.tag, self.path, self.skipped, self.marked, self.up = tag, path, skipped, marked, up
+
+    def above(self) -> Iterator[Node]:
+        node: Node | None = self
+        while node is not None:
+            yield node
+            node = node.up
 
-    def __init__(self, tag: str, path: str, skipped: bool, up: Node | None):
-        self.tag, self.path, self.skipped, self.up = tag, path, skipped, up
 
+def names_boiler(name: str) -> bool:
+    """Whether a class or an id names a part that isn't main text."""
+    words = NAME_WORD.findall(name.lower())
+    return any(w in BOILER for w in words) and all(w in BOILER or w in BESIDE for w in words)
 
-def step(tag: str, attributes: str) -> tuple[str, bool]:
-    """A tag's step in a generalised path, and whether its classes, id or role mark it as other than main text."""
-    names, skipped = [], False
+
+def step(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """A tag's step in a generalised path, whether its role leaves it out, and whether its classes or id name another part than main text."""
+    names, skipped, marked = [], False, False
     for name, value in ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), entities.unescape(value.strip("\"'"))
         if name == "class":
@@ -76,44 +92,37 @@ def step(tag: str, attributes: str) -> tuple[str, bool]:
         elif name == "id":
             names.append("#" + DIGITS.sub("", value).lower())
         if name in ("class", "id"):
-            skipped = skipped or bool(BOILER.search(value))
+            marked = marked or any(map(names_boiler, value.split()))
         elif name == "role":
             skipped = skipped or value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu")
         else:
             skipped = skipped or value.lower() != "false"
-    return tag + "".join(names), skipped
+    return tag + "".join(names), skipped, marked
 
 
 def blocks(page: str) -> list[tuple[list[Node], str, int]]:
     """Blocks of text outside what is left out, in order: containers around each (innermost first), text, letters that lie in links."""
-    out: list[tuple[list[Node], str, int]] = []
-    root = Node("", "", False, None)
+    held: list[tuple[Node, list[tuple[Node, str, int]]]] = []
+    root = Node("", "", False, False, None)
     top = root
-    links, linked = 0, 0
-    parts: list[str] = []
+    links = 0
+    parts: list[tuple[Node, str, int]] = []
 
     def flush() -> None:
-        nonlocal linked, parts
+        nonlocal parts
         if parts:
-            text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
-            if text:
-                around, node = [], top
-                while node is not None:
-                    if node.tag in CONTAINER or node.up is None:
-                        around.append(node)
-                    node = node.up
-                out.append((around, text, linked))
-            parts, linked = [], 0
+            held.append((top, parts))
+            parts = []
 
+    any_marked = False
+    headed: set[Node] = set()  # marked ones that hold the page's heading
     at, end = 0, len(page)
     while at < end:
         found = TOKEN.search(page, at)
         stop = found.start() if found else end
         if stop > at and not top.skipped:
             piece = page[at:stop]
-            parts.append(piece)
-            if links:
-                linked += len(LETTERS.findall(piece))
+            parts.append((top, piece, len(LETTERS.findall(piece)) if links else 0))
         if not found:
             break
         at = max(found.end(), stop + 1)
@@ -138,7 +147,7 @@ def blocks(page: str) -> list[tuple[list[Node], str, int]]:
         elif tag == "a":
             links += 1
         elif tag == "br":
-            parts.append(" ")
+            parts.append((top, " ", 0))
         elif tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
             at = close.end() if close else end
@@ -158,14 +167,56 @@ def blocks(page: str) -> list[tuple[list[Node], str, int]]:
                 if node.tag in HOLDERS or node.tag in CONTAINER:
                     break
                 node = node.up
-            name, marked = step(tag, found[3])
+            name, skipped, marked = step(tag, found[3])
             path = "" if tag in ("html", "body") else f"{top.path}/{name}"
-            skipped = top.skipped or tag in SKIPPED or marked
-            top = Node(tag, path, skipped and tag not in ("html", "body", "main"), top)
+            if tag == "article":  # one inside another can be a comment or a related one
+                marked = marked and any(n.tag == "article" for n in top.above())
+            whole = tag in ("html", "body", "main")
+            top = Node(tag, path, not whole and (top.skipped or tag in SKIPPED or skipped), not whole and marked, top)
+            any_marked = any_marked or top.marked
+            if any_marked and tag in ("h1", "main"):
+                headed.update(n for n in top.above() if n.marked)
     flush()
+    if any_marked:
+        unmark(held, headed)
+    out: list[tuple[list[Node], str, int]] = []
+    for inner, pieces in held:
+        left = [p for p in pieces if not is_marked(p[0])] if any_marked else pieces
+        text = SPACE.sub(" ", entities.unescape("".join(p[1] for p in left))).strip()
+        if text:
+            out.append(([n for n in inner.above() if n.tag in CONTAINER or n.up is None], text, sum(p[2] for p in left)))
     return out
 
 
+def is_marked(node: Node) -> bool:
+    for n in node.above():
+        if n.marked:
+            return True
+        if n.tag == "main":
+            return False
+    return False
+
+
+def unmark(held: list[tuple[Node, list[tuple[Node, str, int]]]], headed: set[Node]) -> None:
+    """Look into marked elements that hold all of the page's unlinked letters, or over half and a heading: they are wrappers of the page."""
+    total, inside = 0, Counter()
+    for _, pieces in held:
+        for node, piece, linked in pieces:
+            letters = max(0, len(LETTERS.findall(piece)) - linked)
+            total += letters
+            if letters:
+                for n in node.above():
+                    if n.marked:
+                        inside[n] += letters
+    for node, letters in inside.items():
+        if letters == total or node in headed and 2 * letters > total:
+            node.marked = False
+
+
+def worth_of(text: str, linked: int) -> float:
+    return len(LETTERS.findall(text)) - 2.0 * linked
+
+
 def best_container(found: list[tuple[list[Node], str, int]]) -> Node | None:
     """The container with the best score; of equal ones the innermost.
 
@@ -174,8 +225,8 @@ def best_container(found: list[tuple[list[Node], str, int]]) -> Node | None:
     """
     scores: dict[int, float] = {}
     nodes: dict[int, Node] = {}
-    for around, text, linked in found:
-        worth = len(LETTERS.findall(text)) - 2.0 * linked
+    worths = [worth_of(text, linked) for _, text, linked in found]
+    for (around, _, _), worth in zip(found, worths, strict=True):
         for far, node in enumerate(around):
             key = id(node)
             nodes[key] = node
