@@ -21,3 +21,15 @@ def test_parts_are_left_out(name):
 def test_wrappers_are_looked_into():
     assert html.main_text(f"<body><div class='widget'><h1>Head</h1><p>{WORDS}</p></div><p>x</p></body>").startswith(f"Head\n{WORDS.strip()}")
     assert html.main_text("<body><article class='comments related'><p>all of it</p></article></body>") == "all of it"
+
+
+def test_all_containers_of_the_winning_path():
+    page = "<body><div class='post'><section><p>" + WORDS + "</p></section><section><p>second</p></section><section><p>third</p></section></div><div><p>other</p></div></body>"
+    assert html.main_text(page, "/div.post/section") == f"{WORDS.strip()}\nsecond\nthird"
+    with_head = page.replace("<section>", "<h1>Head</h1><section>", 1)
+    assert html.main_text(with_head, "/div.post/section") == f"Head\n{WORDS.strip()}\nsecond\nthird"
+
+
+def test_heading_beside_a_large_inner_container():
+    page = f"<body><div class='post'><h1>Head</h1><div class='entry-content'><p>{WORDS * 20}</p></div></div><div class='box'><p>box</p></div></body>"
+    assert html.main_text(page) == f"Head\n{(WORDS * 20).strip()}"

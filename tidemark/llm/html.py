@@ -218,7 +218,7 @@ def worth_of(text: str, linked: int) -> float:
 
 
 def best_container(found: list[tuple[list[Node], str, int]]) -> Node | None:
-    """The container with the best score; of equal ones the innermost.
+    """The container with the best score, widened; of equal ones the innermost.
 
     A block's letters outside links, less those in links, count in full for its innermost container and for one that
     is named as the article, and a little less with each container further out.
@@ -231,19 +231,43 @@ def best_container(found: list[tuple[list[Node], str, int]]) -> Node | None:
             key = id(node)
             nodes[key] = node
             scores[key] = scores.get(key, 0.0) + worth * (1.2 if node.tag in ("article", "main") else 1.0) * 0.9**far
-    return nodes[max(scores, key=scores.__getitem__)] if scores else None
+    return widened(found, worths, nodes[max(scores, key=scores.__getitem__)]) if scores else None
+
+
+def widened(found: list[tuple[list[Node], str, int]], worths: list[float], best: Node) -> Node:
+    """The outermost container that holds unlinked article text beside the best one or one around it.
+
+    Such text lies in the container itself, or in a sibling of the same path, or in anything of an article or main element.
+    The body, where parts of the site lie too, wins by its score alone.
+    """
+    out = child = best
+    for parent in best.above():
+        if parent is best or parent.tag not in CONTAINER or not parent.path:
+            continue
+        for (around, _, _), worth in zip(found, worths, strict=True):
+            if parent not in around or child in around or worth <= 0:
+                continue
+            at = around.index(parent)
+            if at == 0 or parent.tag in ("article", "main") or around[at - 1].path == child.path:
+                out = parent
+                break
+        child = parent
+    return out
 
 
 def main_text(page: str | None, path: str | None = None) -> str:
-    """The page's main text: from the first container on ``path``, or from its best one."""
+    """The page's main text: from all containers on ``path`` (or the one next around them, if that is the page's best), or from its best one."""
     found = blocks(page or "")
     if not found:
         return ""
-    chosen = None
-    if path is not None:
-        chosen = next((n for around, _, _ in found for n in reversed(around) if n.path == path), None)
-    chosen = chosen or best_container(found)
-    return "\n".join(text for around, text, _ in found if any(n is chosen for n in around))
+    best = best_container(found)
+    chosen = {n for around, _, _ in found for n in around if n.path == path} if path else set()
+    if path == "":
+        chosen = {found[0][0][-1]}
+    outer = {next((n for n in c.above() if n is not c and n.tag in CONTAINER), None) for c in chosen}
+    if not chosen or best is not None and best.path and outer == {best}:
+        chosen = {best}
+    return "\n".join(text for around, text, _ in found if any(n in chosen for n in around))
 
 
 def host_of(url_col: str):
