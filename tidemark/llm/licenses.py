@@ -13,6 +13,8 @@ are taken whole; of licences with equal canonical texts the first by name counts
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +92,54 @@ NAMES = {
 }
 VERBS = ["Licensed under", "Released under", "Distributed under", "Available under", "This work is licensed under", "This project is licensed under", "This software is licensed under", "This text is licensed under"]
 
+#: Title lines under which licences are published.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "MIT-0": ["MIT No Attribution", "MIT No Attribution License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Modified BSD License", "BSD License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the
+public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication
+to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+""" + WARRANTY.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS") + "\n\nFor more information, please refer to <https://unlicense.org>"
+MORE_VERBS = ["This file is licensed under", "This code is licensed under", "This program is licensed under", "This library is licensed under", "This package is licensed under", "This repository is licensed under", "This document is licensed under", "This project is released under", "This software is released under", "This software is distributed under", "Licensed under the terms of", "Distributed under the terms of", "Released under the terms of"]
+#: Digests of long published texts whose words aren't repeated here.
+DIGESTS: dict[str, list[str]] = {
+    "Apache-2.0": ["714d0b92f32d3349216bea5b0fdca7aa9cda4730dbc0fa21485e294fedeec1f5", "f3eb3b8206865bb2a8c2f736c1e0346a547c6d14c07813f84f468e4245aaee8a", "072eaac50a127ac5733332b81842abc496759d9dadd66566d3170b25850f315f"],
+    "GPL-2.0": ["6375475ed49478604fcb8c902de9f613f0ea85cb0c9741fa7a45619c488ed90b", "2b5dbc9472da3bc5519b8ecb2f9a8d542a84232dee69b88695bfa44b1f32a911", "e6da5b50589df55fc0b450887ed02d9dd7e85695a7988e2446ce5471154ba8e2"],
+    "GPL-3.0": ["ed797a9b0ecd3d9098f0f28e5997aeda69462e79aafe636ae99b8a122e929d51", "e61270f05fffe39fb0f0eb4a04a982a7048cfc03a94d0a2a7bf294c40903feeb", "3d88bb32a0c17cf7082ce52f18d6ff5f8bb33111a62b104468bad8a6a1e0451c"],
+    "GPL-1.0": ["e364aad3db413655fde3de60fabbec1cf77c7bd3b2944d17cea899a1f72d7d60", "4d8661076b271388204b513334f465af9649e35bb9dfc968f5fc2af75fff36a6", "10432111b8d3d37d7de54c5df4d285fd692e6eeaa9196224dba390cc24d6789b"],
+    "LGPL-2.0": ["d0f63e6e433c39ca404c5b07fd50cd5ed68e4798effaa938b128c99e17ae60e0", "07d0fd4db5feea275c2d1835863a165d0e4b4ac86cc19e495e2c74ec250c52cc", "d4d29fdef217ed5b5695cc50146efc75c0903bbadbee010ef1a57b4cf72a66f8"],
+    "LGPL-2.1": ["00cac975b1dd6f793b3f024aa244e01bf63ecc4db816979593bdb026e8fa5120", "4995c2e9d970b57711085cbfc0b7ca42ade195d279b3d8c244c1efb53826078c", "37f2cd032332ffe201fffd647f624754da0e3a8799d2811d64542db69110d56e"],
+    "LGPL-3.0": ["9111884d93a72b30a3d024876dab3d755949ac2cfab230268a4169a93b86560c"],
+    "MPL-1.1": ["347713df4216b4132573d15558dc0667667f91248c7cbb8ddcb341a6642b8d61"],
+    "MPL-2.0": ["f3f10d713803bb806d83620f1aab451770b6577b5276a67225a3f4fea27fb8e5"],
+    "CC0-1.0": ["97098b9d4d582064b16255ff38f4b45a41ecce484eb98a46cdb15423d6de9f85"],
+    "GFDL-1.3": ["c136842c3bb94c66f9158ddea107c935e305b1f3d74c98797ad031c4abf1d065"],
+}
+#: A line that names a copyright holder, with or without a year; taken out only to look licences up, so reported digests don't change.
+HOLDER_LINE = r"(^|\n)[^\p{L}\p{N}\n]*(copyright(?! +(holder|owner|notice|law|interest|licen[cs]e|and|or)s?\b)|copr\.|\(c\)|©)[^\n]*"
+
+
+def variants() -> list[tuple[str, str]]:
+    """Published variants of the known texts: title lines, bullets in place of numbers, and more notices."""
+    whole = {**{i: TEXTS[i] for i in TITLES if i in TEXTS}, "Unlicense": UNLICENSE}
+    out = [("Unlicense", UNLICENSE)]
+    for i, text in whole.items():
+        forms = [text, re.sub(r"(?m)^[123]\. ", "* ", text)] if i.startswith("BSD") else [text]
+        out += [(i, f"{title}\n\n{form}") for form in forms for title in ("", *TITLES[i])]
+    return out + [(i, f"{verb} {name}.") for i, names in NAMES.items() for name in names for verb in MORE_VERBS]
+
 
 def known_texts() -> list[tuple[str, str]]:
     """Licence ids and their texts: the licences themselves, and one-line notices by rule."""
@@ -114,8 +164,10 @@ def digest(text: Column) -> Column:
 
 def known(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """``digest`` and ``license_id`` of the known texts, one row a digest."""
-    rows = spark.createDataFrame(texts or known_texts(), "license_id string, text string")
-    return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    rows = spark.createDataFrame(texts or known_texts() + variants(), "license_id string, text string").select("license_id", digest(F.col("text")).alias("digest"))
+    if not texts:
+        rows = rows.unionByName(spark.createDataFrame([(i, d) for i, ds in DIGESTS.items() for d in ds], "license_id string, digest string"))
+    return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -124,8 +176,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts:
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     units = rows.select("row", "id", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("line", "text"))
     whole = F.col("line") == 0
-    found = units.select("row", "id", whole.alias("whole"), digest(F.col("text")).alias("digest"))
-    found = found.join(F.broadcast(known(docs.sparkSession, texts)), "digest", "left").where(F.col("whole") | F.col("license_id").isNotNull())
+    found = units.select("row", "id", whole.alias("whole"), digest(F.col("text")).alias("digest"), F.when(whole & F.lower("text").rlike(HOLDER_LINE), digest(F.regexp_replace(F.lower("text"), HOLDER_LINE, "\n"))).alias("bare"))
+    table = known(docs.sparkSession, texts)
+    bare = table.select(F.col("digest").alias("bare"), F.col("license_id").alias("bare_id"))
+    found = found.join(F.broadcast(table), "digest", "left").join(F.broadcast(bare), "bare", "left").withColumn("license_id", F.coalesce("license_id", "bare_id")).where(F.col("whole") | F.col("license_id").isNotNull())
     notice = F.when(~F.col("whole"), F.col("license_id"))
     out = found.groupBy("row", "id").agg(
         F.max(F.when(F.col("whole"), F.col("digest"))).alias("digest"),
