@@ -199,6 +199,9 @@ def is_marked(node: Node) -> bool:
 
 def unmark(held: list[tuple[Node, list[tuple[Node, str, int]]]], headed: set[Node]) -> None:
     """Look into marked elements that hold all of the page's unlinked letters, or over half and a heading: they are wrappers of the page."""
+    if not headed:  # then one unlinked letter outside all of them settles it
+        if any(not linked and LETTERS.search(piece) and not any(n.marked for n in node.above()) for _, pieces in held for node, piece, linked in pieces):
+            return
     total, inside = 0, Counter()
     for _, pieces in held:
         for node, piece, linked in pieces:
