@@ -70,15 +70,6 @@ def test_suffix_dedup(docs, block_bytes):
     assert sum(r.n_removed for r in got) > 0
 
 
-def test_suffix_dedup_with_hot_anchors(docs, monkeypatch):
-    monkeypatch.setattr(rounds, "BLOCK_BYTES", 400)
-    monkeypatch.setattr(rounds, "SHARD_KEYS", 50)
-    for blocks in (2, 4):
-        monkeypatch.setattr(rounds, "HOT_BLOCKS", blocks)
-        got = suffix.digests(docs).collect()
-        assert Counter((key(r), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_suffix(docs.collect(), 100)
-
-
 def test_substring_dedup(docs, block_bytes):
     got = substring.digests(docs).collect()
     assert Counter((key(r), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_words(docs.collect())
@@ -106,17 +97,55 @@ def test_later_copies_by_brute_force():
         assert [x.tolist() for x in suffix.later_copies(parts, positions, 10)] == wanted
 
 
-def test_smaller_neighbours():
+def test_longest_previous_factors_by_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(30):
-        group = np.sort(rng.integers(0, 4, 25))
-        p = rng.permutation(25)
-        before, after = suffix.smaller_neighbours(p, group)
-        for i in range(25):
-            left = [j for j in range(i) if group[j] == group[i] and p[j] < p[i]]
-            right = [j for j in range(i + 1, 25) if group[j] == group[i] and p[j] < p[i]]
-            assert before[i] == (left[-1] if left else -1)
-            assert after[i] == (right[0] if right else -1)
+        parts = [bytes(rng.choice(list(b"ab"), rng.integers(11, 40)).astype(np.uint8)) for _ in range(4)]
+        positions = rng.permutation(4) * 100
+        got = suffix.previous_factors(parts, positions, 11)
+        windows = [(int(q) + i, p[i : i + 11]) for p, q in zip(parts, positions, strict=True) for i in range(len(p) - 10)]
+        common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), 11)
+        wanted = [max((common(w, v) for r, v in windows if r < q), default=0) for q, w in windows]
+        assert np.concatenate(got).tolist() == wanted
+
+
+def thue_morse(n: int, flip: bool) -> str:
+    return "".join("ab"[(i.bit_count() & 1) ^ flip] for i in range(n))
+
+
+def test_words_on_which_polynomial_hashes_collide(spark):
+    same = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"{same} {thue_morse(1024, False)}"), (2, f"{same} {thue_morse(1024, True)}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.digests(docs).collect()} == {1: 0, 2: 0}
+
+
+def test_a_row_repeated_and_a_passage_in_many_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(40))
+    rows = [(5, passage)] * 3000 + [(i, f"{word()} {word()} {passage} {word()}") for i in range(10, 150)]
+    monkeypatch.setattr(rounds, "BLOCK_BYTES", 8000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    most = rounds.in_blocks(docs)[0].groupBy("block").count().agg({"count": "max"}).first()[0]
+    assert most < 300
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.digests(docs).collect())
+    assert got == brute_suffix(docs.collect(), 100)
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.digests(docs).collect())
+    assert got == brute_words(docs.collect())
+
+
+def test_ids_at_the_end_of_the_range(spark):
+    docs = spark.createDataFrame([(rounds.LAST, "a b"), (None, "c")], "doc_id long, text string")
+    for op in (suffix, substring):
+        assert sorted(r.doc_id or 0 for r in op.digests(docs).collect()) == [0, rounds.LAST]
+
+
+def test_whole_characters():
+    text = "aé\ufffdb".encode()
+    gone = np.array([0, 0, 1, 0, 0, 0, 0], bool)
+    assert text[:1] + "\ufffdb".encode() == bytes(x for x, g in zip(text, suffix.widened(text, gone), strict=True) if not g)
 
 
 def test_sketch_loses_nothing():

@@ -103,15 +103,16 @@ def unpack(data: bytes, *types) -> list[np.ndarray]:
 
 
 def in_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
-    """``block``, ``id`` and ``text`` of each document (null ids as the greatest, null texts as empty), and all texts' bytes.
+    """``block``, ``id`` and ``text`` of each document (null texts as empty), and all texts' bytes.
 
-    Columns in ``carried`` go with their documents as ``carried_0``, ``carried_1`` and so on.
+    Rows are dealt by their content and their place in the input, so that repeated rows don't fill one block. Columns in ``carried`` go
+    with their documents as ``carried_0``, ``carried_1`` and so on.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), text.alias("text"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carried)))
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carried)))
     total = plain.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    return plain.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block"), *plain.columns), total
+    return plain.select(F.pmod(F.xxhash64("id", "text", F.monotonically_increasing_id()), F.lit(blocks)).alias("block"), *plain.columns), total
 
 
 def shards_for(keys: int) -> int:
@@ -123,12 +124,15 @@ class Block:
 
     def __init__(self, table: pa.Table):
         offsets, data = text_buffers(column_of(table, "text"))
-        ids = column_of(table, "id").to_numpy(zero_copy_only=False)
+        column = column_of(table, "id")
+        missing = column.is_null().to_numpy(zero_copy_only=False)
+        ids = column.fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
         raw = data.tobytes()
         texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], missing[i], texts[i]))
         self.table, self.order = table, order
-        self.ids = ids[order].astype(np.int64)
+        #: Ids with null as the greatest, and which are null.
+        self.ids, self.missing = ids[order], missing[order]
         self.texts = [texts[i] for i in order]
 
     def carried(self, number: int) -> list[pa.Array]:
@@ -194,7 +198,7 @@ def merge_sketches(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def answered(keys: np.ndarray, answers: list[tuple[int, int, bytes]], shards: int, row: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """The keys' counters in a row, and those counters of which the answers (kind, shard, payload) to this block say so."""
+    """The counters in a row of all of a block's keys, and those counters of which the answers (kind, shard, payload) to this block say so."""
     codes = counters(keys, row, shards)
     known, _ = distinct(codes)
     bits = np.zeros(len(known), bool)

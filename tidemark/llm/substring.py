@@ -3,7 +3,8 @@
 A window is ``WINDOW`` consecutive words of one document, and a word is removed if a window over it has the same
 words as one that starts in a document with a smaller id. First the blocks' sketches are merged and estimate how
 often each window occurs; the estimates are never too low. Then only windows estimated repeated are grouped
-exactly, by a 128-bit hash of their words, and the least document of each group keeps its words.
+exactly, by the 128-bit XXH3 digest of their words joined by one space, and the least document of each group keeps its words.
+The sketch's own hash of a window is put together from its words' hashes; that some texts make it collide only adds windows to the second pass.
 
 A block sends a window once, with its least document, so a passage that a third of all documents share
 is as many rows as there are blocks with it.
@@ -15,10 +16,10 @@ words are compared byte for byte; texts of any length are taken whole.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,37 +34,52 @@ CHUNK = 1 << 18
 
 
 class Windows:
-    """Words and windows of a block: of each window the hashes, the document's place and its first word's place."""
+    """Words and windows of a block: of each window the sketch's hash, the document's place and its first word's place."""
 
-    def __init__(self, block: Block, second: bool):
+    def __init__(self, block: Block):
         self.words: list[int] = []
-        first, other, owner, start = [], [], [], []
+        first, owner, start = [], [], []
         group: list[int] = []
         size = base = 0
         for i, text in enumerate(block.texts):
             group.append(i)
             size += len(text) + 1
             if size >= CHUNK or i == len(block.texts) - 1:
-                h1, h2, counts = hashed_words(b"\n".join(block.texts[j] for j in group) + b"\n", [len(block.texts[j]) for j in group], second)
+                hashes, counts = hashed_words(b"\n".join(block.texts[j] for j in group) + b"\n", [len(block.texts[j]) for j in group])
                 own = np.repeat(np.arange(len(group)), counts)
                 n = len(own) - WINDOW + 1
                 if n > 0:
                     at = np.flatnonzero(own[:n] == own[WINDOW - 1 :])
-                    first.append(rounds.mix(rounds.range_hashes(h1, at, at + WINDOW, 2), rounds.SEEDS[2]))
-                    if second:
-                        other.append(rounds.mix(rounds.range_hashes(h2, at, at + WINDOW, 1), rounds.SEEDS[1]))
+                    first.append(rounds.mix(rounds.range_hashes(hashes, at, at + WINDOW, 2), rounds.SEEDS[2]))
                     owner.append(own[at] + group[0])
                     start.append(at + base)
                 base += len(own)
                 self.words += counts.tolist()
                 group, size = [], 0
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        self.hash, self.check = join(first, np.uint64), join(other, np.uint64)
+        self.hash = join(first, np.uint64)
         self.owner, self.start = join(owner, np.int64), join(start, np.int64)
         self.n_words = base
 
-
-def hashed_words(data: bytes, lengths: list[int], second: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def digests(self, block: Block, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of the 128-bit digests of the windows at ``at``, by their words joined by one space."""
+        owner = self.owner[at]
+        before = np.cumsum([0, *self.words])
+        edges = np.append(np.flatnonzero(np.append(True, owner[1:] != owner[:-1])), len(at)).tolist() if len(at) else [0]
+        digest = xxhash.xxh3_128_digest
+        found = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            words = block.texts[owner[a]].split()  # of bytes: at ASCII white space
+            joined = b" ".join(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+            starts = np.append(0, ends[:-1] + 1)
+            first = self.start[at[a:b]] - before[owner[a]]
+            found += [digest(joined[x:y]) for x, y in zip(starts[first].tolist(), ends[first + WINDOW - 1].tolist(), strict=True)]
+        halves = np.frombuffer(b"".join(found), U).reshape(-1, 2)
+        return halves[:, 0], halves[:, 1]
+
+
+def hashed_words(data: bytes, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of texts joined by line ends, and each text's number of words."""
     raw = np.frombuffer(data, np.uint8)
     space = SPACE[raw]
@@ -71,17 +87,17 @@ def hashed_words(data: bytes, lengths: list[int], second: bool) -> tuple[np.ndar
     starts = np.flatnonzero(inside & np.append(True, space[:-1]))
     ends = np.flatnonzero(inside[:-1] & space[1:]) + 1
     size = (ends - starts).astype(np.uint64)
-    hashes = [rounds.mix(rounds.range_hashes(rounds.byte_values(k)[raw], starts, ends, k) ^ size, rounds.SEEDS[k]) for k in range(1 + second)]
+    hashes = rounds.mix(rounds.range_hashes(rounds.byte_values(0)[raw], starts, ends, 0) ^ size, rounds.SEEDS[0])
     bounds = np.cumsum(np.array([0, *lengths], np.int64) + np.array([0] + [1] * len(lengths), np.int64))
-    return hashes[0], hashes[-1], np.diff(np.searchsorted(starts, bounds))
+    return hashes, np.diff(np.searchsorted(starts, bounds))
 
 
 class Candidates:
     """A block's distinct windows that are estimated repeated, in the order in which it sends them."""
 
-    def __init__(self, windows: Windows, answers: list, shards: int):
+    def __init__(self, block: Block, windows: Windows, answers: list, shards: int):
         self.at = np.flatnonzero(rounds.estimated_repeated(windows.hash, answers, shards))
-        hashes, check = windows.hash[self.at], windows.check[self.at]
+        hashes, check = windows.digests(block, self.at)
         self.order = np.argsort(hashes, kind="stable")  # of equal windows the least document comes first
         h, c = hashes[self.order], check[self.order]
         if ((h[1:] == h[:-1]) & (c[1:] != c[:-1])).any():  # unlike windows with the same first hash
@@ -114,7 +130,7 @@ def resolve(rows: pd.DataFrame) -> pd.DataFrame:
 
 def removed_words(block: Block, windows: Windows, answers: list, shards: int) -> np.ndarray:
     """Which of the block's words are removed."""
-    found = Candidates(windows, answers, shards)
+    found = Candidates(block, windows, answers, shards)
     elsewhere = np.zeros(len(found.hash), bool)
     by = {shard: payload for kind, shard, payload in answers if kind == rounds.ROWS}
     for shard, a, b in found.ranges:
@@ -132,15 +148,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     shards = rounds.shards_for(total // 6)
 
     def keys_of(block: Block) -> np.ndarray:
-        return Windows(block, False).hash
+        return Windows(block).hash
 
     def candidates(number: int, block: Block, answers: list) -> list:
-        found = Candidates(Windows(block, True), answers, shards)
+        found = Candidates(block, Windows(block), answers, shards)
         ids = block.ids[found.owner[found.first]] if len(found.first) else np.zeros(0, np.int64)
         return [(number, rounds.ROWS, shard, rounds.pack(found.hash[a:b], found.check[a:b], ids[a:b])) for shard, a, b in found.ranges]
 
     def finish(block: Block, answers: list) -> pa.Table:
-        windows = Windows(block, True)
+        windows = Windows(block)
         removed = removed_words(block, windows, answers, shards)
         kept_text, n_removed, at = [], [], 0
         for text, n in zip(block.texts, windows.words, strict=True):
@@ -151,7 +167,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             if n_removed[-1]:
                 words = [words[i] for i in np.flatnonzero(~gone).tolist()]
             kept_text.append(b" ".join(words))
-        ids = pa.array(block.ids, mask=block.ids == rounds.LAST)
+        ids = pa.array(block.ids, mask=block.missing)
         return pa.table({"id": ids, "n_words": pa.array(windows.words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept_text, pa.binary()).cast(pa.string())})
 
     found = rounds.run(blocks, keys_of, candidates, resolve, finish, "id long, n_words long, n_removed long, kept_text string", shards)
@@ -161,5 +177,3 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def digests(docs: DataFrame) -> DataFrame:
     """Per document: n_words, n_removed and the digest of the kept words joined by one space."""
     return dedup(docs.select("doc_id", "text")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
-
-

@@ -8,8 +8,8 @@ least hash of the ``GRAM``-byte strings in it, and consecutive windows with the
 windows always lie in stretches of the same anchor. The rounds of ``tidemark.llm.rounds`` first find the anchors that
 may be there more than once, then send only their stretches, by anchor, to shards. A shard drops stretches that are
 the same as earlier ones (all their windows are later copies), sorts the suffixes of the others where an anchor has
-several, and takes previous and next smaller positions in suffix order: a window is a later copy if its
-longest previous factor, the longer of the two common prefixes, reaches ``LENGTH``.
+several, and computes their longest previous factors: of the previous and the next suffix in that order that start earlier, the longer
+common prefix. A window whose factor reaches ``LENGTH`` is a later copy.
 
 Stretches of an anchor that very many blocks have, such as the ends of a passage that goes on differently each time, would all meet in
 one task. They are taken apart: each of their windows goes to a shard by its own 128-bit hash, where the least position
@@ -28,6 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,7 +108,7 @@ class Candidates:
 
     def __init__(self, block: Block, stretches: Stretches, answers: list, shards: int, length: int):
         repeated = np.flatnonzero(rounds.estimated_repeated(stretches.anchor, answers, shards))
-        is_hot = rounds.hot(stretches.anchor[repeated], answers, shards) if len(repeated) else np.zeros(0, bool)
+        is_hot = rounds.hot(stretches.anchor, answers, shards)[repeated]  # asked for all keys that were sketched: the answers are in their order
         at, self.hot = repeated[~is_hot], repeated[is_hot]
         shard = (((stretches.anchor[at] >> U(32)) * U(shards)) >> U(32)).astype(np.int64)
         order = np.lexsort((stretches.start[at], block.ids[stretches.owner[at]], shard))
@@ -143,10 +144,10 @@ class Apart:
             mine = hot[stretches.owner[hot] == o]
             n = stretches.windows[mine]
             at = np.repeat(stretches.start[mine] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            raw = np.frombuffer(block.texts[o], np.uint8)
-            h, c = (rounds.mix(rounds.range_hashes(rounds.byte_values(k)[raw], at, at + length, k), rounds.SEEDS[k + 1]) for k in (0, 1))
-            hashes.append(h)
-            checks.append(c)
+            text = block.texts[o]
+            halves = np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[a : a + length]) for a in at.tolist()]), U).reshape(-1, 2)
+            hashes.append(halves[:, 0])
+            checks.append(halves[:, 1])
             owner.append(np.full(len(at), o))
             start.append(at)
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
@@ -178,58 +179,82 @@ def resolve_apart(payloads: list[bytes]) -> list[bytes]:
     return [rounds.pack(np.packbits(x)) for x in np.split(later, np.cumsum([len(p[0]) for p in parts])[:-1])]
 
 
-def smaller_neighbours(position: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Previous and next place in suffix order with a smaller position within the same group, or -1."""
-    found = []
+def factors(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Longest previous factors of suffixes in suffix order, from their positions and each one's common prefix with the one before.
+
+    A suffix's longest previous factor is the longer of its common prefixes with the previous and the next suffix in that order that
+    start at a smaller position. Both are found by jumping over larger positions, and what lies between gives the least common prefix.
+    """
+    best = np.zeros(len(position), np.int64)
     for backward in (True, False):
-        p, g = (position, group) if backward else (position[::-1], group[::-1])
+        p = position if backward else position[::-1]
+        low = common.copy() if backward else np.append(0, common[:0:-1])
         to = np.arange(len(p)) - 1
-        to[np.flatnonzero(g[1:] != g[:-1]) + 1] = -1
         open_ = np.flatnonzero(to >= 0)
         while len(open_ := open_[p[to[open_]] >= p[open_]]):
-            to[open_] = to[to[open_]]  # what lies between is larger still
+            low[open_] = np.minimum(low[open_], low[to[open_]])
+            to[open_] = to[to[open_]]
             open_ = open_[to[open_] >= 0]
-        found.append(to if backward else np.where(to >= 0, len(p) - 1 - to, -1)[::-1])
-    return found[0], found[1]
+        found = np.where(to >= 0, low, 0)
+        np.maximum(best, found if backward else found[::-1], out=best)
+    return best
 
 
-def later_copies(stretches: list[bytes], positions: np.ndarray, length: int) -> list[np.ndarray]:
-    """For stretches with distinct first positions: which of their windows have an earlier copy in any of them.
+def leading_bytes(x: np.ndarray) -> np.ndarray:
+    """The number of leading zero bytes of 64-bit numbers."""
+    return sum(((x >> U(8 * k)) == 0).astype(np.int64) for k in range(8))
 
-    Windows are sorted as suffixes of the joined stretches, eight bytes at a time; a suffix that shares its bytes so far with no other
-    has no factor of ``length`` and leaves the sort. Of those that agree in ``length`` bytes, which are next to each other in
-    suffix order, all but the one at the least position have a longest previous factor of ``length`` or more.
+
+def suffix_order(words: np.ndarray, at: np.ndarray, position: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of suffixes in order of their first ``length`` bytes, then of position, and the common prefix (``length`` at most) with the one before.
+
+    ``words`` are the eight bytes from each byte on and ``at`` is where each suffix starts. Suffixes are sorted by eight bytes at a time,
+    and those that differ from both neighbours have their place and leave the sort.
     """
+    order = np.arange(len(at))
+    common = np.zeros(len(at), np.int64)
+    live, group = order.copy(), np.zeros(len(at), np.int64)
+    for offset in [*range(0, length - 8, 8), max(0, length - 8)]:
+        if not len(live):
+            break
+        taken = order[live]
+        key = words[at[taken] + offset]
+        by = np.argsort(key, kind="stable") if offset == 0 else np.lexsort((key, group))
+        order[live] = taken[by]
+        key = key[by]
+        same = group[1:] == group[:-1]
+        apart = key[1:] ^ key[:-1]
+        split = same & (apart != 0)
+        common[live[1:][split]] = offset + leading_bytes(apart[split])
+        group = np.cumsum(np.append(False, ~same | split))
+        several = (np.bincount(group) > 1)[group]
+        live, group = live[several], group[several]
+    if len(live):
+        taken = order[live]
+        order[live] = taken[np.lexsort((position[taken], group))]
+        common[live[1:][group[1:] == group[:-1]]] = length
+    return order, common
+
+
+def previous_factors(stretches: list[bytes], positions: np.ndarray, length: int) -> list[np.ndarray]:
+    """For stretches with distinct first positions: the longest previous factor, ``length`` at most, of each of their windows in any of them."""
     sizes = np.array([len(s) for s in stretches], np.int64)
     raw = np.frombuffer(b"".join(stretches) + bytes(8), np.uint8)
-    word = np.zeros(len(raw) - 8, np.uint64)
+    words = np.zeros(len(raw) - 8, np.uint64)
     for i in range(min(8, length)):
-        word <<= U(8)
-        word |= raw[i : len(raw) - 8 + i]
+        words |= raw[i : len(raw) - 8 + i].astype(np.uint64) << U(56 - 8 * i)
     windows = sizes - length + 1
     nth = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-    at = np.repeat(np.cumsum(sizes) - sizes, windows) + nth
-    live, group = np.arange(len(at)), None
-    for offset in [*range(0, length - 8, 8), max(0, length - 8)]:
-        key = word[at[live] + offset]
-        order = np.argsort(key) if group is None else np.lexsort((key, group))
-        key = key[order]
-        new = np.append(True, key[1:] != key[:-1])
-        if group is not None:
-            group = group[order]
-            new[1:] |= group[1:] != group[:-1]
-        group = np.cumsum(new)
-        several = (np.bincount(group) > 1)[group]
-        live, group = live[order][several], group[several]
-        if not len(live):
-            break
-    copied = np.zeros(len(at), bool)
-    if len(live):
-        position = (np.repeat(positions, windows) + nth)[live]
-        order = np.lexsort((position, group))
-        before, after = smaller_neighbours(position[order], group[order])
-        copied[live[order]] = (before >= 0) | (after >= 0)
-    return np.split(copied, np.cumsum(windows)[:-1])
+    position = np.repeat(positions, windows) + nth
+    order, common = suffix_order(words, np.repeat(np.cumsum(sizes) - sizes, windows) + nth, position, length)
+    out = np.empty(len(order), np.int64)
+    out[order] = factors(position[order], common)
+    return np.split(out, np.cumsum(windows)[:-1])
+
+
+def later_copies(stretches: list[bytes], positions: np.ndarray, length: int) -> list[np.ndarray]:
+    """Which windows of the stretches have an earlier copy: their longest previous factors reach ``length``."""
+    return [f >= length for f in previous_factors(stretches, positions, length)]
 
 
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -312,8 +337,17 @@ def resolver(length: int, gram: int):
     return resolve
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, carried: tuple[str, ...] = ()) -> DataFrame:
-    """Per document its id, n_bytes, n_removed, n_spans, ``kept``, the remaining bytes joined, and its columns in ``carried``."""
+def widened(text: bytes, gone: np.ndarray) -> np.ndarray:
+    """``gone`` with all bytes of the characters of which it has some."""
+    character = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
+    return (np.bincount(character, gone) > 0)[character]
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, carried: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
+    """Per document its id, n_bytes, n_removed, n_spans, ``kept``, the remaining bytes joined, and its columns in ``carried``.
+
+    With ``whole_characters`` a character of which some bytes are removed goes as a whole from ``kept``, which then stays UTF-8; the counts are the same.
+    """
     blocks, total = rounds.in_blocks(docs, id_col, text_col, carried)
     shards = rounds.shards_for(total // 6)
 
@@ -387,9 +421,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             else:
                 removed.append(int(gone.sum()))
                 spans.append(int((gone & ~np.append(False, gone[:-1])).sum()))
+                gone = widened(text, gone) if whole_characters else gone
                 kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
         count = lambda x: pa.array(x, pa.int64())
-        ids = pa.array(block.ids, mask=block.ids == rounds.LAST)
+        ids = pa.array(block.ids, mask=block.missing)
         extra = dict(zip(carried, block.carried(len(carried)), strict=True))
         return pa.table({"id": ids, "n_bytes": count([len(t) for t in block.texts]), "n_removed": count(removed), "n_spans": count(spans), "kept": pa.array(kept, pa.binary()), **extra})
 
