@@ -205,15 +205,41 @@ def test_top_k(spark, monkeypatch):
     for q in range(0, 230, 50):
         scored = sorted(((-int(whole[q] @ whole[c]), c) for c in range(230) if c != q))[:5]
         wanted += [(q, k + 1, c, -s) for k, (s, c) in enumerate(scored)]
-    for blocks in ((256, 4096), (2, 16)):
-        monkeypatch.setattr(topk, "QUERY_BLOCK", blocks[0])
-        monkeypatch.setattr(topk, "VECTOR_BLOCK", blocks[1])
+    for queries in (16_384, 2):
+        monkeypatch.setattr(topk, "QUERIES", queries)
         assert sorted(map(tuple, topk.nearest(df).collect())) == wanted
     few = df.where("vec_id IN (0, 1, 50)")
     assert Counter(r.query_id for r in topk.nearest(few).collect()) == {0: 2, 50: 2}
     assert topk.nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1.0, 1e12, 1e200])
+def test_top_k_of_any_size(spark, size):
+    rng = np.random.default_rng(8)
+    vectors = (rng.normal(0, size, (60, 7))).tolist()
+    vectors[20] = vectors[0][:]
+    vectors[21] = [*vectors[0][:6], np.nextafter(vectors[0][6], np.inf).item()]
+    vectors[22] = vectors[0][:5]  # shorter
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").repartition(3)
+    whole = [[int(x) * 256 if abs(x) >= 1 << 52 else int(np.floor(x * 256)) for x in v] for v in vectors]
+    for q in (0, 50):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], whole[c])), c) for c in range(60) if c != q)[:5]
+        got = sorted((r["rank"], r.vec_id, r.score) for r in topk.nearest(df).collect() if r.query_id == q)
+        assert got == [(n + 1, c, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, c) in enumerate(scored)]
+
+
+def test_top_k_prunes(spark):
+    """The share of the pairs that is left to phase 3; figures in the README."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(0, 1, (20, 64))
+    for name, vectors, most in (("clustered", centres[rng.integers(0, 20, 2000)] + rng.normal(0, 0.3, (2000, 64)), 0.15), ("random", rng.normal(0, 1, (2000, 64)), 0.4)):
+        vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+        df = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<double>")
+        share = topk.kept_pairs(df, df.where("vec_id % 50 = 0")) / (40 * 2000)
+        print(name, share)
+        assert 0 < share < most
+
+
 # Licences
 
 
