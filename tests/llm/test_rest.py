@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
 from tidemark.llm import bpe, html, langid, licenses, mixing, quality, registry, topk
@@ -105,27 +106,99 @@ def test_estimates_find_the_planted_accuracies():
 # Mixing
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100], [5, 2, 1]) == pytest.approx([187.5, 75, 37.5])
-    assert mixing.targets([10, 1000], [5, 2]) == pytest.approx([30, 980])
-    assert mixing.targets([0, 10], [5, 2]) == [0, 10]
-    assert mixing.targets([], []) == []
-    assert mixing.targets([0], [5.0]) == [0]
-
-
-def test_shard_counts_meet_totals():
-    wanted = np.array([5000, 3, 0, 9000])
-    drawn = [c for _, c in mixing.shard_counts(wanted)]
-    assert sum(drawn).tolist() == wanted.tolist() and len(drawn) == 4
-    assert [c.tolist() for c in drawn] == [c.tolist() for _, c in mixing.shard_counts(wanted)]
+def targets(spark, words, weights):
+    rows = spark.createDataFrame(list(zip(range(len(words)), words, map(float, weights))), "number long, words long, weight double")
+    return [r.target for r in mixing.with_targets(rows).sort("number").collect()]
+
+
+def test_targets(spark):
+    assert targets(spark, [100, 100, 100], [5, 2, 1]) == pytest.approx([187.5, 75, 37.5])
+    assert targets(spark, [10, 1000], [5, 2]) == pytest.approx([30, 980])
+    assert targets(spark, [0, 10], [5, 2]) == [0, 10]
+    assert targets(spark, [], []) == []
+    assert targets(spark, [0], [5.0]) == [0]
+    rng = np.random.default_rng(1)
+    words, weights = rng.integers(0, 1000, 60).tolist(), [5, 2, 1] * 20
+    out, full = np.zeros(60), np.zeros(60, bool)
+    while True:  # share the rest by weight until none is above its limit
+        open_ = np.where(full, 0, weights)
+        out = np.where(full, 3.0 * np.array(words), (sum(words) - 3 * sum(w for w, f in zip(words, full) if f)) * open_ / open_.sum())
+        if not (above := out > 3 * np.array(words)).any():
+            break
+        full |= above
+    assert targets(spark, words, weights) == pytest.approx(out.tolist())
+
+
+def test_drawn_counts(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    wanted = rng.random(50) * 100
+    wanted[7] = 0
+    rows = spark.createDataFrame([(i, float(w)) for i, w in enumerate(wanted)], "number long, slots double")
+    by_fan = []
+    for fan in (4096, 5):  # drawn among all at once, and down a tree
+        monkeypatch.setattr(mixing, "FAN", fan)
+        counts = {}
+        for seed in range(12):
+            got = mixing.shard_counts(rows, seed, 64).collect()
+            shards = Counter()
+            for r in got:
+                shards[r.shard] += r["count"]
+            assert sum(shards.values()) == round(wanted.sum()) and set(list(shards.values())[:-1]) <= {64, round(wanted.sum()) % 64}
+            counts[seed] = Counter()
+            for r in got:
+                counts[seed][r.number] += r["count"]
+        totals = np.array([[c[i] for i in range(50)] for c in counts.values()])
+        assert totals[:, 7].max() == 0 and (totals.std(axis=0).max() > 0)  # another seed draws other counts
+        off = (totals.mean(axis=0) - wanted) / np.sqrt(np.maximum(wanted, 1))
+        assert np.abs(off).max() < 1.5 and np.abs(totals - wanted).max() < 6 * np.sqrt(wanted.max())
+        by_fan.append(totals)
+    assert mixing.shard_counts(rows.limit(0)).count() == 0
+
+
+def xxh(seed, *values):
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def replayed(size, key):
+    """A source's permutation in plain Python."""
+    primes = (1_000_003, 1_000_033, 1_000_037, 1_000_039, 1_000_081, 1_000_099, 1_000_117, 1_000_121)
+    long, number = (lambda x: int(x).to_bytes(8, "little", signed=True)), (lambda x: int(x).to_bytes(4, "little"))
+    out = list(range(size))
+    for r in range(4):
+        a, b, c = (xxh(42, long(key), number(r), x) for x in "abc")
+        first = a % (1 << 30) % 8
+        prime = next(p for p in (primes[(first + i) % 8] for i in range(8)) if size % p)
+        out = [(i * prime + b % (1 << 30)) % size for i in out]
+        cut = c % size + 1
+        out = [cut - 1 - i if i < cut else i for i in out]
+    return out
+
+
+def test_slots_by_replay(spark):
+    from pyspark.sql import functions as F
 
+    sources = spark.createDataFrame([(0, 7, 18.0), (1, 40, 25.0), (2, 1, 3.0), (3, 0, 0.0), (4, 64, 100.5)], "number long, blocks long, slots double")
+    drawn = mixing.shard_counts(sources, 5, 16).checkpoint()
+    got = Counter((r.shard, r.number, r.block) for r in mixing.slots(sources, drawn, 5).collect())
+    first, wanted = Counter(), Counter()
+    of = {r.number: r.blocks for r in sources.collect()}
+    for r in sorted(drawn.collect()):
+        for slot in range(first[r.number], first[r.number] + r["count"]):
+            turn, index = divmod(slot, of[r.number])
+            if turn < 3:
+                key = xxh(42, (5).to_bytes(4, "little"), r.number.to_bytes(8, "little"), turn.to_bytes(8, "little"))
+                wanted[r.shard, r.number, replayed(of[r.number], key)[index]] += 1
+        first[r.number] += r["count"]
+    assert got == wanted and len({s for s, _, _ in got}) == 10
+    one = drawn.groupBy("number").agg(F.sum("count").alias("count")).withColumn("shard", F.lit(0).cast("long"))
+    assert Counter((r.number, r.block) for r in mixing.slots(sources, one, 5).collect()) == sum((Counter({k[1:]: n}) for k, n in got.items()), Counter())  # the counts alone decide what is taken; shards, where it goes
 
-def test_permutation(spark):
-    from pyspark.sql import functions as F
 
-    for size in (1, 2, 7, 64, 1000):
-        rows = spark.range(size).select(mixing.permuted(F.col("id"), F.lit(size).cast("long"), F.lit(9)).alias("p")).collect()
-        assert sorted(r.p for r in rows) == list(range(size))
+def test_another_seed_takes_other_words(docs):
+    taken = [Counter((r.id, r.tie, r.from_word) for r in mixing.mixed(docs, seed=seed)[1].collect()) for seed in (1, 2)]
+    assert taken[0] != taken[1]
 
 
 def test_mix(docs, no_docs):
@@ -138,7 +211,9 @@ def test_mix(docs, no_docs):
     for r in got:
         by_target[r.source_size, r.target] += r.taken
     assert sum(t for _, t in by_target) == pytest.approx(sum(r["size"] for r in got))
-    assert all(abs(taken - target) <= 2 * mixing.BLOCK_WORDS for (_, target), taken in by_target.items())
+    assert all(abs(taken - target) <= 4 * mixing.BLOCK_WORDS for (_, target), taken in by_target.items())
+    clashing = docs.selectExpr("*", "1 AS mix_id", "2 AS mix_copies", "3 AS pieces", "4 AS row", "5 AS nth", "6 AS mix_tie")
+    assert mixing.mix(clashing).columns == clashing.columns and mixing.mix(clashing).count() == mixing.mix(docs).count()
     again = mixing.shares(docs.repartition(3)).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
     out = mixing.mix(docs).collect()

@@ -1,20 +1,21 @@
 """Mixing sources to target weights, in blocks of fixed length.
 
 The words of a source's documents, in order of their ids, are packed into blocks of ``BLOCK_WORDS`` words.
-The mix is made in output shards: the number of blocks that a shard takes of each source is drawn from a multinomial
-distribution of the sources' shares of what is still to be taken, so the totals meet the targets. Each block that
-is taken has a slot, numbered through a source; a pseudorandom permutation of the source's blocks, applied once for
-every pass over them, says which block fills a slot, and blocks are joined by source and number.
+The mix is made in output shards of ``SHARD_BLOCKS`` blocks. Each shard draws for itself, in a task and from a seed of its own, how many blocks it takes of each
+source: the whole part of the source's share of the shard for sure, and the rest from a multinomial distribution of the fractions that are left,
+so that totals come near the targets even of small tables. A source's draws number its slots through the shards; a pseudorandom permutation of
+the source's blocks, another one for every pass over them, says which block fills a slot, and blocks are joined by source and number.
 
 Sources, in order of their code points with a null source last, have the weights 5, 2, 1, 5, 2, 1, ... A source's
 target is its share of all words by weight, at most ``MOST`` times its own; what is above is shared among the
-others by weight until none is above. A block fills at most ``MOST`` slots, so no document is repeated more often.
+others by weight until none is above. A block fills at most ``MOST`` slots, so no document is repeated more often; slots drawn beyond that stay empty.
 
 Numbers of blocks come from sums over ranges of documents that Spark sorts (source, id, and a hash of the text as a tie-break), never from one
-source in one task. Sources are taken to be at most ``MAX_SOURCES``; more raise an error. All draws are seeded: the same table gives the same mix.
+source in one task. Sources, targets and draws are tables; a shard draws down a tree of groups of ``FAN`` sources, so no task holds all of them.
+All draws are seeded: the same table and seed give the same mix, and another seed other counts.
 
 Edge cases: a null or empty text has size 0 and nothing is taken of it, and its source has target 0 if it has no words; a null id sorts first;
-rows with equal ids are documents of their own; an empty table gives an empty mix; texts of any length count whole.
+rows with equal ids are documents of their own; an empty table gives an empty mix; texts of any length count whole; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -33,10 +34,11 @@ from tidemark.llm.arrow import column_of, release
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 BLOCK_WORDS = 64
-#: Blocks in an output shard, which are more where there would be more than MAX_SHARDS shards.
+#: Blocks in an output shard, and slots that a task fills.
 SHARD_BLOCKS = 4096
-MAX_SHARDS = 1000
-MAX_SOURCES = 10_000
+SLOTS = 200_000
+#: Sources, or groups of sources, among which a task draws at once.
+FAN = 4096
 SEED = 20_240_501
 WORD = regex.compile(r"[^\x20\x09-\x0D]+")
 
@@ -45,56 +47,92 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
-    """Words to take of each source, all sizes together, none above ``most`` times its size."""
-    total, out = float(sum(sizes)), [0.0] * len(sizes)
-    full: set[int] = {i for i, s in enumerate(sizes) if s == 0}
-    while len(full) < len(sizes):
-        rest = total - sum(out[i] for i in full)
-        share = sum(weights[i] for i in range(len(sizes)) if i not in full)
-        for i in range(len(sizes)):
-            if i not in full:
-                out[i] = rest * weights[i] / share
-        above = [i for i in range(len(sizes)) if i not in full and out[i] > most * sizes[i]]
-        if not above:
-            break
-        for i in above:
-            out[i] = float(most * sizes[i])
-        full.update(above)
+def with_targets(sources: DataFrame, most: float = MOST) -> DataFrame:
+    """``sources`` (words, weight) with the ``target``: words to take of each, all words together, none above ``most`` times its words.
+
+    A source is at its limit if its words for each unit of weight are under some level; the level rises until those under it stay the same.
+    """
+    ratio = F.col("words") / F.col("weight")
+    level, at_limit = -1.0, -1
+    while True:
+        full = ratio < level
+        total, taken, share, n = sources.agg(F.sum("words"), F.sum(F.when(full, F.col("words")).otherwise(0)), F.sum(F.when(~full, F.col("weight")).otherwise(0.0)), F.count(F.when(full, 1))).first()
+        rest = (total or 0) - most * (taken or 0)
+        if n == at_limit or not share:
+            return sources.withColumn("target", F.when(full, most * F.col("words")).otherwise(rest * F.col("weight") / F.lit(share or 1.0)).cast("double"))
+        level, at_limit = rest / share / most, n
+
+
+def drawn_of(count: int, weights: np.ndarray, seed: tuple[int, ...]) -> np.ndarray:
+    """How many of ``count`` draws fall on each: the whole parts of the shares, and a multinomial draw of the rest by the fractions."""
+    wanted = count * (weights / weights.sum())
+    out = np.floor(wanted).astype(np.int64)
+    if (rest := count - int(out.sum())) > 0:
+        fractions = wanted - out
+        out += np.random.default_rng(seed).multinomial(rest, fractions / fractions.sum() if fractions.sum() > 0 else weights / weights.sum())
     return out
 
 
-def shard_counts(blocks_wanted: np.ndarray, seed: int = SEED) -> Iterator[tuple[int, np.ndarray]]:
-    """For each output shard, the blocks that it takes of each source; together they are the blocks wanted."""
-    rng = np.random.default_rng(seed)
-    left = blocks_wanted.astype(np.int64).copy()
-    shard, shard_blocks = 0, max(SHARD_BLOCKS, -(-int(left.sum()) // MAX_SHARDS))
-    while (rest := int(left.sum())) > 0:
-        size = min(shard_blocks, rest)
-        drawn = np.zeros_like(left)
-        while (short := size - int(drawn.sum())) > 0:
-            open_ = left - drawn
-            drawn = np.minimum(drawn + rng.multinomial(short, open_ / open_.sum()), left)
-        yield shard, drawn
-        left -= drawn
-        shard += 1
+def shard_counts(sources: DataFrame, seed: int = SEED, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """``shard``, ``number`` and ``count``: the blocks that each output shard draws of each of ``sources`` (number, slots), where any."""
+    spark = sources.sparkSession
+    total, n = sources.agg(F.round(F.sum("slots")).cast("long"), F.count(F.lit(1))).first()
+    total = total or 0
+    shards = -(-total // shard_blocks)
+    tree = []
+    level = sources.where("slots > 0").select(F.col("number").alias("child"), F.col("slots").alias("weight"))
+    while True:
+        groups = level.groupBy(F.floor(F.col("child") / FAN).alias("node")).agg(F.sort_array(F.collect_list(F.struct("child", "weight"))).alias("children"), F.sum("weight").alias("weight"))
+        tree.append(groups.select("node", "children"))
+        if n <= FAN:
+            break
+        level, n = groups.select(F.col("node").alias("child"), "weight"), -(-n // FAN)
+
+    def draw(depth: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                shard, node, count = [], [], []
+                for s, n, c, children in zip(*(batch.column(x).to_pylist() for x in ("shard", "node", "count", "children")), strict=True):
+                    found = drawn_of(c, np.array([x["weight"] for x in children]), (seed, depth, s, n))
+                    at = np.flatnonzero(found)
+                    shard += [s] * len(at)
+                    node += [children[i]["child"] for i in at.tolist()]
+                    count += found[at].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (shard, node, count)], names=["shard", "node", "count"])
+
+        return run
 
+    size = F.least(F.lit(shard_blocks), total - F.col("id") * shard_blocks)
+    rows = spark.range(shards).select(F.col("id").alias("shard"), F.lit(0).cast("long").alias("node"), size.cast("long").alias("count"))
+    for depth, groups in enumerate(reversed(tree)):
+        groups = F.broadcast(groups) if depth == 0 else groups  # the root is one row of FAN children at most
+        rows = rows.join(groups, "node").select("shard", "node", "count", "children").mapInArrow(draw(depth), "shard long, node long, count long")
+    return rows.select("shard", F.col("node").alias("number"), "count")
 
-def permuted(index: Column, size: Column, key: Column, rounds: int = 4) -> Column:
-    """The place of ``index`` in a pseudorandom permutation of 0 to ``size`` - 1 that ``key`` chooses.
+
+def permuted(index: Column, size: Column, constants: Column, rounds: int = 4) -> Column:
+    """The place of ``index`` in a pseudorandom permutation of 0 to ``size`` - 1 that ``constants(size, key)`` describes.
 
     Each round maps i to (i * a + b) mod size, with a multiplier that has no common factor with the size, and then
     turns the order of a part of the range; both are one-to-one.
     """
     out = index
     for r in range(rounds):
-        a, b = (F.pmod(F.xxhash64(key, F.lit(r), F.lit(x)), F.lit(1 << 30)) for x in "ab")
-        out = F.pmod(out * coprime(a, size) + b, size)
-        cut = F.pmod(F.xxhash64(key, F.lit(r), F.lit("c")), size) + 1
+        a, b, cut = (constants[3 * r + x] for x in range(3))
+        out = F.pmod(out * a + b, size)
         out = F.when(out < cut, cut - 1 - out).otherwise(out)
     return out
 
 
+def constants(size: Column, key: Column, rounds: int = 4) -> Column:
+    """The numbers of a permutation, three a round."""
+    out = []
+    for r in range(rounds):
+        a, b = (F.pmod(F.xxhash64(key, F.lit(r), F.lit(x)), F.lit(1 << 30)) for x in "ab")
+        out += [coprime(a, size), b, F.pmod(F.xxhash64(key, F.lit(r), F.lit("c")), size) + 1]
+    return F.array(*out)
+
+
 def coprime(a: Column, size: Column) -> Column:
     """Of eight primes, the first from place ``a`` on that does not divide ``size`` (their product exceeds any size)."""
     primes = (1_000_003, 1_000_033, 1_000_037, 1_000_039, 1_000_081, 1_000_099, 1_000_117, 1_000_121)
@@ -121,72 +159,72 @@ def placed(sizes: DataFrame) -> DataFrame:
     return local.alias("r").join(offsets.alias("o"), same).select("r.id", "r.source", "r.tie", "r.size", (F.col("offset") + F.col("ahead")).alias("start"))
 
 
-def plan(sizes: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[list[tuple], list[tuple]]:
-    """Per source its number, words, target and blocks; and per output shard and source the slots that it takes."""
-    rows = sizes.groupBy("source").agg(F.sum("size").alias("words")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows = sorted(((r.source, int(r.words)) for r in rows), key=lambda r: (r[0] is None, r[0] or ""))
-    wanted = targets([w for _, w in rows], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(rows))])
-    blocks = [-(-w // block_words) for _, w in rows]
-    slots = np.array([min(MOST * b, round(t * b / w)) if w else 0 for (_, w), t, b in zip(rows, wanted, blocks, strict=True)], np.int64)
-    sources = [(i, s, w, float(t), b) for i, ((s, w), t, b) in enumerate(zip(rows, wanted, blocks, strict=True))]
-    drawn, at = [], np.zeros(len(rows), np.int64)
-    for shard, counts in shard_counts(slots):
-        for i in np.flatnonzero(counts).tolist():
-            drawn.append((shard, i, int(at[i]), int(counts[i])))
-        at += counts
-    return sources, drawn
+def in_order(rows: DataFrame, *by: Column) -> DataFrame:
+    """``rows`` with ``number``, their places in an order, from 0 on; ranges of rows are numbered apart."""
+    ranges = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id()).checkpoint()
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # of one row a partition
+    offsets = ranges.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*by)) - 1
+    return ranges.withColumn("inside", inside).join(offsets, "part").withColumn("number", F.col("offset") + F.col("inside")).drop("part", "inside", "offset")
 
 
-#: Slots that are made from one row.
-SLOTS = 100_000
-SOURCES = "number int, source string, source_size long, target double, blocks long"
-DRAWN = "shard int, number int, first long, count long"
+def weighed(documents: DataFrame, block_words: int) -> DataFrame:
+    """Per source its ``number``, ``source_size``, ``target``, ``blocks`` and the ``slots`` that meet the target."""
+    found = documents.groupBy("source").agg(F.sum("size").alias("words"))
+    found = in_order(found, F.col("source").asc_nulls_last())
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("number") % len(WEIGHTS) + 1).cast("int"))
+    found = with_targets(found.withColumn("weight", weight).checkpoint())
+    blocks = F.ceil(F.col("words") / block_words)
+    slots = F.when(F.col("words") > 0, F.col("target") * blocks / F.col("words")).otherwise(0.0)
+    return found.select("number", "source", F.col("words").alias("source_size"), "target", blocks.cast("long").alias("blocks"), slots.alias("slots"))
 
 
-def slots(sizes: DataFrame, sources: DataFrame, drawn: DataFrame) -> DataFrame:
+def slots(sources: DataFrame, drawn: DataFrame, seed: int = SEED) -> DataFrame:
     """``shard``, ``number`` and ``block`` of each slot of the mix."""
-    each = drawn.join(F.broadcast(sources.select("number", "blocks")), "number")
-    end = F.col("first") + F.col("count")
-    ranges = each.select("shard", "number", "blocks", end.alias("end"), F.explode(F.sequence(F.col("first"), end - 1, F.lit(SLOTS))).alias("from"))
-    to = F.least(F.col("end"), F.col("from") + SLOTS) - 1
-    each = ranges.repartition("number", "from").select("shard", "number", "blocks", F.explode(F.sequence(F.col("from"), to)).alias("slot"))
-    turn = (F.col("slot") / F.col("blocks")).cast("long")
-    key = F.xxhash64(F.lit(SEED), F.col("number"), turn)
-    return each.select("shard", "number", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), key).alias("block"))
-
-
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+    some = drawn.withColumn("range", F.floor(F.col("shard") / 4096))
+    of_ranges = some.groupBy("number", "range").agg(F.sum("count").alias("n"))
+    before = lambda w, x: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of_ranges = of_ranges.select("number", "range", before(Window.partitionBy("number").orderBy("range"), "n").alias("offset"))
+    first = F.col("offset") + before(Window.partitionBy("number", "range").orderBy("shard"), "count")
+    each = some.join(of_ranges, ["number", "range"]).select("shard", "number", "count", first.alias("first")).join(sources.select("number", "blocks"), "number")
+    end = F.least(F.col("first") + F.col("count"), MOST * F.col("blocks"))
+    each = each.withColumn("end", end).where("first < end")
+    turns = F.sequence(F.floor(F.col("first") / F.col("blocks")), F.floor((F.col("end") - 1) / F.col("blocks")))
+    each = each.select("shard", "number", "blocks", "first", "end", F.explode(turns).alias("turn")).checkpoint()
+    total = each.agg(F.sum(F.least("end", (F.col("turn") + 1) * F.col("blocks")) - F.greatest("first", F.col("turn") * F.col("blocks")))).first()[0] or 0
+    low, high = F.greatest("first", F.col("turn") * F.col("blocks")), F.least("end", (F.col("turn") + 1) * F.col("blocks"))
+    passes = each.repartition(max(8, -(-total // SLOTS)), "shard", "number", "turn").select("shard", "number", "blocks", (low % F.col("blocks")).alias("low"), (high - low).alias("n"), constants(F.col("blocks"), F.xxhash64(F.lit(seed), "number", "turn")).alias("constants"))
+    one = passes.select("shard", "number", "blocks", "constants", F.explode(F.sequence(F.col("low"), F.col("low") + F.col("n") - 1)).alias("index"))
+    return one.select("shard", "number", permuted(F.col("index"), F.col("blocks"), F.col("constants")).alias("block"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """The documents with their sources' figures and places, and the pieces of them that the mix takes.
 
-    Documents: ``id, source, tie, size, start, number, source_size, target``. Pieces: ``id, tie, start, from_word, n_words``
-    (words of the document) and ``times``, how often the mix takes them.
+    Documents: ``id, source, tie, size, start, number, source_size, target``. Pieces: ``id, tie, number, start, from_word, n_words``
+    (words of the document), ``times``, how often the mix takes them, and ``shards``, the output shard of each time.
     """
-    spark = docs.sparkSession
-    sizes = sized(docs, id_col, text_col, source_col)
-    documents = placed(sizes.checkpoint()).checkpoint()
-    found, drawn = plan(documents, block_words)
-    sources = spark.createDataFrame(found, SOURCES)  # at most MAX_SOURCES rows
-    chosen = slots(documents, sources, spark.createDataFrame(drawn, DRAWN))
-    times = chosen.groupBy("number", "block").agg(F.count("*").alias("times"))
-    known = documents.alias("d").join(F.broadcast(sources.alias("s")), F.col("d.source").eqNullSafe(F.col("s.source")))
+    documents = placed(sized(docs, id_col, text_col, source_col).checkpoint()).checkpoint()
+    sources = weighed(documents, block_words).checkpoint()
+    chosen = slots(sources, shard_counts(sources, seed), seed)
+    times = chosen.groupBy("number", "block").agg(F.sort_array(F.collect_list("shard")).alias("shards")).withColumn("times", F.size("shards"))  # MOST at most
+    known = documents.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
     known = known.select("d.id", "d.source", "d.tie", "d.size", "d.start", "s.number", "s.source_size", "s.target")
     first, last = (F.floor(x / block_words) for x in (F.col("start"), F.col("start") + F.col("size") - 1))
     parts = known.where("size > 0").select("id", "tie", "start", "size", "number", F.explode(F.sequence(first, last)).alias("block"))
     begin = F.greatest(F.col("start"), F.col("block") * block_words)
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
-    pieces = parts.join(times, ["number", "block"]).select("id", "tie", "number", "start", (begin - F.col("start")).alias("from_word"), (end - begin).alias("n_words"), "times")
+    pieces = parts.join(times, ["number", "block"]).select("id", "tie", "number", "start", (begin - F.col("start")).alias("from_word"), (end - begin).alias("n_words"), "times", "shards")
     return known, pieces
 
 
 def shares(docs: DataFrame) -> DataFrame:
-    """Per document: size, source_size, target and ``taken``, the words that the mix takes of it, repeats counted."""
+    """Per document: size, source_size, target, ``taken``, the words that the mix takes of it, repeats counted, and ``first_shard``, the first output shard with any."""
     known, pieces = mixed(docs.select("doc_id", "text", "source"))
-    taken = pieces.groupBy("number", "start").agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
+    taken = pieces.groupBy("number", "start").agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"), F.min(F.element_at("shards", 1)).alias("first_shard"))
     columns = [F.col("id").alias("doc_id"), "size", "source_size", "target"]
-    some = known.where("size > 0").join(taken, ["number", "start"], "left").select(*columns, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    return some.unionByName(known.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken")))
+    some = known.where("size > 0").join(taken, ["number", "start"], "left").select(*columns, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard")
+    return some.unionByName(known.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_shard")))
 
 
 def cut(text: str, pieces: list[tuple[int, int, int]]) -> str:
@@ -217,10 +255,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     by_doc = pieces.groupBy(key.alias("mix_id"), "tie", "number", "start").agg(F.sort_array(F.collect_list(F.struct("from_word", "n_words", "times"))).alias("pieces"))
     # rows with equal ids and texts have equal sizes, so it doesn't matter which of them gets which pieces
     copies = by_doc.groupBy("mix_id", F.col("tie").alias("mix_tie")).agg(F.sort_array(F.collect_list(F.struct("number", "start", "pieces"))).alias("mix_copies"))
-    keyed = docs.withColumns({"mix_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "mix_tie": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    nth = F.row_number().over(Window.partitionBy("mix_id", "mix_tie").orderBy(F.col(source_col).asc_nulls_last()))
-    joined = keyed.join(copies, ["mix_id", "mix_tie"]).withColumn("mix_nth", nth).where(F.col("mix_nth") <= F.size("mix_copies"))
-    joined = joined.select(*docs.columns, F.element_at("mix_copies", F.col("mix_nth"))["pieces"].alias("mix_pieces"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("mix_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mix_tie"))
+    nth = F.row_number().over(Window.partitionBy("mix_id", "mix_tie").orderBy(F.col("row")[source_col].asc_nulls_last()))
+    joined = keyed.join(copies, ["mix_id", "mix_tie"]).withColumn("nth", nth).where(F.col("nth") <= F.size("mix_copies"))
+    joined = joined.select("row", F.element_at("mix_copies", F.col("nth"))["pieces"].alias("pieces"))
 
     names = docs.columns
     at = names.index(text_col)
@@ -228,13 +266,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, pieces in zip(column_of(batch, text_col).to_pylist(), column_of(batch, "mix_pieces").to_pylist(), strict=True):
+            rows = column_of(batch, "row").flatten()
+            for text, pieces in zip(rows[at].to_pylist(), column_of(batch, "pieces").to_pylist(), strict=True):
                 found = [(p["from_word"], p["n_words"], p["times"]) for p in pieces]
                 whole = all(t == 1 for _, _, t in found) and sum(n for _, n, _ in found) == len(WORD.findall(text))
                 texts.append(text if whole else cut(text, found))
-            columns = [column_of(batch, c) for c in names]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            rows[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(rows, names=names)
         release()
 
     out = joined.mapInArrow(run, T.StructType([docs.schema[c] for c in names]))
