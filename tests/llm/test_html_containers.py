@@ -1,5 +1,7 @@
 """Names that don't name boilerplate, and articles of several containers."""
 
+import random
+
 import pytest
 
 from tidemark.llm import html
@@ -33,3 +35,73 @@ def test_all_containers_of_the_winning_path():
 def test_heading_beside_a_large_inner_container():
     page = f"<body><div class='post'><h1>Head</h1><div class='entry-content'><p>{WORDS * 20}</p></div></div><div class='box'><p>box</p></div></body>"
     assert html.main_text(page) == f"Head\n{(WORDS * 20).strip()}"
+
+
+def test_attributes_names_and_headers():
+    story = "<p>" + "main text of the story " * 8 + "</p>"
+    text = ("main text of the story " * 8).strip()
+    assert html.main_text(f"<div><p title='the hidden gem'>{text}</p><p data-x=\"class='ad'\">more</p></div>") == text + "\nmore"
+    assert html.main_text(f'<div class="content has-sidebar">{story}</div><div class="sidebar"><p>side side side</p></div>') == text
+    for name in ('id="share-price"', 'class="social-science"', 'class="post-tags-none"'):
+        assert html.main_text(f"<article><h2>H</h2><div {name}>{story}</div></article>") == "H\n" + text
+    assert html.main_text(f"<header><h1>Site</h1></header><article><header><h1>Title</h1><p>By me</p></header>{story}<footer>f</footer></article>") == "Title\n" + text
+    assert html.main_text(f"<article><div hidden>no</div><div aria-hidden=true>no</div><div aria-hidden='false'>yes</div>{story}</article>") == "yes\n" + text
+
+
+def test_deep_pages():
+    import time
+    import tracemalloc
+
+    deep = 50_000
+    page = "<body>" + "<div class='level'>" * deep + "<p>deep text</p>" + "</div>" * deep
+    tracemalloc.start()
+    began = time.time()
+    assert html.main_text(page) == "deep text"
+    assert tracemalloc.get_traced_memory()[1] < 200e6 and time.time() - began < 60
+    tracemalloc.stop()
+    began = time.time()
+    many = "".join(f"<div><p>{i}</p>" for i in range(3000)) + "</span></p>" * 3000
+    html.main_text(many)
+    html.main_text("<span>" * 20_000 + "x" + "<div class='ad'><h1>" * 5000)
+    assert time.time() - began < 60
+
+
+BOILER = ["<nav><a href='/'>menu</a> {}</nav>", "<div class='ad'>{}</div>", "<aside>{}</aside>", "<footer>{}</footer>", "<div id='comments'><p>{}</p></div>", "<form>{}</form>", "<script>var x = '{}'</script>", "<!-- {} -->", "<div role='navigation'>{}</div>", "<p hidden>{}</p>"]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_random_pages_against_their_making(seed):
+    """Pages put together from known article blocks and known other parts, in nested containers."""
+    rng = random.Random(seed)
+    words = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    wanted = []
+
+    def part() -> str:
+        return rng.choice(BOILER).format(words(rng.randint(1, 6)))
+
+    def block() -> str:
+        text = words(rng.randint(5, 40))
+        wanted.append(text)
+        spaced = text.replace(" ", rng.choice([" ", "  ", "\n\t"]), 1)
+        return rng.choice(["<p>{}</p>", "<p class='lead'>{}", "<ul><li>{}</ul>", "<h2>{}</h2>", "<blockquote><p>{}</p></blockquote>", "<p><b>{}</b></p>", "<table><tr><td>{}</table>"]).format(spaced)
+
+    def body(depth: int) -> str:
+        out = ""
+        for _ in range(rng.randint(2, 5)):
+            kind = rng.random()
+            if kind < 0.2:
+                out += part()
+            elif kind < 0.4 and depth < 3:
+                out += f"<section>{body(depth + 1)}</section>"
+            else:
+                out += block()
+        return out
+
+    page = part() + part() + f"<article class='post-{seed}'>{body(0)}</article>" + part()
+    assert html.main_text(f"<!DOCTYPE html><html><body>{page}</body></html>") == "\n".join(wanted)
+
+
+def test_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a/x", "<p>one two</p>", "h", "p", "r")], "page_id long, url string, html string, host string, path string, row string")
+    assert html.extract(pages).select("page_id", "host", "path", "row", "text").collect()[0] == (1, "h", "p", "r", "one two")
+    assert html.extract(pages.withColumnsRenamed({"host": "page_host", "path": "page_path", "row": "page_html"})).count() == 1
