@@ -7,10 +7,11 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+import tokenizers
 import xxhash
 
 import corpus_pipeline
-from tidemark.llm import bpe, html, langid, licenses, mixing, quality, registry, topk
+from tidemark.llm import html, langid, licenses, mixing, quality, registry, topk
 from tidemark.llm.shared import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -337,6 +338,43 @@ def test_every_query_has_its_number():
 # Pipeline
 
 
+def test_language_stage_corrects_labels_and_takes_wanted_languages(spark):
+    en = ["the cat and the dog were in the house with this thing", "that is what they would have thought about the weather"]
+    de = ["der hund und die katze sind nicht in dem schönen haus", "das ist was wir über das wetter gedacht haben würden"]
+    rows = [(i, (en if i % 2 else de)[i % 4 // 2], "en" if i % 2 else "de", "s", 1) for i in range(60)]
+    rows += [(100, "the house and the weather", "de", "s", 1), (101, "das schöne haus und der hund", None, "s", 1), (102, "12 !!", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert got[100] == "en" and got[101] == "de" and 102 not in got and len(got) == 62
+    only = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, docs, "", ("de",)).collect()}
+    assert only == {i: lang for i, lang in got.items() if lang == "de"}
+
+
+def test_suffix_stage_keeps_whole_characters(spark):
+    shared = "".join(chr(0x430 + i) for i in range(80))
+    rows = [(1, "aé" + shared + " b", "en", "s", 1), (2, "genuine \ufffd stays ũ" + shared + "\ufffd", "en", "s", 1)]  # é and ũ end with the same byte
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.suffix_dedup(spark, docs, "").collect()}
+    want = "genuine \ufffd stays \ufffd"
+    assert got == {1: (rows[0][1], len(rows[0][1])), 2: (want, len(want))}
+
+
+def test_mix_stage_by_replay(spark, docs):
+    """The texts of the stage are put together again from the pieces, word by word."""
+    stage_docs = docs.select(corpus_pipeline.COLUMNS)
+    pieces = defaultdict(list)
+    for r in mixing.mixed(stage_docs)[1].collect():
+        pieces[r.id, r.tie, r.number, r.start].append((r.from_word, r.n_words, r.times))
+    texts = {r.doc_id: r.text for r in stage_docs.collect()}
+    many = Counter(r.doc_id for r in stage_docs.collect())
+    got = {r.doc_id: r.text for r in corpus_pipeline.mix_sources(spark, stage_docs, "").collect()}
+    for (i, *_), parts in pieces.items():
+        if i is not None and many[i] == 1:
+            words = WORD.findall(texts[i])
+            taken = [w for turn in range(3) for a, n, t in sorted(parts) if t > turn for w in words[a : a + n]]
+            assert WORD.findall(got[i]) == taken
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     stage_docs = docs.select(corpus_pipeline.COLUMNS)
     langs = corpus_pipeline.language_id(spark, stage_docs, "")
@@ -349,10 +387,12 @@ def test_pipeline_stages(spark, docs, tmp_path):
         path = str(tmp_path / name)
         out.write.parquet(path)
         frame = spark.read.parquet(path)
-    model = bpe.WordBpe(tokenizer_path())
+    library = tokenizers.Tokenizer.from_file(tokenizer_path())
+    library.no_truncation()
+    library.no_padding()
     texts = {r.doc_id: r.text for r in spark.read.parquet(str(tmp_path / "mix_sources")).collect()}
     for r in frame.collect():
-        assert " ".join(map(str, r.token_ids)) == next(model.encode([texts[r.doc_id]]))[0] or r.doc_id is None
+        assert r.doc_id is None or r.token_ids == library.encode(texts[r.doc_id], add_special_tokens=False).ids
     empty = stage_docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0

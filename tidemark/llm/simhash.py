@@ -12,22 +12,32 @@ down the nodes level by level, adds up the differences and drops a node with all
 remains is merged at once into local components, so a task sends one row a fingerprint, not its pairs. Components
 over all buckets come from minimum labels with pointer jumping on the linked fingerprints.
 
+``components`` takes 64-bit fingerprints at their word. ``near_components`` finds texts whose sets of word shingles have a Jaccard similarity of 0.8 or
+more: for those, 64 bits differ in about ten places and no pigeonhole is left, so a set gets ``WIDE`` fingerprints of 64 bits, from as many mixes
+of its hashes, and goes into the four buckets of each. The same index, with limits on the bits of the bucket's fingerprint and of all of them, gives candidate
+components, without a pair being sent. In each of them the sets themselves are then compared, in pairs of blocks of ``MEMBERS`` sets, so a link holds exactly and none between candidates is lost.
+A pair of similarity 0.8 shares a bucket with probability 1 - (1 - 0.848 ** 16) ** 32 = 0.91, one of 0.9 with 0.997, and one of 0.95 nearly surely; a component may still be joined
+through other members. Its members are compared block by block, so the work of one candidate component grows with the square of its distinct sets.
+
 Edge cases: a null or empty text, or one of white space alone, has fingerprint zero and is linked like any other;
 texts of one or two words are one shingle; a null id never names a component that has another; rows with equal ids each
-get a row; texts of any length count whole; other columns of the input are left out of ``components``.
+get a row; texts of any length count whole; other columns of the input, of any names, are left out of ``components`` and kept by ``keep_first``. For ``near_components`` a
+text without a word has the empty set, and empty sets are equal; texts of up to five words are one shingle; a row without an id stays only if its component has none with one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.arrow import column_of, release, slices, text_buffers, texts_of
+from tidemark.llm.shared import shared_path
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -36,26 +46,52 @@ BUCKET = 50_000
 FRONTIER = 2_000_000
 #: Times that a too large bucket is split again.
 SPLITS = 3
+#: Near duplicates: words of a shingle, the least similarity as a fraction, fingerprints of a set, and bits in which candidates may differ in the
+#: bucket's fingerprint (of 64) and in all (of 512; sets of similarity 0.8 differ in 78, with a deviation of 8).
+NEAR_SHINGLE = 5
+NEAR = (4, 5)
+WIDE = 8
+NEAR_BITS, WIDE_BITS = 18, 106
+#: Sets of a candidate component that are compared at once with as many others; rows of buckets that a task takes together.
+MEMBERS = 1000
+TOGETHER = 100_000
 U = np.uint64
+MIXES = np.random.default_rng(42).integers(0, 1 << 64, WIDE, np.uint64)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The hashes of a text's shingles, in order."""
     words = text.lower().split()  # of bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.append(0, ends[:-1] + 1)
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-    bits = np.zeros(64, np.int64)
-    flat = np.array(hashes, np.uint64)
-    for at in range(0, len(flat), 1 << 16):
-        bits += np.unpackbits(flat[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * bits > len(flat), bitorder="little").view(np.uint64)[0])
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.append(0, ends[:-1] + 1)
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(rows: np.ndarray) -> np.ndarray:
+    """The bits that more than half of the rows of 64-bit numbers have, by column."""
+    ones = np.zeros(rows.shape[1] * 64, np.int64)
+    for at in range(0, len(rows), 255):
+        part = np.ascontiguousarray(rows[at : at + 255]).view(np.uint8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(rows), bitorder="little").view(np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    return int(majority(shingle_hashes(text, shingle)[:, None])[0])
+
+
+def wide_fingerprints(found: np.ndarray) -> np.ndarray:
+    """``WIDE`` fingerprints of a set of hashes, each from another mix of them."""
+    x = (found[:, None] ^ MIXES) * U(0xFF51AFD7ED558CCD)
+    x ^= x >> U(33)
+    x *= U(0xC4CEB9FE1A85EC53)
+    return majority(x ^ x >> U(29))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -134,8 +170,11 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         parent = roots_of(parent)
 
 
-def linked(bits: np.ndarray, bucket: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
-    """For fingerprints (uint64) with their buckets' numbers: the place of one in the same local component."""
+def linked(bits: np.ndarray, bucket: np.ndarray, limit: int = MAX_BITS, check: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """For fingerprints (uint64) with their buckets' numbers: the place of one in the same local component.
+
+    ``check`` says which of the pairs (places) within the limit are linked; without it all are.
+    """
     n = len(bits)
     order = np.lexsort((gray_rank(bits), bucket))
     bits, bucket = bits[order], bucket[order]
@@ -176,30 +215,56 @@ def linked(bits: np.ndarray, bucket: np.ndarray, limit: int = MAX_BITS) -> np.nd
                 if len(query):
                     parts.append((query, below, apart, level + 1))
             else:
-                parent = unite(parent, query, starts[8][below])
+                other = starts[8][below]
+                if check is not None:
+                    passed = check(order[query], order[other])
+                    query, other = query[passed], other[passed]
+                parent = unite(parent, query, other)
     out = np.empty(n, np.int64)
     out[order] = order[roots_of(parent)]
     return out
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], size: int = TOGETHER) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of equal values in ``by``, by which the batches are sorted, and the groups' numbers; some ``size`` rows, or one larger group, at a time."""
+
+    def numbers(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        for name in by:
+            x = column_of(table, name).to_numpy(zero_copy_only=False)
+            new[1:] |= x[1:] != x[:-1]
+        return np.cumsum(new)
+
+    held: list[pa.RecordBatch] = []
+    rows = wanted = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= max(size, wanted):
+            table = pa.Table.from_batches(held)
+            group = numbers(table)
+            last = int(np.searchsorted(group, group[-1]))
+            if last:
+                yield table.slice(0, last), group[:last]
+            held = table.slice(last).combine_chunks().to_batches()
+            rows = table.num_rows - last
+            wanted = 2 * rows  # a large group isn't looked through again for each batch
+    if rows:
+        table = pa.Table.from_batches(held)
+        yield table, numbers(table)
+
+
 def local_links(bucketed: DataFrame) -> DataFrame:
     """``a`` and ``b``: each fingerprint with the one that names its local component, where they differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        bits = column_of(table, "bits").to_numpy().view(np.uint64)
-        mask, shared = column_of(table, "mask").to_numpy(), column_of(table, "shared").to_numpy()
-        order = np.lexsort((shared, mask))
-        new = np.append(True, (mask[order][1:] != mask[order][:-1]) | (shared[order][1:] != shared[order][:-1]))
-        bucket = np.empty(len(bits), np.int64)
-        bucket[order] = np.cumsum(new) - 1
-        to = linked(bits, bucket)
-        a = np.flatnonzero(to != np.arange(len(bits)))
-        yield pa.RecordBatch.from_arrays([pa.array(bits[a].view(np.int64)), pa.array(bits[to[a]].view(np.int64))], names=["a", "b"])
-
-    return bucketed.repartition("mask", "shared").mapInArrow(run, "a long, b long").distinct()
+        for table, bucket in whole_groups(batches, ["mask", "shared"]):
+            bits = column_of(table, "bits").to_numpy().view(np.uint64)
+            to = linked(bits, bucket)
+            a = np.flatnonzero(to != np.arange(len(bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(bits[a].view(np.int64)), pa.array(bits[to[a]].view(np.int64))], names=["a", "b"])
+
+    return bucketed.repartition("mask", "shared").sortWithinPartitions("mask", "shared").mapInArrow(run, "a long, b long").distinct()
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -228,10 +293,143 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one with the least id (all rows without an id stay)."""
-    first = components(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    of_id = Window.partitionBy(id_col).orderBy(F.lit(0))
-    with_id = docs.where(F.col(id_col).isNotNull()).join(first, id_col, "left_semi")
-    one = with_id.withColumn("simhash_place", F.row_number().over(of_id)).where("simhash_place = 1").select(*docs.columns)
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+def keyed_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``row``, the columns of docs, with ``id``, the ``key`` of its set of shingles, the set's ``size`` and its ``wide`` fingerprints."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    schema = T.StructType([rows.schema["row"], T.StructField("id", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("wide", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = text_buffers(column_of(batch, "text"))
+            for a, b in slices(offsets):
+                found = [np.unique(shingle_hashes(t, shingle)) for t in texts_of(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])]
+                keys = pa.array([xxhash.xxh3_128_digest(f.tobytes()) for f in found], pa.binary())
+                wide = pa.array([wide_fingerprints(f).tobytes() for f in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(column_of(batch, c).slice(a, b - a) for c in ("row", "id")), keys, pa.array(map(len, found), pa.int64()), wide], names=schema.names)
+        release()
+
+    return rows.mapInArrow(run, schema)
+
+
+def wide_buckets(sets: DataFrame) -> DataFrame:
+    """Every set in the buckets of all quarters of its fingerprints: ``band``, ``value`` and the set's columns; a bucket of over ``BUCKET`` sets is split by the quarters of the next fingerprint."""
+    quarter = lambda band: F.substring("wide", 2 * band + 1, 2)
+    level = sets.select("*", F.explode(F.sequence(F.lit(0), F.lit(4 * WIDE - 1))).alias("band")).withColumn("value", quarter(F.col("band")))
+    large = level.groupBy("band", "value").count().where(F.col("count") > BUCKET).select("band", "value", F.lit(True).alias("large"))
+    marked = level.join(large, ["band", "value"], "left").withColumn("sub", F.when(F.col("large"), F.sequence(F.lit(1), F.lit(4))).otherwise(F.array(F.lit(0))))
+    split = marked.select(*sets.columns, "band", "value", F.explode("sub").alias("sub"))
+    below = quarter((F.col("band") + F.col("sub") + 3 - F.col("band") % 4) % (4 * WIDE))
+    return split.select(*sets.columns, "band", "sub", F.when(F.col("sub") > 0, F.concat("value", below)).otherwise(F.col("value")).alias("value"))
+
+
+def candidates(bucketed: DataFrame, near: tuple[int, int]) -> DataFrame:
+    """``a`` and ``b``: each set's key with the one that names its candidate component in a bucket, where they differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bucket in whole_groups(batches, ["band", "sub", "value"]):
+            wide = np.frombuffer(b"".join(column_of(table, "wide").to_pylist()), U).reshape(-1, WIDE)
+            size = column_of(table, "size").to_numpy()
+
+            def check(i: np.ndarray, j: np.ndarray, wide=wide, size=size) -> np.ndarray:
+                near_size = near[1] * np.minimum(size[i], size[j]) >= near[0] * np.maximum(size[i], size[j])
+                near_size[near_size] = np.bitwise_count(wide[i[near_size]] ^ wide[j[near_size]]).sum(axis=1, dtype=np.int64) <= WIDE_BITS
+                return near_size
+
+            bits = wide[np.arange(len(wide)), column_of(table, "band").to_numpy() // 4]
+            to = linked(bits, bucket, NEAR_BITS, check)
+            a = np.flatnonzero(to != np.arange(len(bits)))
+            key = column_of(table, "key")
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(a)), key.take(pa.array(to[a]))], names=["a", "b"])
+        release()
+
+    by = ["band", "sub", "value"]
+    return bucketed.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a binary, b binary").distinct()
+
+
+def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, near: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a set in ``left`` and one in ``right`` (places) whose similarity reaches ``near``: i / (a + b - i) >= x / y means (x + y) * i >= x * (a + b)."""
+    size = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = (np.cumsum(shared) - 1)[code]
+    owner = np.repeat(np.arange(len(sets)), size)[shared[code]]
+    place = place[shared[code]]
+    both = np.zeros((len(left), len(right)), np.int64)
+    for start in range(0, int(shared.sum()), 1 << 16):  # a part of the shared shingles at a time, a bit each
+        here = (place >= start) & (place < start + (1 << 16))
+        words = -(-min(1 << 16, int(shared.sum()) - start) // 64)
+        bits = np.zeros((len(sets), words), np.uint64)
+        at = place[here] - start
+        np.bitwise_or.at(bits, (owner[here], at // 64), U(1) << (at % 64).astype(np.uint64))
+        others = bits[right]
+        for n, i in enumerate(left.tolist()):
+            both[n] += np.bitwise_count(bits[i] & others).sum(axis=1, dtype=np.int64)
+    total = size[left][:, None] + size[right][None, :]
+    i, j = np.nonzero((near[0] + near[1]) * both >= near[0] * total)
+    return left[i], right[j]
+
+
+def exact_links(members: DataFrame, near: tuple[int, int]) -> DataFrame:
+    """``a`` and ``b``: links between sets (label, key, hashes) of the same candidate component, as trees of what is linked in each pair of blocks."""
+    blocks = members.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"))
+    placed = members.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    pair = lambda other: F.struct(F.least("block", other).alias("low"), F.greatest("block", other).alias("high"))
+    met = placed.select("label", "key", "hashes", "block", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)).alias("pair"))
+    met = met.select("label", "pair.low", "pair.high", "block", "key", "hashes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in whole_groups(batches, ["label", "low", "high"], 2 * MEMBERS):
+            key = column_of(table, "key")
+            block, low, high = (column_of(table, c).to_numpy() for c in ("block", "low", "high"))
+            hashes = [np.frombuffer(h, U) for h in column_of(table, "hashes").to_pylist()]
+            parent = np.arange(len(hashes))
+            edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)).tolist()
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                rows = np.arange(y - x)
+                of_low = rows[block[x:y] == low[x]] if low[x] != high[x] else rows
+                of_high = rows[block[x:y] == high[x]]
+                i, j = similar_pairs(hashes[x:y], of_low, of_high, near)
+                parent = unite(parent, x + i, x + j)
+            a = np.flatnonzero(parent != np.arange(len(parent)))
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(a)), key.take(pa.array(parent[a]))], names=["a", "b"])
+        release()
+
+    by = ["label", "low", "high"]
+    return met.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a binary, b binary").distinct()
+
+
+def with_hashes(rows: DataFrame, shingle: int) -> DataFrame:
+    """``label``, ``key`` and ``hashes``, the set itself as sorted 64-bit numbers, of rows with a ``text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = text_buffers(column_of(batch, "text"))
+            for a, b in slices(offsets):
+                found = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts_of(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])]
+                yield pa.RecordBatch.from_arrays([*(column_of(batch, c).slice(a, b - a) for c in ("label", "key")), pa.array(found, pa.binary())], names=["label", "key", "hashes"])
+        release()
+
+    return rows.select("label", "key", "text").mapInArrow(run, "label binary, key binary, hashes binary")
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, near: tuple[int, int] = NEAR) -> DataFrame:
+    """``row``, ``id`` and ``key`` of the set of every row, and ``label``, the key that names its component."""
+    spark = docs.sparkSession
+    path = shared_path(spark, "simhash-sets")
+    keyed_sets(docs, id_col, text_col, shingle).write.parquet(path)  # whole rows, read by column below
+    rows = spark.read.parquet(path)
+    sets = rows.groupBy("key").agg(F.first("size").alias("size"), F.first("wide").alias("wide"))
+    found = connected(candidates(wide_buckets(sets.where("size > 0")), near))
+    members = rows.select("key", F.col("row")[text_col].alias("text")).join(found.select(F.col("node").alias("key"), "label"), "key").dropDuplicates(["key"])
+    links = connected(exact_links(with_hashes(members, shingle).checkpoint(), near))
+    return rows.select("row", "id", "key").join(links.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, near: tuple[int, int] = NEAR) -> DataFrame:
+    """``docs`` with one row of each component of near duplicates: the one with the least id."""
+    named = near_components(docs, id_col, text_col, shingle, near)
+    by = ["label", "missing", "id", "key"]
+    named = named.withColumn("missing", F.col("id").isNull())
+    first = named.groupBy("label").agg(F.min(F.struct("missing", F.coalesce("id", F.lit(0)).alias("id"), "key")).alias("first")).select("label", "first.*")
+    return named.withColumn("id", F.coalesce("id", F.lit(0))).join(first, by, "left_semi").dropDuplicates(by).select("row.*")
