@@ -55,6 +55,8 @@ NEAR_BITS, WIDE_BITS = 18, 106
 #: Sets of a candidate component that are compared at once with as many others; rows of buckets that a task takes together.
 MEMBERS = 1000
 TOGETHER = 100_000
+#: Rows of 16 bytes that are broadcast at most.
+SMALL = 500_000
 U = np.uint64
 MIXES = np.random.default_rng(42).integers(0, 1 << 64, WIDE, np.uint64)
 
@@ -312,21 +314,32 @@ def keyed_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
 
 
 def wide_buckets(sets: DataFrame) -> DataFrame:
-    """Every set in the buckets of all quarters of its fingerprints: ``band``, ``value`` and the set's columns; a bucket of over ``BUCKET`` sets is split by the quarters of the next fingerprint."""
-    quarter = lambda band: F.substring("wide", 2 * band + 1, 2)
-    level = sets.select("*", F.explode(F.sequence(F.lit(0), F.lit(4 * WIDE - 1))).alias("band")).withColumn("value", quarter(F.col("band")))
-    large = level.groupBy("band", "value").count().where(F.col("count") > BUCKET).select("band", "value", F.lit(True).alias("large"))
-    marked = level.join(large, ["band", "value"], "left").withColumn("sub", F.when(F.col("large"), F.sequence(F.lit(1), F.lit(4))).otherwise(F.array(F.lit(0))))
-    split = marked.select(*sets.columns, "band", "value", F.explode("sub").alias("sub"))
-    below = quarter((F.col("band") + F.col("sub") + 3 - F.col("band") % 4) % (4 * WIDE))
-    return split.select(*sets.columns, "band", "sub", F.when(F.col("sub") > 0, F.concat("value", below)).otherwise(F.col("value")).alias("value"))
+    """Every set (``node, size, wide``) in the buckets of all quarters of its fingerprints: ``bucket`` (with the quarter's number on top) and ``below``.
+
+    ``below`` is 0, or in a bucket of over ``BUCKET`` sets one of the quarters of the next fingerprint, four times.
+    """
+    number = 4 * WIDE
+    quarter = lambda band: F.conv(F.hex(F.substring("wide", 2 * band + 1, 2)), 16, 10).cast("long") + band.cast("long") * 65536
+    level = sets.select("*", F.explode(F.sequence(F.lit(0), F.lit(number - 1))).alias("band")).select("node", "size", "wide", quarter(F.col("band")).alias("bucket"))
+    whole = level.withColumn("below", F.lit(0).cast("long"))
+    if sets.count() <= BUCKET:  # then no bucket has more
+        return whole
+    large = level.groupBy("bucket").count().where(F.col("count") > BUCKET).select("bucket", F.lit(True).alias("large")).checkpoint()
+    found = large.count()
+    if not found:
+        return whole
+    marked = level.join(F.broadcast(large) if found <= BUCKET else large, "bucket", "left")
+    band = F.floor(F.col("bucket") / 65536)
+    next_ones = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda q: quarter((band - band % 4 + 4 + q) % number) + 1)
+    below = F.when(F.col("large"), next_ones).otherwise(F.array(F.lit(0).cast("long")))
+    return marked.select("node", "size", "wide", "bucket", F.explode(below).alias("below"))
 
 
 def candidates(bucketed: DataFrame, near: tuple[int, int]) -> DataFrame:
-    """``a`` and ``b``: each set's key with the one that names its candidate component in a bucket, where they differ."""
+    """``a`` and ``b``: each set's node with the one that names its candidate component in a bucket, where they differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bucket in whole_groups(batches, ["band", "sub", "value"]):
+        for table, group in whole_groups(batches, ["bucket", "below"]):
             wide = np.frombuffer(b"".join(column_of(table, "wide").to_pylist()), U).reshape(-1, WIDE)
             size = column_of(table, "size").to_numpy()
 
@@ -335,15 +348,15 @@ def candidates(bucketed: DataFrame, near: tuple[int, int]) -> DataFrame:
                 near_size[near_size] = np.bitwise_count(wide[i[near_size]] ^ wide[j[near_size]]).sum(axis=1, dtype=np.int64) <= WIDE_BITS
                 return near_size
 
-            bits = wide[np.arange(len(wide)), column_of(table, "band").to_numpy() // 4]
-            to = linked(bits, bucket, NEAR_BITS, check)
+            bits = wide[np.arange(len(wide)), column_of(table, "bucket").to_numpy() // 65536 // 4]
+            to = linked(bits, group, NEAR_BITS, check)
             a = np.flatnonzero(to != np.arange(len(bits)))
-            key = column_of(table, "key")
-            yield pa.RecordBatch.from_arrays([key.take(pa.array(a)), key.take(pa.array(to[a]))], names=["a", "b"])
+            node = column_of(table, "node")
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(to[a]))], names=["a", "b"])
         release()
 
-    by = ["band", "sub", "value"]
-    return bucketed.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a binary, b binary").distinct()
+    by = ["bucket", "below"]
+    return bucketed.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, near: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -410,26 +423,39 @@ def with_hashes(rows: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(column_of(batch, c).slice(a, b - a) for c in ("label", "key")), pa.array(found, pa.binary())], names=["label", "key", "hashes"])
         release()
 
-    return rows.select("label", "key", "text").mapInArrow(run, "label binary, key binary, hashes binary")
+    return rows.select("label", "key", "text").mapInArrow(run, "label long, key binary, hashes binary")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, near: tuple[int, int] = NEAR) -> DataFrame:
-    """``row``, ``id`` and ``key`` of the set of every row, and ``label``, the key that names its component."""
+def where_in(rows: DataFrame, some: DataFrame, by: str, how: str) -> DataFrame:
+    """``rows`` joined with rows of few columns; these are broadcast if they are counted to be at most ``SMALL``, else both sides are shuffled."""
+    return rows.join(F.broadcast(some) if some.count() <= SMALL else some, by, how)
+
+
+def labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, near: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """The rows, written with a ``place`` of their own, and of each ``place, id, key`` of its set, and ``label``, the key that names its component."""
     spark = docs.sparkSession
     path = shared_path(spark, "simhash-sets")
-    keyed_sets(docs, id_col, text_col, shingle).write.parquet(path)  # whole rows, read by column below
-    rows = spark.read.parquet(path)
-    sets = rows.groupBy("key").agg(F.first("size").alias("size"), F.first("wide").alias("wide"))
-    found = connected(candidates(wide_buckets(sets.where("size > 0")), near))
-    members = rows.select("key", F.col("row")[text_col].alias("text")).join(found.select(F.col("node").alias("key"), "label"), "key").dropDuplicates(["key"])
+    keyed_sets(docs, id_col, text_col, shingle).withColumn("place", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)  # places stay as they were written
+    node = F.xxhash64("key")  # sets of equal nodes, which are hardly any, are candidates as one
+    sets = rows.where("size > 0").groupBy(node.alias("node")).agg(F.first("size").alias("size"), F.first("wide").alias("wide")).checkpoint()
+    found = connected(candidates(wide_buckets(sets), near))
+    members = where_in(rows.select("key", F.col("row")[text_col].alias("text"), node.alias("node")), found, "node", "inner").dropDuplicates(["key"])
     links = connected(exact_links(with_hashes(members, shingle).checkpoint(), near))
-    return rows.select("row", "id", "key").join(links.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    labels = rows.select("place", "id", "key").join(links.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    return rows, labels
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, near: tuple[int, int] = NEAR) -> DataFrame:
+    """``id``, ``key`` of the set, and ``label``, the key that names its component, of every row."""
+    return labelled(docs, id_col, text_col, shingle, near)[1].select("id", "key", "label")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, near: tuple[int, int] = NEAR) -> DataFrame:
     """``docs`` with one row of each component of near duplicates: the one with the least id."""
-    named = near_components(docs, id_col, text_col, shingle, near)
-    by = ["label", "missing", "id", "key"]
-    named = named.withColumn("missing", F.col("id").isNull())
-    first = named.groupBy("label").agg(F.min(F.struct("missing", F.coalesce("id", F.lit(0)).alias("id"), "key")).alias("first")).select("label", "first.*")
-    return named.withColumn("id", F.coalesce("id", F.lit(0))).join(first, by, "left_semi").dropDuplicates(by).select("row.*")
+    rows, labels = labelled(docs, id_col, text_col, shingle, near)
+    rank = F.struct(F.col("id").isNull().alias("missing"), "id", "key", "place")
+    labels = labels.select("label", "place", rank.alias("rank")).checkpoint()
+    first = labels.groupBy("label").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("label", "first.place")
+    gone = labels.join(first.withColumnRenamed("place", "first"), "label").where("place != first").select("place").checkpoint()
+    return where_in(rows.select("row", "place"), gone, "place", "left_anti").select("row.*")
