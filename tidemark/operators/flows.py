@@ -110,14 +110,13 @@ def extremes(df: DataFrame, cutoff: float = 90.0, min_history: int = 104) -> Dat
     """Percentiles of the newest report's nets and shares in their own history, and whether commercials and large speculators are opposed extremes."""
     clean = complete(df, NETS + SHARES).where(F.col("n_rows") >= min_history + 1)
     w = windows.whole()
-    for c in NETS + SHARES:
-        clean = clean.withColumn(f"now_{c}", F.max(F.when(F.col("is_last"), F.col(c))).over(w))
+    clean = clean.withColumns({f"now_{c}": F.max(F.when(F.col("is_last"), F.col(c))).over(w) for c in NETS + SHARES})
     ranked = clean.groupBy("market").agg(
         F.max("date").alias("date"), (F.count("*") - 1).alias("history"), *(mid_rank(c).alias(f"{c}_pct") for c in NETS + SHARES), *(F.max(f"now_{c}").alias(c) for c in NETS + SHARES)
     )
-    for n in NETS:
-        a, b = F.col(f"{n}_pct"), F.col(f"{n}_oi_pct")
-        ranked = ranked.withColumn(f"{n}_combined", F.coalesce((a + b) / 2, a, b)).withColumn(f"{n}_state", expr.percentile_state(F.col(f"{n}_combined"), cutoff))
+    mean = lambda a, b: F.coalesce((a + b) / 2, a, b)
+    ranked = ranked.withColumns({f"{n}_combined": mean(F.col(f"{n}_pct"), F.col(f"{n}_oi_pct")) for n in NETS})
+    ranked = ranked.withColumns({f"{n}_state": expr.percentile_state(F.col(f"{n}_combined"), cutoff) for n in NETS})
     high, low = lambda c: F.col(c) >= cutoff, lambda c: F.col(c) <= 100 - cutoff
     absolute = F.when(high("commercial_net_pct") & low("noncommercial_net_pct"), "bullish").when(low("commercial_net_pct") & high("noncommercial_net_pct"), "bearish").otherwise("neutral")
     shares = F.when(high("commercial_net_oi_pct") & low("noncommercial_net_oi_pct"), "bullish").when(low("commercial_net_oi_pct") & high("noncommercial_net_oi_pct"), "bearish").otherwise("neutral")
@@ -134,7 +133,8 @@ def extremes(df: DataFrame, cutoff: float = 90.0, min_history: int = 104) -> Dat
 def transition(df: DataFrame, flow_weeks: int = 4, cutoff: float = 90.0) -> DataFrame:
     """Phases of a turning market: extreme positions, flows that turn, flows that last, and the price that follows."""
     sides = ["noncomm_long", "noncomm_short"]
-    clean = complete(df, ["close", "oi", *NETS, *sides, "comm_long", "comm_short", "nonrep_long", "nonrep_short"]).where(F.col("n_rows") >= max(105, flow_weeks + 53)).drop("is_last", "n_rows")
+    used = ["market", "date", "close", "oi", *NETS, *SHARES, *sides, "comm_long", "comm_short", "nonrep_long", "nonrep_short"]
+    clean = complete(df.select(*used), ["close", "oi", *NETS, *sides, "comm_long", "comm_short", "nonrep_long", "nonrep_short"]).where(F.col("n_rows") >= max(105, flow_weeks + 53)).drop("is_last", "n_rows")
     w = windows.series()
     moved = {f"d_{c}": windows.row_change(F.col(c), w, flow_weeks) for c in (*sides, "noncommercial_net")} | {"d_close": windows.row_return(F.col("close"), w, flow_weeks), "from_end": F.row_number().over(windows.whole().orderBy(F.col("date").desc()))}
     rows = windows.with_place(clean.withColumns(moved))

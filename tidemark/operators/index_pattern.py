@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr
@@ -22,9 +24,8 @@ def candidates(indexed: DataFrame, weeks: int = 8, min_history: int = 104, cutof
     current = current.withColumn("enough", F.col("n_rows") >= min_history + 1)
     sides = current.where("enough AND commercial_confirmed AND retail_confirmed").select("market", *(expr.extreme_side(F.col(i), cutoff).alias(f"{g}_side") for g, (i, _) in PAIRS.items()))
     history = placed.where(~F.col("is_last")).join(sides, "market")
-    for group, columns in PAIRS.items():
-        for c in columns:
-            history = history.where(F.coalesce(expr.extreme_side(F.col(c), cutoff) == F.col(f"{group}_side"), F.lit(False)))
+    alike = [F.coalesce(expr.extreme_side(F.col(c), cutoff) == F.col(f"{group}_side"), F.lit(False)) for group, columns in PAIRS.items() for c in columns]
+    history = history.where(reduce(Column.__and__, alike))
     return current, history.withColumn("distance", knn.distance(PATTERN, "euclid"))
 
 

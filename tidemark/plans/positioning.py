@@ -9,13 +9,20 @@ from tidemark.functions import expr, windows
 from tidemark.operators import knn, observations, outcomes
 from tidemark.operators.asof import asof
 from tidemark.plans.shape import shaped, sql, sql_counted, sql_levels, sql_nearest, sql_wilson
+from tidemark.session import materialized
 from tidemark.sources import proxies
 
 NETS, SHARES = knn.NETS, knn.SHARES
 
 
-def observed(spark: SparkSession, sf_dir: str, scales: bool = False) -> DataFrame:
-    return observations.observations(proxies.positions(spark, sf_dir), proxies.prices(spark, sf_dir), scales=scales)
+def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices, aggregated once."""
+    return materialized(proxies.prices(spark, sf_dir))
+
+
+def observed(spark: SparkSession, sf_dir: str, scales: bool = False, prices: DataFrame | None = None) -> DataFrame:
+    """Observations, made once: the source tables are read once, and analyzers that use them several times have a short plan."""
+    return materialized(observations.observations(proxies.positions(spark, sf_dir), priced(spark, sf_dir) if prices is None else prices, scales=scales))
 
 
 def asof_backward(spark, sf_dir):

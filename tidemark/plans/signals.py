@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import windows
 from tidemark.operators import flows, index_pattern, knn, observations, paths
-from tidemark.plans.positioning import NETS, R8, SHARES, observed
+from tidemark.plans.positioning import NETS, R8, SHARES, observed, priced
 from tidemark.plans.shape import shaped, sql, sql_counted, sql_greedy, sql_nearest, sql_wilson
 from tidemark.sources import proxies
 
@@ -143,7 +143,8 @@ CLUSTER_TIMING = "market:s n_paths:l onset_day window_start window_end peak_day:
 
 
 def cluster_timing_query(spark, sf_dir):
-    obs, prices = observed(spark, sf_dir), proxies.prices(spark, sf_dir)
+    prices = priced(spark, sf_dir)
+    obs = observed(spark, sf_dir, prices=prices)
     reports = windows.with_place(obs).where("is_last").select("market", F.date_sub("date", 110).alias("report_date"))
     biases = reports.select("market", F.when(F.col("market") < "B", "bearish").otherwise("bullish").alias("bias"))
     return shaped(paths.cluster_timing(knn.net_similar(obs), prices, biases, reports), CLUSTER_TIMING)
