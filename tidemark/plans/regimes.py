@@ -187,6 +187,57 @@ dt(market, i, j, before, done) AS (
 result AS (SELECT market, exp(-done[6] / 10) AS similarity FROM dt WHERE i = 5 AND j = 5)"""
 
 
+#: Warping of sequences of any length: ``wz`` has the standardized values, ``wl`` the lists, ``wr`` a similarity for each key.
+SQL_WARPS = """wz AS (SELECT market, win, shift, k, (x - avg(x) OVER g) / CASE WHEN stddev_pop(x) OVER g < 1e-12 THEN 1.0 ELSE stddev_pop(x) OVER g END AS zx, (y - avg(y) OVER g) / CASE WHEN stddev_pop(y) OVER g < 1e-12 THEN 1.0 ELSE stddev_pop(y) OVER g END AS zy
+  FROM seqs WINDOW g AS (PARTITION BY market, win, shift)),
+wl AS (SELECT market, win, shift, count(*) AS n, list(zx ORDER BY k) AS xs, list(zy ORDER BY k) AS ys FROM wz GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+wd(market, win, shift, i, j, before, done) AS (
+  SELECT market, win, shift, CAST(1 AS BIGINT), CAST(0 AS BIGINT), list_concat(CAST([0.0] AS DOUBLE[]), list_transform(range(n), lambda u: 'inf'::DOUBLE)), CAST(['inf'::DOUBLE] AS DOUBLE[]) FROM wl
+  UNION ALL
+  SELECT wd.market, wd.win, wd.shift, CASE WHEN j = n THEN i + 1 ELSE i END, CASE WHEN j = n THEN 0 ELSE j + 1 END, CASE WHEN j = n THEN done ELSE before END,
+    CASE WHEN j = n THEN ['inf'::DOUBLE] ELSE list_append(done, abs(xs[i] - ys[j + 1]) + least(before[j + 2], done[j + 1], before[j + 1])) END
+  FROM wd JOIN wl ON wl.market = wd.market AND wl.win = wd.win AND wl.shift = wd.shift WHERE i <= n AND NOT (i = n AND j = n)
+),
+wr AS (SELECT wd.market, wd.win, wd.shift, round(exp(-done[n + 1] / (2 * n)), 12) AS similarity FROM wd JOIN wl ON wl.market = wd.market AND wl.win = wd.win AND wl.shift = wd.shift WHERE i = n AND j = n)"""
+#: ``sh``: the best shift of each window.
+SQL_SHIFTS = SQL_CURVES + """,
+c15 AS (SELECT * FROM cv WHERE years = 15),
+sn AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY date) AS place, close / nullif(lag(close) OVER (PARTITION BY market ORDER BY date), 0) - 1 AS r FROM dp),
+sg AS (SELECT market, year(cutoff) - b AS year, s AS shift, cutoff + CAST(7 * s AS INTEGER) AS target FROM (SELECT DISTINCT market, cutoff FROM dp) CROSS JOIN (SELECT unnest(generate_series(1, 15)) AS b) CROSS JOIN (SELECT unnest(generate_series(-8, 8)) AS s)),
+sa0 AS (SELECT market, year, shift, make_date(year, month(target), least(day(target), day(last_day(make_date(year, month(target), 1))))) AS anchor FROM sg),
+sf AS (SELECT sa0.*, sn.place AS spot, sn.date AS found_on FROM sa0 ASOF JOIN sn ON sa0.market = sn.market AND sa0.anchor >= sn.date),
+sp0 AS (SELECT sf.market, d AS days, shift, k, quantile_cont(sn.r, 0.5) AS pattern FROM sf CROSS JOIN (VALUES (3), (10)) t(d) CROSS JOIN (SELECT unnest(generate_series(1, 10)) AS k) JOIN sn ON sn.market = sf.market AND sn.place = spot - d + k WHERE k <= d AND spot > d AND year(found_on) = year GROUP BY 1, 2, 3, 4),
+so AS (SELECT market, r AS own, row_number() OVER (PARTITION BY market ORDER BY date DESC) AS back FROM sn WHERE date <= cutoff),
+sd0 AS (SELECT market, d AS days, d + 1 - back AS k, own, count(*) OVER (PARTITION BY market, d) AS c FROM so CROSS JOIN (VALUES (3), (10)) t(d) WHERE back <= d AND own IS NOT NULL),
+cc AS (SELECT market, week, arg_max(close, date) AS close FROM dp WHERE iso_year = isoyear(cutoff) AND date <= cutoff GROUP BY 1, 2),
+cm AS (SELECT market, week, close / first_value(close) OVER (PARTITION BY market ORDER BY week) - 1 AS move FROM cc),
+sw AS (SELECT cm.market, s AS shift, cm.week, move, median FROM cm CROSS JOIN (SELECT unnest(generate_series(-8, 8)) AS s) JOIN c15 ON c15.market = cm.market AND c15.week = cm.week + s),
+sx AS (SELECT *, move - lag(move) OVER w AS own, median - lag(median) OVER w AS season, row_number() OVER (PARTITION BY market, shift ORDER BY week DESC) AS back FROM sw WINDOW w AS (PARTITION BY market, shift ORDER BY week)),
+sy AS (SELECT market, m AS weeks, shift, week, own, season, count(*) OVER (PARTITION BY market, m, shift) AS c FROM sx CROSS JOIN (VALUES (2), (4), (8)) t(m) WHERE back <= m AND own IS NOT NULL AND season IS NOT NULL),
+seqs AS (SELECT p.market, p.days || 'd' AS win, p.shift, p.k, own AS x, pattern AS y FROM sp0 p JOIN sd0 o ON o.market = p.market AND o.days = p.days AND o.k = p.k WHERE o.c = p.days UNION ALL SELECT market, weeks || 'w', shift, week, own, season FROM sy WHERE c = weeks),
+""" + SQL_WARPS + """,
+sh AS (SELECT market, win, shift, similarity FROM (SELECT *, row_number() OVER (PARTITION BY market, win ORDER BY similarity DESC, shift) AS place FROM wr) WHERE place = 1)"""
+SQL_STABILITY = """st AS (SELECT market, years, week, median - lag(median) OVER (PARTITION BY market, years ORDER BY week) AS step FROM cv WHERE n_years >= 4),
+sp AS (SELECT a.market, a.years AS ya, b.years AS yb, corr(a.step, b.step) AS r FROM st a JOIN st b ON a.market = b.market AND a.week = b.week AND a.years < b.years WHERE a.step IS NOT NULL AND b.step IS NOT NULL GROUP BY 1, 2, 3),
+stab AS (SELECT market, avg(greatest(0.0, r)) AS stability FROM sp WHERE r IS NOT NULL AND NOT isnan(r) GROUP BY 1)"""
+#: ``cal``: the calibration, one row a market.
+SQL_CALIBRATED = SQL_SHIFTS + "," + SQL_STABILITY + """,
+ka AS (SELECT market, CAST(round_even(quantile_cont(shift, 0.5), 0) AS BIGINT) AS shift, quantile_cont(similarity, 0.5) AS similarity FROM sh GROUP BY 1),
+kb AS (SELECT market, max(week) AS latest_week, count(*) AS n_weeks, list(move ORDER BY week) AS moves FROM cm GROUP BY 1 HAVING count(*) >= 9),
+kc AS (SELECT market, list(median ORDER BY week) AS lev, max(n_years) AS n_years FROM c15 GROUP BY 1),
+kd AS (SELECT *, greatest(1, least(52, latest_week + shift)) AS phase FROM ka JOIN kb USING (market) JOIN kc USING (market)),
+ke AS (SELECT *, moves[-1] - moves[-3] AS move_2w, lev[phase] - lev[greatest(1, phase - 2)] AS season_2w, moves[-1] - moves[-9] AS move_8w, CASE WHEN phase >= 9 THEN lev[phase] - lev[greatest(1, phase - 8)] END AS season_8w FROM kd),
+kf AS (SELECT *, move_2w - season_2w AS gap, CASE WHEN abs(season_8w) > 1e-8 THEN abs(move_8w / season_8w) * CASE WHEN sign(move_8w) = sign(season_8w) THEN 1 ELSE -1 END END AS progress FROM ke),
+cal AS (SELECT kf.*, stability, CASE WHEN progress IS NULL THEN 'unreliable' WHEN progress < 0 THEN 'against' WHEN progress < 0.8 THEN 'behind' WHEN progress <= 1.2 THEN 'on_course' ELSE 'ahead' END AS progress_status,
+  CASE WHEN shift >= 2 THEN 'season_ahead' WHEN shift <= -2 THEN 'season_behind' ELSE 'in_step' END AS status FROM kf LEFT JOIN stab USING (market))"""
+SQL_CHART = SQL_CALIBRATED + """,
+result AS (SELECT c.market, c.week, c.median, c.q25, c.q75, m.median AS calibrated, cm.move FROM c15 c JOIN cal USING (market) LEFT JOIN c15 m ON m.market = c.market AND m.week = greatest(1, least(52, c.week + cal.shift)) LEFT JOIN cm ON cm.market = c.market AND cm.week = c.week)"""
+SQL_AHEAD = SQL_CALIBRATED + """,
+fa AS (SELECT a.market, a.iso_year, t.weeks, b.path - a.path AS ret FROM yw a JOIN cal ON cal.market = a.market AND a.week = cal.phase CROSS JOIN (VALUES (4), (8), (12)) t(weeks) JOIN yw b ON b.market = a.market AND b.iso_year = a.iso_year AND b.week = a.week + t.weeks AND b.years = a.years WHERE a.years = 15),
+fb AS (""" + sql_counted("fa", "ret", "market, weeks") + """),
+ahead AS (SELECT *, CASE WHEN up > down THEN 'bullish' WHEN down > up THEN 'bearish' ELSE 'neutral' END AS direction, greatest(up, down) / n AS hit_rate, all_25 AS q25, all_75 AS q75 FROM fb)"""
+
+
 def entries() -> dict[str, tuple]:
     return {
         "macro_features": (lambda spark, sf_dir: shaped(feature_rows(spark, sf_dir), FEATURES), sql(SQL_FEATURES + ", result AS (SELECT * FROM feats)", FEATURES, "tables")),
@@ -228,9 +279,7 @@ result AS (SELECT ra.market, ra.dimension, z, CASE WHEN z IS NULL THEN 'n.a.' WH
         "seasonal_stability": (
             lambda spark, sf_dir: shaped(seasonality.stability(windowed(spark, sf_dir)), "market:s stability"),
             sql(
-                SQL_CURVES + """, st AS (SELECT market, years, week, median - lag(median) OVER (PARTITION BY market, years ORDER BY week) AS step FROM cv WHERE n_years >= 4),
-sp AS (SELECT a.market, a.years AS ya, b.years AS yb, corr(a.step, b.step) AS r FROM st a JOIN st b ON a.market = b.market AND a.week = b.week AND a.years < b.years WHERE a.step IS NOT NULL AND b.step IS NOT NULL GROUP BY 1, 2, 3),
-result AS (SELECT market, avg(greatest(0.0, r)) AS stability FROM sp WHERE r IS NOT NULL AND NOT isnan(r) GROUP BY 1)""",
+                SQL_CURVES + "," + SQL_STABILITY + ", result AS (SELECT * FROM stab)",
                 "market:s stability", "tables",
             ),
         ),
@@ -244,8 +293,8 @@ result AS (SELECT *, CASE WHEN up > down THEN 'bullish' WHEN down > up THEN 'bea
             ),
         ),
         "warped_similarity": (warping, sql(SQL_WARP, "market:s similarity", "tables")),
-        "season_shifts": (shifts_query, None),
-        "season_calibration": (calibration(0, CALIBRATED), None),
-        "season_chart": (calibration(1, CHART), None),
-        "season_forecast_calibrated": (calibration(2, FORECAST), None),
+        "season_shifts": (shifts_query, sql(SQL_SHIFTS + ", result AS (SELECT market, win AS \"window\", shift, similarity FROM sh)", SHIFTS, "tables")),
+        "season_calibration": (calibration(0, CALIBRATED), sql(SQL_CALIBRATED + ", result AS (SELECT * FROM cal)", CALIBRATED, "tables")),
+        "season_chart": (calibration(1, CHART), sql(SQL_CHART, CHART, "tables")),
+        "season_forecast_calibrated": (calibration(2, FORECAST), sql(SQL_AHEAD + ", result AS (SELECT * FROM ahead)", FORECAST, "tables")),
     }

@@ -27,10 +27,14 @@ def shaped(df: DataFrame, spec: str) -> DataFrame:
     return df.select(*(casts[k](F.col(n)).alias(n) for n, k in parts(spec)))
 
 
+def quoted(name: str) -> str:
+    return f'"{name}"'
+
+
 def sql(body: str, spec: str, base: str = "obs") -> str:
     """A whole statement: common table expressions up to ``base``, then ``body`` (more of them, and at last ``result``)."""
     casts = {"d": "round(CAST({0} AS DOUBLE), 6) + 0.0", "l": "CAST({0} AS BIGINT)", "s": "CAST({0} AS VARCHAR)", "t": "CAST({0} AS DATE)", "b": "CAST({0} AS BOOLEAN)"}
-    shown = ", ".join(f"{casts[k].format(n)} AS {n}" for n, k in parts(spec))
+    shown = ", ".join(f"{casts[k].format(quoted(n))} AS {quoted(n)}" for n, k in parts(spec))
     head = {"none": "", "tables": proxies.SQL + ",", "obs": proxies.SQL + "," + observations.SQL + ","}[base]
     return f"WITH RECURSIVE {head}\n{body}\nSELECT {shown} FROM result"
 
