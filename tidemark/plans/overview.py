@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import clusters, confluence, flows, knn, outcomes, scan
-from tidemark.plans import display, regimes, signals
-from tidemark.plans.positioning import NETS, R8, observed
+from tidemark.plans import display, regimes, scan_sql, signals
+from tidemark.plans.positioning import NETS, R8, observed, priced
 from tidemark.plans.shape import shaped, sql, sql_greedy, sql_levels, sql_nearest, sql_wilson
 from tidemark.session import materialized
 from tidemark.sources import proxies
@@ -59,9 +59,15 @@ def sql_evidence() -> str:
     out = []
     for i, (module, (features, need)) in enumerate(parts.items()):
         out.append(sql_nearest(features, need, "rms", 30, 56, name=f"m{i}") + f", e{i} AS (SELECT m.*, o.{R8} FROM m{i} m JOIN obs o ON o.market = m.market AND o.date = m.date), l{i} AS (SELECT *, '{module}' AS module FROM ({sql_levels(f'e{i}', R8)}))")
+    return ",".join(out) + f""", la AS (SELECT * EXCLUDE (hit_rate), n > 0 AS available FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2)), {sql_judged()}"""
+
+
+def sql_judged() -> str:
+    """``evid``: module rows with rates and limits, from ``la``."""
     hits = "CASE direction WHEN 'bullish' THEN up WHEN 'bearish' THEN down ELSE 0 END"
-    return ",".join(out) + f""", la AS (SELECT * EXCLUDE (hit_rate), {hits} AS hits FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2)),
-evid AS (SELECT *, hits / n AS hit_rate, CASE WHEN direction <> 'neutral' THEN {sql_wilson('hits', 'n', False)} END AS wilson_low, CASE WHEN direction <> 'neutral' THEN {sql_wilson('hits', 'n', True)} END AS wilson_high, n > 0 AS available FROM la)"""
+    limit = lambda upper: f"CASE WHEN direction IN ('bullish', 'bearish') THEN {sql_wilson('hits', 'n', upper)} END"
+    return f"""lb AS (SELECT *, {hits} AS hits FROM la),
+evid AS (SELECT *, hits / nullif(n, 0) AS hit_rate, {limit(False)} AS wilson_low, {limit(True)} AS wilson_high FROM lb)"""
 
 
 SQL_COMBINE = """ca AS (SELECT market, count(*) FILTER (available AND direction = 'bullish') AS ups, count(*) FILTER (available AND direction = 'bearish') AS downs, count(*) FILTER (available) AS n_available FROM evid GROUP BY 1),
@@ -115,6 +121,11 @@ SCAN = (
 OVERVIEW = "market:s category:s status:s direction:s confirmations:l n_available:l lower_limit least_sample:l least_move positioning_direction:s macro_direction:s seasonality_direction:s"
 
 
+#: The scan without clusters, whose fit SQL can't follow.
+SCAN_CORE = " ".join(w for w in SCAN.split() if not w.startswith("cluster_"))
+SQL_SIDES = ", ".join(f"(SELECT direction FROM evid e WHERE e.market = cb.market AND e.module = '{m}') AS {m}_direction" for m in confluence.MODULES)
+
+
 def overview_query(spark, sf_dir):
     from tidemark.operators import macro, seasonality
 
@@ -160,8 +171,12 @@ def entries() -> dict[str, tuple]:
             lambda spark, sf_dir: shaped(display.overview_parts(confluence.combine(evidence_rows(spark, sf_dir))), PARTS),
             sql(sql_evidence() + "," + SQL_COMBINE.replace("result AS", "combined AS") + ", result AS (SELECT count(*) FILTER (status IN ('confirmed', 'partly_confirmed')) AS confirmed, count(*) FILTER (status = 'conflicting') AS conflicting, count(*) FILTER (status = 'insufficient') AS insufficient FROM combined)", PARTS),
         ),
+        "market_scan_core": (lambda spark, sf_dir: shaped(scanned(spark, sf_dir, False), SCAN_CORE), sql(scan_sql.sql_scan(TODAY) + ", result AS (SELECT * FROM scan)", SCAN_CORE, "none")),
         "market_clusters": (cluster_query, None),
         "reference_zones": (zones_query, None),
         "market_scan": (lambda spark, sf_dir: shaped(scanned(spark, sf_dir), SCAN), None),
-        "market_overview": (overview_query, None),
+        "market_overview": (
+            overview_query,
+            sql(scan_sql.sql_overview(TODAY) + "," + sql_judged() + "," + SQL_COMBINE.replace("SELECT cb.*,", f"SELECT cb.*, 'region' AS category, {SQL_SIDES},"), OVERVIEW, "none"),
+        ),
     }

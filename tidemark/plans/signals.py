@@ -8,7 +8,7 @@ from tidemark.functions import windows
 from tidemark.operators import flows, index_pattern, knn, observations, paths
 from tidemark.plans.positioning import NETS, R8, SHARES, observed, priced
 from tidemark.plans.shape import shaped, sql, sql_counted, sql_greedy, sql_nearest, sql_wilson
-from tidemark.sources import proxies
+from tidemark.session import materialized
 
 FLOW = "market:s weeks:l date:t price_change long_change short_change long_z short_z signal:s state:s strength:s score dominant_flow:s dominance long_building:b short_building:b"
 SPLIT = "market:s signal:s confirmed:l score strength:s"
@@ -122,8 +122,9 @@ result AS (SELECT id.market, id.date, {', '.join(f'now_{c} AS {c}' for c in p)},
   100 * (0.55 * wilson_low + 0.25 * least(1.0, ln(1 + n) / ln(51)) + 0.20 * least(1.0, greatest(0.0, 1 - md / 3.5))) * abs(up / n - down / n) AS quality FROM id LEFT JOIN iq ON iq.market = id.market)"""
 
 
-def events_of(spark, sf_dir):
-    return knn.net_similar(observed(spark, sf_dir))
+def events_and_prices(spark, sf_dir):
+    prices = priced(spark, sf_dir)
+    return materialized(knn.net_similar(observed(spark, sf_dir, prices=prices))), prices
 
 
 SQL_MOVES = """np AS (SELECT market, date, close, row_number() OVER (PARTITION BY market ORDER BY date) AS place FROM prices),
@@ -178,7 +179,7 @@ def entries() -> dict[str, tuple]:
         "trend_transition_wide": (lambda spark, sf_dir: shaped(flows.transition(observed(spark, sf_dir), 4, 55.0), TURN), sql(sql_transition(55) + ", result AS (SELECT * FROM ti)", TURN)),
         "index_pattern": (lambda spark, sf_dir: shaped(index_pattern.analyze(observed(spark, sf_dir)), INDEX), sql(sql_index_pattern(80), INDEX)),
         "index_pattern_wide": (lambda spark, sf_dir: shaped(index_pattern.analyze(observed(spark, sf_dir), cutoff=WIDE), INDEX), sql(sql_index_pattern(WIDE), INDEX)),
-        "event_paths": (lambda spark, sf_dir: shaped(paths.event_paths(events_of(spark, sf_dir), proxies.prices(spark, sf_dir), 8), PATHS), sql(near + "," + SQL_MOVES + ", result AS (SELECT market, day, count(*) AS n, avg(move) AS mean, quantile_cont(move, 0.5) AS median FROM mw WHERE n >= 2 GROUP BY 1, 2)", PATHS)),
-        "event_timing": (lambda spark, sf_dir: shaped(paths.timing(events_of(spark, sf_dir), proxies.prices(spark, sf_dir)), TIMING), sql(near + "," + SQL_MOVES + "," + SQL_TIMING, TIMING)),
+        "event_paths": (lambda spark, sf_dir: shaped(paths.event_paths(*events_and_prices(spark, sf_dir), 8), PATHS), sql(near + "," + SQL_MOVES + ", result AS (SELECT market, day, count(*) AS n, avg(move) AS mean, quantile_cont(move, 0.5) AS median FROM mw WHERE n >= 2 GROUP BY 1, 2)", PATHS)),
+        "event_timing": (lambda spark, sf_dir: shaped(paths.timing(*events_and_prices(spark, sf_dir)), TIMING), sql(near + "," + SQL_MOVES + "," + SQL_TIMING, TIMING)),
         "cluster_timing": (cluster_timing_query, sql(near + "," + SQL_MOVES + "," + SQL_CLUSTER_TIMING, CLUSTER_TIMING)),
     }
