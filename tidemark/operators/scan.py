@@ -31,6 +31,16 @@ def pure_net_columns(valid: DataFrame, prices: DataFrame, reports: DataFrame, we
     return both.select("market", *(F.col(c).alias(f"net{weeks}_{c}") for c in (*figures, "window_start", "window_end")))
 
 
+def analog_columns(valid: DataFrame, prices: DataFrame, n: int = 30, threshold: float = 0.01) -> DataFrame:
+    """Bias and hit rate of the analogs by nets, and whether those near by shares confirm them."""
+    matches = materialized(knn.net_similar(valid, n))
+    main = paths.timing(matches, prices, 8, threshold).select("market", "n", "up", "down", "bias")
+    near = paths.timing(knn.share_context(matches, valid), prices, 8, threshold).select("market", F.col("n").alias("share_n"), F.col("bias").alias("share_bias"))
+    hit = F.when(F.col("bias") == "bullish", F.col("up")).otherwise(F.col("down")) / F.col("n")
+    confirmed = F.coalesce((F.col("share_n") >= 8) & (F.col("share_bias") == F.col("bias")) & (F.col("bias") != "neutral"), F.lit(False))
+    return main.join(near, "market", "left").select("market", F.col("n").alias("cases"), "bias", hit.alias("hit_rate"), confirmed.alias("share_confirmed"))
+
+
 def timing_bias(median: Column, bias: Column) -> Column:
     """The sign of the median return, or else the result's own bias."""
     return F.when(median > 0, "bullish").when(median < 0, "bearish").otherwise(bias)
@@ -48,12 +58,7 @@ def scan(positions: DataFrame, prices: DataFrame, markets: DataFrame, today: Col
     valid = materialized(full.where(F.col("n_valid") >= LEAST_ROWS).join(quality.where("usable").select("market"), "market").drop("n_valid"))
     reports = valid.groupBy("market").agg(F.max("date").alias("report_date"))
 
-    matches = materialized(knn.net_similar(valid, n))
-    main = paths.timing(matches, prices, 8, threshold).select("market", "n", "up", "down", "bias")
-    near = paths.timing(knn.share_context(matches, valid), prices, 8, threshold).select("market", F.col("n").alias("share_n"), F.col("bias").alias("share_bias"))
-    hit = F.when(F.col("bias") == "bullish", F.col("up")).otherwise(F.col("down")) / F.col("n")
-    confirmed = F.coalesce((F.col("share_n") >= 8) & (F.col("share_bias") == F.col("bias")) & (F.col("bias") != "neutral"), F.lit(False))
-    base = main.join(near, "market", "left").select("market", F.col("n").alias("cases"), "bias", hit.alias("hit_rate"), confirmed.alias("share_confirmed"))
+    base = analog_columns(valid, prices, n, threshold)
 
     each = materialized(flows.horizons(valid))
     split = flows.divergence(each).select("market", F.col("signal").alias("flow_signal"), F.col("strength").alias("flow_strength"), F.lit(True).alias("flow_available"))

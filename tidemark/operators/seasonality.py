@@ -79,6 +79,12 @@ def curves(paths: DataFrame, keys: tuple[str, ...] = ("market",)) -> DataFrame:
     return paths.groupBy(*keys, "week").agg(F.avg(p).alias("mean"), *(F.percentile(p, q).alias(n) for n, q in (("median", 0.5), ("q25", 0.25), ("q75", 0.75))), F.count(p).alias("n_years"))
 
 
+def curves_by_window(windowed: DataFrame, span: tuple = WINDOWS) -> DataFrame:
+    """One row per market and week with the median curve of each window of years side by side: ``median_5``, ..., ``median_all``."""
+    by = curves(windowed, ("market", "years"))
+    return by.groupBy("market", "week").agg(*(F.max(F.when(F.col("years") == (s or 0), F.col("median"))).alias(f"median_{s or 'all'}") for s in span))
+
+
 def current_curve(prices: DataFrame, as_of: str | None = None) -> DataFrame:
     """This year's move since its first week with a price."""
     rows = dated(prices, as_of).where((F.col("iso_year") == expr.iso_year(F.col("cutoff"))) & (F.col("date") <= F.col("cutoff")))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import clusters, confluence, flows, knn, outcomes, scan
+from tidemark.operators import clusters, confluence, flows, index_pattern, knn, outcomes, scan
 from tidemark.plans import display, regimes, scan_sql, signals
-from tidemark.plans.positioning import NETS, R8, observed, priced
-from tidemark.plans.shape import shaped, sql, sql_greedy, sql_levels, sql_nearest, sql_wilson
+from tidemark.plans.positioning import NETS, R8, SHARES, observed, priced
+from tidemark.plans.shape import shaped, sql, sql_counted, sql_greedy, sql_levels, sql_nearest, sql_wilson
 from tidemark.session import materialized
 from tidemark.sources import proxies
 
@@ -113,6 +113,81 @@ def top_extremes_query(spark, sf_dir):
     return shaped(scan.top_extremes(rows, 3), TOP_EXTREME)
 
 
+TOP_MARKET = "market:s bias:s hit_rate share_confirmed:b cases:l"
+
+
+def top_markets_query(spark, sf_dir):
+    prices = priced(spark, sf_dir)
+    valid = observed(spark, sf_dir, prices=prices).na.drop(subset=NETS + SHARES)
+    return shaped(scan.top_markets(scan.analog_columns(valid, prices), 3), TOP_MARKET)
+
+
+def sql_top_markets() -> str:
+    main, near = scan_sql.sql_base()
+    valid = f"valid AS (SELECT * FROM obs WHERE {' AND '.join(f'{c} IS NOT NULL' for c in NETS + SHARES)})"
+    return f"{valid}, {main}, {near}, {scan_sql.SQL_BASE}, result AS (SELECT * FROM base WHERE bias IN ('bullish', 'bearish') AND cases >= 15 ORDER BY hit_rate DESC, share_confirmed DESC, cases DESC, market LIMIT 3)"
+
+
+TOP_TURN = "market:s transition_phase:l transition_score confirmations:l"
+
+
+def top_transitions_query(spark, sf_dir):
+    rows = flows.transition(observed(spark, sf_dir), 4, 55.0)
+    named = rows.select("market", F.lit("").alias("error"), *(F.col(c).alias(f"transition_{c}") for c in ("phase", "score", "convergence", "sustained", "price_confirmed")))
+    return shaped(scan.top_transitions(named, 3), TOP_TURN)
+
+
+SQL_TOP_TURN = "result AS (SELECT market, phase AS transition_phase, score AS transition_score, CAST(convergence AS INT) + CAST(sustained AS INT) + CAST(price_confirmed AS INT) AS confirmations FROM ti WHERE phase >= 1 ORDER BY phase DESC, score DESC, confirmations DESC, market LIMIT 3)"
+TOP_EDGE = "market:s {0}_cases:l {0}_share {0}_median edge"
+
+
+def top_index_query(spark, sf_dir):
+    rows = index_pattern.analyze(observed(spark, sf_dir), cutoff=signals.WIDE)
+    named = rows.select("market", F.col("available").alias("index_available"), F.col("n").alias("index_cases"), (F.greatest("up", "down") / F.col("n")).alias("index_share"), F.col("median").alias("index_median"))
+    return shaped(scan.top_by_edge(named, "index", 0.5, 1, 0.0, 3), TOP_EDGE.format("index"))
+
+
+def sql_top_edge(prefix: str, source: str, where: str) -> str:
+    return f"te AS (SELECT market, n AS {prefix}_cases, greatest(up, down) / n AS {prefix}_share, median AS {prefix}_median FROM {source} WHERE {where}), result AS (SELECT *, abs({prefix}_median) * {prefix}_share * ln(1 + {prefix}_cases) AS edge FROM te WHERE {prefix}_share >= 0.5 AND {prefix}_cases >= 1 ORDER BY edge DESC, {prefix}_cases DESC, market LIMIT 3)"
+
+
+FIXED = 4
+
+
+def fixed_clusters(spark, sf_dir):
+    """The outcome of the current cluster, for clusters of equal size by the commercials' net position, which SQL can form too."""
+    clean = knn.complete(observed(spark, sf_dir), ["commercial_net", R8]).withColumn("cluster", F.ntile(FIXED).over(Window.partitionBy("market").orderBy("commercial_net", "date")))
+    now = F.max(F.when(F.col("is_last"), F.col("cluster"))).over(Window.partitionBy("market"))
+    fit = clean.withColumns({"same": F.col("cluster") == now, "k": F.lit(FIXED), "silhouette": F.lit(0.25)}).where(~F.col("is_last"))
+    return clusters.analyze(fit.select("market", "date", R8, "cluster", "same", "k", "silhouette"))[0]
+
+
+SQL_CLUSTERS = f"""qa AS (SELECT *, date = max(date) OVER (PARTITION BY market) AS is_last, ntile({FIXED}) OVER (PARTITION BY market ORDER BY commercial_net, date) AS cluster FROM obs WHERE commercial_net IS NOT NULL AND {R8} IS NOT NULL),
+qb AS (SELECT *, max(cluster) FILTER (is_last) OVER (PARTITION BY market) AS current FROM qa),
+qc AS (SELECT market, date, {R8} AS ret FROM qb WHERE cluster = current AND NOT is_last),
+{sql_greedy('qc', 'date DESC', 56, None, 'qe', 'market', 'ret')},
+qf AS ({sql_counted('qe', 'ret')}),
+qg AS (SELECT *, CASE WHEN up / n >= 0.6 THEN 'bullish' WHEN down / n >= 0.6 THEN 'bearish' ELSE 'neutral' END AS direction, CASE WHEN up / n >= 0.6 THEN up WHEN down / n >= 0.6 THEN down ELSE greatest(up, down) END AS hits FROM qf),
+qh AS (SELECT *, hits / n AS hit_rate, {sql_wilson('hits', 'n', False)} AS wilson_low, {sql_wilson('hits', 'n', True)} AS wilson_high FROM qg),
+clus AS (SELECT *, all_25 AS q25, all_75 AS q75, {FIXED} AS k, 0.25 AS silhouette, n >= 12 AS available, CASE direction WHEN 'neutral' THEN 0.0 ELSE 100 * (0.65 * wilson_low + 0.20 * least(1.0, ln(1 + n) / ln(51)) + 0.15 * least(1.0, (0.25 + 0.1) / 0.6)) END AS quality FROM qh)"""
+
+
+def top_clusters_query(spark, sf_dir):
+    rows = fixed_clusters(spark, sf_dir)
+    named = rows.select("market", F.col("available").alias("cluster_available"), F.col("n").alias("cluster_cases"), (F.greatest("up", "down") / F.col("n")).alias("cluster_share"), F.col("median").alias("cluster_median"))
+    return shaped(scan.top_by_edge(named, "cluster", 0.5, 1, 0.0, 3), TOP_EDGE.format("cluster"))
+
+
+RANKED = "market:s place:l status:s confirmations:l lower_limit"
+
+
+def ranked_query(spark, sf_dir):
+    """The order of the overview, as each market's place."""
+    rows = confluence.combine(evidence_rows(spark, sf_dir))
+    return shaped(rows.withColumn("place", F.row_number().over(Window.orderBy(*confluence.ranking()))), RANKED)  # one row a market
+
+
+SQL_RANKED = "result AS (SELECT *, row_number() OVER (ORDER BY CASE status WHEN 'confirmed' THEN 0 WHEN 'partly_confirmed' THEN 1 WHEN 'conflicting' THEN 2 WHEN 'insufficient' THEN 3 ELSE 99 END, confirmations DESC, coalesce(lower_limit, -1) DESC, coalesce(least_sample, 0) DESC, coalesce(least_move, -1) DESC, market) AS place FROM combined)"
 SCAN = (
     "market:s category:s error:s usable:b cases bias:s hit_rate share_confirmed:b flow_available:b flow_signal:s flow_strength:s flow_weeks flow_score flow_dominance extreme_available:b extreme_signal:s extreme_strength transition_phase transition_score "
     "index_available:b index_reason:s index_cases index_bias:s cluster_available:b cluster_bias:s cluster_cases cluster_median cluster_quality cluster_silhouette cluster_window_start cluster_window_end "
@@ -148,6 +223,38 @@ def sql_signed(x: str) -> str:
 
 SQL_VIEW = f"""result AS (SELECT market, weeks || ' Woche(n)' AS period, printf('%+.1f%%', price_change * 100) AS price, {sql_signed('long_change')} AS longs, {sql_signed('short_change')} AS shorts,
   {sql_labels('dominant_flow', display.FLOWS)} AS flow, printf('%.1f%%', dominance * 100) AS dominance, {sql_labels('state', display.STATES)} AS reading FROM fl)"""
+SHOWN_ZONES = ["market", "current", "zone", "center", "visits", "up", "down", "direction", "hit_rate", "move"]
+SHOWN_CONFLUENCE = ["market", "category", "status", "direction", "confirmed", "positioning", "macro", "seasonality", "lower_limit", "least_sample"]
+strings = lambda names: " ".join(f"{n}:s" for n in names)
+
+
+def zone_view_query(spark, sf_dir):
+    clean = knn.complete(observed(spark, sf_dir), ["commercial_net", R8])
+    rows = clean.select("market", "date", "is_last", F.col("commercial_net").alias("net"), F.col(R8).alias("ret"), F.ntile(8).over(Window.partitionBy("market").orderBy("commercial_net", "date")).alias("zone"))
+    return shaped(display.zone_view(clusters.zone_table(rows)).toDF(*SHOWN_ZONES), strings(SHOWN_ZONES))
+
+
+def sql_percent(x: str, sign: str = "") -> str:
+    return f"CASE WHEN {x} IS NULL THEN '{display.MISSING}' ELSE printf('%{sign}.1f%%', {x} * 100) END"
+
+
+SQL_ZONE_VIEW = SQL_ZONES.replace("result AS", "zones AS") + f""", result AS (SELECT market, CASE WHEN is_current THEN '●' ELSE '' END AS current, {sql_signed('round_even(lower, 0)')} || ' bis ' || {sql_signed('round_even(upper, 0)')} AS zone, {sql_signed('round(center)')} AS center, n AS visits, up, down, direction, {sql_percent('hit_rate')} AS hit_rate,
+  CASE WHEN range_low IS NULL OR range_high IS NULL THEN '{display.MISSING}' ELSE {sql_percent('range_low', '+')} || ' bis ' || {sql_percent('range_high', '+')} END AS move FROM zones)"""
+
+
+def confluence_view_query(spark, sf_dir):
+    rows = evidence_rows(spark, sf_dir)
+    whole = confluence.combine(rows).join(confluence.side_by_side(rows), "market").withColumn("category", F.lit("region"))
+    return shaped(display.confluence_view(confluence.ranked(whole)).toDF(*SHOWN_CONFLUENCE), strings(SHOWN_CONFLUENCE))
+
+
+def sql_confluence_view() -> str:
+    cell = f"""SELECT market, module, CASE WHEN direction IN ('bullish', 'bearish') AND n > 0 THEN {sql_labels('direction', display.DIRECTIONS)} || ' · ' || {sql_percent('hit_rate')} || ' · n=' || n || ' · KI≥' || {sql_percent('wilson_low')} || ' · Median ' || {sql_percent('median', '+')} ELSE {sql_labels('direction', display.DIRECTIONS)} END AS cell FROM evid"""
+    cells = ", ".join(f"(SELECT cell FROM cells WHERE cells.market = c.market AND module = '{m}') AS {m}" for m in confluence.MODULES)
+    return sql_evidence() + "," + SQL_COMBINE.replace("result AS", "combined AS") + f""", cells AS ({cell}),
+result AS (SELECT market, 'region' AS category, {sql_labels('status', display.STATUS)} AS status, {sql_labels('direction', display.DIRECTIONS)} AS direction, confirmations || '/3' AS confirmed, {cells}, {sql_percent('lower_limit')} AS lower_limit, least_sample FROM combined c)"""
+
+
 PARTS = "confirmed:l conflicting:l insufficient:l"
 
 
@@ -171,6 +278,14 @@ def entries() -> dict[str, tuple]:
             lambda spark, sf_dir: shaped(display.overview_parts(confluence.combine(evidence_rows(spark, sf_dir))), PARTS),
             sql(sql_evidence() + "," + SQL_COMBINE.replace("result AS", "combined AS") + ", result AS (SELECT count(*) FILTER (status IN ('confirmed', 'partly_confirmed')) AS confirmed, count(*) FILTER (status = 'conflicting') AS conflicting, count(*) FILTER (status = 'insufficient') AS insufficient FROM combined)", PARTS),
         ),
+        "top_markets": (top_markets_query, sql(sql_top_markets(), TOP_MARKET)),
+        "top_transitions": (top_transitions_query, sql(signals.sql_transition(55) + "," + SQL_TOP_TURN, TOP_TURN)),
+        "top_index": (top_index_query, sql(signals.sql_index_pattern(signals.WIDE).replace("result AS", "indexed AS") + "," + sql_top_edge("index", "indexed", "reason = ''"), TOP_EDGE.format("index"))),
+        "market_clusters_fixed": (lambda spark, sf_dir: shaped(fixed_clusters(spark, sf_dir), CLUSTER), sql(SQL_CLUSTERS + ", result AS (SELECT * FROM clus)", CLUSTER)),
+        "top_clusters": (top_clusters_query, sql(SQL_CLUSTERS + "," + sql_top_edge("cluster", "clus", "available"), TOP_EDGE.format("cluster"))),
+        "confluence_ranked": (ranked_query, sql(sql_evidence() + "," + SQL_COMBINE.replace("result AS", "combined AS") + "," + SQL_RANKED, RANKED)),
+        "zone_table_view": (zone_view_query, sql(SQL_ZONE_VIEW, strings(SHOWN_ZONES))),
+        "confluence_view": (confluence_view_query, sql(sql_confluence_view(), strings(SHOWN_CONFLUENCE))),
         "market_scan_core": (lambda spark, sf_dir: shaped(scanned(spark, sf_dir, False), SCAN_CORE), sql(scan_sql.sql_scan(TODAY) + ", result AS (SELECT * FROM scan)", SCAN_CORE, "none")),
         "market_clusters": (cluster_query, None),
         "reference_zones": (zones_query, None),

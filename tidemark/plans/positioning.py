@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,6 +157,21 @@ def sql_fresh(table: str, prefix: str, most: int) -> str:
 )"""
 
 
+FEATURES = "market:s date:t mode:s commercial noncommercial nonreportable"
+
+
+def feature_sets(spark, sf_dir):
+    """The columns that each feature set selects, one below the other."""
+    obs = observed(spark, sf_dir, True)
+    parts = [obs.select("market", "date", F.lit(mode).alias("mode"), *(F.col(c).alias(n) for c, n in zip(observations.feature_columns(mode), ("commercial", "noncommercial", "nonreportable"), strict=True))) for mode in ("absolute", "share", "z", "percentile")]
+    return shaped(reduce(DataFrame.unionByName, parts), FEATURES)
+
+
+def sql_feature_sets() -> str:
+    columns = {"absolute": list(NETS), "share": SHARES, "z": [observations.sql_z(n) for n in NETS], "percentile": [observations.sql_rank(n) for n in NETS]}
+    return "result AS (" + " UNION ALL ".join(f"SELECT market, date, '{mode}' AS mode, {c} AS commercial, {n} AS noncommercial, {r} AS nonreportable FROM obs" for mode, (c, n, r) in columns.items()) + ")"
+
+
 def entries() -> dict[str, tuple]:
     last = lambda need: f"x AS (SELECT *, date = max(date) OVER (PARTITION BY market) AS is_last FROM i WHERE {need})"
     index = f"i AS (SELECT market, date, {observations.sql_index('commercial_net')} AS ci, 100 * {observations.sql_rank('commercial_net')} AS cp, {observations.sql_index('nonreportable_net')} AS ri, 100 * {observations.sql_rank('nonreportable_net')} AS rp FROM positions)"
@@ -229,6 +246,8 @@ result AS (SELECT market, CASE WHEN n >= 52 AND x IS NOT NULL THEN CASE WHEN s =
             sql("result AS (SELECT * FROM obs WHERE commercial_net_oi BETWEEN -0.1 AND 0.1 AND return_8w BETWEEN 0 AND 1)", OBS),
         ),
     }
+    out |= {"feature_sets": (feature_sets, sql(sql_feature_sets(), FEATURES))}
+    out |= matched("group_net_matches", lambda o: knn.group_net(o, "commercials"), ["commercial_net"], ["commercial_net_oi", R8])
     out |= matched("pure_net_matches", knn.pure_net, NETS, [R8])
     out |= matched("hybrid_similar", lambda o: knn.hybrid_similar(o), NETS + SHARES, [], "weighted", 30, 56, W55)
     out |= summed("group_net_commercials", lambda o: knn.group_net(o, "commercials"), ["commercial_net"], ["commercial_net_oi", R8])

@@ -271,6 +271,10 @@ result AS (SELECT ra.market, ra.dimension, z, CASE WHEN z IS NULL THEN 'n.a.' WH
         ),
         "year_paths": (lambda spark, sf_dir: shaped(paths_of(spark, sf_dir), PATHS), sql(SQL_PATHS + ", result AS (SELECT * FROM yp)", PATHS, "tables")),
         "seasonal_curves": (lambda spark, sf_dir: shaped(seasonality.curves(windowed(spark, sf_dir), ("market", "years")), CURVES), sql(SQL_CURVES + ", result AS (SELECT * FROM cv)", CURVES, "tables")),
+        "season_curves_wide": (
+            lambda spark, sf_dir: shaped(seasonality.curves_by_window(windowed(spark, sf_dir)), "market:s week:l median_5 median_10 median_15 median_all"),
+            sql(SQL_CURVES + ", result AS (SELECT market, week, " + ", ".join(f"max(median) FILTER (years = {k}) AS median_{n}" for k, n in ((5, 5), (10, 10), (15, 15), (0, "all"))) + " FROM cv GROUP BY 1, 2)", "market:s week:l median_5 median_10 median_15 median_all", "tables"),
+        ),
         "current_curve": (
             lambda spark, sf_dir: shaped(seasonality.current_curve(seasonal(spark, sf_dir), AS_OF), "market:s week:l move"),
             sql(SQL_DATED + ", cc AS (SELECT market, week, arg_max(close, date) AS close FROM dp WHERE iso_year = isoyear(cutoff) AND date <= cutoff GROUP BY 1, 2), result AS (SELECT market, week, close / first_value(close) OVER (PARTITION BY market ORDER BY week) - 1 AS move FROM cc)", "market:s week:l move", "tables"),
