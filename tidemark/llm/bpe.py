@@ -7,8 +7,8 @@ tokens, so each worker keeps a bounded cache from chunks to their tokens.
 
 Edge cases: a null or empty text has no tokens and decodes to the empty string; a text of any length is
 encoded whole; the strings of special tokens in a text become those tokens; other columns pass through.
-Categories, cases and compositions of characters are those of Python's Unicode tables, so characters that are newer than
-these are split as unassigned ones.
+Categories and cases of characters are those of Unicode 16, also where Python's tables are older; compositions and the order of several combining marks on
+one letter are those of Python's tables.
 """
 
 from __future__ import annotations
@@ -36,6 +36,14 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Unicode white space.
 SPACES = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE = re.compile(f"[{SPACES}]+")
+#: Letters and numbers, and lower-case forms, of Unicode versions later than Python's tables (first, last, distance).
+LATER = {
+    "L": "\u1c89-\u1c8a\ua7cb-\ua7cd\ua7da-\ua7dc\U000105c0-\U000105f3\U00010d4a-\U00010d65\U00010d6f-\U00010d85\U00010ec2-\U00010ec4\U00011380-\U00011389\U0001138b\U0001138e\U00011390-\U000113b5"
+    "\U000113b7\U000113d1\U000113d3\U00011bc0-\U00011be0\U00013460-\U000143fa\U00016100-\U0001611d\U00016d40-\U00016d6c\U00018cff\U0001e5d0-\U0001e5ed\U0001e5f0",
+    "N": "\U00010d40-\U00010d49\U000116d0-\U000116e3\U00011bf0-\U00011bf9\U00016130-\U00016139\U00016d70-\U00016d79\U0001ccf0-\U0001ccf9\U0001e5f1-\U0001e5fa",
+}
+LATER_CASES = [(0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B)]
+LATER_LOWER = {c: c + step for first, last, step in LATER_CASES for c in range(first, last + 1)}
 
 
 @lru_cache(maxsize=2)
@@ -49,7 +57,7 @@ def category(letter: str) -> str:
         elif not inside and start is not None:
             out.append(f"\\U{start:08x}-\\U{i - 1:08x}")
             start = None
-    return "".join(out)
+    return "".join(out) + LATER[letter]
 
 
 def byte_symbols() -> list[str]:
@@ -143,7 +151,7 @@ class WordBpe:
         words, known, several = self.words, self.chunks, {}
         single = {}
         for chunk in chunks:
-            text = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+            text = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower().translate(LATER_LOWER)
             if text.isalpha():
                 single[chunk] = text
             elif len(pieces := self.pieces(text)) == 1:
