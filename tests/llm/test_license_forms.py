@@ -26,3 +26,14 @@ def test_published_forms(spark):
 def test_long_texts(spark):
     names = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "GPL-2": "GPL-2.0", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
     assert [i for i, _ in found(spark, [open(f"{LONG}/{n}").read() for n in names])] == list(names.values())
+
+
+def test_texts_as_a_table(spark, monkeypatch):
+    """Whole licences planted with changed case, holder, punctuation and spelling; of equal texts the first id; with and without a broadcast."""
+    text = "Copyright (c) 1999 B\n\nYou may use the colour tables, whilst this licence is kept, at https://example.org/x.\nNo warranty: none." + " More terms follow here." * 500
+    changed = "COPYRIGHT 2024 Someone Else Ltd.\n" + text.split("\n", 2)[2].upper().replace("COLOUR", "color").replace(",", " --").replace("LICENCE", "License").replace("HTTPS", "http")
+    table = spark.createDataFrame([("B-1", text), ("A-1", text), ("C-1", "Another text."), ("D-1", None)], "license_id string, text string")
+    docs = spark.createDataFrame([(1, changed, "x"), (2, changed + " or not", "x"), (3, "Another\ttext", "x")], "doc_id long, text string, digest string")
+    for small in (100, 0):
+        monkeypatch.setattr(licenses, "SMALL", small)
+        assert {r.doc_id: r.license_id for r in licenses.scan(docs, texts=table).collect()} == {1: "A-1", 2: None, 3: "C-1"}

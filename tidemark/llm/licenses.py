@@ -4,8 +4,8 @@ A text is brought into a canonical form: lower case, no copyright lines, one spe
 every run of anything but letters and digits. Its SHA-256 digest is looked up among those of known licence texts by a hash join, for
 the whole text of each document and for each of its lines (notices). Only DataFrame functions are used.
 
-The known digests are a fixed list of less than a few hundred rows, so they are broadcast. Lines are matched in the tasks that read the documents;
-only lines with a match are shuffled.
+Known texts are a table of ids and whole texts (by default the list here, of a few hundred digests). Its digests are broadcast if they are counted to be at
+most ``SMALL``, else joined by a shuffle. With a broadcast, lines are matched in the tasks that read the documents, and only lines with a match are shuffled.
 
 Edge cases: a null or empty text matches nothing and has the digest of the empty string; repeated rows each get a row; texts of any length
 are taken whole; of licences with equal canonical texts the first by name counts.
@@ -131,6 +131,10 @@ DIGESTS: dict[str, list[str]] = {
 HOLDER_LINE = r"(^|\n)[^\p{L}\p{N}\n]*(copyright(?! +(holder|owner|notice|law|interest|licen[cs]e|and|or)s?\b)|copr\.|\(c\)|©)[^\n]*"
 
 
+#: Digests that are broadcast at most.
+SMALL = 100_000
+
+
 def variants() -> list[tuple[str, str]]:
     """Published variants of the known texts: title lines, bullets in place of numbers, and more notices."""
     whole = {**{i: TEXTS[i] for i in TITLES if i in TEXTS}, "Unlicense": UNLICENSE}
@@ -162,24 +166,27 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
-def known(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """``digest`` and ``license_id`` of the known texts, one row a digest."""
-    rows = spark.createDataFrame(texts or known_texts() + variants(), "license_id string, text string").select("license_id", digest(F.col("text")).alias("digest"))
-    if not texts:
+def known(spark: SparkSession, texts: DataFrame | None = None) -> DataFrame:
+    """``digest`` and ``license_id`` of the known texts (license_id, text), one row a digest."""
+    given = spark.createDataFrame(known_texts() + variants(), "license_id string, text string") if texts is None else texts
+    rows = given.where(F.col("text").isNotNull()).select("license_id", digest(F.col("text")).alias("digest"))
+    if texts is None:
         rows = rows.unionByName(spark.createDataFrame([(i, d) for i, ds in DIGESTS.items() for d in ds], "license_id string, digest string"))
     return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: list[tuple[str, str]] | None = None) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: DataFrame | None = None) -> DataFrame:
     """Per row: its id, ``digest`` of the whole canonical text, ``license_id`` if that is a known licence, ``n_notices`` lines that
     are known, and ``notice_ids``, the different licences that they name, in order and joined by commas (null if none)."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     units = rows.select("row", "id", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("line", "text"))
     whole = F.col("line") == 0
     found = units.select("row", "id", whole.alias("whole"), digest(F.col("text")).alias("digest"), F.when(whole & F.lower("text").rlike(HOLDER_LINE), digest(F.regexp_replace(F.lower("text"), HOLDER_LINE, "\n"))).alias("bare"))
-    table = known(docs.sparkSession, texts)
+    table = known(docs.sparkSession, texts).checkpoint()
+    small = table.count() <= SMALL
+    table = F.broadcast(table) if small else table
     bare = table.select(F.col("digest").alias("bare"), F.col("license_id").alias("bare_id"))
-    found = found.join(F.broadcast(table), "digest", "left").join(F.broadcast(bare), "bare", "left").withColumn("license_id", F.coalesce("license_id", "bare_id")).where(F.col("whole") | F.col("license_id").isNotNull())
+    found = found.join(table, "digest", "left").join(F.broadcast(bare) if small else bare, "bare", "left").withColumn("license_id", F.coalesce("license_id", "bare_id")).where(F.col("whole") | F.col("license_id").isNotNull())
     notice = F.when(~F.col("whole"), F.col("license_id"))
     out = found.groupBy("row", "id").agg(
         F.max(F.when(F.col("whole"), F.col("digest"))).alias("digest"),
