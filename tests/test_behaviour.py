@@ -312,3 +312,39 @@ def test_zero_open_interest_and_latest_z(spark):
     assert df.select(expr.share(F.col("commercial_net"), F.col("oi")).alias("s")).first().s is None
     flat = windows.with_place(frame(spark, date=weekly(60), x=np.ones(60)))
     assert flat.groupBy("market").agg(windows.latest_z(F.col("x"), F.col("is_last")).alias("z")).first().z == 0.0
+
+
+def test_cache_with_fallback(spark):
+    from tidemark.sources import tables
+
+    cached = spark.createDataFrame([("A", "2024-01-10", 1.0), ("B", "2023-01-10", 2.0), ("C", "2023-01-10", 3.0)], "market string, date string, close double").withColumn("date", F.col("date").cast("date"))
+    loaded = spark.createDataFrame([("A", "2024-01-12", 9.0), ("B", "2024-01-12", 8.0), ("D", "2024-01-12", 7.0)], "market string, date string, close double").withColumn("date", F.col("date").cast("date"))
+    got = {r.market: (r.close, r.origin) for r in tables.served(cached, loaded, "market", F.lit("2024-01-13").cast("date"), 7, "timeout").collect()}
+    assert got == {"A": (1.0, "cache"), "B": (8.0, "loaded"), "C": (3.0, "stale_cache: timeout"), "D": (7.0, "loaded")}
+
+
+def test_coverage_and_countries(spark):
+    from tidemark.sources import catalogue
+
+    markets = spark.createDataFrame([("Euro FX", "Währungen"), ("Gold", "Edelmetalle"), ("X", "Y"), ("Z", "Währungen")], "market string, category string")
+    got = {r.market: r for r in catalogue.coverage(markets).collect()}
+    assert got["Euro FX"].country == "Eurozone" and "Eurozone" in got["Euro FX"].note and got["Euro FX"].reason == "Isolierte Makroanalyse für Eurozone."
+    assert got["Gold"].grade == "mittel bis hoch" and got["X"].grade == "niedrig" and got["Z"].grade == "niedrig bis mittel" and got["Gold"].reason == ""
+    assert [r.category for r in catalogue.grouped(markets, catalogue.categories(spark)).collect()] == catalogue.CATEGORIES
+
+
+def test_one_market_with_infinite_values_leaves_the_others_fitted(spark):
+    import math
+    import random
+    from datetime import date, timedelta
+
+    from tidemark.operators import clusters
+
+    rng = random.Random(1)
+    rows = []
+    for market in ("A", "B"):
+        for i in range(120):
+            values = [3 * (i % 3) + rng.gauss(0, 0.2) for _ in range(6)]
+            rows.append((market, date(2000, 1, 4) + timedelta(7 * i), *values[:5], math.inf if market == "B" and i == 119 else values[5], 0.01))
+    df = spark.createDataFrame(rows, "market string, date date, " + ", ".join(f"{c} double" for c in clusters.FEATURES) + ", return_8w double")
+    assert {r.market for r in clusters.fitted(df).select("market").distinct().collect()} == {"A"}

@@ -69,15 +69,18 @@ def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
 def fitted(df: DataFrame, weeks: int = 8, min_k: int = 3, max_k: int = 8, least_rows: int = 80, seed: int = 42) -> DataFrame:
     """History rows of each market with ``same``: whether they are in the current row's cluster, the number of clusters and the silhouette.
 
-    The number is the one with the best silhouette, the smallest of equal ones.
+    The number is the one with the best silhouette, the smallest of equal ones. Rows with infinite values are left out, and a market whose current row
+    has one has no clusters; the others are fitted all the same.
     """
     ret = f"return_{weeks}w"
     clean = complete(df, [*FEATURES, ret]).where(F.col("n_rows") >= least_rows).select("market", "date", "is_last", ret, *FEATURES)
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("date")
+        rows = rows[np.isfinite(rows[FEATURES].to_numpy(float)).all(axis=1)].sort_values("date")
         x = rows[FEATURES].to_numpy(float)
         history = ~rows["is_last"].to_numpy(bool)
+        if history.all() or not history.any():  # no finite current row, or nothing to compare it with: the market has no clusters
+            return pd.DataFrame(columns=["market", "date", ret, "cluster", "same", "k", "silhouette"])
         spread = x[history].std(axis=0)
         z = (x - x[history].mean(axis=0)) / np.where(spread == 0, 1, spread)
         past, now = z[history], z[~history][:1]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +26,13 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **extra: st
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in ``spark.checkpoint.dir``; only where none is named (as in tests), a new one."""
+    """Use the folder that the cluster names in ``spark.checkpoint.dir``; only where none is named and the master is local (as in tests), a new one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
 
 
 def materialized(df: DataFrame) -> DataFrame:
