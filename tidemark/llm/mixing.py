@@ -103,7 +103,8 @@ def shard_counts(sources: DataFrame, seed: int = SEED, shard_blocks: int = SHARD
         return run
 
     size = F.least(F.lit(shard_blocks), total - F.col("id") * shard_blocks)
-    rows = spark.range(shards).select(F.col("id").alias("shard"), F.lit(0).cast("long").alias("node"), size.cast("long").alias("count"))
+    # all start at the root, whose number 0 isn't written as a constant, so that the join stays one by a key
+    rows = spark.range(shards).select(F.col("id").alias("shard"), F.shiftright("id", 62).alias("node"), size.cast("long").alias("count"))
     for depth, groups in enumerate(reversed(tree)):
         groups = F.broadcast(groups) if depth == 0 else groups  # the root is one row of FAN children at most
         rows = rows.join(groups, "node").select("shard", "node", "count", "children").mapInArrow(draw(depth), "shard long, node long, count long")

@@ -10,48 +10,59 @@ import corpus_pipeline
 from tidemark.llm import bpe, html, langid, licenses, mixing, quality, simhash, substring, suffix, topk
 from tidemark.llm.shared import tokenizer_path, use_checkpoints
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     use_checkpoints(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that are left without later copies of 100-byte strings. Nulls, ties and empty tables: see the operator's module."""
     return suffix.digests(table(spark, sf_dir, "documents"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids and decoded text of every document, as digests. Nulls, ties and empty tables: see the operator's module."""
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page. Nulls, ties and empty tables: see the operator's module."""
     return html.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document. Nulls, ties and empty tables: see the operator's module."""
     return mixing.shares(table(spark, sf_dir, "documents"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals and verdict of every document. Nulls, ties and empty tables: see the operator's module."""
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth, against all. Nulls, ties and empty tables: see the operator's module."""
     return topk.nearest(table(spark, sf_dir, "embeddings"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that are left without windows of 13 that an earlier one has. Nulls, ties and empty tables: see the operator's module."""
     return substring.digests(table(spark, sf_dir, "documents"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Nulls, ties and empty tables: see the operator's module."""
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence texts and notices in every document. Nulls, ties and empty tables: see the operator's module."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document. Nulls, ties and empty tables: see the operator's module."""
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
