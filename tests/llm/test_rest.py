@@ -56,6 +56,37 @@ def test_language_of_clear_texts(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got.values() if r.doc_id is not None)
 
 
+def test_out_of_place_by_replay(spark, docs, monkeypatch):
+    """Profiles and distances counted in plain Python, with all languages at once and one at a time."""
+    import zlib
+
+    rows = docs.select("doc_id", "text", "lang").collect()
+    counts = defaultdict(Counter)
+    for r in rows:
+        if r.doc_id is not None and r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            for word in re.findall(r"[^\W\d_]+", r.text.lower()):
+                padded = [0, *map(ord, word), 0]
+                for n in (1, 2, 3):
+                    for i in range(len(padded) - n + 1):
+                        g = padded[i : i + n]
+                        if not (n == 1 and g == [0]):
+                            counts[r.lang][sum(x << 21 * (n - 1 - k) for k, x in enumerate(g))] += 1
+    profiles = {lang: {g: k for k, (g, _) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))[: langid.PROFILE])} for lang, c in counts.items()}
+
+    def wanted(text):
+        own = brute_ranked(text or "")
+        if not own:
+            return "und", 0.0
+        away = {lang: sum(min(abs(p[g] - k), langid.PROFILE) if g in p else langid.PROFILE for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(away), key=away.__getitem__)
+        return best, 1 - away[best] / (langid.PROFILE * len(own))
+
+    for together in (1000, 1):
+        monkeypatch.setattr(langid, "LANGUAGES", together)
+        got = Counter((r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.identify(docs).collect())
+        assert got == Counter((r.doc_id, wanted(r.text)[0], round(wanted(r.text)[1], 9)) for r in rows)
+
+
 def test_nothing_to_learn_from(spark, no_docs):
     df = spark.createDataFrame([(0, "the cat", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in langid.identify(df).collect()] == ["und"]
@@ -84,6 +115,32 @@ def test_quality_signals(docs, no_docs):
         assert r.kept == (not r.base_failed and r.quality >= 0.5)
 
 
+def test_verdict_by_replay(docs):
+    """Expectation-maximisation over every document, in plain Python, gives the same quality and verdict."""
+    import math
+
+    rows = quality.judged(docs).collect()
+    names = [c for c in rows[0].asDict() if c.startswith("vote_")]
+    votes = [[r[n] for n in names] for r in rows]
+    share, table = 0.5, [[list(c) for c in quality.START] for _ in names]
+
+    def good(v):
+        odds = math.log(share) - math.log(1 - share) + sum(math.log(t[1][x + 1]) - math.log(t[0][x + 1]) for t, x in zip(table, v))
+        return 1 / (1 + math.exp(max(-700, min(700, -odds))))
+
+    for _ in range(quality.ROUNDS):
+        p = [good(v) for v in votes]
+        before, share = share, min(1 - 1e-4, max(1e-4, sum(p) / len(p)))
+        for k in range(len(names)):
+            for c in (0, 1):
+                n = [1 + sum(q if c else 1 - q for q, v in zip(p, votes) if v[k] == x) for x in (-1, 0, 1)]
+                table[k][c] = [x / sum(n) for x in n]
+        if abs(share - before) < 1e-9:
+            break
+    for r, v in zip(rows, votes):
+        assert r.quality == pytest.approx(good(v), abs=1e-6) and r.kept == (not r.base_failed and good(v) >= quality.KEEP)
+
+
 def test_many_distinct_words_fall_back():
     words = [b"a", b"b", b"c", b"x", b"a", b"b", b"c", b"y"]
     assert quality.repeated_words_of(words) == 6

@@ -7,7 +7,7 @@ profile's length if it isn't there. The nearest profile wins.
 
 Profiles are counted over all documents that may be learned from: tasks add up the n-grams of their batches,
 Spark sums them by language and n-gram, and only ``PROFILE`` n-grams a language reach the driver and the
-tasks. The label column is taken to hold at most ``MAX_LANGUAGES`` values; more raise an error.
+tasks, of ``LANGUAGES`` languages at once; documents meet the profiles of more languages one such part after the other.
 
 Edge cases: a text that is null or has no letter gets ``und`` and score 0, and so does every text if there is
 nothing to learn from; of equally near languages the first by code points wins; equally frequent n-grams
@@ -28,7 +28,8 @@ from tidemark.llm.arrow import column_of, release, slices, text_buffers
 
 #: n-grams in a language's profile, and in a document's.
 PROFILE = 400
-MAX_LANGUAGES = 1000
+#: Languages whose profiles are broadcast together (some 6 kB each).
+LANGUAGES = 1000
 #: Rows of distinct n-grams that a task gathers before it sends them on.
 GATHERED = 400_000
 UNKNOWN = "und"
@@ -79,10 +80,8 @@ class Profiles:
         for lang, key, rank in rows:
             self.ranks[at[lang], np.searchsorted(self.keys, key)] = rank
 
-    def nearest(self, text: str | None) -> tuple[str, float]:
-        own = ranked(text) if text and self.languages else ()
-        if not len(own):
-            return UNKNOWN, 0.0
+    def nearest(self, own: np.ndarray) -> tuple[str, float]:
+        """The language whose profile is nearest to a document's ranked n-grams (there have to be some), and the score."""
         at = np.searchsorted(self.keys, own)
         at[at == len(self.keys)] = 0
         at = np.where(self.keys[at] == own, at, len(self.keys))
@@ -92,8 +91,8 @@ class Profiles:
         return self.languages[best], 1.0 - float(away[best]) / (PROFILE * len(own))
 
 
-def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Profiles:
-    """Profiles of every language in ``lang_col`` from all its texts; rows with a null in either are left out."""
+def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[Profiles]:
+    """Profiles of every language in ``lang_col``, in parts, from all its texts; rows with a null in either are left out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -131,24 +130,34 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     totals = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), F.col("gram"))
     top = totals.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PROFILE)
-    found = top.select("lang", "gram", "place").limit(MAX_LANGUAGES * PROFILE + 1).collect()
-    if len(found) > MAX_LANGUAGES * PROFILE:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return Profiles([(r.lang, r.gram, r.place - 1) for r in found])
+    top = top.select("lang", "gram", "place").checkpoint()
+    languages = sorted(r.lang for r in top.select("lang").distinct().collect())
+    parts = []
+    for at in range(0, len(languages), LANGUAGES):
+        rows = top.where(F.col("lang").between(languages[at], languages[min(at + LANGUAGES, len(languages)) - 1])).collect()
+        parts.append(Profiles([(r.lang, r.gram, r.place - 1) for r in rows]))
+    return parts
 
 
-def predict(df: DataFrame, profiles: Profiles, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(df: DataFrame, profiles: list[Profiles], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``df`` (or its columns in ``keep``) with ``lang_pred`` and ``score``: 1 less the share of the greatest possible distance."""
     kept = [c for c in (df.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     names = [*kept, "lang_pred", "score"]
-    shared = df.sparkSession.sparkContext.broadcast(profiles)
+    shared = [df.sparkSession.sparkContext.broadcast(part) for part in profiles]
+
+    def nearest(text: str) -> tuple[str, float]:
+        own = ranked(text) if text and shared else ()
+        best = UNKNOWN, 0.0
+        for i, part in enumerate(shared if len(own) else ()):
+            found = part.value.nearest(own)
+            best = found if i == 0 or found[1] > best[1] else best  # parts are in order, so of equals the first stays
+        return best
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = shared.value
         for batch in batches:
             offsets, data = text_buffers(column_of(batch, text_col))
             for a, b in slices(offsets):
-                langs, scores = zip(*(found.nearest(data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")) for i in range(a, b)), strict=True)
+                langs, scores = zip(*(nearest(data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")) for i in range(a, b)), strict=True)
                 columns = [column_of(batch, c).slice(a, b - a) for c in kept]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
         release()
