@@ -93,6 +93,26 @@ def test_a_component_of_several_blocks(spark, monkeypatch):
     assert len(simhash.keep_first(docs).collect()) == len(set(brute_roots(texts)))
 
 
+def test_index_with_a_wide_limit_by_brute_force():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 12, np.uint64)
+    bits = base[rng.integers(0, 12, 400)]
+    for _ in range(9):
+        bits = bits ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
+    bucket = np.repeat([0, 1, 2, 3, 4], [1, 40, 64, 65, 230])
+    allowed = rng.random((400, 400)) < 0.9
+    allowed |= allowed.T
+    got = simhash.linked_within(bits, bucket, 10, lambda i, j: allowed[i, j])
+    wanted = list(range(400))
+    for i in range(400):
+        for j in range(i):
+            if bucket[i] == bucket[j] and allowed[i, j] and int(bits[i] ^ bits[j]).bit_count() <= 10:
+                a, b = wanted[i], wanted[j]
+                wanted = [min(a, b) if x in (a, b) else x for x in wanted]
+    assert len(set(wanted)) > 20
+    assert len(set(zip(got.tolist(), wanted))) == len(set(wanted)) == len(set(got.tolist()))
+
+
 def test_whole_groups():
     import pyarrow as pa
 

@@ -14,9 +14,9 @@ over all buckets come from minimum labels with pointer jumping on the linked fin
 
 ``components`` takes 64-bit fingerprints at their word. ``near_components`` finds texts whose sets of word shingles have a Jaccard similarity of 0.8 or
 more: for those, 64 bits differ in about ten places and no pigeonhole is left, so a set gets ``WIDE`` fingerprints of 64 bits, from as many mixes
-of its hashes, and goes into the four buckets of each. The same index, with limits on the bits of the bucket's fingerprint and of all of them, gives candidate
+of its hashes, and goes into four buckets of each, by 12 bits of its quarters. The same index, with limits on the bits of the bucket's fingerprint and of all of them, gives candidate
 components, without a pair being sent. In each of them the sets themselves are then compared, in pairs of blocks of ``MEMBERS`` sets, so a link holds exactly and none between candidates is lost.
-A pair of similarity 0.8 shares a bucket with probability 1 - (1 - 0.848 ** 16) ** 32 = 0.91, one of 0.9 with 0.997, and one of 0.95 nearly surely; a component may still be joined
+A pair of similarity 0.8 shares a bucket with probability 1 - (1 - 0.848 ** 12) ** 32 = 0.992, and one of 0.9 with 0.9999; a component may still be joined
 through other members. Its members are compared block by block, so the work of one candidate component grows with the square of its distinct sets.
 
 Edge cases: a null or empty text, or one of white space alone, has fingerprint zero and is linked like any other;
@@ -52,6 +52,10 @@ NEAR_SHINGLE = 5
 NEAR = (4, 5)
 WIDE = 8
 NEAR_BITS, WIDE_BITS = 18, 106
+#: Fingerprints in a node of the index for such limits.
+NODE = 64
+#: Bits of each quarter of 16 that name a bucket; fewer find more links and make larger buckets.
+BAND = 12
 #: Sets of a candidate component that are compared at once with as many others; rows of buckets that a task takes together.
 MEMBERS = 1000
 TOGETHER = 100_000
@@ -172,11 +176,8 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         parent = roots_of(parent)
 
 
-def linked(bits: np.ndarray, bucket: np.ndarray, limit: int = MAX_BITS, check: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
-    """For fingerprints (uint64) with their buckets' numbers: the place of one in the same local component.
-
-    ``check`` says which of the pairs (places) within the limit are linked; without it all are.
-    """
+def linked(bits: np.ndarray, bucket: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
+    """For fingerprints (uint64) with their buckets' numbers: the place of one in the same local component."""
     n = len(bits)
     order = np.lexsort((gray_rank(bits), bucket))
     bits, bucket = bits[order], bucket[order]
@@ -217,11 +218,54 @@ def linked(bits: np.ndarray, bucket: np.ndarray, limit: int = MAX_BITS, check: C
                 if len(query):
                     parts.append((query, below, apart, level + 1))
             else:
-                other = starts[8][below]
-                if check is not None:
-                    passed = check(order[query], order[other])
-                    query, other = query[passed], other[passed]
-                parent = unite(parent, query, other)
+                parent = unite(parent, query, starts[8][below])
+    out = np.empty(n, np.int64)
+    out[order] = order[roots_of(parent)]
+    return out
+
+
+def linked_within(bits: np.ndarray, bucket: np.ndarray, limit: int, check: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """``linked`` for a wide limit, where single fingerprints differ too little from each other for a tree of bytes to prune.
+
+    Nodes are runs of ``NODE`` fingerprints in Gray order with the bits that all of theirs share: two nodes that differ in more than ``limit`` shared bits are
+    dropped as a whole, and the others' fingerprints are compared, all at once. Buckets of no more than a node are compared by their distance in the order,
+    many buckets at once. ``check`` says which of the pairs (places) within the limit are linked.
+    """
+    n = len(bits)
+    order = np.lexsort((gray_rank(bits), bucket))
+    bits, bucket = bits[order], bucket[order]
+    parent = np.arange(n)
+    start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    size = np.diff(np.append(start, n))
+    after = np.repeat(start + size, size) - np.arange(n)  # rows of the bucket from here on
+
+    def link(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal parent
+        apart = parent[a] != parent[b]
+        a, b = a[apart], b[apart]
+        passed = check(order[a], order[b])
+        parent = unite(parent, a[passed], b[passed])
+
+    here = np.flatnonzero(np.repeat(size <= NODE, size))
+    for step in range(1, NODE):
+        here = here[after[here] > step]
+        if not len(here):
+            break
+        near = here[np.bitwise_count(bits[here] ^ bits[here + step]) <= limit]
+        link(near, near + step)
+    for first, rows in zip(start[size > NODE].tolist(), size[size > NODE].tolist(), strict=True):
+        mine = bits[first : first + rows]
+        at = np.arange(0, rows, NODE)
+        every, some = np.bitwise_and.reduceat(mine, at), np.bitwise_or.reduceat(mine, at)
+        shared = ~(every ^ some)
+        for k, a in enumerate(at.tolist()):
+            apart = np.bitwise_count((every[k] ^ every[k:]) & shared[k] & shared[k:])
+            met = k + np.flatnonzero(apart <= limit)
+            others = (met[:, None] * NODE + np.arange(NODE)).ravel()
+            others = others[others < rows]
+            i, j = np.nonzero(np.bitwise_count(mine[a : a + NODE, None] ^ mine[others]) <= limit)
+            keep = a + i < others[j]
+            link(first + a + i[keep], first + others[j[keep]])
     out = np.empty(n, np.int64)
     out[order] = order[roots_of(parent)]
     return out
@@ -319,7 +363,8 @@ def wide_buckets(sets: DataFrame) -> DataFrame:
     ``below`` is 0, or in a bucket of over ``BUCKET`` sets one of the quarters of the next fingerprint, four times.
     """
     number = 4 * WIDE
-    quarter = lambda band: F.conv(F.hex(F.substring("wide", 2 * band + 1, 2)), 16, 10).cast("long") + band.cast("long") * 65536
+    bits = lambda band: F.conv(F.hex(F.substring("wide", 2 * band + 1, 2)), 16, 10).cast("long")
+    quarter = lambda band: bits(band).bitwiseAND((1 << BAND) - 1) + band.cast("long") * 65536
     level = sets.select("*", F.explode(F.sequence(F.lit(0), F.lit(number - 1))).alias("band")).select("node", "size", "wide", quarter(F.col("band")).alias("bucket"))
     whole = level.withColumn("below", F.lit(0).cast("long"))
     if sets.count() <= BUCKET:  # then no bucket has more
@@ -349,7 +394,7 @@ def candidates(bucketed: DataFrame, near: tuple[int, int]) -> DataFrame:
                 return near_size
 
             bits = wide[np.arange(len(wide)), column_of(table, "bucket").to_numpy() // 65536 // 4]
-            to = linked(bits, group, NEAR_BITS, check)
+            to = linked_within(bits, group, NEAR_BITS, check)
             a = np.flatnonzero(to != np.arange(len(bits)))
             node = column_of(table, "node")
             yield pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(to[a]))], names=["a", "b"])
