@@ -314,17 +314,23 @@ def local_links(bucketed: DataFrame) -> DataFrame:
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """``node`` and ``label`` for the nodes of ``links`` (a, b): the least node of each connected component."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")).checkpoint()
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
-        above = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        jumped = lower.join(above, "label").select("node", F.least("label", "above").alias("label"), "before").checkpoint()
-        if jumped.where(F.col("label") != F.col("before")).isEmpty():
-            return jumped.select("node", "label")
-        labels = jumped.select("node", "label")
+    """``node`` and ``label`` for the nodes of ``links`` (a, b): the least node of each connected component.
+
+    In each round every node points to its least neighbour, if that is less, and one step on from there; edges are then between what their ends point
+    to, once each, so that they become fewer with every round. The least node of a component always points to itself.
+    """
+    edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct().checkpoint()
+    names = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct().withColumn("label", F.col("node"))
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        point = both.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("to")).select("at", F.least("at", "to").alias("to")).checkpoint()
+        onward = point.select(F.col("at").alias("to"), F.col("to").alias("on"))
+        point = point.join(onward, "to").select("at", "on").checkpoint()
+        ends = lambda name: point.select(F.col("at").alias(name), F.col("on").alias(f"{name}_on"))
+        moved = edges.join(ends("a"), "a").join(ends("b"), "b").select(F.least("a_on", "b_on").alias("a"), F.greatest("a_on", "b_on").alias("b"))
+        edges = moved.where("a != b").distinct().checkpoint()
+        names = names.join(point.withColumnRenamed("at", "label"), "label", "left").select("node", F.coalesce("on", "label").alias("label")).checkpoint()
+    return names
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
