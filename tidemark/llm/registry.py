@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidemark.llm import bpe, html, langid, licenses, mixing, quality, simhash, substring, suffix, topk, trie
+from tidemark.llm import bpe, ftrl, html, langid, licenses, mixing, quality, simhash, substring, suffix, topk, trie
 from tidemark.llm.shared import tokenizer_path, use_checkpoints
 
 
@@ -66,13 +66,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document as learned from the labels of those not held out. Empty texts and a table without labels have a score, too: see the operator's module."""
+    return ftrl.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes of the trie of rebuilt conversations. A null conversation id takes no part; an empty table gives no node; other cases: see the operator's module."""
     return trie.trie(table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": corpus_pipeline.run, "op1_suffix_dedup": op1_suffix_dedup, "op2_bpe": op2_bpe, "op3_html": op3_html, "op4_mixing": op4_mixing, "op5_quality_rules": op5_quality_rules, "op6_topk": op6_topk, "op7_substring_dedup": op7_substring_dedup, "op8_simhash": op8_simhash, "op9_licenses": op9_licenses, "op10_language_id": op10_language_id, "op12_prefix_trie": op12_prefix_trie}
+    return {"pipeline": corpus_pipeline.run, "op1_suffix_dedup": op1_suffix_dedup, "op2_bpe": op2_bpe, "op3_html": op3_html, "op4_mixing": op4_mixing, "op5_quality_rules": op5_quality_rules, "op6_topk": op6_topk, "op7_substring_dedup": op7_substring_dedup, "op8_simhash": op8_simhash, "op9_licenses": op9_licenses, "op10_language_id": op10_language_id, "op11_quality_classifier": op11_quality_classifier, "op12_prefix_trie": op12_prefix_trie}
 
 
 def oracle_sql() -> dict[str, str]:
