@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tidemark.llm import bpe, ftrl, html, langid, licenses, mixing, quality, simhash, substring, suffix, topk, trie
+from tidemark.llm import bpe, ftrl, html, langid, licenses, mixing, quality, ranking, simhash, substring, suffix, topk, trie
 from tidemark.llm.shared import tokenizer_path, use_checkpoints
 
 
@@ -76,9 +76,14 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest-scoring documents of every benchmark item. Items without terms and documents with score 0 have no rows; other cases: see the operator's module."""
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": corpus_pipeline.run, "op1_suffix_dedup": op1_suffix_dedup, "op2_bpe": op2_bpe, "op3_html": op3_html, "op4_mixing": op4_mixing, "op5_quality_rules": op5_quality_rules, "op6_topk": op6_topk, "op7_substring_dedup": op7_substring_dedup, "op8_simhash": op8_simhash, "op9_licenses": op9_licenses, "op10_language_id": op10_language_id, "op11_quality_classifier": op11_quality_classifier, "op12_prefix_trie": op12_prefix_trie}
+    return {"pipeline": corpus_pipeline.run, "op1_suffix_dedup": op1_suffix_dedup, "op2_bpe": op2_bpe, "op3_html": op3_html, "op4_mixing": op4_mixing, "op5_quality_rules": op5_quality_rules, "op6_topk": op6_topk, "op7_substring_dedup": op7_substring_dedup, "op8_simhash": op8_simhash, "op9_licenses": op9_licenses, "op10_language_id": op10_language_id, "op11_quality_classifier": op11_quality_classifier, "op12_prefix_trie": op12_prefix_trie, "op13_ranked_search": op13_ranked_search}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": topk.SQL, "op9_licenses": licenses.sql(), "op12_prefix_trie": trie.SQL}
+    return {"op6_topk": topk.SQL, "op9_licenses": licenses.sql(), "op12_prefix_trie": trie.SQL, "op13_ranked_search": ranking.SQL}
