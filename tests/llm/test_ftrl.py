@@ -34,7 +34,7 @@ def plain_vector(text: str) -> dict[tuple, float]:
 
 def vector(*texts: str) -> list[tuple[np.ndarray, np.ndarray]]:
     raw = [t.encode() for t in texts]
-    return list(ftrl.vectors(np.append(0, np.cumsum([len(r) for r in raw])), np.frombuffer(b"".join(raw), np.uint8)))
+    return [ftrl.scaled(*x) for x in ftrl.counted(np.append(0, np.cumsum([len(r) for r in raw])), np.frombuffer(b"".join(raw), np.uint8))]
 
 
 TEXTS = ["The cat, the CAT!! and 3 cats | a | b", "", "  \n ", "x", "Der Der Der Der. a. a. a. a.", "é Éa ñ%%% so%%%so"]
@@ -54,7 +54,7 @@ def test_pieces_change_nothing(monkeypatch):
     text = " ".join(TEXTS * 40)
     (whole,) = vector(text)
     monkeypatch.setattr(ftrl, "PIECE", 37)
-    places, values = ftrl.long_vector(np.frombuffer(text.encode(), np.uint8))
+    places, values = ftrl.scaled(*ftrl.long_counts(np.frombuffer(text.encode(), np.uint8)))
     assert np.array_equal(places, whole[0]) and np.allclose(values, whole[1])
 
 
@@ -105,10 +105,10 @@ def test_no_labels_no_documents(spark, docs, no_docs):
 
 
 def test_repeated_ids_are_learned_once(spark):
-    docs = spark.createDataFrame([(2, "a b c")] * 50 + [(3, "d e f")], "doc_id long, text string").repartition(4)
+    once = spark.createDataFrame([(2, "a b c"), (3, "d e f")], "doc_id long, text string")
+    often = once.unionByName(once.where("doc_id = 2").crossJoin(spark.range(50)).drop("id")).repartition(4)
     labels = spark.createDataFrame([(2, 1, 0, "", 0), (3, 0, 0, "", 0)] * 3, LABELS)
-    rows = ftrl.training_rows(docs, ftrl.chosen(labels, "doc_id", "quality", 100), "doc_id", "text")
-    assert sorted((r.id, r.label) for r in rows.collect()) == [(2, 1), (3, 0)]
+    assert np.array_equal(ftrl.learn(once, labels), ftrl.learn(often, labels))
 
 
 @pytest.mark.parametrize("bound", [10, 100])

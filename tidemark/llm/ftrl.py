@@ -30,12 +30,12 @@ from tidemark.llm.arrow import column_of, release, slices, text_buffers
 from tidemark.llm.langid import held_out
 from tidemark.llm.rounds import SEEDS, U, mix, range_hashes
 
-BITS = 18
+BITS = 17
 DIM = 1 << BITS
 #: Labelled documents to learn from, about; shards and rounds of learning.
-TRAINED = 40_000
+TRAINED = 20_000
 SHARDS = 32
-EPOCHS = 8
+EPOCHS = 6
 #: Learning rate, its smoothing, and the weights of both penalties.
 ALPHA, BETA, L1, L2 = 3.0, 1.0, 0.02, 0.0
 #: Bytes of one document that are turned into arrays at once.
@@ -117,14 +117,14 @@ class Words:
 
 
 def scaled(places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A document's places and values, the constant feature last."""
+    """A document's places and values from its counts, the constant feature last."""
     values = 1.0 + np.log(counts)
     norm = np.sqrt((values * values).sum())
     return np.append(places, DIM), np.append(values / norm if norm else values, 1.0)
 
 
-def long_vector(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The features of one document, piece by piece."""
+def long_counts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places and counts of one document, piece by piece."""
     counts, at = np.zeros(DIM, np.int64), 0
     before = Words.of(data[:0], np.zeros(2, np.int64))
     while at < len(data):
@@ -138,15 +138,15 @@ def long_vector(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         counts += np.bincount(places, minlength=DIM)
         before, at = words.last(4), end  # two words back, and two more that these may repeat
     places = np.flatnonzero(counts)
-    return scaled(places, counts[places])
+    return places, counts[places]
 
 
-def vectors(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places and values of each document, in order."""
+def counted(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of n-grams and their counts in each document, in order."""
     for a, b in slices(offsets):
         part = data[offsets[a] : offsets[b]]
         if b - a == 1 and len(part) > PIECE:
-            yield long_vector(part)
+            yield long_counts(part)
             continue
         words = Words.of(part, offsets[a : b + 1] - offsets[a])
         places, docs = words.features()
@@ -154,7 +154,7 @@ def vectors(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[np.ndarray,
         edges = np.searchsorted(found, np.arange(b - a + 1) << BITS)
         for i in range(b - a):
             x, y = edges[i], edges[i + 1]
-            yield scaled(found[x:y] & (DIM - 1), counts[x:y])
+            yield found[x:y] & (DIM - 1), counts[x:y]
 
 
 @dataclass
@@ -193,57 +193,59 @@ def chosen(labels: DataFrame, id_col: str, label_col: str, bound: int) -> DataFr
 
 
 def training_rows(docs: DataFrame, labelled: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``shard, place, id, label, places, values`` of the labelled documents, once an id."""
+    """``shard, place, id, label, places, counts`` of the labelled documents; a shard is in one partition, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, labels = column_of(batch, "id"), column_of(batch, "label")
-            at = 0
-            for places, values in vectors(*text_buffers(column_of(batch, "text"))):
-                columns = [ids.slice(at, 1), labels.slice(at, 1), pa.array([places.tolist()], pa.list_(pa.int32())), pa.array([values.tolist()], pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "places", "values"])
-                at += 1
+            for at, (places, counts) in enumerate(counted(*text_buffers(column_of(batch, "text")))):
+                columns = [ids.slice(at, 1), labels.slice(at, 1), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.int32())) for x in (places, counts))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "places", "counts"])
         release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(labelled), "id")
-    found = rows.mapInArrow(run, "id long, label int, places array<int>, values array<double>")
-    once = found.groupBy("id").agg(F.min(F.struct("label", "places", "values")).alias("x")).select("id", "x.*")
-    return once.select(F.pmod(F.xxhash64("id", F.lit(12)), F.lit(SHARDS)).cast("int").alias("shard"), F.xxhash64("id", F.lit(13)).alias("place"), "id", "label", "places", "values")
+    found = rows.mapInArrow(run, "id long, label int, places array<int>, counts array<int>")
+    dealt = found.select(F.pmod(F.xxhash64("id", F.lit(12)), F.lit(SHARDS)).cast("int").alias("shard"), F.xxhash64("id", F.lit(13)).alias("place"), *found.columns)
+    return dealt.repartition(SHARDS, "shard").sortWithinPartitions("shard", "place", "id", F.xxhash64("places", "counts"))
+
+
+def shard_changes(batches: Iterator[pa.RecordBatch], start: State) -> Iterator[pa.RecordBatch]:
+    """What each shard changes in the state, going on from ``start``; of rows with one id the first is learned from."""
+    own, shard, before = None, None, None
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if own is not None:
+            at = np.flatnonzero(own.n != start.n)
+            parts = [pa.array(at, pa.int32()), pa.array((own.z - start.z)[at], pa.float32()), pa.array((own.n - start.n)[at], pa.float32())]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), x) for x in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *lists], names=["shard", "at", "dz", "dn"])
+
+    for batch in batches:
+        shards, ids, labels, places, counts = (column_of(batch, c) for c in ("shard", "id", "label", "places", "counts"))
+        for i, (number, doc, label) in enumerate(zip(shards.to_pylist(), ids.to_pylist(), labels.to_pylist(), strict=True)):
+            if number != shard:
+                yield from close()
+                own, shard, before = State(start.z.copy(), start.n.copy()), number, None
+            if doc != before:
+                own.learn(*scaled(places[i].values.to_numpy(), counts[i].values.to_numpy()), label)
+            before = doc
+    yield from close()
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bound: int = TRAINED) -> np.ndarray:
     """The weights of all places, the constant's last."""
     spark = docs.sparkSession
-    rows = training_rows(docs, chosen(labels, id_col, label_col, bound), id_col, text_col)
-    rows = rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", "place", "id").checkpoint()
+    rows = training_rows(docs, chosen(labels, id_col, label_col, bound), id_col, text_col).checkpoint()
     state = State.empty()
     for _ in range(EPOCHS):
         sent = spark.sparkContext.broadcast(state)
-
-        def shard_changes(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            start, own, shard = sent.value, None, None
-
-            def close() -> Iterator[pa.RecordBatch]:
-                if own is not None:
-                    at = np.flatnonzero(own.n != start.n)
-                    columns = [pa.array([shard], pa.int32()), *(pa.array([x.tolist()], pa.list_(t)) for x, t in ((at, pa.int32()), ((own.z - start.z)[at], pa.float64()), ((own.n - start.n)[at], pa.float64())))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["shard", "at", "dz", "dn"])
-
-            for batch in batches:
-                shards, label, places, values = (column_of(batch, c) for c in ("shard", "label", "places", "values"))
-                for i, (number, y) in enumerate(zip(shards.to_pylist(), label.to_pylist(), strict=True)):
-                    if number != shard:
-                        yield from close()
-                        own, shard = State(start.z.copy(), start.n.copy()), number
-                    own.learn(places[i].values.to_numpy(), values[i].values.to_numpy(), y)
-            yield from close()
-
-        changes = rows.mapInArrow(shard_changes, "shard int, at array<int>, dz array<double>, dn array<double>")
+        changes = rows.mapInArrow(lambda batches, sent=sent: shard_changes(batches, sent.value), "shard int, at array<int>, dz array<float>, dn array<float>")
+        found = changes.toArrow().combine_chunks().sort_by("shard")  # at most SHARDS rows of at most DIM + 1 places
         dz, dn, touched = np.zeros(DIM + 1), np.zeros(DIM + 1), np.zeros(DIM + 1)
-        for change in changes.orderBy("shard").toLocalIterator():  # at most SHARDS rows of at most DIM + 1 places, in this order
-            at = np.array(change.at, np.int64)
-            dz[at] += change.dz
-            dn[at] += change.dn
+        for at, z, n in zip(*(column_of(found, c) for c in ("at", "dz", "dn")), strict=True):
+            at = at.values.to_numpy()
+            dz[at] += z.values.to_numpy()
+            dn[at] += n.values.to_numpy()
             touched[at] += 1
         touched = np.maximum(touched, 1)
         state = State(state.z + dz / touched, state.n + dn / touched)
@@ -258,7 +260,8 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
         for batch in batches:
-            scores = [logistic(float(w[places] @ values)) for places, values in vectors(*text_buffers(column_of(batch, "text")))]
+            vectors = (scaled(*x) for x in counted(*text_buffers(column_of(batch, "text"))))
+            scores = [logistic(float(w[places] @ values)) for places, values in vectors]
             yield pa.RecordBatch.from_arrays([column_of(batch, "id"), pa.array(scores, pa.float64())], names=[id_col, "score"])
         release()
 
