@@ -1,11 +1,13 @@
 """Market states by k-means, and reference zones of one net position.
 
 The fits run per market in ``applyInPandas`` on numpy arrays: a market has a few thousand rows at most, and markets are dealt over
-the cluster. Seeds are fixed. Everything after the fit is set-based.
+the cluster. Starts are fixed by digests of dates, so a fit can be followed in SQL. Everything after the fit is set-based.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,35 +19,38 @@ from tidemark.operators import outcomes
 from tidemark.operators.knn import NETS, SHARES, complete, greedy
 
 FEATURES = NETS + SHARES
+#: Restarts and most rounds of a fit, decimal places of centres, and of silhouettes.
+RESTARTS, ROUNDS, PLACES, FIGURES = 20, 300, 10, 9
 
 
 def distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(((x[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2), 0))
 
 
-def k_means(x: np.ndarray, k: int, restarts: int = 20, seed: int = 42, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """Labels and centres of the best of some fits from spread starts (each next centre drawn by squared distance)."""
-    rng = np.random.default_rng(seed)
+def starts(dates: pd.Series, restarts: int = RESTARTS) -> np.ndarray:
+    """For each restart the rows in the order of a digest of their date and the restart: starts that are random, but the same everywhere."""
+    days = [f"{d:%Y-%m-%d}" for d in pd.to_datetime(dates)]
+    return np.array([sorted(range(len(days)), key=lambda i: hashlib.md5(f"{days[i]}|{r}".encode()).hexdigest()) for r in range(restarts)])
+
+
+def k_means(x: np.ndarray, k: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and centres of the best of Lloyd's iterations from the first ``k`` rows of each order; of equal ones the first.
+
+    Centres are rounded, so that the iteration ends when they stay; a cluster without rows keeps its centre.
+    """
     best = (np.inf, None, None)
-    for _ in range(restarts):
-        centers = x[[rng.integers(len(x))]]
-        while len(centers) < k:
-            away = distances(x, centers).min(axis=1) ** 2
-            p = away / away.sum() if away.sum() > 0 else None
-            centers = np.vstack((centers, x[rng.choice(len(x), p=p)]))
-        labels = None
-        for _ in range(rounds):
-            d = distances(x, centers)
-            new = d.argmin(axis=1)
-            if labels is not None and (new == labels).all():
+    for first in order[:, :k]:
+        centers = x[first]
+        for _ in range(ROUNDS):
+            labels = distances(x, centers).argmin(axis=1)
+            fresh = np.array([x[labels == c].mean(axis=0).round(PLACES) if (labels == c).any() else centers[c] for c in range(k)])
+            if (fresh == centers).all():
                 break
-            labels = new
-            for c in range(k):
-                if (labels == c).any():
-                    centers[c] = x[labels == c].mean(axis=0)
-        cost = (distances(x, centers).min(axis=1) ** 2).sum()
-        if cost < best[0] - 1e-12:
-            best = (cost, labels, centers)
+            centers = fresh
+        away = distances(x, centers)
+        cost = round(float((away.min(axis=1) ** 2).sum()), 6)
+        if cost < best[0]:
+            best = (cost, away.argmin(axis=1), centers)
     return best[1], best[2]
 
 
@@ -63,10 +68,20 @@ def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
     means = sums / sizes
     means[rows, own] = np.inf
     outside = means.min(axis=1)
-    return float(np.where(sizes[own] > 1, (outside - inside) / np.maximum(np.maximum(inside, outside), 1e-300), 0).mean())
+    return round(float(np.where(sizes[own] > 1, (outside - inside) / np.maximum(np.maximum(inside, outside), 1e-300), 0).mean()), FIGURES)
+
+
+def silhouettes(rows: DataFrame, features: list[str]) -> DataFrame:
+    """``market, silhouette`` of the clusters in column ``cluster``, by the distances of ``features``; NULL with a single cluster."""
+
+    def figure(part: pd.DataFrame) -> pd.DataFrame:
+        several = part["cluster"].nunique() > 1
+        return pd.DataFrame({"market": [part["market"].iloc[0]], "silhouette": [silhouette(part[features].to_numpy(float), part["cluster"].to_numpy()) if several else None]})
+
+    return rows.select("market", "cluster", *features).groupBy("market").applyInPandas(figure, "market string, silhouette double")
 
 
-def fitted(df: DataFrame, weeks: int = 8, min_k: int = 3, max_k: int = 8, least_rows: int = 80, seed: int = 42) -> DataFrame:
+def fitted(df: DataFrame, weeks: int = 8, min_k: int = 3, max_k: int = 8, least_rows: int = 80) -> DataFrame:
     """History rows of each market with ``same``: whether they are in the current row's cluster, the number of clusters and the silhouette.
 
     The number is the one with the best silhouette, the smallest of equal ones. Rows with infinite values are left out, and a market whose current row
@@ -85,10 +100,11 @@ def fitted(df: DataFrame, weeks: int = 8, min_k: int = 3, max_k: int = 8, least_
         z = (x - x[history].mean(axis=0)) / np.where(spread == 0, 1, spread)
         past, now = z[history], z[~history][:1]
         best = (-np.inf, 0, None, None)
+        order = starts(rows.loc[history, "date"])
         for k in range(min_k, min(max_k, max(min_k, len(past) // 20)) + 1):
             if len(past) <= k:
                 continue
-            labels, centers = k_means(past, k, seed=seed)
+            labels, centers = k_means(past, k, order)
             if len(np.unique(labels)) > 1 and (s := silhouette(past, labels)) > best[0]:
                 best = (s, k, labels, centers)
         out = rows.loc[history, ["market", "date", ret]].copy()
@@ -120,7 +136,7 @@ def analyze(fit: DataFrame, weeks: int = 8, gap_weeks: int = 8, min_sample: int
     return c.withColumns({"quality": quality, "available": F.col("n") >= min_sample, "range_low": r[0], "range_high": r[1]}), events
 
 
-def zoned(df: DataFrame, net: str, weeks: int = 8, n_zones: int = 8, seed: int = 42) -> DataFrame:
+def zoned(df: DataFrame, net: str, weeks: int = 8, n_zones: int = 8) -> DataFrame:
     """Rows of each market with the zone of their net position by one-dimensional k-means; the newest row is assigned, not fitted."""
     ret = f"return_{weeks}w"
     clean = complete(df, [net, ret]).where(F.col("n_rows") >= max(30, 4 * n_zones)).select("market", "date", "is_last", F.col(net).alias("net"), F.col(ret).alias("ret"))
@@ -130,7 +146,7 @@ def zoned(df: DataFrame, net: str, weeks: int = 8, n_zones: int = 8, seed: int =
         x = rows[["net"]].to_numpy(float)
         history = ~rows["is_last"].to_numpy(bool)
         k = min(n_zones, max(3, int(history.sum()) // 20))
-        _, centers = k_means(x[history], k, seed=seed)
+        _, centers = k_means(x[history], k, starts(rows.loc[history, "date"]))
         rows["zone"] = distances(x, np.sort(centers, axis=0)).argmin(axis=1)
         return rows
 

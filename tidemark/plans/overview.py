@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import clusters, confluence, flows, index_pattern, knn, outcomes, scan
-from tidemark.plans import display, regimes, scan_sql, signals
+from tidemark.plans import cluster_sql, display, regimes, scan_sql, signals
 from tidemark.plans.positioning import NETS, R8, SHARES, observed, priced
-from tidemark.plans.shape import shaped, sql, sql_counted, sql_greedy, sql_levels, sql_nearest, sql_wilson
+from tidemark.plans.shape import shaped, sql, sql_greedy, sql_levels, sql_nearest, sql_wilson
 from tidemark.session import materialized
 from tidemark.sources import proxies
 
@@ -155,21 +155,20 @@ FIXED = 4
 
 
 def fixed_clusters(spark, sf_dir):
-    """The outcome of the current cluster, for clusters of equal size by the commercials' net position, which SQL can form too."""
+    """The outcome of the current cluster, for clusters of equal size by the commercials' net position."""
     clean = knn.complete(observed(spark, sf_dir), ["commercial_net", R8]).withColumn("cluster", F.ntile(FIXED).over(Window.partitionBy("market").orderBy("commercial_net", "date")))
     now = F.max(F.when(F.col("is_last"), F.col("cluster"))).over(Window.partitionBy("market"))
-    fit = clean.withColumns({"same": F.col("cluster") == now, "k": F.lit(FIXED), "silhouette": F.lit(0.25)}).where(~F.col("is_last"))
+    clean = materialized(clean.withColumns({"same": F.col("cluster") == now, "k": F.lit(FIXED)}).where(~F.col("is_last")))
+    fit = clean.join(clusters.silhouettes(clean, ["commercial_net"]), "market")
     return clusters.analyze(fit.select("market", "date", R8, "cluster", "same", "k", "silhouette"))[0]
 
 
 SQL_CLUSTERS = f"""qa AS (SELECT *, date = max(date) OVER (PARTITION BY market) AS is_last, ntile({FIXED}) OVER (PARTITION BY market ORDER BY commercial_net, date) AS cluster FROM obs WHERE commercial_net IS NOT NULL AND {R8} IS NOT NULL),
 qb AS (SELECT *, max(cluster) FILTER (is_last) OVER (PARTITION BY market) AS current FROM qa),
 qc AS (SELECT market, date, {R8} AS ret FROM qb WHERE cluster = current AND NOT is_last),
-{sql_greedy('qc', 'date DESC', 56, None, 'qe', 'market', 'ret')},
-qf AS ({sql_counted('qe', 'ret')}),
-qg AS (SELECT *, CASE WHEN up / n >= 0.6 THEN 'bullish' WHEN down / n >= 0.6 THEN 'bearish' ELSE 'neutral' END AS direction, CASE WHEN up / n >= 0.6 THEN up WHEN down / n >= 0.6 THEN down ELSE greatest(up, down) END AS hits FROM qf),
-qh AS (SELECT *, hits / n AS hit_rate, {sql_wilson('hits', 'n', False)} AS wilson_low, {sql_wilson('hits', 'n', True)} AS wilson_high FROM qg),
-clus AS (SELECT *, all_25 AS q25, all_75 AS q75, {FIXED} AS k, 0.25 AS silhouette, n >= 12 AS available, CASE direction WHEN 'neutral' THEN 0.0 ELSE 100 * (0.65 * wilson_low + 0.20 * least(1.0, ln(1 + n) / ln(51)) + 0.15 * least(1.0, (0.25 + 0.1) / 0.6)) END AS quality FROM qh)"""
+ql AS (SELECT market, {FIXED} AS k, date, [CAST(commercial_net AS DOUBLE)] AS f, cluster AS label FROM qb WHERE NOT is_last),
+{cluster_sql.silhouettes('ql', 'qs')},
+{cluster_sql.outcome()}"""
 
 
 def top_clusters_query(spark, sf_dir):
@@ -287,8 +286,8 @@ def entries() -> dict[str, tuple]:
         "zone_table_view": (zone_view_query, sql(SQL_ZONE_VIEW, strings(SHOWN_ZONES))),
         "confluence_view": (confluence_view_query, sql(sql_confluence_view(), strings(SHOWN_CONFLUENCE))),
         "market_scan_core": (lambda spark, sf_dir: shaped(scanned(spark, sf_dir, False), SCAN_CORE), sql(scan_sql.sql_scan(TODAY) + ", result AS (SELECT * FROM scan)", SCAN_CORE, "none")),
-        "market_clusters": (cluster_query, None),
-        "reference_zones": (zones_query, None),
+        "market_clusters": (cluster_query, sql(cluster_sql.fitted() + "," + cluster_sql.outcome() + ", result AS (SELECT * FROM clus)", CLUSTER)),
+        "reference_zones": (zones_query, sql(cluster_sql.zoned("commercial_net") + "," + SQL_ZONES[SQL_ZONES.index("zb AS") :], ZONES)),
         "market_scan": (lambda spark, sf_dir: shaped(scanned(spark, sf_dir), SCAN), None),
         "market_overview": (
             overview_query,
