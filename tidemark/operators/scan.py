@@ -1,10 +1,16 @@
 """The market scan: every analyzer over all markets at once, one wide row per market, and the rankings over it.
 
-Markets that fail a minimum keep their row, with a reason, by left joins from the table of markets.
+Markets that fail a minimum keep their row, with a reason, by left joins from the table of markets; so do markets for which an analyzer fails.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +21,8 @@ from tidemark.session import materialized
 from tidemark.sources.tables import market_quality
 
 LEAST_ROWS = 60
+#: Analyzers whose jobs are made and run at the same time.
+AT_ONCE = 6
 
 
 def titled(direction: Column) -> Column:
@@ -24,7 +32,7 @@ def titled(direction: Column) -> Column:
 def pure_net_columns(valid: DataFrame, prices: DataFrame, reports: DataFrame, weeks: int, n: int) -> DataFrame:
     """Outcome and timing of one horizon's pure-net analogs, prefixed by the horizon."""
     matches = materialized(knn.pure_net(valid, weeks, n))
-    result = materialized(outcomes.levels(matches, ["market"], f"return_{weeks}w"))
+    result = outcomes.levels(matches, ["market"], f"return_{weeks}w")
     timing = paths.cluster_timing(matches, prices, result.select("market", F.col("direction").alias("bias")), reports, weeks)
     figures = ("n", "up", "down", "direction", "hit_rate", "median", "range_low", "range_high")
     both = result.select("market", *figures).join(timing.select("market", "window_start", "window_end"), "market", "left")
@@ -46,57 +54,143 @@ def timing_bias(median: Column, bias: Column) -> Column:
     return F.when(median > 0, "bullish").when(median < 0, "bearish").otherwise(bias)
 
 
-def scan(positions: DataFrame, prices: DataFrame, markets: DataFrame, today: Column, n: int = 30, threshold: float = 0.01, with_clusters: bool = True) -> DataFrame:
-    """One row per row of ``markets`` (market, category).
-
-    Prices, observations and matches are used by several analyzers, so they are materialized.
-    """
-    positions, prices = materialized(positions), materialized(prices)
-    quality = materialized(market_quality(positions, prices, markets, today))
-    obs = observations(positions, prices, HORIZONS, scales=False)
-    full = obs.na.drop(subset=knn.NETS + knn.SHARES).withColumn("n_valid", F.count("*").over(windows.whole()))
-    valid = materialized(full.where(F.col("n_valid") >= LEAST_ROWS).join(quality.where("usable").select("market"), "market").drop("n_valid"))
-    reports = valid.groupBy("market").agg(F.max("date").alias("report_date"))
-
-    base = analog_columns(valid, prices, n, threshold)
-
+def flow_columns(valid: DataFrame) -> DataFrame:
     each = materialized(flows.horizons(valid))
     split = flows.divergence(each).select("market", F.col("signal").alias("flow_signal"), F.col("strength").alias("flow_strength"), F.lit(True).alias("flow_available"))
     by_weeks = each.groupBy("market").agg(*(F.max(F.when(F.col("weeks") == k, F.col("signal"))).alias(f"flow_signal_{k}w") for k in flows.FLOW_HORIZONS))
-    zones = flows.extremes(valid).select(
+    return split.join(by_weeks, "market", "full").join(flows.strongest(each), "market", "full")
+
+
+def extreme_columns(valid: DataFrame) -> DataFrame:
+    return flows.extremes(valid).select(
         "market", F.col("signal").alias("extreme_signal"), F.col("absolute_signal").alias("extreme_direction"), F.col("confirmed").alias("extreme_confirmed"), F.col("strength").alias("extreme_strength"),
         *(F.col(f"{c}_combined").alias(f"{c}_percentile") for c in knn.NETS), F.lit(True).alias("extreme_available"),
     )
-    turning = flows.transition(valid).select("market", *(F.col(c).alias(f"transition_{c}") for c in ("phase", "score", "direction", "convergence", "sustained", "price_confirmed")))
 
+
+def transition_columns(valid: DataFrame) -> DataFrame:
+    return flows.transition(valid).select("market", *(F.col(c).alias(f"transition_{c}") for c in ("phase", "score", "direction", "convergence", "sustained", "price_confirmed")))
+
+
+def index_columns(valid: DataFrame, prices: DataFrame, reports: DataFrame, n: int) -> DataFrame:
+    """The index pattern's state, outcome and timing."""
     index = materialized(index_pattern.analyze(valid, n=n))
     rates = F.greatest("up", "down") / F.col("n")
     ranges = [outcomes.by_direction(outcomes.majority(), q) for q in (25, 75)]
     _, regime = index_pattern.candidates(index_pattern.with_indices(valid))
-    index_timing = paths.cluster_timing(index_pattern.matches(regime, n=n), prices, index.where("available").select("market", timing_bias(F.col("median"), F.col("direction")).alias("bias")), reports)
-    index_columns = index.select(
+    timing = paths.cluster_timing(index_pattern.matches(regime, n=n), prices, index.where("available").select("market", timing_bias(F.col("median"), F.col("direction")).alias("bias")), reports)
+    columns = index.select(
         "market", F.col("available").alias("index_available"), "commercial_index", "retail_index", "commercial_net_percentile", "retail_net_percentile",
         (F.col("commercial_confirmed") & F.col("retail_confirmed")).alias("index_confirmed"), F.col("reason").alias("index_reason"), F.col("n").alias("index_cases"),
         F.coalesce(F.when(F.col("available"), F.col("direction")), F.lit("neutral")).alias("index_bias"),
         *(F.when(F.col("available"), c).alias(f"index_{name}") for name, c in (("hit_rate", F.col("hit_rate")), ("lower_limit", F.col("wilson_low")), ("share", rates), ("median", F.col("median")), ("range_low", ranges[0]), ("range_high", ranges[1]), ("quality", F.col("quality")))),
     )
-    index_columns = index_columns.join(index_timing.select("market", F.col("window_start").alias("index_window_start"), F.col("window_end").alias("index_window_end")), "market", "left")
-
-    joined = [base, split, by_weeks, flows.strongest(each), zones, turning, index_columns, *(pure_net_columns(valid, prices, reports, h, n) for h in HORIZONS)]
-    if with_clusters:
-        result, events = clusters.analyze(materialized(clusters.fitted(valid)))
-        result = materialized(result)
-        good = result.where("available")
-        timing = paths.cluster_timing(events, prices, good.select("market", timing_bias(F.col("median"), F.col("direction")).alias("bias")), reports)
-        figures = {"bias": "direction", "hit_rate": "hit_rate", "lower_limit": "wilson_low", "cases": "n", "up": "up", "down": "down", "median": "median", "q25": "q25", "q75": "q75", "range_low": "range_low", "range_high": "range_high", "quality": "quality", "silhouette": "silhouette"}
-        columns = good.select("market", F.lit(True).alias("cluster_available"), (F.greatest("up", "down") / F.col("n")).alias("cluster_share"), *(F.col(c).alias(f"cluster_{k}") for k, c in figures.items()))
-        joined.append(columns.join(timing.select("market", *(F.col(c).alias(f"cluster_{c}") for c in ("onset_day", "window_start", "window_end", "peak_day", "status"))), "market", "left"))
-    out = markets.select("market", "category").join(quality, "market", "left").join(reports, "market", "left")
-    for part in joined:
+    return columns.join(timing.select("market", F.col("window_start").alias("index_window_start"), F.col("window_end").alias("index_window_end")), "market", "left")
+
+
+CLUSTER_FIGURES = {"bias": "direction", "hit_rate": "hit_rate", "lower_limit": "wilson_low", "cases": "n", "up": "up", "down": "down", "median": "median", "q25": "q25", "q75": "q75", "range_low": "range_low", "range_high": "range_high", "quality": "quality", "silhouette": "silhouette"}
+
+
+def cluster_columns(valid: DataFrame, prices: DataFrame, reports: DataFrame) -> DataFrame:
+    """Outcome and timing of the current cluster; the fits run once."""
+    result, events = clusters.analyze(materialized(clusters.fitted(valid)))
+    good = result.where("available")
+    timing = paths.cluster_timing(events, prices, good.select("market", timing_bias(F.col("median"), F.col("direction")).alias("bias")), reports)
+    columns = good.select("market", F.lit(True).alias("cluster_available"), (F.greatest("up", "down") / F.col("n")).alias("cluster_share"), *(F.col(c).alias(f"cluster_{k}") for k, c in CLUSTER_FIGURES.items()))
+    return columns.join(timing.select("market", *(F.col(c).alias(f"cluster_{c}") for c in ("onset_day", "window_start", "window_end", "peak_day", "status"))), "market", "left")
+
+
+Analyzer = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
+
+
+def analyzers(n: int = 30, threshold: float = 0.01, with_clusters: bool = True) -> dict[str, Analyzer]:
+    """What the scan computes from valid rows, prices and the dates of the newest reports: columns by market, each analyzer apart from the others."""
+    found: dict[str, Analyzer] = {
+        "analogs": lambda valid, prices, reports: analog_columns(valid, prices, n, threshold),
+        "flows": lambda valid, prices, reports: flow_columns(valid),
+        "extremes": lambda valid, prices, reports: extreme_columns(valid),
+        "transition": lambda valid, prices, reports: transition_columns(valid),
+        "index": lambda valid, prices, reports: index_columns(valid, prices, reports, n),
+    }
+    found |= {f"net{h}": lambda valid, prices, reports, h=h: pure_net_columns(valid, prices, reports, h, n) for h in HORIZONS}
+    return found | ({"clusters": cluster_columns} if with_clusters else {})
+
+
+def reason_of(failure: Exception) -> str:
+    """The last line that names an error in a failure's text, or the first line."""
+    lines = [x.strip() for x in str(failure).splitlines() if x.strip()] or [type(failure).__name__]
+    named = [x for x in lines if re.match(r"(\[[A-Z_.]+\]|[\w.]*(Error|Exception)\b)", x)]
+    return (named[-1] if named else lines[0])[:300]
+
+
+Failures = list[tuple[str, str, str]]
+
+
+def tried(name: str, make: Callable[[DataFrame], DataFrame], rows: DataFrame) -> tuple[DataFrame, Failures]:
+    """``make(rows)``, materialized, without the markets that it fails for, and those as (market, name, reason).
+
+    One market's failure ends Spark's job for all. Then halves of the markets, by a hash of their names, are tried until each that fails is alone; the
+    others' results don't change. A market costs as many attempts as there are halvings, and only when something fails. If the session is gone, the failure is raised.
+    """
+    results, failures = [], []
+
+    def attempt(bits: int, bucket: int) -> None:
+        part = rows.where(F.pmod(F.xxhash64("market"), F.lit(1 << bits)) == bucket) if bits else rows
+        try:
+            results.append(materialized(make(part)))
+        except Exception as failure:
+            if rows.sparkSession.sparkContext._jsc.sc().isStopped():
+                raise
+            among = [r.market for r in part.select("market").distinct().limit(2).collect()]
+            if not among:
+                raise
+            if len(among) == 1 or bits == 60:
+                failures.extend((m, name, reason_of(failure)) for m in among)
+            else:
+                attempt(bits + 1, bucket)
+                attempt(bits + 1, bucket + (1 << bits))
+
+    attempt(0, 0)
+    # without any market the analyzer still gives its columns
+    return (reduce(DataFrame.unionByName, results) if results else make(rows.limit(0))), failures
+
+
+def side_by_side(parts: list[DataFrame], rows: DataFrame) -> DataFrame:
+    out = rows.select("market").distinct()
+    for part in parts:
         out = out.join(part, "market", "left")
-    error = F.when(~F.col("usable"), F.concat_ws("; ", F.concat(F.lit("positions "), "positions_status"), F.concat(F.lit("prices "), "prices_status"))).when(F.col("report_date").isNull(), "too_few_rows").otherwise("")
-    flags = ["flow_available", "extreme_available", "index_available", *(["cluster_available"] if with_clusters else [])]
-    return out.withColumns({"error": error, "bias": titled(F.col("bias")), **{f: F.coalesce(F.col(f), F.lit(False)) for f in flags}})
+    return out
+
+
+def analyzed(valid: DataFrame, prices: DataFrame, reports: DataFrame, found: dict[str, Analyzer]) -> tuple[DataFrame, Failures]:
+    """The columns of all analyzers by market. Each is a job of its own, some at a time, so that a failing one is known and the cluster isn't idle while plans are made."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        tries = [pool.submit(inheritable_thread_target(valid.sparkSession)(tried), name, partial(a, prices=prices, reports=reports), valid) for name, a in found.items()]
+        results = [t.result() for t in tries]
+    return side_by_side([part for part, _ in results], valid), [f for _, failed in results for f in failed]
+
+
+def scan(positions: DataFrame, prices: DataFrame, markets: DataFrame, today: Column, n: int = 30, threshold: float = 0.01, with_clusters: bool = True, found: dict[str, Analyzer] | None = None) -> DataFrame:
+    """One row per row of ``markets`` (market, category). ``error`` says why a market has no results, or which analyzers failed for it and why; an analyzer that fails for one market leaves all other
+    results as they are."""
+    positions, prices = materialized(positions), materialized(prices)
+    quality = market_quality(positions, prices, markets, today)
+
+    def usable_rows(rows: DataFrame) -> DataFrame:
+        obs = observations(rows, prices, HORIZONS, scales=False)
+        full = obs.na.drop(subset=knn.NETS + knn.SHARES).withColumn("n_valid", F.count("*").over(windows.whole()))
+        return full.where(F.col("n_valid") >= LEAST_ROWS).join(quality.where("usable").select("market"), "market").drop("n_valid")
+
+    valid, failures = tried("observations", usable_rows, positions)
+    reports = valid.groupBy("market").agg(F.max("date").alias("report_date"))
+    wide, more = analyzed(valid, prices, reports, found or analyzers(n, threshold, with_clusters))
+    failed = positions.sparkSession.createDataFrame(failures + more, "market string, name string, reason string")
+    failed = failed.groupBy("market").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "name", "reason"))), "; ").alias("failed"))
+    out = markets.select("market", "category").join(quality, "market", "left").join(reports, "market", "left").join(wide, "market", "left").join(failed, "market", "left")
+    unusable = F.concat_ws("; ", F.concat(F.lit("positions "), "positions_status"), F.concat(F.lit("prices "), "prices_status"))
+    error = F.when(~F.col("usable"), unusable).when(F.col("failed").isNotNull(), F.col("failed")).when(F.col("report_date").isNull(), "too_few_rows").otherwise("")
+    flags = ["flow_available", "extreme_available", "index_available", *(["cluster_available"] if "cluster_available" in wide.columns else [])]
+    return out.withColumns({"error": error, "bias": titled(F.col("bias")), **{f: F.coalesce(F.col(f), F.lit(False)) for f in flags}}).drop("failed")
 
 
 def quality_filter(prefix: str, rate: str, min_rate: float = 0.7, min_cases: int = 25, min_move: float = 0.02) -> Column:

@@ -44,7 +44,7 @@ def outcome(weeks: int = 8) -> str:
 qf AS ({sql_counted('qe', 'ret')}),
 qg AS (SELECT *, CASE WHEN up / n >= 0.6 THEN 'bullish' WHEN down / n >= 0.6 THEN 'bearish' ELSE 'neutral' END AS direction, CASE WHEN up / n >= 0.6 THEN up WHEN down / n >= 0.6 THEN down ELSE greatest(up, down) END AS hits FROM qf),
 qh AS (SELECT *, hits / n AS hit_rate, {sql_wilson('hits', 'n', False)} AS wilson_low, {sql_wilson('hits', 'n', True)} AS wilson_high FROM qg JOIN qs USING (market)),
-clus AS (SELECT *, all_25 AS q25, all_75 AS q75, n >= 12 AS available,
+clus AS (SELECT *, all_25 AS q25, all_75 AS q75, n >= 12 AS available, CASE WHEN up > down THEN up_25 WHEN down > up THEN down_25 END AS range_low, CASE WHEN up > down THEN up_75 WHEN down > up THEN down_75 END AS range_high,
   CASE direction WHEN 'neutral' THEN 0.0 ELSE 100 * (0.65 * wilson_low + 0.20 * least(1.0, ln(1 + n) / ln(51)) + 0.15 * least(1.0, greatest(0.0, (silhouette + 0.1) / 0.6))) END AS quality FROM qh)"""
 
 

@@ -195,7 +195,7 @@ SCAN = (
 OVERVIEW = "market:s category:s status:s direction:s confirmations:l n_available:l lower_limit least_sample:l least_move positioning_direction:s macro_direction:s seasonality_direction:s"
 
 
-#: The scan without clusters, whose fit SQL can't follow.
+#: The scan without clusters.
 SCAN_CORE = " ".join(w for w in SCAN.split() if not w.startswith("cluster_"))
 SQL_SIDES = ", ".join(f"(SELECT direction FROM evid e WHERE e.market = cb.market AND e.module = '{m}') AS {m}_direction" for m in confluence.MODULES)
 
@@ -288,7 +288,7 @@ def entries() -> dict[str, tuple]:
         "market_scan_core": (lambda spark, sf_dir: shaped(scanned(spark, sf_dir, False), SCAN_CORE), sql(scan_sql.sql_scan(TODAY) + ", result AS (SELECT * FROM scan)", SCAN_CORE, "none")),
         "market_clusters": (cluster_query, sql(cluster_sql.fitted() + "," + cluster_sql.outcome() + ", result AS (SELECT * FROM clus)", CLUSTER)),
         "reference_zones": (zones_query, sql(cluster_sql.zoned("commercial_net") + "," + SQL_ZONES[SQL_ZONES.index("zb AS") :], ZONES)),
-        "market_scan": (lambda spark, sf_dir: shaped(scanned(spark, sf_dir), SCAN), None),
+        "market_scan": (lambda spark, sf_dir: shaped(scanned(spark, sf_dir), SCAN), sql(scan_sql.sql_scan(TODAY, True) + ", result AS (SELECT * FROM scan)", SCAN, "none")),
         "market_overview": (
             overview_query,
             sql(scan_sql.sql_overview(TODAY) + "," + sql_judged() + "," + SQL_COMBINE.replace("SELECT cb.*,", f"SELECT cb.*, 'region' AS category, {SQL_SIDES},"), OVERVIEW, "none"),

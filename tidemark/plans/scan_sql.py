@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.operators import observations
-from tidemark.plans import regimes, signals
+from tidemark.operators import observations, scan
+from tidemark.plans import cluster_sql, regimes, signals
 from tidemark.plans.positioning import NETS, SHARES, sql_fresh
 from tidemark.plans.shape import sql_greedy, sql_levels, sql_nearest
 from tidemark.sources import proxies
@@ -45,8 +45,16 @@ def sql_base() -> tuple[str, str]:
 SQL_BASE = """base AS (SELECT market, cases, bias, CASE bias WHEN 'bullish' THEN up ELSE down END / cases AS hit_rate, coalesce(share_n >= 8 AND share_bias = bias AND bias <> 'neutral', false) AS share_confirmed FROM p_main LEFT JOIN p_near USING (market))"""
 
 
-def sql_scan(today: str) -> str:
-    """Everything up to ``scan``, without clusters."""
+def cluster_part() -> str:
+    """The current cluster's outcome and the timing of its events."""
+    biases = "SELECT market, CASE WHEN median > 0 THEN 'bullish' WHEN median < 0 THEN 'bearish' ELSE direction END AS bias FROM clus WHERE available"
+    body = ",\n".join([cluster_sql.fitted(), cluster_sql.outcome(), "m AS (SELECT market, date FROM qe)", moves(40), windowed(40, biases)])
+    figures = ", ".join(f"clus.{c} AS cluster_{name}" for name, c in scan.CLUSTER_FIGURES.items())
+    return part("p_clus", body, f"clus.market, {figures}, window_start AS cluster_window_start, window_end AS cluster_window_end FROM clus LEFT JOIN result USING (market) WHERE available")
+
+
+def sql_scan(today: str, with_clusters: bool = False) -> str:
+    """Everything up to ``scan``."""
     tables = proxies.SQL.replace("FROM sides)", f"FROM sides WHERE date <= DATE '{today}')")
     fresh = ",\n".join(sql_fresh(t, t, days).replace("DATE '2001-11-10'", f"DATE '{today}'") for t, days in (("positions", 14), ("prices", 7)))
     need = " AND ".join(f"{c} IS NOT NULL" for c in NETS + SHARES)
@@ -61,11 +69,12 @@ def sql_scan(today: str) -> str:
         part("p_turn", signals.sql_transition(90), "market, phase AS transition_phase, score AS transition_score FROM ti"),
         part("p_index", signals.sql_index_pattern(80), "market, reason = '' AS index_available, reason AS index_reason, n AS index_cases, CASE WHEN reason = '' THEN coalesce(direction, 'neutral') ELSE 'neutral' END AS index_bias FROM result"),
         *(net_part(h) for h in (4, 8, 12)),
+        *([cluster_part()] if with_clusters else []),
         f"""scan AS (SELECT r_name AS market, 'region' AS category, CASE WHEN NOT usable THEN 'positions ' || positions_status || '; prices ' || prices_status WHEN rows.market IS NULL THEN 'too_few_rows' ELSE '' END AS error, usable,
   base.* EXCLUDE (market, bias), coalesce(base.bias, 'n.a.') AS bias, p_flow.market IS NOT NULL AS flow_available, p_flow.* EXCLUDE (market), p_zone.market IS NOT NULL AS extreme_available, p_zone.* EXCLUDE (market), p_turn.* EXCLUDE (market),
-  coalesce(index_available, false) AS index_available, index_reason, index_cases, index_bias, {', '.join(f'p_net{h}.* EXCLUDE (market)' for h in (4, 8, 12))}
+  coalesce(index_available, false) AS index_available, index_reason, index_cases, index_bias, {', '.join(f'p_net{h}.* EXCLUDE (market)' for h in (4, 8, 12))}{', p_clus.market IS NOT NULL AS cluster_available, p_clus.* EXCLUDE (market)' if with_clusters else ''}
   FROM region LEFT JOIN quality ON quality.market = r_name LEFT JOIN (SELECT DISTINCT market FROM valid) rows ON rows.market = r_name LEFT JOIN base ON base.market = r_name
-  {' '.join(f'LEFT JOIN {p} ON {p}.market = r_name' for p in ('p_flow', 'p_zone', 'p_turn', 'p_index', 'p_net4', 'p_net8', 'p_net12'))})""",
+  {' '.join(f'LEFT JOIN {p} ON {p}.market = r_name' for p in ('p_flow', 'p_zone', 'p_turn', 'p_index', 'p_net4', 'p_net8', 'p_net12', *(['p_clus'] if with_clusters else [])))})""",
     ]
     return ",\n".join(parts)
 
