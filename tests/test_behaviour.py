@@ -328,8 +328,14 @@ def test_coverage_and_countries(spark):
 
     markets = spark.createDataFrame([("Euro FX", "Währungen"), ("Gold", "Edelmetalle"), ("X", "Y"), ("Z", "Währungen")], "market string, category string")
     got = {r.market: r for r in catalogue.coverage(markets).collect()}
-    assert got["Euro FX"].country == "Eurozone" and "Eurozone" in got["Euro FX"].note and got["Euro FX"].reason == "Isolierte Makroanalyse für Eurozone."
-    assert got["Gold"].grade == "mittel bis hoch" and got["X"].grade == "niedrig" and got["Z"].grade == "niedrig bis mittel" and got["Gold"].reason == ""
+    assert got["Euro FX"].country == "Eurozone" and got["Euro FX"].covered == ["own_economy"] and got["Euro FX"].missing == ["us_side", "positions"]
+    assert got["Gold"].grade == "medium_high" and got["X"].grade == "low" and got["Z"].grade == "low_medium" and got["Gold"].country is None and got["Gold"].missing == ["physical_demand"]
+    from tidemark.plans import display
+
+    shown = {r.market: r for r in display.coverage_view(catalogue.coverage(markets)).collect()}
+    assert shown["Gold"].grade == "mittel bis hoch" and shown["X"].missing == "–" and shown["Euro FX"].covered == "eigene Volkswirtschaft"
+    used = {w for g in [*catalogue.COVERAGE.values(), catalogue.COVERAGE_OTHERWISE, catalogue.COVERAGE_OWN] for part in g[1:] for w in part.split()}
+    assert used <= set(display.INPUTS)
     assert [r.category for r in catalogue.grouped(markets, catalogue.categories(spark)).collect()] == catalogue.CATEGORIES
 
 

@@ -6,6 +6,9 @@ are dealt over the cluster.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,17 +47,51 @@ def distance(features: list[str], metric: str = "rms", weights: dict[str, float]
 def greedy(df: DataFrame, keys: list[str], order: list[Column], payload: list[str], gap_days: int, limit: int | None = None) -> DataFrame:
     """Rows taken in ``order`` if they are at least ``gap_days`` from every row taken before, up to ``limit``; with their ``rank``.
 
-    A fold over each key's sorted array, as what is taken depends on what was taken before. ``payload`` holds ``date``.
+    What is taken depends on what was taken before. With a limit it's a fold over each key's sorted array, which compares with so many rows at most; without
+    one, rows are streamed (``spaced``). ``payload`` holds ``date``.
     """
+    if limit is None:
+        return spaced(df, keys, order, payload, gap_days)
     item = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), *payload)
     items = df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
     none = F.expr("filter(items, x -> false)")
     close = lambda taken, x: F.exists(taken, lambda u: F.abs(F.datediff(u["date"], x["date"])) < gap_days)
-    full = (lambda taken: F.size(taken) >= limit) if limit is not None else (lambda taken: F.lit(False))
-    taken = F.aggregate("items", none, lambda acc, x: F.when(full(acc) | close(acc, x), acc).otherwise(F.array_append(acc, x)))
+    taken = F.aggregate("items", none, lambda acc, x: F.when((F.size(acc) >= limit) | close(acc, x), acc).otherwise(F.array_append(acc, x)))
     return items.select(*keys, F.posexplode(taken).alias("rank", "item")).select(*keys, (F.col("rank") + 1).alias("rank"), *(F.col(f"item.{c}").alias(c) for c in payload))
 
 
+def spaced(df: DataFrame, keys: list[str], order: list[Column], payload: list[str], gap_days: int) -> DataFrame:
+    """``greedy`` without a limit, in time and memory of the rows taken: a day belongs to a bucket as wide as the gap, of which at most one row is taken,
+    so a row is compared with what its own bucket and the two beside it have. Rows stream through in order; no key's rows are gathered.
+    """
+    places = [f"o{i}" for i in range(len(order))]
+    rows = df.select(*keys, *payload, *(o.alias(p) for o, p in zip(order, places, strict=True)), F.unix_date("date").alias("o_day"))
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartition(parts, *keys).sortWithinPartitions(*keys, *places, *payload)
+    width = max(1, gap_days)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, taken, number = None, {}, 0
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(len(keys))]
+            days = batch.column(batch.num_columns - 1).to_pylist()
+            kept, ranks = [], []
+            for i, (*own, day) in enumerate(zip(*columns, days, strict=True)):
+                if key != own:
+                    key, taken, number = own, {}, 0
+                bucket = day // width
+                if all(abs(taken.get(b, day + width) - day) >= gap_days for b in (bucket - 1, bucket, bucket + 1)):
+                    taken[bucket] = day
+                    number += 1
+                    kept.append(i)
+                    ranks.append(number)
+            found = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(found.column(i) for i in range(len(keys))), pa.array(ranks, pa.int32()), *(found.column(len(keys) + i) for i in range(len(payload)))], names=[*keys, "rank", *payload])
+
+    schema = df.select(*keys, F.lit(1).alias("rank"), *payload).schema
+    return dealt.mapInArrow(run, schema)
+
+
 def nearest(
     df: DataFrame,
     features: list[str],

@@ -29,6 +29,13 @@ FLOWS = {
     "position_reduction": "Beidseitiger Positionsabbau",
     "none": "Kein dominanter Flow",
 }
+GRADES = {"high": "hoch", "medium_high": "mittel bis hoch", "medium": "mittel", "low_medium": "niedrig bis mittel", "low": "niedrig"}
+INPUTS = {
+    "us_macro": "US-Konjunktur", "us_basics": "wenige US-Reihen", "own_economy": "eigene Volkswirtschaft", "us_side": "US-Seite", "positions": "Positionsdaten", "rates": "Leitzinsen", "real_rates": "Realzins", "curve": "Zinskurve",
+    "liquidity": "Geldmenge", "stress": "Stressindex", "inflation": "Teuerung", "growth": "Wirtschaftsleistung", "labour": "Beschäftigung", "dollar": "Dollarkurs", "physical_demand": "Nachfrage nach Barren und Schmuck", "on_chain": "Blockchain-Daten",
+    "inventories": "Bestände", "production": "Förderung", "refineries": "Raffinerieauslastung", "opec": "OPEC-Quoten", "counter_currency": "Gegenwährung", "crop_reports": "amtliche Agrarberichte", "weather": "Wetterdaten", "yields": "Ernteerträge",
+    "producers": "Erzeugerländer", "herds": "Viehzahlen", "feed": "Futterpreise",
+}
 MISSING = "–"
 
 
@@ -95,5 +102,11 @@ def overview_parts(rows: DataFrame) -> DataFrame:
     return rows.agg(*(F.count_if(F.col("status").isin(*s)).alias(n) for n, s in {"confirmed": ("confirmed", "partly_confirmed"), "conflicting": ("conflicting",), "insufficient": ("insufficient",)}.items()))
 
 
+def coverage_view(rows: DataFrame) -> DataFrame:
+    """The coverage of each market in words."""
+    named = lambda c: F.when(F.size(c) == 0, MISSING).otherwise(F.array_join(F.transform(c, lambda x: label(x, INPUTS)), ", "))
+    return rows.select("market", "category", F.coalesce("country", F.lit(MISSING)).alias("country"), label(F.col("grade"), GRADES).alias("grade"), named(F.col("covered")).alias("covered"), named(F.col("missing")).alias("missing"))
+
+
 def passes_quality(rate: Column, cases: Column, median: Column, min_rate: float = 0.7, min_cases: int = 25, min_move: float = 0.02) -> Column:
     return F.coalesce((rate >= min_rate) & (cases >= min_cases) & (F.abs(median) >= min_move), F.lit(False))

@@ -12,7 +12,6 @@ from tidemark.plans.shape import shaped, sql, sql_greedy, sql_levels, sql_neares
 from tidemark.session import materialized
 from tidemark.sources import proxies
 
-TODAY = "2001-08-05"
 CLUSTER = "market:s n:l up:l down:l direction:s hit_rate wilson_low wilson_high median q25 q75 best worst k:l silhouette quality available:b"
 ZONES = "market:s place:l lower upper center n:l up:l down:l direction:s hit_rate median range_low range_high is_current:b"
 
@@ -82,8 +81,9 @@ def markets(spark, sf_dir):
 
 
 def scanned(spark, sf_dir, with_clusters=True):
-    prices, positions = proxies.prices(spark, sf_dir), proxies.positions(spark, sf_dir).where(F.col("date") <= TODAY)
-    return scan.scan(positions, prices, markets(spark, sf_dir), F.lit(TODAY).cast("date"), with_clusters=with_clusters)
+    """The scan on the day of the newest price."""
+    prices = priced(spark, sf_dir)
+    return scan.scan(proxies.positions(spark, sf_dir), prices, markets(spark, sf_dir), F.lit(prices.agg(F.max("date")).first()[0]), with_clusters=with_clusters)
 
 
 TOP_FLOW = "market:s flow_weeks:l flow_score flow_dominance flow_dominant_flow:s"
@@ -285,12 +285,12 @@ def entries() -> dict[str, tuple]:
         "confluence_ranked": (ranked_query, sql(sql_evidence() + "," + SQL_COMBINE.replace("result AS", "combined AS") + "," + SQL_RANKED, RANKED)),
         "zone_table_view": (zone_view_query, sql(SQL_ZONE_VIEW, strings(SHOWN_ZONES))),
         "confluence_view": (confluence_view_query, sql(sql_confluence_view(), strings(SHOWN_CONFLUENCE))),
-        "market_scan_core": (lambda spark, sf_dir: shaped(scanned(spark, sf_dir, False), SCAN_CORE), sql(scan_sql.sql_scan(TODAY) + ", result AS (SELECT * FROM scan)", SCAN_CORE, "none")),
+        "market_scan_core": (lambda spark, sf_dir: shaped(scanned(spark, sf_dir, False), SCAN_CORE), sql(scan_sql.sql_scan() + ", result AS (SELECT * FROM scan)", SCAN_CORE, "none")),
         "market_clusters": (cluster_query, sql(cluster_sql.fitted() + "," + cluster_sql.outcome() + ", result AS (SELECT * FROM clus)", CLUSTER)),
         "reference_zones": (zones_query, sql(cluster_sql.zoned("commercial_net") + "," + SQL_ZONES[SQL_ZONES.index("zb AS") :], ZONES)),
-        "market_scan": (lambda spark, sf_dir: shaped(scanned(spark, sf_dir), SCAN), sql(scan_sql.sql_scan(TODAY, True) + ", result AS (SELECT * FROM scan)", SCAN, "none")),
+        "market_scan": (lambda spark, sf_dir: shaped(scanned(spark, sf_dir), SCAN), sql(scan_sql.sql_scan(True) + ", result AS (SELECT * FROM scan)", SCAN, "none")),
         "market_overview": (
             overview_query,
-            sql(scan_sql.sql_overview(TODAY) + "," + sql_judged() + "," + SQL_COMBINE.replace("SELECT cb.*,", f"SELECT cb.*, 'region' AS category, {SQL_SIDES},"), OVERVIEW, "none"),
+            sql(scan_sql.sql_overview() + "," + sql_judged() + "," + SQL_COMBINE.replace("SELECT cb.*,", f"SELECT cb.*, 'region' AS category, {SQL_SIDES},"), OVERVIEW, "none"),
         ),
     }

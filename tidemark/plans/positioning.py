@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr, windows
-from tidemark.operators import knn, observations, outcomes
+from tidemark.operators import knn, observations, outcomes, ranges
 from tidemark.operators.asof import asof
 from tidemark.plans.shape import shaped, sql, sql_counted, sql_levels, sql_nearest, sql_wilson
 from tidemark.session import materialized
@@ -31,6 +31,23 @@ def asof_backward(spark, sf_dir):
     return shaped(observations.with_close(proxies.positions(spark, sf_dir), proxies.prices(spark, sf_dir)), "market:s date:t oi:l close")
 
 
+#: Ranges of the queries for keys that are too large for one task.
+RANGES = 24
+
+
+def asof_ranges(spark, sf_dir):
+    """The last close at or before each report, with keys in many ranges."""
+    out = asof(proxies.positions(spark, sf_dir), proxies.prices(spark, sf_dir), ["market"], "date", "date", {"close": "close"}, ranges=RANGES)
+    return shaped(out, "market:s date:t oi:l close")
+
+
+def rolling_ranges(spark, sf_dir):
+    """The rolling scales with keys in stretches."""
+    w = ranges.window(["market"], "date")
+    made = {f"{n}_z": windows.rolling_z(F.col(n), w) for n in NETS} | {f"{n}_pct": windows.rolling_rank(F.col(n), w) for n in NETS}
+    return shaped(ranges.rolling(proxies.positions(spark, sf_dir), ["market"], "date", 156, made, RANGES, stretch=200), SCALES)
+
+
 def asof_forward_tolerance(spark, sf_dir):
     left = proxies.positions(spark, sf_dir).select("market", "date", F.date_add("date", 28).alias("target"))
     out = asof(left, proxies.prices(spark, sf_dir), ["market"], "target", "date", {"date": "price_date", "close": "close"}, "forward", 10)
@@ -177,12 +194,14 @@ def entries() -> dict[str, tuple]:
     index = f"i AS (SELECT market, date, {observations.sql_index('commercial_net')} AS ci, 100 * {observations.sql_rank('commercial_net')} AS cp, {observations.sql_index('nonreportable_net')} AS ri, 100 * {observations.sql_rank('nonreportable_net')} AS rp FROM positions)"
     out = {
         "asof_backward": (asof_backward, sql("result AS (SELECT * FROM closed)", "market:s date:t oi:l close")),
+        "asof_ranges": (asof_ranges, sql("result AS (SELECT * FROM closed)", "market:s date:t oi:l close")),
         "asof_forward_tolerance": (
             asof_forward_tolerance,
             sql("f AS (SELECT p.market, p.date, p.date + 28 AS t, px.pd, px.pc FROM positions p ASOF LEFT JOIN px ON p.market = px.pm AND p.date + 28 <= px.pd), result AS (SELECT market, date, CASE WHEN pd - t <= 10 THEN pd END AS price_date, CASE WHEN pd - t <= 10 THEN pc END AS close FROM f)", "market:s date:t price_date:t close"),
         ),
         "observations": (observation_table, sql("result AS (SELECT * FROM obs)", OBS)),
         "rolling_scales": (rolling_scales, sql("result AS (SELECT market, date, " + ", ".join(f"{observations.sql_z(n)} AS {n}_z, {observations.sql_rank(n)} AS {n}_pct" for n in NETS) + " FROM positions)", SCALES, "tables")),
+        "rolling_ranges": (rolling_ranges, sql("result AS (SELECT market, date, " + ", ".join(f"{observations.sql_z(n)} AS {n}_z, {observations.sql_rank(n)} AS {n}_pct" for n in NETS) + " FROM positions)", SCALES, "tables")),
         "rolling_indices": (rolling_indices, sql(index + ", result AS (SELECT market, date, ci AS commercial_index, cp AS commercial_net_percentile, ri AS retail_index, rp AS retail_net_percentile FROM i)", INDICES, "tables")),
         "latest_flow_z": (
             latest_flow_z,

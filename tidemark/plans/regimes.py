@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import windows
 from tidemark.operators import macro, seasonality
 from tidemark.plans.shape import shaped, sql, sql_counted, sql_greedy
 from tidemark.session import materialized
@@ -105,8 +106,7 @@ result AS (SELECT cur.market, cur.date, score, CASE WHEN score >= 50 THEN 'stron
   CASE WHEN coverage >= 0.85 AND coalesce(n, 0) >= 15 THEN 'high' WHEN coverage >= 0.65 AND coalesce(n, 0) >= 8 THEN 'medium' ELSE 'low' END AS confidence, '' AS reason FROM cur LEFT JOIN od ON cur.market = od.market)"""
 
 # Seasonality
-AS_OF = "2000-09-15"
-SQL_DATED = f"""dp AS (SELECT market, date, close, least(DATE '{AS_OF}', max(date) OVER (PARTITION BY market)) AS cutoff, isoyear(date) AS iso_year, weekofyear(date) AS iso_week, least(weekofyear(date), 52) AS week FROM prices)"""
+SQL_DATED = """dp AS (SELECT market, date, close, max(date) OVER (PARTITION BY market) AS cutoff, isoyear(date) AS iso_year, weekofyear(date) AS iso_week, least(weekofyear(date), 52) AS week FROM prices)"""
 SQL_PATHS = SQL_DATED + """,
 pa AS (SELECT market, iso_year, week, arg_max(close, date) AS close FROM dp WHERE iso_year < isoyear(cutoff) GROUP BY 1, 2, 3),
 pb AS (SELECT market, iso_year FROM pa GROUP BY 1, 2 HAVING count(*) >= 35),
@@ -137,11 +137,11 @@ def seasonal(spark, sf_dir):
 
 
 def paths_of(spark, sf_dir):
-    return seasonality.year_paths(seasonal(spark, sf_dir), AS_OF)
+    return seasonality.year_paths(seasonal(spark, sf_dir))
 
 
 def windowed(spark, sf_dir):
-    return seasonality.in_windows(paths_of(spark, sf_dir), seasonality.current_years(seasonal(spark, sf_dir), AS_OF))
+    return seasonality.in_windows(paths_of(spark, sf_dir), seasonality.current_years(seasonal(spark, sf_dir)))
 
 
 def forecast_query(spark, sf_dir):
@@ -155,28 +155,24 @@ CHART = "market:s week:l median q25 q75 calibrated move"
 
 
 def calibration(part: int, spec: str):
-    return lambda spark, sf_dir: shaped(seasonality.calibrate(seasonal(spark, sf_dir), 15, 8, AS_OF)[part], spec)
+    return lambda spark, sf_dir: shaped(seasonality.calibrate(seasonal(spark, sf_dir), 15, 8)[part], spec)
 
 
 def shifts_query(spark, sf_dir):
     prices = materialized(seasonality.clean(seasonal(spark, sf_dir)))
-    paths = seasonality.in_windows(seasonality.year_paths(prices, AS_OF), seasonality.current_years(prices, AS_OF), (15,))
-    return shaped(seasonality.shifts(prices, materialized(seasonality.curves(paths)), materialized(seasonality.current_curve(prices, AS_OF)), 15, 8, AS_OF), SHIFTS)
+    paths = seasonality.in_windows(seasonality.year_paths(prices), seasonality.current_years(prices), (15,))
+    return shaped(seasonality.shifts(prices, materialized(seasonality.curves(paths)), materialized(seasonality.current_curve(prices)), 15, 8), SHIFTS)
 
 
 def warping(spark, sf_dir):
-    """Similarity of each market's last two runs of five quantities."""
-    rows = proxies.positions(spark, sf_dir).select("market", "date", "oi")
-    last = rows.withColumn("i", F.expr("row_number() OVER (PARTITION BY market ORDER BY date DESC)")).where("i <= 10")
-    pick = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("i", "oi")))), lambda s: s["oi"])
-    both = last.groupBy("market").agg(pick(F.col("i") <= 5).alias("a"), pick(F.col("i") > 5).alias("b"))
-    return shaped(seasonality.warped_similarity(both, "a", "b"), "market:s similarity")
-
-
-SQL_WARP = """w0 AS (SELECT market, oi, row_number() OVER (PARTITION BY market ORDER BY date DESC) AS i FROM positions),
-w1 AS (SELECT market, CASE WHEN i <= 5 THEN 1 ELSE 2 END AS side, CASE WHEN i <= 5 THEN i ELSE i - 5 END AS i, oi FROM w0 WHERE i <= 10),
-w2 AS (SELECT *, (oi - avg(oi) OVER s) / stddev_pop(oi) OVER s AS z FROM w1 WINDOW s AS (PARTITION BY market, side)),
-w3 AS (SELECT market, list(z ORDER BY i) FILTER (side = 1) AS x, list(z ORDER BY i) FILTER (side = 2) AS y FROM w2 GROUP BY 1),
+    """Similarity of the last five quantities, at every report that has nine before it, to the five before those."""
+    w = windows.series()
+    rows = proxies.positions(spark, sf_dir).select("market", "date", *(F.array(*(F.lag("oi", i).over(w) for i in span)).alias(n) for n, span in (("a", range(5)), ("b", range(5, 10)))), F.row_number().over(w).alias("place"))
+    return shaped(seasonality.warped_similarity(rows.where("place >= 10"), "a", "b"), "market:s date:t similarity")
+
+
+SQL_WARP = """w0 AS (SELECT market, date, [lag(oi, 0) OVER w, lag(oi, 1) OVER w, lag(oi, 2) OVER w, lag(oi, 3) OVER w, lag(oi, 4) OVER w] AS a, [lag(oi, 5) OVER w, lag(oi, 6) OVER w, lag(oi, 7) OVER w, lag(oi, 8) OVER w, lag(oi, 9) OVER w] AS b, row_number() OVER w AS place FROM positions WINDOW w AS (PARTITION BY market ORDER BY date)),
+w3 AS (SELECT market AS of_market, date, market || '|' || date AS market, list_transform(a, lambda v: (v - list_avg(a)) / CASE WHEN list_stddev_pop(a) < 1e-12 THEN 1.0 ELSE list_stddev_pop(a) END) AS x, list_transform(b, lambda v: (v - list_avg(b)) / CASE WHEN list_stddev_pop(b) < 1e-12 THEN 1.0 ELSE list_stddev_pop(b) END) AS y FROM w0 WHERE place >= 10),
 dt(market, i, j, before, done) AS (
   SELECT market, CAST(1 AS BIGINT), CAST(0 AS BIGINT), CAST([0.0, 'inf'::DOUBLE, 'inf'::DOUBLE, 'inf'::DOUBLE, 'inf'::DOUBLE, 'inf'::DOUBLE] AS DOUBLE[]), CAST(['inf'::DOUBLE] AS DOUBLE[]) FROM w3
   UNION ALL
@@ -184,7 +180,7 @@ dt(market, i, j, before, done) AS (
     CASE WHEN j = 5 THEN ['inf'::DOUBLE] ELSE list_append(done, abs(x[i] - y[j + 1]) + least(before[j + 2], done[j + 1], before[j + 1])) END
   FROM dt JOIN w3 ON w3.market = dt.market WHERE i < 6 AND NOT (i = 5 AND j = 5)
 ),
-result AS (SELECT market, exp(-done[6] / 10) AS similarity FROM dt WHERE i = 5 AND j = 5)"""
+result AS (SELECT of_market AS market, date, exp(-done[6] / 10) AS similarity FROM dt JOIN w3 USING (market) WHERE i = 5 AND j = 5)"""
 
 
 #: Warping of sequences of any length: ``wz`` has the standardized values, ``wl`` the lists, ``wr`` a similarity for each key.
@@ -276,10 +272,10 @@ result AS (SELECT ra.market, ra.dimension, z, CASE WHEN z IS NULL THEN 'n.a.' WH
             sql(SQL_CURVES + ", result AS (SELECT market, week, " + ", ".join(f"max(median) FILTER (years = {k}) AS median_{n}" for k, n in ((5, 5), (10, 10), (15, 15), (0, "all"))) + " FROM cv GROUP BY 1, 2)", "market:s week:l median_5 median_10 median_15 median_all", "tables"),
         ),
         "current_curve": (
-            lambda spark, sf_dir: shaped(seasonality.current_curve(seasonal(spark, sf_dir), AS_OF), "market:s week:l move"),
+            lambda spark, sf_dir: shaped(seasonality.current_curve(seasonal(spark, sf_dir)), "market:s week:l move"),
             sql(SQL_DATED + ", cc AS (SELECT market, week, arg_max(close, date) AS close FROM dp WHERE iso_year = isoyear(cutoff) AND date <= cutoff GROUP BY 1, 2), result AS (SELECT market, week, close / first_value(close) OVER (PARTITION BY market ORDER BY week) - 1 AS move FROM cc)", "market:s week:l move", "tables"),
         ),
-        "same_week_matrix": (lambda spark, sf_dir: shaped(seasonality.same_week_matrix(seasonal(spark, sf_dir), as_of=AS_OF), MATRIX), sql(SQL_MATRIX, MATRIX, "tables")),
+        "same_week_matrix": (lambda spark, sf_dir: shaped(seasonality.same_week_matrix(seasonal(spark, sf_dir)), MATRIX), sql(SQL_MATRIX, MATRIX, "tables")),
         "seasonal_stability": (
             lambda spark, sf_dir: shaped(seasonality.stability(windowed(spark, sf_dir)), "market:s stability"),
             sql(
@@ -296,7 +292,7 @@ result AS (SELECT *, CASE WHEN up > down THEN 'bullish' WHEN down > up THEN 'bea
                 FORECAST, "tables",
             ),
         ),
-        "warped_similarity": (warping, sql(SQL_WARP, "market:s similarity", "tables")),
+        "warped_similarity": (warping, sql(SQL_WARP, "market:s date:t similarity", "tables")),
         "season_shifts": (shifts_query, sql(SQL_SHIFTS + ", result AS (SELECT market, win AS \"window\", shift, similarity FROM sh)", SHIFTS, "tables")),
         "season_calibration": (calibration(0, CALIBRATED), sql(SQL_CALIBRATED + ", result AS (SELECT * FROM cal)", CALIBRATED, "tables")),
         "season_chart": (calibration(1, CHART), sql(SQL_CHART, CHART, "tables")),

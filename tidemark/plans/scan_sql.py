@@ -9,6 +9,8 @@ from tidemark.plans.shape import sql_greedy, sql_levels, sql_nearest
 from tidemark.sources import proxies
 
 LEAST_ROWS = 60
+#: The day of the scan: that of the newest price.
+TODAY = "(SELECT max(date) FROM prices)"
 
 
 def part(name: str, body: str, shown: str) -> str:
@@ -53,14 +55,13 @@ def cluster_part() -> str:
     return part("p_clus", body, f"clus.market, {figures}, window_start AS cluster_window_start, window_end AS cluster_window_end FROM clus LEFT JOIN result USING (market) WHERE available")
 
 
-def sql_scan(today: str, with_clusters: bool = False) -> str:
+def sql_scan(with_clusters: bool = False) -> str:
     """Everything up to ``scan``."""
-    tables = proxies.SQL.replace("FROM sides)", f"FROM sides WHERE date <= DATE '{today}')")
-    fresh = ",\n".join(sql_fresh(t, t, days).replace("DATE '2001-11-10'", f"DATE '{today}'") for t, days in (("positions", 14), ("prices", 7)))
+    fresh = ",\n".join(sql_fresh(t, t, days).replace("DATE '2001-11-10'", TODAY) for t, days in (("positions", 14), ("prices", 7)))
     need = " AND ".join(f"{c} IS NOT NULL" for c in NETS + SHARES)
     main, near = sql_base()
     parts = [
-        tables, observations.SQL, fresh,
+        proxies.SQL, observations.SQL, fresh,
         "quality AS (SELECT *, positions_status = 'current' AND prices_status = 'current' AS usable FROM positions_q JOIN prices_q USING (market))",
         f"valid AS (SELECT * EXCLUDE (n_valid) FROM (SELECT *, count(*) OVER (PARTITION BY market) AS n_valid FROM obs WHERE {need}) WHERE n_valid >= {LEAST_ROWS} AND market IN (SELECT market FROM quality WHERE usable))",
         main, near, SQL_BASE,
@@ -79,13 +80,12 @@ def sql_scan(today: str, with_clusters: bool = False) -> str:
     return ",\n".join(parts)
 
 
-def sql_overview(today: str) -> str:
+def sql_overview() -> str:
     """The overview: positioning from the scan, the macro regime, and the season's forecast of all prices, combined and ranked."""
-    dated = lambda text: text.replace(f"least(DATE '{regimes.AS_OF}', max(date) OVER (PARTITION BY market))", "max(date) OVER (PARTITION BY market)")
     macro = f"p_macro AS (WITH RECURSIVE {regimes.sql_analogs()}, {regimes.SQL_REGIME}, mm AS (SELECT result.*, od.up, od.down FROM result LEFT JOIN od USING (market)) SELECT market, n, up, down, median FROM mm)"
-    season = f"p_season AS (WITH RECURSIVE {dated(regimes.SQL_AHEAD)} SELECT market, n, up, down, direction, median FROM ahead WHERE weeks = 8)"
+    season = f"p_season AS (WITH RECURSIVE {regimes.SQL_AHEAD} SELECT market, n, up, down, direction, median FROM ahead WHERE weeks = 8)"
     sides = "CASE WHEN up > down THEN 'bullish' WHEN down > up THEN 'bearish' ELSE 'neutral' END"
-    return sql_scan(today) + f""",
+    return sql_scan() + f""",
 {macro},
 {season},
 mods AS (SELECT market, 'positioning' AS module, net8_direction AS direction, net8_n AS n, net8_up AS up, net8_down AS down, net8_median AS median, net8_n > 0 AS available FROM scan
