@@ -1,6 +1,7 @@
 """Names that don't name boilerplate, and articles of several containers."""
 
 import random
+import time
 
 import pytest
 
@@ -83,7 +84,7 @@ def test_random_pages_against_their_making(seed):
         text = words(rng.randint(5, 40))
         wanted.append(text)
         spaced = text.replace(" ", rng.choice([" ", "  ", "\n\t"]), 1)
-        return rng.choice(["<p>{}</p>", "<p class='lead'>{}", "<ul><li>{}</ul>", "<h2>{}</h2>", "<blockquote><p>{}</p></blockquote>", "<p><b>{}</b></p>", "<table><tr><td>{}</table>"]).format(spaced)
+        return rng.choice(["<p>{}</p>", "<p class='lead'>{}", "<ul><li>{}</ul>", "<h2>{}</h2>", "<p title=don't>{}</p>", "<p class=\"a\"\">{}</p>", "<div '>{}</div>", "<p a='1'b=/c/>{}", "<blockquote><p>{}</p></blockquote>", "<p><b>{}</b></p>", "<table><tr><td>{}</table>"]).format(spaced)
 
     def body(depth: int) -> str:
         out = ""
@@ -105,3 +106,25 @@ def test_clashing_columns(spark):
     pages = spark.createDataFrame([(1, "http://a/x", "<p>one two</p>", "h", "p", "r")], "page_id long, url string, html string, host string, path string, row string")
     assert html.extract(pages).select("page_id", "host", "path", "row", "text").collect()[0] == (1, "h", "p", "r", "one two")
     assert html.extract(pages.withColumnsRenamed({"host": "page_host", "path": "page_path", "row": "page_html"})).count() == 1
+
+
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        ("<p title=don't>First</p><p>Second it's</p>", ["First", "Second it's"]),
+        ('<p class="a"">First</p><p class="b">Second plain words</p>', ["First", "Second plain words"]),
+        ("<p a='1'b=\"2\"c>One</p><a href=/x/y>Two</a><p title=\"a > b\">Three</p><p =x y = z>Four</p>", ["One", "Two", "Three", "Four"]),
+        ("<p class=\"never closed>One</p><p>Two</p>", ["One", "Two"]),
+        ("<p '>One</p><p \">Two's</p>", ["One", "Two's"]),
+        ("<p class = 'nav bar' title=\"it's\">One</p><p class=>Two", ["One", "Two"]),
+    ],
+)
+def test_quotes_open_values_only_after_an_equals_sign(page, wanted):
+    assert [text for _, text, _ in html.blocks(page)] == wanted
+
+
+@pytest.mark.parametrize("page", ["<b>" * 50_000 + "<tr></tr>" * 50_000, "<li><dd>" * 50_000, "<p x='" * 50_000, "<b></i>" * 50_000, '<p x="' + "a" * 1_000_000, "<p x='1\" y=\"2'>a " * 20_000])
+def test_time_grows_with_the_page(page):
+    began = time.time()
+    html.blocks(page)
+    assert time.time() - began < 4

@@ -62,9 +62,11 @@ DEEP = 64
 #: An unclosed <li>, <td> and so on ends at these, which hold its kind.
 HOLDERS = frozenset("ul ol dl table tbody thead tfoot select menu dir".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
-#: One attribute with its value, so that nothing is looked for inside quotes.
-ATTRIBUTE = re.compile(r"([^\s/>=\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']*))?")
+#: One attribute: a name and, after an equals sign, a value; only there does a quote open one, and only if it is closed somewhere.
+ATTRIBUTE_TEXT = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{ATTRIBUTE_TEXT})*+)>?", re.S)
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
+STOPS = CONTAINER | HOLDERS | CLOSED_BY.keys()
 SPACE = re.compile(r"\s+")
 LETTERS = re.compile(r"[^\W\d_]")
 DIGITS = re.compile(r"\d+")
@@ -74,12 +76,14 @@ NAME_WORD = re.compile(r"[^-_\d]+")
 class Node:
     """An element: its step in the path and all steps' digest, whether it is left out (2), or but for headings (1), and the containers at and around it."""
 
-    __slots__ = ("tag", "step", "digest", "depth", "skip", "marked", "inner", "up", "at", "container", "left_out")
+    __slots__ = ("tag", "step", "digest", "depth", "skip", "marked", "inner", "up", "at", "container", "stop", "left_out")
 
     def __init__(self, tag: str, step: str, skip: int, marked: bool, up: Node | None, at: int):
         self.tag, self.step, self.skip, self.marked, self.up, self.at = tag, step, skip, marked, up, at
         self.inner = tag in ("article", "main") or up is not None and up.inner
         self.container: Node = self if tag in CONTAINER or up is None else up.container
+        #: The innermost element, from here up, that a start tag may close or that keeps it from closing others.
+        self.stop: Node | None = self if tag in STOPS else up.stop if up is not None else None
         self.left_out: bool | None = None
         if step:
             self.depth, self.digest = up.depth + 1, xxhash.xxh3_128_digest(up.digest + step.encode("utf-8", "surrogatepass"))
@@ -111,11 +115,11 @@ def names_boiler(name: str) -> bool:
 def step(tag: str, attributes: str) -> tuple[str, bool, bool]:
     """A tag's step in a generalised path, whether its role leaves it out, and whether its classes or id name another part than main text."""
     names, skipped, marked = [], False, False
-    for name, value in ATTRIBUTE.findall(attributes) if attributes else ():
+    for name, *values in ATTRIBUTE.findall(attributes) if attributes else ():
         name = name.lower()
         if name not in ("class", "id", "role", "hidden", "aria-hidden"):
             continue
-        value = entities.unescape(value.strip("\"'"))
+        value = entities.unescape("".join(values))
         if name == "class":
             names += ["." + DIGITS.sub("", c).lower() for c in sorted(value.split())]
         elif name == "id":
@@ -194,14 +198,14 @@ def blocks(page: str) -> list[tuple[Node, str, int]]:
                 flush()
                 while top.tag == "head" or tag == "body" and top.tag not in ("", "html"):
                     close(top.up)
-            node = top
-            while tag in CLOSERS and node.up is not None:  # what this tag closes without an end tag
+            node = top.stop
+            while tag in CLOSERS and node is not None and node.up is not None:  # what this tag closes without an end tag
                 if node.tag in CLOSED_BY and tag in CLOSED_BY[node.tag]:
                     close(node.up)
                     break
                 if node.tag in HOLDERS or node.tag in CONTAINER:
                     break
-                node = node.up
+                node = node.up.stop
             name, skipped, marked = step(tag, found[3])
             if tag == "article":  # one inside another can be a comment or a related one
                 marked = marked and open_tags["article"] > 0
