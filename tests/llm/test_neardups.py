@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pytest
 
 from tidemark.llm import simhash
 
@@ -133,3 +134,65 @@ def test_rows_without_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
     got = sorted(((r.doc_id or 0, r.text) for r in simhash.keep_first(docs).collect()))
     assert got == [(0, "only once in here"), (3, "and yet another one"), (3, "some other text"), (7, near)]
+
+
+def linked_roots(sets):
+    """Components of sets by their exact similarity."""
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(sets))]
+
+
+def test_short_texts_lose_no_link(spark):
+    """Pairs of 9- and 8-word texts have similarity 0.8; one of each pair stays."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(300):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(9)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:8]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in simhash.keep_first(docs).collect()) == list(range(0, 600, 2))
+
+
+def test_short_sets_by_brute_force(spark):
+    """Texts of few words from few others: many links and many that just aren't any."""
+    rng = random.Random(13)
+    rows = []
+    for i in range(60):
+        words = [f"v{i}x{rng.randrange(3)}y{k}" for k in range(rng.randint(1, 13))]
+        for _ in range(6):
+            cut = words[rng.randint(0, 1) : len(words) - rng.randint(0, 2)]
+            if cut and rng.random() < 0.4:
+                cut[rng.choice([0, -1])] = f"z{rng.randrange(3)}"
+            rows.append((len(rows), " ".join(cut)))
+    sets = [{" ".join(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} if t else set() for _, t in rows]
+    roots = linked_roots(sets)
+    wanted = sorted({min(j for j, q in enumerate(roots) if q == r) for r in roots})
+    got = sorted(r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert got == wanted
+
+
+@pytest.mark.parametrize("sizes", [(a, b) for b in range(1, 16) for a in range(1, b + 1) if 5 * a >= 4 * b and a > 8 or a == 8 and b == 10])
+def test_recall_by_size(sizes):
+    """Random sets of the least overlap that is similar share a bucket within the limits."""
+    a, b = sizes
+    both = -(-4 * (a + b) // 9)
+    rng = np.random.default_rng(a * 100 + b)
+    hits = 0
+    for _ in range(100):
+        h = rng.integers(0, 1 << 63, a + b, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        x, y = (simhash.wide_fingerprints(np.unique(s)) for s in (h[:a], np.concatenate((h[:both], h[a : a + b - both]))))
+        away = np.bitwise_count(x ^ y)
+        shared = any((x[w] ^ y[w]) >> np.uint64(16 * q) & np.uint64((1 << simhash.BAND) - 1) == 0 for w in range(simhash.WIDE) if away[w] <= simhash.NEAR_BITS for q in range(4))
+        hits += bool(shared and away.sum() <= simhash.WIDE_BITS)
+    assert hits >= 90

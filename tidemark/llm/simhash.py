@@ -17,7 +17,7 @@ more: for those, 64 bits differ in about ten places and no pigeonhole is left, s
 of its hashes, and goes into four buckets of each, by 12 bits of its quarters. The same index, with limits on the bits of the bucket's fingerprint and of all of them, gives candidate
 components, without a pair being sent. In each of them the sets themselves are then compared, in pairs of blocks of ``MEMBERS`` sets, so a link holds exactly and none between candidates is lost.
 A pair of similarity 0.8 shares a bucket with probability 1 - (1 - 0.848 ** 12) ** 32 = 0.992, and one of 0.9 with 0.9999; a component may still be joined
-through other members. Its members are compared block by block, so the work of one candidate component grows with the square of its distinct sets.
+through other members. The bits of few shingles vary more, so sets of up to ``SHORT`` shingles are linked by digests of the subsets that they share, exactly. Its members are compared block by block, so the work of one candidate component grows with the square of its distinct sets.
 
 Edge cases: a null or empty text, or one of white space alone, has fingerprint zero and is linked like any other;
 texts of one or two words are one shingle; a null id never names a component that has another; rows with equal ids each
@@ -28,6 +28,7 @@ text without a word has the empty set, and empty sets are equal; texts of up to
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,8 @@ BAND = 12
 #: Sets of a candidate component that are compared at once with as many others; rows of buckets that a task takes together.
 MEMBERS = 1000
 TOGETHER = 100_000
+#: Shingles of a small set: the bits of few shingles vary too much for the index, so links between such sets are found by their subsets.
+SHORT = 9
 #: Rows of 16 bytes that are broadcast at most.
 SMALL = 500_000
 U = np.uint64
@@ -345,10 +348,31 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keyed_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``row``, the columns of docs, with ``id``, the ``key`` of its set of shingles, the set's ``size`` and its ``wide`` fingerprints."""
+def subsets(found: np.ndarray, near: tuple[int, int]) -> list[bytes]:
+    """Digests of a small set and of its subsets that a similar set may share, each with its number of shingles on top."""
+    missing = len(found) * (near[1] - near[0]) // near[1]  # a similar set lacks no more of them
+    kept = (np.delete(found, list(gone)) for n in range(missing + 1) for gone in combinations(range(len(found)), n) if n < len(found))
+    return [bytes([len(k)]) + xxhash.xxh3_128_digest(k.tobytes()) for k in kept]
+
+
+def short_links(rows: DataFrame, near: tuple[int, int]) -> DataFrame:
+    """``a`` and ``b``: links between small sets (``key, size, parts``), exactly.
+
+    Two similar sets share a subset of i shingles that has (x + y) * i >= x * (a + b), and two that share such a subset are similar. Of all sets with one subset
+    the smallest is linked to the most others, so a link to it joins all that this subset links; no pairs are made.
+    """
+    some = rows.where(F.col("parts").isNotNull()).select("key", "size", "parts").dropDuplicates(["key"])
+    each = some.select("key", "size", F.explode("parts").alias("part"))
+    least = each.groupBy("part").agg(F.min(F.struct("size", "key")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("part", "first")
+    shared = F.conv(F.hex(F.substring("part", 1, 1)), 16, 10).cast("long")
+    alike = (near[0] + near[1]) * shared >= near[0] * (F.col("size") + F.col("first.size"))
+    return each.join(least, "part").where(alike & (F.col("key") != F.col("first.key"))).select(F.col("key").alias("a"), F.col("first.key").alias("b")).distinct()
+
+
+def keyed_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, near: tuple[int, int]) -> DataFrame:
+    """``row``, the columns of docs, with ``id``, the ``key`` of its set of shingles, the set's ``size``, its ``wide`` fingerprints and, of a small set, its ``parts``."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = T.StructType([rows.schema["row"], T.StructField("id", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("wide", T.BinaryType())])
+    schema = T.StructType([rows.schema["row"], T.StructField("id", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("wide", T.BinaryType()), T.StructField("parts", T.ArrayType(T.BinaryType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -357,7 +381,8 @@ def keyed_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
                 found = [np.unique(shingle_hashes(t, shingle)) for t in texts_of(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])]
                 keys = pa.array([xxhash.xxh3_128_digest(f.tobytes()) for f in found], pa.binary())
                 wide = pa.array([wide_fingerprints(f).tobytes() for f in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(column_of(batch, c).slice(a, b - a) for c in ("row", "id")), keys, pa.array(map(len, found), pa.int64()), wide], names=schema.names)
+                parts = pa.array([subsets(f, near) if 0 < len(f) <= SHORT else None for f in found], pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(column_of(batch, c).slice(a, b - a) for c in ("row", "id")), keys, pa.array(map(len, found), pa.int64()), wide, parts], names=schema.names)
         release()
 
     return rows.mapInArrow(run, schema)
@@ -486,13 +511,13 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, near: tu
     """The rows, written with a ``place`` of their own, and of each ``place, id, key`` of its set, and ``label``, the key that names its component."""
     spark = docs.sparkSession
     path = shared_path(spark, "simhash-sets")
-    keyed_sets(docs, id_col, text_col, shingle).withColumn("place", F.monotonically_increasing_id()).write.parquet(path)
+    keyed_sets(docs, id_col, text_col, shingle, near).withColumn("place", F.monotonically_increasing_id()).write.parquet(path)
     rows = spark.read.parquet(path)  # places stay as they were written
     node = F.xxhash64("key")  # sets of equal nodes, which are hardly any, are candidates as one
     sets = rows.where("size > 0").groupBy(node.alias("node")).agg(F.first("size").alias("size"), F.first("wide").alias("wide")).checkpoint()
     found = connected(candidates(wide_buckets(sets), near))
     members = where_in(rows.select("key", F.col("row")[text_col].alias("text"), node.alias("node")), found, "node", "inner").dropDuplicates(["key"])
-    links = connected(exact_links(with_hashes(members, shingle).checkpoint(), near))
+    links = connected(exact_links(with_hashes(members, shingle).checkpoint(), near).unionByName(short_links(rows, near)))
     labels = rows.select("place", "id", "key").join(links.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     return rows, labels
 
