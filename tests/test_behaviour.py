@@ -319,8 +319,10 @@ def test_cache_with_fallback(spark):
 
     cached = spark.createDataFrame([("A", "2024-01-10", 1.0), ("B", "2023-01-10", 2.0), ("C", "2023-01-10", 3.0)], "market string, date string, close double").withColumn("date", F.col("date").cast("date"))
     loaded = spark.createDataFrame([("A", "2024-01-12", 9.0), ("B", "2024-01-12", 8.0), ("D", "2024-01-12", 7.0)], "market string, date string, close double").withColumn("date", F.col("date").cast("date"))
-    got = {r.market: (r.close, r.origin) for r in tables.served(cached, loaded, "market", F.lit("2024-01-13").cast("date"), 7, "timeout").collect()}
+    failed = spark.createDataFrame([("C", "timeout"), ("E", "no such market")], "market string, reason string")
+    got = {r.market: (r.close, r.origin) for r in tables.served(cached, loaded, "market", F.lit("2024-01-13").cast("date"), 7, failed).collect()}
     assert got == {"A": (1.0, "cache"), "B": (8.0, "loaded"), "C": (3.0, "stale_cache: timeout"), "D": (7.0, "loaded")}
+    assert [tuple(r) for r in tables.unserved(cached, loaded, "market", failed).collect()] == [("E", "no such market")]
 
 
 def test_coverage_and_countries(spark):

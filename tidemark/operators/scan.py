@@ -5,7 +5,6 @@ Markets that fail a minimum keep their row, with a reason, by left joins from th
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import partial, reduce
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr, windows
+from tidemark.isolation import Failures, tried
 from tidemark.operators import clusters, confluence, flows, index_pattern, knn, outcomes, paths
 from tidemark.operators.observations import HORIZONS, observations
 from tidemark.session import materialized
@@ -116,45 +116,6 @@ def analyzers(n: int = 30, threshold: float = 0.01, with_clusters: bool = True)
     return found | ({"clusters": cluster_columns} if with_clusters else {})
 
 
-def reason_of(failure: Exception) -> str:
-    """The last line that names an error in a failure's text, or the first line."""
-    lines = [x.strip() for x in str(failure).splitlines() if x.strip()] or [type(failure).__name__]
-    named = [x for x in lines if re.match(r"(\[[A-Z_.]+\]|[\w.]*(Error|Exception)\b)", x)]
-    return (named[-1] if named else lines[0])[:300]
-
-
-Failures = list[tuple[str, str, str]]
-
-
-def tried(name: str, make: Callable[[DataFrame], DataFrame], rows: DataFrame) -> tuple[DataFrame, Failures]:
-    """``make(rows)``, materialized, without the markets that it fails for, and those as (market, name, reason).
-
-    One market's failure ends Spark's job for all. Then halves of the markets, by a hash of their names, are tried until each that fails is alone; the
-    others' results don't change. A market costs as many attempts as there are halvings, and only when something fails. If the session is gone, the failure is raised.
-    """
-    results, failures = [], []
-
-    def attempt(bits: int, bucket: int) -> None:
-        part = rows.where(F.pmod(F.xxhash64("market"), F.lit(1 << bits)) == bucket) if bits else rows
-        try:
-            results.append(materialized(make(part)))
-        except Exception as failure:
-            if rows.sparkSession.sparkContext._jsc.sc().isStopped():
-                raise
-            among = [r.market for r in part.select("market").distinct().limit(2).collect()]
-            if not among:
-                raise
-            if len(among) == 1 or bits == 60:
-                failures.extend((m, name, reason_of(failure)) for m in among)
-            else:
-                attempt(bits + 1, bucket)
-                attempt(bits + 1, bucket + (1 << bits))
-
-    attempt(0, 0)
-    # without any market the analyzer still gives its columns
-    return (reduce(DataFrame.unionByName, results) if results else make(rows.limit(0))), failures
-
-
 def side_by_side(parts: list[DataFrame], rows: DataFrame) -> DataFrame:
     out = rows.select("market").distinct()
     for part in parts:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import overview, positioning, regimes, signals
+from tidemark.plans import files, overview, positioning, regimes, signals
 
-MODULES = [positioning, signals, regimes, overview]
+MODULES = [positioning, signals, regimes, overview, files]
 
 
 def entries() -> dict[str, tuple]:
