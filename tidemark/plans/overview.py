@@ -113,31 +113,35 @@ def top_extremes_query(spark, sf_dir):
     return shaped(scan.top_extremes(rows, 3), TOP_EXTREME)
 
 
+#: So few analogs that more markets have a direction.
+FEW = 15
 TOP_MARKET = "market:s bias:s hit_rate share_confirmed:b cases:l"
 
 
 def top_markets_query(spark, sf_dir):
     prices = priced(spark, sf_dir)
     valid = observed(spark, sf_dir, prices=prices).na.drop(subset=NETS + SHARES)
-    return shaped(scan.top_markets(scan.analog_columns(valid, prices), 3), TOP_MARKET)
+    return shaped(scan.top_markets(scan.analog_columns(valid, prices, FEW)), TOP_MARKET)
 
 
 def sql_top_markets() -> str:
-    main, near = scan_sql.sql_base()
+    main, near = scan_sql.sql_base(FEW)
     valid = f"valid AS (SELECT * FROM obs WHERE {' AND '.join(f'{c} IS NOT NULL' for c in NETS + SHARES)})"
-    return f"{valid}, {main}, {near}, {scan_sql.SQL_BASE}, result AS (SELECT * FROM base WHERE bias IN ('bullish', 'bearish') AND cases >= 15 ORDER BY hit_rate DESC, share_confirmed DESC, cases DESC, market LIMIT 3)"
+    return f"{valid}, {main}, {near}, {scan_sql.SQL_BASE}, result AS (SELECT * FROM base WHERE bias IN ('bullish', 'bearish') AND cases >= 15 ORDER BY hit_rate DESC, share_confirmed DESC, cases DESC, market LIMIT 5)"
 
 
+#: A percentile that lets so many markets turn that their order shows.
+LOOSE = 20.0
 TOP_TURN = "market:s transition_phase:l transition_score confirmations:l"
 
 
 def top_transitions_query(spark, sf_dir):
-    rows = flows.transition(observed(spark, sf_dir), 4, 55.0)
+    rows = flows.transition(observed(spark, sf_dir), 4, LOOSE)
     named = rows.select("market", F.lit("").alias("error"), *(F.col(c).alias(f"transition_{c}") for c in ("phase", "score", "convergence", "sustained", "price_confirmed")))
-    return shaped(scan.top_transitions(named, 3), TOP_TURN)
+    return shaped(scan.top_transitions(named), TOP_TURN)
 
 
-SQL_TOP_TURN = "result AS (SELECT market, phase AS transition_phase, score AS transition_score, CAST(convergence AS INT) + CAST(sustained AS INT) + CAST(price_confirmed AS INT) AS confirmations FROM ti WHERE phase >= 1 ORDER BY phase DESC, score DESC, confirmations DESC, market LIMIT 3)"
+SQL_TOP_TURN = "result AS (SELECT market, phase AS transition_phase, score AS transition_score, CAST(convergence AS INT) + CAST(sustained AS INT) + CAST(price_confirmed AS INT) AS confirmations FROM ti WHERE phase >= 1 ORDER BY phase DESC, score DESC, confirmations DESC, market LIMIT 5)"
 TOP_EDGE = "market:s {0}_cases:l {0}_share {0}_median edge"
 
 
@@ -278,7 +282,7 @@ def entries() -> dict[str, tuple]:
             sql(sql_evidence() + "," + SQL_COMBINE.replace("result AS", "combined AS") + ", result AS (SELECT count(*) FILTER (status IN ('confirmed', 'partly_confirmed')) AS confirmed, count(*) FILTER (status = 'conflicting') AS conflicting, count(*) FILTER (status = 'insufficient') AS insufficient FROM combined)", PARTS),
         ),
         "top_markets": (top_markets_query, sql(sql_top_markets(), TOP_MARKET)),
-        "top_transitions": (top_transitions_query, sql(signals.sql_transition(55) + "," + SQL_TOP_TURN, TOP_TURN)),
+        "top_transitions": (top_transitions_query, sql(signals.sql_transition(LOOSE) + "," + SQL_TOP_TURN, TOP_TURN)),
         "top_index": (top_index_query, sql(signals.sql_index_pattern(signals.WIDE).replace("result AS", "indexed AS") + "," + sql_top_edge("index", "indexed", "reason = ''"), TOP_EDGE.format("index"))),
         "market_clusters_fixed": (lambda spark, sf_dir: shaped(fixed_clusters(spark, sf_dir), CLUSTER), sql(SQL_CLUSTERS + ", result AS (SELECT * FROM clus)", CLUSTER)),
         "top_clusters": (top_clusters_query, sql(SQL_CLUSTERS + "," + sql_top_edge("cluster", "clus", "available"), TOP_EDGE.format("cluster"))),

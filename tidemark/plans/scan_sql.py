@@ -36,11 +36,11 @@ def net_part(weeks: int) -> str:
     return part(f"p_net{weeks}", body, f"lv.market, {figures}, window_start AS net{weeks}_window_start, window_end AS net{weeks}_window_end FROM lv LEFT JOIN result USING (market)")
 
 
-def sql_base() -> tuple[str, str]:
+def sql_base(n: int = 30) -> tuple[str, str]:
     """Outcome of the analogs by nets, and of those that are near by shares."""
-    near = sql_nearest(NETS, [], "rms", 30, 56)
+    near = sql_nearest(NETS, [], "rms", n, 56)
     body = ",\n".join([near, moves(40), signals.SQL_TIMING])
-    shares = ",\n".join([sql_nearest(NETS, [], "rms", 30, 56, name="m0"), sql_nearest(SHARES, [], "rms", 1, 0, name="v"), "m AS (SELECT m0.* FROM m0 JOIN v_d ON m0.market = v_d.market AND m0.date = v_d.date WHERE v_d.distance <= 1)", moves(40), signals.SQL_TIMING])
+    shares = ",\n".join([sql_nearest(NETS, [], "rms", n, 56, name="m0"), sql_nearest(SHARES, [], "rms", 1, 0, name="v"), "m AS (SELECT m0.* FROM m0 JOIN v_d ON m0.market = v_d.market AND m0.date = v_d.date WHERE v_d.distance <= 1)", moves(40), signals.SQL_TIMING])
     return part("p_main", body, "market, n AS cases, up, down, bias FROM result"), part("p_near", shares, "market, n AS share_n, bias AS share_bias FROM result")
 
 
