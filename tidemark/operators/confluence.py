@@ -63,3 +63,13 @@ def common_years(starts: list[Column], ends: list[Column]) -> Column:
     last = F.least(*ends) if len(ends) > 1 else ends[0]
     days = F.datediff(last, first)
     return F.when(days > 0, days / 365.25)
+
+
+def periods(markets: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Per market the first and last date of each module's table (of the whole table if it has no market), and the years that all share."""
+    out = markets.select("market")
+    for name, df in tables.items():
+        by = ["market"] if "market" in df.columns else []
+        spans = df.groupBy(*by).agg(F.min("date").alias(f"{name}_first"), F.max("date").alias(f"{name}_last"))
+        out = out.join(spans, "market", "left") if by else out.join(F.broadcast(spans))  # without a key it is one row
+    return out.withColumn("common_years", common_years([F.col(f"{n}_first") for n in tables], [F.col(f"{n}_last") for n in tables]))

@@ -258,6 +258,19 @@ def sql_confluence_view() -> str:
 result AS (SELECT market, 'region' AS category, {sql_labels('status', display.STATUS)} AS status, {sql_labels('direction', display.DIRECTIONS)} AS direction, confirmations || '/3' AS confirmed, {cells}, {sql_percent('lower_limit')} AS lower_limit, least_sample FROM combined c)"""
 
 
+PERIODS = "market:s positions_first:t positions_last:t prices_first:t prices_last:t macro_first:t macro_last:t common_years"
+
+
+def periods_query(spark, sf_dir):
+    """What the overview says of its modules' periods."""
+    tables = {"positions": proxies.positions(spark, sf_dir), "prices": proxies.prices(spark, sf_dir), "macro": proxies.macro(spark, sf_dir)}
+    return shaped(confluence.periods(markets(spark, sf_dir), tables), PERIODS)
+
+
+SQL_PERIODS = """pm AS (SELECT r_name AS market FROM region), spans AS (
+  SELECT pm.market, (SELECT min(date) FROM positions p WHERE p.market = pm.market) AS positions_first, (SELECT max(date) FROM positions p WHERE p.market = pm.market) AS positions_last,
+    (SELECT min(date) FROM prices p WHERE p.market = pm.market) AS prices_first, (SELECT max(date) FROM prices p WHERE p.market = pm.market) AS prices_last, (SELECT min(date) FROM macro) AS macro_first, (SELECT max(date) FROM macro) AS macro_last FROM pm),
+result AS (SELECT *, CASE WHEN least(positions_last, prices_last, macro_last) > greatest(positions_first, prices_first, macro_first) THEN date_diff('day', greatest(positions_first, prices_first, macro_first), least(positions_last, prices_last, macro_last)) / 365.25 END AS common_years FROM spans)"""
 PARTS = "confirmed:l conflicting:l insufficient:l"
 
 
@@ -281,6 +294,7 @@ def entries() -> dict[str, tuple]:
             lambda spark, sf_dir: shaped(display.overview_parts(confluence.combine(evidence_rows(spark, sf_dir))), PARTS),
             sql(sql_evidence() + "," + SQL_COMBINE.replace("result AS", "combined AS") + ", result AS (SELECT count(*) FILTER (status IN ('confirmed', 'partly_confirmed')) AS confirmed, count(*) FILTER (status = 'conflicting') AS conflicting, count(*) FILTER (status = 'insufficient') AS insufficient FROM combined)", PARTS),
         ),
+        "common_periods": (periods_query, sql(SQL_PERIODS, PERIODS, "tables")),
         "top_markets": (top_markets_query, sql(sql_top_markets(), TOP_MARKET)),
         "top_transitions": (top_transitions_query, sql(signals.sql_transition(LOOSE) + "," + SQL_TOP_TURN, TOP_TURN)),
         "top_index": (top_index_query, sql(signals.sql_index_pattern(signals.WIDE).replace("result AS", "indexed AS") + "," + sql_top_edge("index", "indexed", "reason = ''"), TOP_EDGE.format("index"))),

@@ -19,6 +19,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **extra: st
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in extra.items():
         builder = builder.config(key, value)
