@@ -389,7 +389,7 @@ def test_licences(spark, docs):
 
 def test_every_query_has_its_number():
     names = set(registry.queries())
-    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
 
 
 # Pipeline
