@@ -2,8 +2,9 @@
 
 The words of a source's documents, in order of their ids, are packed into blocks of ``BLOCK_WORDS`` words.
 The mix is made in output shards of ``SHARD_BLOCKS`` blocks. Each shard draws for itself, in a task and from a seed of its own, how many blocks it takes of each
-source: the whole part of the source's share of the shard for sure, and the rest from a multinomial distribution of the fractions that are left,
-so that totals come near the targets even of small tables. A source's draws number its slots through the shards; a pseudorandom permutation of
+source, from a multinomial distribution by the targets. Totals of such draws stray from the targets by the root of what is drawn, which small tables would show; so
+a source that was drawn too often gives up slots, evenly over all its draws, and those drawn too seldom get them, in the same shards. What is moved is that root, and a shard's
+counts keep the spread that draws with given totals have. A source's draws number its slots through the shards; a pseudorandom permutation of
 the source's blocks, another one for every pass over them, says which block fills a slot, and blocks are joined by source and number.
 
 Sources, in order of their code points with a null source last, have the weights 5, 2, 1, 5, 2, 1, ... A source's
@@ -64,17 +65,18 @@ def with_targets(sources: DataFrame, most: float = MOST) -> DataFrame:
 
 
 def drawn_of(count: int, weights: np.ndarray, seed: tuple[int, ...]) -> np.ndarray:
-    """How many of ``count`` draws fall on each: the whole parts of the shares, and a multinomial draw of the rest by the fractions."""
-    wanted = count * (weights / weights.sum())
-    out = np.floor(wanted).astype(np.int64)
-    if (rest := count - int(out.sum())) > 0:
-        fractions = wanted - out
-        out += np.random.default_rng(seed).multinomial(rest, fractions / fractions.sum() if fractions.sum() > 0 else weights / weights.sum())
-    return out
+    """How many of ``count`` draws fall on each."""
+    return np.random.default_rng(seed).multinomial(count, weights / weights.sum())
 
 
 def shard_counts(sources: DataFrame, seed: int = SEED, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """``shard``, ``number`` and ``count``: the blocks that each output shard draws of each of ``sources`` (number, slots), where any."""
+    """``shard``, ``number`` and ``count``: the blocks that each output shard takes of each of ``sources`` (number, slots), where any."""
+    drawn = multinomial_counts(sources, seed, shard_blocks).checkpoint()
+    return at_targets(sources, drawn, seed).checkpoint()
+
+
+def multinomial_counts(sources: DataFrame, seed: int, shard_blocks: int) -> DataFrame:
+    """``shard``, ``number`` and ``count`` as each shard draws them for itself, down a tree of groups of sources."""
     spark = sources.sparkSession
     total, n = sources.agg(F.round(F.sum("slots")).cast("long"), F.count(F.lit(1))).first()
     total = total or 0
@@ -111,6 +113,35 @@ def shard_counts(sources: DataFrame, seed: int = SEED, shard_blocks: int = SHARD
     return rows.select("shard", F.col("node").alias("number"), "count")
 
 
+def with_first(drawn: DataFrame) -> DataFrame:
+    """``drawn`` (shard, number, count) with ``first``, what earlier shards have of the same source; by ranges of shards, as a source may be in all of them."""
+    some = drawn.withColumn("range", F.floor(F.col("shard") / 4096))
+    of_ranges = some.groupBy("number", "range").agg(F.sum("count").alias("n"))
+    before = lambda w, x: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of_ranges = of_ranges.select("number", "range", before(Window.partitionBy("number").orderBy("range"), "n").alias("offset"))
+    first = F.col("offset") + before(Window.partitionBy("number", "range").orderBy("shard"), "count")
+    return some.join(of_ranges, ["number", "range"]).select("shard", "number", "count", first.alias("first"))
+
+
+def at_targets(sources: DataFrame, drawn: DataFrame, seed: int) -> DataFrame:
+    """``drawn`` with the total of each source at its ``slots`` (a fraction is rounded up or down by chance); the totals of shards stay.
+
+    Slots given up and slots to fill are paired in a pseudorandom order. As fractions are rounded for each source alone, a few are without partner and stay as drawn.
+    """
+    chance = F.pmod(F.xxhash64(F.lit(seed), "number", F.lit("round")), F.lit(1 << 30)) / (1 << 30)
+    totals = drawn.groupBy("number").agg(F.sum("count").alias("drawn"))
+    off = sources.select("number", F.floor(F.col("slots") + chance).alias("wanted")).join(totals, "number", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    off = off.select("number", "drawn", (F.col("drawn") - F.col("wanted")).alias("excess"), F.pmod(F.xxhash64(F.lit(seed), "number", F.lit("give")), F.greatest("drawn", F.lit(1))).alias("shift")).where("excess <> 0").checkpoint()
+    # of a source's draws 0 to drawn - 1, the excess is spread evenly; so many of the count draws from first on
+    given = with_first(drawn).join(off.where("excess > 0"), "number").withColumn("n", F.expr("((first + count) * excess + shift) div drawn - (first * excess + shift) div drawn")).where("n > 0")
+    given = given.select("shard", F.col("number").alias("giver"), F.explode(F.sequence(F.lit(1), "n")).alias("i"))
+    wanting = off.where("excess < 0").select(F.col("number").alias("taker"), F.explode(F.sequence(F.lit(1), -F.col("excess"))).alias("i"))
+    mixed_up = lambda df, *by: in_order(df, F.xxhash64(F.lit(seed), *by), *map(F.col, by))
+    moved = mixed_up(given, "shard", "giver", "i").drop("i").join(mixed_up(wanting, "taker", "i").drop("i"), "number")
+    changes = moved.select("shard", F.explode(F.array(*(F.struct(F.col(c).alias("number"), F.lit(n).cast("long").alias("count")) for c, n in (("giver", -1), ("taker", 1))))).alias("x")).select("shard", "x.*")
+    return drawn.unionByName(changes).groupBy("shard", "number").agg(F.sum("count").alias("count")).where("count > 0")
+
+
 def permuted(index: Column, size: Column, constants: Column, rounds: int = 4) -> Column:
     """The place of ``index`` in a pseudorandom permutation of 0 to ``size`` - 1 that ``constants(size, key)`` describes.
 
@@ -182,12 +213,7 @@ def weighed(documents: DataFrame, block_words: int) -> DataFrame:
 
 def slots(sources: DataFrame, drawn: DataFrame, seed: int = SEED) -> DataFrame:
     """``shard``, ``number`` and ``block`` of each slot of the mix."""
-    some = drawn.withColumn("range", F.floor(F.col("shard") / 4096))
-    of_ranges = some.groupBy("number", "range").agg(F.sum("count").alias("n"))
-    before = lambda w, x: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    of_ranges = of_ranges.select("number", "range", before(Window.partitionBy("number").orderBy("range"), "n").alias("offset"))
-    first = F.col("offset") + before(Window.partitionBy("number", "range").orderBy("shard"), "count")
-    each = some.join(of_ranges, ["number", "range"]).select("shard", "number", "count", first.alias("first")).join(sources.select("number", "blocks"), "number")
+    each = with_first(drawn).join(sources.select("number", "blocks"), "number")
     end = F.least(F.col("first") + F.col("count"), MOST * F.col("blocks"))
     each = each.withColumn("end", end).where("first < end")
     turns = F.sequence(F.floor(F.col("first") / F.col("blocks")), F.floor((F.col("end") - 1) / F.col("blocks")))
