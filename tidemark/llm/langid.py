@@ -28,6 +28,8 @@ from tidemark.llm.arrow import column_of, release, slices, text_buffers
 
 #: n-grams in a language's profile, and in a document's.
 PROFILE = 400
+#: Symbols of a text whose n-grams are counted at once.
+PIECE = 1 << 18
 #: Languages whose profiles are broadcast together (some 6 kB each).
 LANGUAGES = 1000
 #: Rows of distinct n-grams that a task gathers before it sends them on.
@@ -43,29 +45,36 @@ def letters() -> np.ndarray:
 
 def symbols(text: str) -> np.ndarray:
     """Lower-case letters as code points, with one zero before, after and between words; empty without a letter."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    is_letter = letters()[codes]
-    if not is_letter.any():
-        return np.zeros(0, np.int64)
-    codes[~is_letter] = 0
-    codes = np.concatenate(([0], codes, [0]))
+    lowered, parts = text.lower(), []
+    for at in range(0, len(lowered), PIECE):
+        codes = np.frombuffer(lowered[at : at + PIECE].encode("utf-32-le", "replace"), np.int32)
+        parts.append(np.where(letters()[codes], codes, 0))
+    codes = np.concatenate((np.zeros(1, np.int32), *parts, np.zeros(1, np.int32)))
+    if not codes.any():
+        return np.zeros(0, np.int32)
     return codes[np.append(True, (codes[1:] != 0) | (codes[:-1] != 0))]
 
 
-def grams(codes: np.ndarray) -> np.ndarray:
-    """All n-grams of one to three symbols, 21 bits a symbol; a lone word mark isn't one."""
-    two = codes[:-1] << 21 | codes[1:]
-    three = two[:-1] << 21 | codes[2:]
-    three = three[codes[1:-1] != 0]
-    return np.concatenate((codes[codes != 0], two, three))
+def grams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams of one to three symbols, 21 bits a symbol, ascending, and how often each occurs; a lone word mark isn't one."""
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for at in range(0, len(codes), PIECE):
+        some = codes[at : at + PIECE + 2].astype(np.int64)
+        one = some[:PIECE]
+        two = some[:-1] << 21 | some[1:]
+        three = (two[:-1] << 21 | some[2:])[some[1:-1] != 0]
+        found, n = np.unique(np.concatenate((one[one != 0], two[:PIECE], three)), return_counts=True)
+        if at == 0:
+            keys, counts = found, n
+            continue
+        keys, at_key = np.unique(np.concatenate((keys, found)), return_inverse=True)
+        counts = np.bincount(at_key, np.concatenate((counts, n)), len(keys)).astype(np.int64)
+    return keys, counts
 
 
 def ranked(text: str, size: int = PROFILE) -> np.ndarray:
     """The text's most frequent n-grams, most frequent first."""
-    codes = symbols(text)
-    if not len(codes):
-        return codes
-    keys, counts = np.unique(grams(codes), return_counts=True)
+    keys, counts = grams(symbols(text))
     return keys[np.argsort(-counts, kind="stable")[:size]]
 
 
@@ -118,7 +127,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
                     raw = b" ".join(data[at[i] : at[i + 1]].tobytes() for i in np.flatnonzero(langs[a:b] == lang))
                     codes = symbols(raw.decode("utf-8", "replace"))
                     if len(codes):
-                        held.setdefault(lang, []).append(np.unique(grams(codes), return_counts=True))
+                        held.setdefault(lang, []).append(grams(codes))
                         if len(held[lang]) > 8:
                             fold(lang)
             if sum(len(k) for parts in held.values() for k, _ in parts) > GATHERED:
