@@ -59,20 +59,27 @@ class Stretches:
 
     def __init__(self, block: Block, length: int, gram: int):
         anchor, owner, start, windows = [], [], [], []
-        group: list[int] = []
+        group: list[tuple[int, int, bytes]] = []
         size = 0
+
+        def hash_group() -> None:
+            owners, firsts = (np.array([piece[x] for piece in group], np.int64) for x in (0, 1))
+            a, o, s, w = self.of_chunk(b"".join(piece for _, _, piece in group), np.array([len(piece) for _, _, piece in group], np.int64), length, gram)
+            anchor.append(a)
+            owner.append(owners[o])
+            start.append(s + firsts[o])
+            windows.append(w)
+
         for i, text in enumerate(block.texts):
-            if len(text) >= length:
-                group.append(i)
-                size += len(text)
-            if group and (size >= CHUNK or i == len(block.texts) - 1):
-                lengths = np.array([len(block.texts[j]) for j in group], np.int64)
-                a, o, s, w = self.of_chunk(b"".join(block.texts[j] for j in group), lengths, length, gram)
-                anchor.append(a)
-                owner.append(np.array(group, np.int64)[o])
-                start.append(s)
-                windows.append(w)
-                group, size = [], 0
+            # a long text comes in pieces of CHUNK windows, which share all bytes of a window but one
+            for first in range(0, len(text) - length + 1, CHUNK):
+                group.append((i, first, text[first : first + CHUNK + length - 1]))
+                size += len(group[-1][2])
+                if size >= CHUNK:
+                    hash_group()
+                    group, size = [], 0
+        if group:
+            hash_group()
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
         self.anchor, self.owner = join(anchor, np.uint64), join(owner, np.int64)
         self.start, self.windows = join(start, np.int64), join(windows, np.int64)
