@@ -16,6 +16,8 @@ words are compared byte for byte; texts of any length are taken whole.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -29,6 +31,7 @@ from tidemark.llm.rounds import Block, U
 WINDOW = 13
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+BREAK = re.compile(rb"[\x20\x09-\x0D]")
 #: Bytes of documents whose windows are hashed at once.
 CHUNK = 1 << 18
 
@@ -80,16 +83,19 @@ class Windows:
 
 
 def hashed_words(data: bytes, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of texts joined by line ends, and each text's number of words."""
-    raw = np.frombuffer(data, np.uint8)
-    space = SPACE[raw]
-    inside = ~space
-    starts = np.flatnonzero(inside & np.append(True, space[:-1]))
-    ends = np.flatnonzero(inside[:-1] & space[1:]) + 1
-    size = (ends - starts).astype(np.uint64)
-    hashes = rounds.mix(rounds.range_hashes(rounds.byte_values(0)[raw], starts, ends, 0) ^ size, rounds.SEEDS[0])
+    """Hashes of all words of texts that each end with a line end, and each text's number of words; long texts are hashed in pieces of whole words."""
+    hashes, starts, at = [np.zeros(0, U)], [np.zeros(0, np.int64)], 0
+    while at < len(data):
+        space = BREAK.search(data, at + 2 * CHUNK)
+        raw = np.frombuffer(data, np.uint8, (space.end() if space else len(data)) - at, at)
+        is_space = SPACE[raw]
+        first = np.flatnonzero(~is_space & np.append(True, is_space[:-1]))
+        end = np.flatnonzero(~is_space[:-1] & is_space[1:]) + 1
+        hashes.append(rounds.mix(rounds.range_hashes(rounds.byte_values(0)[raw], first, end, 0) ^ (end - first).astype(U), rounds.SEEDS[0]))
+        starts.append(first + at)
+        at += len(raw)
     bounds = np.cumsum(np.array([0, *lengths], np.int64) + np.array([0] + [1] * len(lengths), np.int64))
-    return hashes, np.diff(np.searchsorted(starts, bounds))
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), bounds))
 
 
 class Candidates:
