@@ -60,6 +60,32 @@ def test_rolling_frames_in_ranges(spark):
         ranges.rolling(df, ["market"], "date", 65, {}, 6, stretch=64)
 
 
+def test_ranks_in_ranges(spark):
+    """Ranks from frames in order equal those from an array for each row, with nulls, ties and keys that are null."""
+    rng = random.Random(5)
+    rows = [(m, i, None if rng.random() < 0.1 else rng.randrange(12)) for m, size in (("big", 700), (None, 90), ("none", 0), ("one", 1)) for i in range(size)] + [("void", i, None) for i in range(20)]
+    df = spark.createDataFrame(rows, "market string, date int, x int").repartition(5)
+    for frame, least in ((30, 10), (7, 7)):
+        plain = df.withColumn("rank", windows.rolling_rank(F.col("x"), windows.series(), frame, least))
+        spread = ranges.ranked(df, ["market"], "date", frame, {"rank": "x"}, least, 6, stretch=64)
+        assert spread.columns == plain.columns
+        assert sorted(map(repr, map(tuple, spread.collect()))) == sorted(map(repr, map(tuple, plain.collect())))
+    assert ranges.ranked(df.limit(0), ["market"], "date", 30, {"rank": "x"}, 10, 6).count() == 0
+
+
+def test_wide_ranks_of_a_large_key_in_seconds(spark):
+    """Three hundred thousand rows with frames of twenty thousand: 6 billion values, if each row had an array of its own."""
+    n, frame = 300_000, 20_000
+    df = spark.range(n).select(F.lit("big").alias("market"), F.col("id").alias("date"), (F.col("id") * 7919 % n).alias("x"))
+    began = time.time()
+    got = ranges.ranked(df, ["market"], "date", frame, {"rank": "x"}, 1, 16).where("date % 50000 = 49999").collect()
+    assert time.time() - began < 60
+    for r in got:
+        values = [i * 7919 % n for i in range(r.date - frame + 1, r.date + 1)]
+        assert r["rank"] == (sum(v < r.x for v in values) + 1) / frame
+    assert len(got) == 6
+
+
 def plain_greedy(rows, gap):
     taken = []
     for r in rows:

@@ -7,8 +7,13 @@ earlier ones (a count, a last value) comes from those few rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import materialized
 
@@ -82,3 +87,43 @@ def rolling(df: DataFrame, keys: list[str], order: str, rows: int, made: dict[st
 def window(keys: list[str], order: str):
     """The window that expressions of ``rolling`` are over."""
     return Window.partitionBy(*keys, "stretch").orderBy(order)
+
+
+def sliding_ranks(values: list[float | None], rows: int, least: int) -> list[float | None]:
+    """For each place the average rank, as a share, of the last known value among those of the last ``rows`` places; None with fewer than ``least`` of them.
+
+    The frame's values are kept in order, so a place costs a few binary searches and not a pass over its frame.
+    """
+    held: list[float] = []
+    last, out = None, []
+    for i, value in enumerate(values):
+        gone = values[i - rows] if i >= rows else None
+        if gone is not None:
+            del held[bisect_left(held, gone)]
+        if value is not None:
+            insort(held, value)
+            last = value
+        if len(held) < max(least, 1):
+            out.append(None)
+        else:
+            below = bisect_left(held, last)
+            out.append((below + (bisect_right(held, last) - below + 1) / 2) / len(held))
+    return out
+
+
+def ranked(df: DataFrame, keys: list[str], order: str, rows: int, columns: dict[str, str], least: int, ranges: int, stretch: int | None = None) -> DataFrame:
+    """``df`` with rolling average ranks: ``columns`` maps new names to columns. The same as ``windows.rolling_rank``, for wide frames and keys of any size.
+
+    A task holds one stretch and its edge at a time. Nulls aren't in frames; a row with a null has the rank of the last known value.
+    """
+    spread = overlapping(df, keys, order, rows, ranges, stretch)
+    kept = df.columns
+    schema = T.StructType([*df.schema, *(T.StructField(name, T.DoubleType()) for name in columns)])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[(order, "ascending")], null_placement="at_start"))
+        found = [pa.array(sliding_ranks(table.column(c).cast(pa.float64()).to_pylist(), rows, least), pa.float64()) for c in columns.values()]
+        out = pa.Table.from_arrays([*(table.column(c) for c in kept), *found], names=[*kept, *columns])
+        return out.filter(pc.invert(table.column("is_edge")))
+
+    return spread.groupBy(*keys, "stretch").applyInArrow(run, schema)

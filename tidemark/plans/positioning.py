@@ -48,6 +48,21 @@ def rolling_ranges(spark, sf_dir):
     return shaped(ranges.rolling(proxies.positions(spark, sf_dir), ["market"], "date", 156, made, RANGES, stretch=200), SCALES)
 
 
+#: Prices in the frame of a wide rank, and how many of them there have to be.
+WIDE, WIDE_LEAST = 1000, 250
+
+
+def rolling_ranks_wide(spark, sf_dir):
+    """The rank of every price among the last thousand of its market, in stretches."""
+    return shaped(ranges.ranked(proxies.prices(spark, sf_dir), ["market"], "date", WIDE, {"close_pct": "close"}, WIDE_LEAST, RANGES, stretch=WIDE), "market:s date:t close close_pct")
+
+
+def sql_wide() -> str:
+    frame = f"OVER (PARTITION BY market ORDER BY date ROWS BETWEEN {WIDE - 1} PRECEDING AND CURRENT ROW)"
+    return f"""v AS (SELECT market, date, close, list(close) {frame} AS held FROM prices),
+result AS (SELECT market, date, close, CASE WHEN len(held) >= {WIDE_LEAST} THEN (len(list_filter(held, lambda h: h < close)) + (len(list_filter(held, lambda h: h = close)) + 1) / 2.0) / len(held) END AS close_pct FROM v)"""
+
+
 def asof_forward_tolerance(spark, sf_dir):
     left = proxies.positions(spark, sf_dir).select("market", "date", F.date_add("date", 28).alias("target"))
     out = asof(left, proxies.prices(spark, sf_dir), ["market"], "target", "date", {"date": "price_date", "close": "close"}, "forward", 10)
@@ -202,6 +217,7 @@ def entries() -> dict[str, tuple]:
         "observations": (observation_table, sql("result AS (SELECT * FROM obs)", OBS)),
         "rolling_scales": (rolling_scales, sql("result AS (SELECT market, date, " + ", ".join(f"{observations.sql_z(n)} AS {n}_z, {observations.sql_rank(n)} AS {n}_pct" for n in NETS) + " FROM positions)", SCALES, "tables")),
         "rolling_ranges": (rolling_ranges, sql("result AS (SELECT market, date, " + ", ".join(f"{observations.sql_z(n)} AS {n}_z, {observations.sql_rank(n)} AS {n}_pct" for n in NETS) + " FROM positions)", SCALES, "tables")),
+        "rolling_ranks_wide": (rolling_ranks_wide, sql(sql_wide(), "market:s date:t close close_pct", "tables")),
         "rolling_indices": (rolling_indices, sql(index + ", result AS (SELECT market, date, ci AS commercial_index, cp AS commercial_net_percentile, ri AS retail_index, rp AS retail_net_percentile FROM i)", INDICES, "tables")),
         "latest_flow_z": (
             latest_flow_z,
