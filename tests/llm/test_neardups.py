@@ -114,6 +114,43 @@ def test_index_with_a_wide_limit_by_brute_force():
     assert len(set(zip(got.tolist(), wanted))) == len(set(wanted)) == len(set(got.tolist()))
 
 
+def test_sides_of_a_bucket_by_brute_force():
+    """Buckets with two sides, smaller and larger than a node: links lie between the sides alone."""
+    rng = np.random.default_rng(8)
+    bits = rng.integers(0, 1 << 63, 40, np.uint64)[rng.integers(0, 40, 500)]
+    for _ in range(4):
+        bits = bits ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64))
+    bucket = np.repeat([0, 1, 2, 3], [50, 60, 190, 200])
+    side = np.where((bucket == 1) | (bucket == 3), rng.integers(0, 2, 500), 0).astype(np.int8)
+    got = simhash.linked_within(bits, bucket, 4, lambda i, j: np.ones(len(i), bool), side)
+    wanted = list(range(500))
+    for i in range(500):
+        for j in range(i):
+            if bucket[i] == bucket[j] and (bucket[i] % 2 == 0 or side[i] != side[j]) and int(bits[i] ^ bits[j]).bit_count() <= 4:
+                a, b = wanted[i], wanted[j]
+                wanted = [min(a, b) if x in (a, b) else x for x in wanted]
+    assert 20 < len(set(wanted)) < 480
+    assert len(set(zip(got.tolist(), wanted))) == len(set(wanted)) == len(set(got.tolist()))
+
+
+def test_a_large_bucket_loses_no_candidate(spark, monkeypatch):
+    """Pairs that share one quarter of all, the same for all of them: their only bucket has more sets than are compared at once."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(60):
+        wide = rng.integers(0, 256, (4 * simhash.WIDE, 2), np.uint8)
+        wide[0] = (0, 7)
+        other = wide.copy()
+        other[1:, 1] ^= 1  # a bit of every other quarter
+        rows += [(2 * i, 100, wide.tobytes()), (2 * i + 1, 100, other.tobytes())]
+    sets = spark.createDataFrame(rows, "node long, size long, wide binary").repartition(3)
+    monkeypatch.setattr(simhash, "BUCKET", 10)
+    bucketed = simhash.wide_buckets(sets)
+    assert bucketed.groupBy("bucket", "low", "high").count().agg({"count": "max"}).first()[0] <= 60
+    found = {(r.node, r.label) for r in simhash.connected(simhash.candidates(bucketed, simhash.NEAR)).collect()}
+    assert found == {(n, n - n % 2) for n in range(120)}
+
+
 def test_whole_groups():
     import pyarrow as pa
 

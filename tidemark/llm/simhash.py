@@ -227,20 +227,24 @@ def linked(bits: np.ndarray, bucket: np.ndarray, limit: int = MAX_BITS) -> np.nd
     return out
 
 
-def linked_within(bits: np.ndarray, bucket: np.ndarray, limit: int, check: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+def linked_within(bits: np.ndarray, bucket: np.ndarray, limit: int, check: Callable[[np.ndarray, np.ndarray], np.ndarray], side: np.ndarray | None = None) -> np.ndarray:
     """``linked`` for a wide limit, where single fingerprints differ too little from each other for a tree of bytes to prune.
 
     Nodes are runs of ``NODE`` fingerprints in Gray order with the bits that all of theirs share: two nodes that differ in more than ``limit`` shared bits are
     dropped as a whole, and the others' fingerprints are compared, all at once. Buckets of no more than a node are compared by their distance in the order,
-    many buckets at once. ``check`` says which of the pairs (places) within the limit are linked.
+    many buckets at once. ``check`` says which of the pairs (places) within the limit are linked. In buckets with a ``side`` of 1, these are compared with those
+    of side 0, and neither among themselves.
     """
     n = len(bits)
-    order = np.lexsort((gray_rank(bits), bucket))
-    bits, bucket = bits[order], bucket[order]
+    side = np.zeros(n, np.int8) if side is None else side
+    order = np.lexsort((gray_rank(bits), side, bucket))
+    bits, bucket, side = bits[order], bucket[order], side[order]
     parent = np.arange(n)
     start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     size = np.diff(np.append(start, n))
     after = np.repeat(start + size, size) - np.arange(n)  # rows of the bucket from here on
+    firsts = size - (np.add.reduceat(side, start, dtype=np.int64) if n else size)  # rows of side 0
+    whole = np.repeat(firsts == size, size)
 
     def link(a: np.ndarray, b: np.ndarray) -> None:
         nonlocal parent
@@ -254,19 +258,22 @@ def linked_within(bits: np.ndarray, bucket: np.ndarray, limit: int, check: Calla
         here = here[after[here] > step]
         if not len(here):
             break
-        near = here[np.bitwise_count(bits[here] ^ bits[here + step]) <= limit]
+        met = here[whole[here] | (side[here] != side[here + step])]
+        near = met[np.bitwise_count(bits[met] ^ bits[met + step]) <= limit]
         link(near, near + step)
-    for first, rows in zip(start[size > NODE].tolist(), size[size > NODE].tolist(), strict=True):
+    for first, rows, split in zip(*(x[size > NODE].tolist() for x in (start, size, firsts)), strict=True):
         mine = bits[first : first + rows]
-        at = np.arange(0, rows, NODE)
+        at = np.append(np.arange(0, split, NODE), np.arange(split, rows, NODE))
+        own = -(-split // NODE)
         every, some = np.bitwise_and.reduceat(mine, at), np.bitwise_or.reduceat(mine, at)
         shared = ~(every ^ some)
-        for k, a in enumerate(at.tolist()):
-            apart = np.bitwise_count((every[k] ^ every[k:]) & shared[k] & shared[k:])
-            met = k + np.flatnonzero(apart <= limit)
-            others = (met[:, None] * NODE + np.arange(NODE)).ravel()
+        for k, a in enumerate(at[:own].tolist()):
+            since = k if split == rows else own
+            apart = np.bitwise_count((every[k] ^ every[since:]) & shared[k] & shared[since:])
+            met = since + np.flatnonzero(apart <= limit)
+            others = (at[met][:, None] + np.arange(NODE)).ravel()
             others = others[others < rows]
-            i, j = np.nonzero(np.bitwise_count(mine[a : a + NODE, None] ^ mine[others]) <= limit)
+            i, j = np.nonzero(np.bitwise_count(mine[a : min(a + NODE, split), None] ^ mine[others]) <= limit)
             keep = a + i < others[j]
             link(first + a + i[keep], first + others[j[keep]])
     out = np.empty(n, np.int64)
@@ -389,33 +396,36 @@ def keyed_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, near:
 
 
 def wide_buckets(sets: DataFrame) -> DataFrame:
-    """Every set (``node, size, wide``) in the buckets of all quarters of its fingerprints: ``bucket`` (with the quarter's number on top) and ``below``.
+    """Every set (``node, size, wide``) in the buckets of all quarters of its fingerprints: ``bucket`` (with the quarter's number on top), ``low``, ``high`` and ``block``.
 
-    ``below`` is 0, or in a bucket of over ``BUCKET`` sets one of the quarters of the next fingerprint, four times.
+    A bucket of over ``BUCKET`` sets is dealt into blocks of about as many, and each of its sets goes into all pairs (``low``, ``high``) of its ``block`` with a
+    block, so that any two sets of the bucket meet in one of them; other buckets are one block.
     """
     number = 4 * WIDE
     bits = lambda band: F.conv(F.hex(F.substring("wide", 2 * band + 1, 2)), 16, 10).cast("long")
     quarter = lambda band: bits(band).bitwiseAND((1 << BAND) - 1) + band.cast("long") * 65536
     level = sets.select("*", F.explode(F.sequence(F.lit(0), F.lit(number - 1))).alias("band")).select("node", "size", "wide", quarter(F.col("band")).alias("bucket"))
-    whole = level.withColumn("below", F.lit(0).cast("long"))
+    none = F.lit(0).cast("int")
+    whole = level.withColumns({"low": none, "high": none, "block": none})
     if sets.count() <= BUCKET:  # then no bucket has more
         return whole
-    large = level.groupBy("bucket").count().where(F.col("count") > BUCKET).select("bucket", F.lit(True).alias("large")).checkpoint()
-    found = large.count()
-    if not found:
+    large = level.groupBy("bucket").count().where(F.col("count") > BUCKET).select("bucket", F.ceil(F.col("count") / BUCKET).cast("int").alias("blocks")).checkpoint()
+    if large.isEmpty():
         return whole
-    marked = level.join(F.broadcast(large) if found <= BUCKET else large, "bucket", "left")
-    band = F.floor(F.col("bucket") / 65536)
-    next_ones = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda q: quarter((band - band % 4 + 4 + q) % number) + 1)
-    below = F.when(F.col("large"), next_ones).otherwise(F.array(F.lit(0).cast("long")))
-    return marked.select("node", "size", "wide", "bucket", F.explode(below).alias("below"))
+    # at most as many rows as there are buckets, 4 * WIDE << BAND
+    placed = level.join(F.broadcast(large), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pair = lambda other: F.struct(F.least("block", other).alias("low"), F.greatest("block", other).alias("high"))
+    met = placed.select("node", "size", "wide", "bucket", "block", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)).alias("pair"))
+    return met.select("node", "size", "wide", "bucket", "pair.low", "pair.high", "block")
 
 
 def candidates(bucketed: DataFrame, near: tuple[int, int]) -> DataFrame:
     """``a`` and ``b``: each set's node with the one that names its candidate component in a bucket, where they differ."""
+    by = ["bucket", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, group in whole_groups(batches, ["bucket", "below"]):
+        for table, group in whole_groups(batches, by):
             wide = np.frombuffer(b"".join(column_of(table, "wide").to_pylist()), U).reshape(-1, WIDE)
             size = column_of(table, "size").to_numpy()
 
@@ -425,13 +435,13 @@ def candidates(bucketed: DataFrame, near: tuple[int, int]) -> DataFrame:
                 return near_size
 
             bits = wide[np.arange(len(wide)), column_of(table, "bucket").to_numpy() // 65536 // 4]
-            to = linked_within(bits, group, NEAR_BITS, check)
+            block, low = (column_of(table, c).to_numpy() for c in ("block", "low"))
+            to = linked_within(bits, group, NEAR_BITS, check, (block != low).astype(np.int8))
             a = np.flatnonzero(to != np.arange(len(bits)))
             node = column_of(table, "node")
             yield pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(to[a]))], names=["a", "b"])
         release()
 
-    by = ["bucket", "below"]
     return bucketed.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long").distinct()
 
 
