@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.sources import catalogue, registry, tables
+from tidemark.plans import files
+from tidemark.sources import catalogue, proxies, registry, tables
 
 ASSET = {"category": "Metals", "exchange": "X", "cftc_report": "legacy", "cftc_market_name": "GOLD", "cftc_code": "088691", "price_symbol": "GC=F"}
 YAML = """
@@ -84,3 +85,18 @@ def test_a_failed_write_leaves_the_cache(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         tables.write_cache(new, path)
     assert sorted((r.market, r.close) for r in tables.read_cache(spark, path).collect()) == [("A", 1.0), ("B", 2.0)]
+
+
+def test_cached_prices_makes_its_prices_once(spark, monkeypatch):
+    """Prices are small, what they come from is not: neither writes nor attempts to load make them again."""
+    seen, made = spark.sparkContext.accumulator(0), proxies.prices
+
+    @F.udf("double")
+    def counted(close):
+        seen.add(1)
+        return close
+
+    monkeypatch.setattr(proxies, "prices", lambda *args: made(*args).withColumn("close", counted("close")))
+    assert len(files.cached_prices(spark, "/root/testdata/sf0.001").collect()) == 5
+    rows = made(spark, "/root/testdata/sf0.001").count()
+    assert rows <= seen.value <= 2 * rows

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.shape import shaped, sql
-from tidemark.session import use_checkpoints
+from tidemark.session import materialized, use_checkpoints
 from tidemark.sources import catalogue, proxies, registry, tables
 
 
@@ -55,7 +55,7 @@ LAGS, LAST = {"A": 90, "E": 2}, "AMZ"
 
 def cached_prices(spark, sf_dir):
     """Prices from a cache that lags behind, from a source that fails for some markets, and what is served."""
-    prices = tables.normalize_prices(proxies.prices(spark, sf_dir), F.col("market"))
+    prices = materialized(tables.normalize_prices(proxies.prices(spark, sf_dir), F.col("market")))  # every write, load and attempt below reads them
     newest = F.lit(prices.agg(F.max("date")).first()[0])
     lag = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in LAGS.items() for x in kv)), F.substring("market", 1, 1)), F.lit(30))
     path = folder(spark, "cache")
