@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import rounds, substring, suffix
 
@@ -136,6 +137,37 @@ def test_a_row_repeated_and_a_passage_in_many_blocks(spark, monkeypatch):
     assert got == brute_words(docs.collect())
 
 
+def test_hot_anchors_are_those_of_many_unlike_stretches(spark, monkeypatch):
+    """A passage with other ends in each of 400 documents and some 90 blocks stays together as bytes; its windows are dealt out, with the same results, if that is too many."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(40))
+    rows = [(i, f"{word()} {word()} {passage} {word()} {word()}") for i in range(400)]
+    monkeypatch.setattr(rounds, "BLOCK_BYTES", 1200)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert rounds.in_blocks(docs)[0].select("block").distinct().count() >= 80
+    wanted = brute_suffix(docs.collect(), 100)
+    for most in (rounds.HOT_ITEMS, 50):
+        found = suffix.dedup(docs, most=most)
+        got = found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+        assert Counter(map(tuple, got)) == wanted
+
+
+def test_items_of_a_key_are_unlike_ones():
+    """Blocks with a key five times, but few unlike items of it, are many blocks of a key that isn't hot."""
+    import pandas as pd
+
+    keys = np.arange(100, dtype=np.uint64)
+    items = np.concatenate((keys, np.repeat(keys[:10], 4)))
+    for given, hot in ((keys, []), (items, list(range(10)))):
+        sent = pd.DataFrame([m for i in range(80) for m in rounds.sketch(i, np.repeat(keys, 5), 1, given)], columns=["block", "kind", "shard", "payload"])
+        answers = pd.concat([rounds.merge_sketches(g, 400) for _, g in sent.groupby(["kind", "shard"])])
+        a = answers[answers.block == 3]
+        assert np.flatnonzero(rounds.hot(keys, list(zip(a.kind, a.shard, a.payload)), 1)).tolist() == hot
+
+
 def test_ids_at_the_end_of_the_range(spark):
     docs = spark.createDataFrame([(rounds.LAST, "a b"), (None, "c")], "doc_id long, text string")
     for op in (suffix, substring):

@@ -30,8 +30,9 @@ BLOCK_BYTES = 3 << 20
 SHARD_KEYS = 2 << 20
 COUNTER_BITS = 24
 ROWS = 2
-#: A key that this many blocks have is hot: operators whose keys gather unlike items deal these out by something finer.
-HOT_BLOCKS = 64
+#: A key with this many items, unlike ones of each block counted, is hot: operators whose keys gather unlike items deal these out by something finer. What is
+#: finer is much more to send, and a shard takes a key's items at once, so this is as many as fit a task well (16,384 stretches of bytes are 2 MB, to be sorted in 60).
+HOT_ITEMS = 1 << 14
 #: Size of the table in which a block looks up which of its counters are repeated.
 LOOKUP_BITS = 22
 LAST = np.iinfo(np.int64).max
@@ -171,29 +172,36 @@ def messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table({"block": pa.array(columns[0], pa.int64()), "kind": pa.array(columns[1], pa.int32()), "shard": pa.array(columns[2], pa.int32()), "payload": pa.array(columns[3], pa.binary())})
 
 
-def sketch(block: int, keys: np.ndarray, shards: int) -> list[tuple[int, int, int, bytes]]:
-    """A block's counters for every row and shard of the sketch."""
+def sketch(block: int, keys: np.ndarray, shards: int, items: np.ndarray | None = None) -> list[tuple[int, int, int, bytes]]:
+    """A block's counters for every row and shard of the sketch; ``items`` has each key as often as the block has unlike items of it (else one each)."""
     out = []
     for row in range(ROWS):
         codes, twice = distinct(counters(keys, row, shards))
+        many = np.ones(len(codes), np.uint16)
+        if items is not None:
+            known, number = np.unique(counters(items, row, shards), return_counts=True)
+            many[np.searchsorted(codes, known)] = np.minimum(number, 65535)
         low = (codes & U((1 << COUNTER_BITS) - 1)).astype(np.uint32)
         for shard, a, b in by_shard(codes, COUNTER_BITS):
-            out.append((block, row, shard, pack(np.diff(low[a:b], prepend=np.uint32(0)), np.packbits(twice[a:b]))))
+            out.append((block, row, shard, pack(np.diff(low[a:b], prepend=np.uint32(0)), np.packbits(twice[a:b]), many[a:b][twice[a:b]] if items is not None else many[:0])))
     return out
 
 
-def merge_sketches(rows: pd.DataFrame) -> pd.DataFrame:
-    """Merge a shard's part of the sketch; the answers say which of a block's counters reached two, and which are in many blocks."""
-    blocks, repeated = np.zeros(1 << COUNTER_BITS, np.uint16), np.zeros(1 << COUNTER_BITS, bool)
+def merge_sketches(rows: pd.DataFrame, most: int = HOT_ITEMS) -> pd.DataFrame:
+    """Merge a shard's part of the sketch; the answers say which of a block's counters reached two, and which have ``most`` items or more."""
+    items, repeated = np.zeros(1 << COUNTER_BITS, np.uint16), np.zeros(1 << COUNTER_BITS, bool)
     sent = []
     for payload in rows["payload"]:
-        steps, twice = unpack(payload, np.uint32, np.uint8)
+        steps, bits, many = unpack(payload, np.uint32, np.uint8, np.uint16)
         at = np.cumsum(steps, dtype=np.uint32)
-        before = blocks[at]
-        repeated[at[(before > 0) | np.unpackbits(twice, count=len(at)).astype(bool)]] = True
-        blocks[at] = before + (before < 65535)
+        before, twice = items[at], np.unpackbits(bits, count=len(at)).astype(bool)
+        repeated[at[(before > 0) | twice]] = True
+        more = np.ones(len(at), np.uint32)
+        if len(many):
+            more[twice] = many
+        items[at] = np.minimum(before + more, 65535)
         sent.append(at)
-    answers = [pack(np.packbits(repeated[at]), np.packbits(blocks[at] >= HOT_BLOCKS)) for at in sent]
+    answers = [pack(np.packbits(repeated[at]), np.packbits(items[at] >= most)) for at in sent]
     return pd.DataFrame({"block": rows["block"], "kind": rows["kind"], "shard": rows["shard"], "payload": answers})
 
 
@@ -221,7 +229,7 @@ def estimated_repeated(keys: np.ndarray, answers: list[tuple[int, int, bytes]],
 
 
 def hot(keys: np.ndarray, answers: list[tuple[int, int, bytes]], shards: int) -> np.ndarray:
-    """Which keys' counters are in many blocks in every row; the same for a key in whatever block it is."""
+    """Which keys' counters have many items in every row; the same for a key in whatever block it is."""
     flags = np.ones(len(keys), bool)
     for row in range(ROWS):
         codes, found = answered(keys, answers, shards, row, 1)
@@ -236,21 +244,26 @@ def answers_in(table: pa.Table) -> list[tuple[int, int, bytes]]:
 
 def run(
     blocks: DataFrame,
-    keys_of: Callable[[Block], np.ndarray],
+    keys_of: Callable[[Block], tuple[np.ndarray, np.ndarray | None]],
     candidates: Callable[[int, Block, list], list],
     resolve: Callable[[pd.DataFrame], pd.DataFrame],
     finish: Callable[[Block, list], pa.Table],
     schema: str,
     shards: int,
+    most: int = HOT_ITEMS,
 ) -> DataFrame:
     """The rounds: sketch, merge, send candidates, resolve them exactly, finish each document.
 
-    ``keys_of`` gives a block's keys; ``candidates`` gives messages of kind ``ROWS`` to the exact round; ``resolve``
+    ``keys_of`` gives a block's keys and, where hot ones are asked for, the items of ``sketch``; ``most`` items make a key hot; ``candidates`` gives messages of kind ``ROWS`` to the exact round; ``resolve``
     answers a shard's messages; ``finish`` makes the result rows of a block from all answers.
     """
 
     def first(key, table):
-        return messages(sketch(key[0].as_py(), keys_of(Block(table)), shards))
+        keys, items = keys_of(Block(table))
+        return messages(sketch(key[0].as_py(), keys, shards, items))
+
+    def merged(rows):
+        return merge_sketches(rows, most)
 
     def second(key, table, answers):
         return messages(candidates(key[0].as_py(), Block(table), answers_in(answers)) if table.num_rows else [])
@@ -260,7 +273,7 @@ def run(
         return finish(Block(table), answers_in(answers))
 
     sketched = blocks.groupBy("block").applyInArrow(first, MESSAGE)
-    estimates = sketched.groupBy("kind", "shard").applyInPandas(merge_sketches, MESSAGE)
+    estimates = sketched.groupBy("kind", "shard").applyInPandas(merged, MESSAGE)
     sent = blocks.groupBy("block").cogroup(estimates.groupBy("block")).applyInArrow(second, MESSAGE)
     resolved = sent.groupBy("shard").applyInPandas(resolve, MESSAGE)
     answers = estimates.unionByName(resolved)

@@ -153,8 +153,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     blocks, total = rounds.in_blocks(docs, id_col, text_col)
     shards = rounds.shards_for(total // 6)
 
-    def keys_of(block: Block) -> np.ndarray:
-        return Windows(block).hash
+    def keys_of(block: Block) -> tuple[np.ndarray, None]:
+        return Windows(block).hash, None
 
     def candidates(number: int, block: Block, answers: list) -> list:
         found = Candidates(block, Windows(block), answers, shards)

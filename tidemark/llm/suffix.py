@@ -11,9 +11,9 @@ the same as earlier ones (all their windows are later copies), sorts the suffixe
 several, and computes their longest previous factors: of the previous and the next suffix in that order that start earlier, the longer
 common prefix. A window whose factor reaches ``LENGTH`` is a later copy.
 
-Stretches of an anchor that very many blocks have, such as the ends of a passage that goes on differently each time, would all meet in
+Stretches of an anchor that has very many unlike ones, such as the ends of a passage that goes on differently each time, would all meet in
 one task. They are taken apart: each of their windows goes to a shard by its own 128-bit hash, where the least position
-of each is the earlier copy.
+of each is the earlier copy. That is some fifteen times as much to send, so it is done from ``rounds.HOT_ITEMS`` stretches on.
 
 A block sends equal stretches once, the earliest, so copies that a third of all documents share are as many rows
 as there are blocks with them. Long stretches (of periodic text) are cut.
@@ -142,6 +142,21 @@ class Candidates:
         self.ranges = [(int(shard[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
+def unlike(block: Block, stretches: Stretches, length: int) -> np.ndarray:
+    """Of the stretches that share their anchor with others of the block, one for each content, and all others."""
+    order = np.argsort(stretches.anchor, kind="stable")
+    a = stretches.anchor[order]
+    same = a[1:] == a[:-1]
+    shared = order[np.append(False, same) | np.append(same, False)] if len(order) else order
+    taken = np.ones(len(order), bool)
+    seen: set[bytes] = set()
+    for i, o, s, n in zip(shared.tolist(), stretches.owner[shared].tolist(), stretches.start[shared].tolist(), stretches.windows[shared].tolist(), strict=True):
+        digest = xxhash.xxh3_128_digest(block.texts[o][s : s + n + length - 1])
+        taken[i] = digest not in seen
+        seen.add(digest)
+    return np.flatnonzero(taken)
+
+
 class Apart:
     """The windows of hot stretches of a block, by their hashes; of equal ones the earliest comes first."""
 
@@ -350,10 +365,10 @@ def widened(text: bytes, gone: np.ndarray) -> np.ndarray:
     return (np.bincount(character, gone) > 0)[character]
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, carried: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, carried: tuple[str, ...] = (), whole_characters: bool = False, most: int = rounds.HOT_ITEMS) -> DataFrame:
     """Per document its id, n_bytes, n_removed, n_spans, ``kept``, the remaining bytes joined, and its columns in ``carried``.
 
-    With ``whole_characters`` a character of which some bytes are removed goes as a whole from ``kept``, which then stays UTF-8; the counts are the same.
+    Anchors with ``most`` unlike stretches are dealt out window by window; the results are the same. With ``whole_characters`` a character of which some bytes are removed goes as a whole from ``kept``, which then stays UTF-8; the counts are the same.
     """
     blocks, total = rounds.in_blocks(docs, id_col, text_col, carried)
     shards = rounds.shards_for(total // 6)
@@ -362,7 +377,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         s = Stretches(block, length, gram)
         places = zip(s.owner.tolist(), s.start.tolist(), (s.windows + length - 1).tolist(), strict=True)
         twice = [i for i, (o, a, n) in enumerate(places) if repeats_itself(block.texts[o], a, a + n, length, gram)]
-        return np.concatenate((s.anchor, s.anchor[twice])) if twice else s.anchor
+        keys = np.concatenate((s.anchor, s.anchor[twice])) if twice else s.anchor
+        return keys, s.anchor[unlike(block, s, length)]
 
     def candidates(number: int, block: Block, answers: list) -> list:
         stretches = Stretches(block, length, gram)
@@ -436,7 +452,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         return pa.table({"id": ids, "n_bytes": count([len(t) for t in block.texts]), "n_removed": count(removed), "n_spans": count(spans), "kept": pa.array(kept, pa.binary()), **extra})
 
     schema = T.StructType([T.StructField("id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType()), *(docs.schema[c] for c in carried)])
-    found = rounds.run(blocks, keys_of, candidates, resolver(length, gram), finish, schema, shards)
+    found = rounds.run(blocks, keys_of, candidates, resolver(length, gram), finish, schema, shards, most)
     return found.withColumnRenamed("id", id_col)
 
 
